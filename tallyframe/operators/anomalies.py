@@ -43,11 +43,12 @@ def series_stats(points: DataFrame, ledger: Ledger, visible: DataFrame | None =
     visible = visible if visible is not None else visible_series(points, ledger)
     n_points = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
     long = long_points(points, visible, keys).where(_finite(F.col("value")))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = long.groupBy(*keys, "series", "series_order").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.sum(F.abs("value")).alias("abs_sum"),
-        q.alias("_q"),
+        F.percentile("value", 0.25).alias("q1"),
+        F.percentile("value", 0.5).alias("median"),
+        F.percentile("value", 0.75).alias("q3"),
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
     )
@@ -55,7 +56,7 @@ def series_stats(points: DataFrame, ledger: Ledger, visible: DataFrame | None =
     stats = stats.where((F.col("n_points") >= MIN_PERIODS_FOR_ANOMALIES)
                         & (F.col("n_values") >= MIN_PERIODS_FOR_ANOMALIES)
                         & (F.col("abs_sum") != 0))
-    q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+    q1, med, q3 = F.col("q1"), F.col("median"), F.col("q3")
     iqr = q3 - q1
     std = F.col("std")
     return stats.select(
