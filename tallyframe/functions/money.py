@@ -10,7 +10,7 @@ Two readers exist, as in the reference behaviour:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Plain number: optional sign, digits with optional fraction, optional exponent,
@@ -44,52 +44,116 @@ def is_dirty_cell(text: Column) -> Column:
     return text.isNotNull() & (t != "") & direct_number(text).isNull()
 
 
-def clean_money_text(text: Column) -> Column:
-    """One money cell through the forgiving cleaner → double (null if unreadable).
+def _tmp(prefix: str, name: str) -> str:
+    return f"__{prefix}_{name}"
+
+
+def with_clean_money_text(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out``: one money cell through the forgiving cleaner → double (null if unreadable).
 
     Steps: outer parentheses mean negative; keep only digits , . - + ; with both
     separators the right-most is the decimal one; a single , or . is decimal when
     at most two digits follow it, else a thousands mark; anything else is left
-    as it is and usually fails the final cast.
+    as it is and usually fails the final cast. Built as staged projections so
+    each intermediate is computed once per row.
     """
-    s = utrim(text)
-    negative = s.startswith("(") & s.endswith(")")
-    kept = F.regexp_replace(s, r"[^0-9,.\-+]", "")
-    n_comma = F.length(kept) - F.length(F.regexp_replace(kept, ",", ""))
-    n_dot = F.length(kept) - F.length(F.regexp_replace(kept, r"\.", ""))
-    last_comma = F.length(kept) - F.locate(",", F.reverse(kept)) + 1
-    last_dot = F.length(kept) - F.locate(".", F.reverse(kept)) + 1
-    # single separator: split on it
-    comma_left = F.substring_index(kept, ",", 1)
-    comma_right = F.substring_index(kept, ",", -1)
-    dot_left = F.substring_index(kept, ".", 1)
-    dot_right = F.substring_index(kept, ".", -1)
+    s, kept, neg, norm = (_tmp(x, out) for x in ("s", "kept", "neg", "norm"))
+    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+]", "")) \
+           .withColumn(neg, F.col(s).startswith("(") & F.col(s).endswith(")"))
+    k = F.col(kept)
+    n_comma = F.length(k) - F.length(F.regexp_replace(k, ",", ""))
+    n_dot = F.length(k) - F.length(F.regexp_replace(k, r"\.", ""))
+    last_comma = F.length(k) - F.locate(",", F.reverse(k))
+    last_dot = F.length(k) - F.locate(".", F.reverse(k))
+
+    def single(sep: str) -> Column:
+        left, right = F.substring_index(k, sep, 1), F.substring_index(k, sep, -1)
+        return F.when(F.length(right) <= 2, F.concat(left, F.lit("."), right)).otherwise(F.concat(left, right))
+
     normalized = (
         F.when((n_comma > 0) & (n_dot > 0),
-               F.when(last_comma > last_dot,
-                      F.regexp_replace(F.regexp_replace(kept, r"\.", ""), ",", "."))
-               .otherwise(F.regexp_replace(kept, ",", "")))
-        .when((n_comma == 1) & (n_dot == 0),
-              F.when(F.length(comma_right) <= 2, F.concat(comma_left, F.lit("."), comma_right))
-              .otherwise(F.concat(comma_left, comma_right)))
-        .when((n_dot == 1) & (n_comma == 0),
-              F.when(F.length(dot_right) <= 2, F.concat(dot_left, F.lit("."), dot_right))
-              .otherwise(F.concat(dot_left, dot_right)))
-        .otherwise(kept)
-    )
-    signed = F.when(negative & ~normalized.startswith("-"), F.concat(F.lit("-"), normalized)) \
-        .otherwise(normalized)
-    return F.when(signed.rlike(_PLAIN_NUMBER), signed.try_cast("double"))
-
-
-def clean_money_column(text: Column, dirty_flag: Column) -> Column:
+               F.when(last_comma > last_dot, F.translate(F.regexp_replace(k, r"\.", ""), ",", "."))
+               .otherwise(F.regexp_replace(k, ",", "")))
+        .when((n_comma == 1) & (n_dot == 0), single(","))
+        .when((n_dot == 1) & (n_comma == 0), single("."))
+        .otherwise(k))
+    df = df.withColumn(norm, normalized)
+    n = F.col(norm)
+    signed = F.when(F.col(neg) & ~n.startswith("-"), F.concat(F.lit("-"), n)).otherwise(n)
+    df = df.withColumn(norm, signed)
+    value = F.when(F.col(norm).rlike(_PLAIN_NUMBER), F.col(norm).try_cast("double"))
+    return df.withColumn(out, value).drop(s, kept, neg, norm)
+
+
+def with_clean_money_column(df: DataFrame, src: str, out: str, dirty_flag: Column) -> DataFrame:
     """Column-wide switch: clean every cell when the column is dirty, else read
     it directly; unreadable and missing cells become 0 (not null)."""
-    return F.coalesce(F.when(dirty_flag, clean_money_text(text)).otherwise(direct_number(text)),
-                      F.lit(0.0))
+    cleaned = _tmp("cleaned", out)
+    df = with_clean_money_text(df, src, cleaned)
+    value = F.when(dirty_flag, F.col(cleaned)).otherwise(direct_number(F.col(src).cast("string")))
+    return df.withColumn(out, F.coalesce(value, F.lit(0.0))).drop(cleaned)
 
 
 def numeric_money(c: Column) -> Column:
     """Already-numeric money column: missing and NaN become 0."""
     d = c.cast("double")
     return F.when(F.isnan(d), F.lit(0.0)).otherwise(F.coalesce(d, F.lit(0.0)))
+
+
+def _currency_regex() -> str:
+    import re
+
+    from tallyframe.functions.vocab import CURRENCY_TOKENS
+    return "(" + "|".join(re.escape(t) for t in CURRENCY_TOKENS) + ")"
+
+
+def has_currency(text: Column) -> Column:
+    """A currency token occurs anywhere in the lower-cased text (substring match)."""
+    return F.coalesce(F.lower(text).rlike(_currency_regex()), F.lit(False))
+
+
+def has_currency_or_sign(text: Column) -> Column:
+    """Currency token, or an explicit sign before a digit."""
+    return has_currency(text) | F.coalesce(F.lower(text).rlike(r"(^|[\s(])[+-]\s*\d"), F.lit(False))
+
+
+def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out``: the profiling parser → ``struct(value double, has_decimal boolean,
+    normalized string)`` or null when the text is not a number.
+
+    Rejects ``{}[]:``; rejects letters unless a currency token is present; keeps
+    ``digits , . - + ( )``; outer parentheses mean negative; with both separators
+    the right-most is decimal, a single kind is decimal only with ≤2 digits after
+    its last occurrence, otherwise every separator is a thousands mark.
+    """
+    s, kept, nums, sep, norm = (_tmp(x, out) for x in ("ps", "pkept", "pnums", "psep", "pnorm"))
+    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+()]", ""))
+    df = df.withColumn(nums, F.regexp_replace(F.col(kept), r"[()]", ""))
+    n = F.col(nums)
+    has_c, has_d = F.instr(n, ",") > 0, F.instr(n, ".") > 0
+    last_c = F.length(n) - F.locate(",", F.reverse(n))
+    last_d = F.length(n) - F.locate(".", F.reverse(n))
+    after_c = F.locate(",", F.reverse(n)) - 1
+    after_d = F.locate(".", F.reverse(n)) - 1
+    separator = (F.when(has_c & has_d, F.when(last_c > last_d, F.lit(",")).otherwise(F.lit(".")))
+                 .when(has_c, F.when(after_c <= 2, F.lit(",")).otherwise(F.lit("")))
+                 .when(has_d, F.when(after_d <= 2, F.lit(".")).otherwise(F.lit("")))
+                 .otherwise(F.lit("")))
+    df = df.withColumn(sep, separator)
+    sp = F.col(sep)
+    normalized = (F.when(sp == ",", F.translate(F.regexp_replace(n, r"\.", ""), ",", "."))
+                  .when(sp == ".", F.regexp_replace(n, ",", ""))
+                  .otherwise(F.regexp_replace(n, r"[,.]", "")))
+    df = df.withColumn(norm, F.regexp_replace(normalized, r"\+", ""))
+    k = F.col(kept)
+    negative = k.startswith("(") & k.endswith(")")
+    nm = F.col(norm)
+    df = df.withColumn(norm, F.when(negative & ~nm.startswith("-"), F.concat(F.lit("-"), nm)).otherwise(nm))
+    st = F.col(s)
+    rejected = (st == "") | st.rlike(r"[{}\[\]:]") | (F.lower(st).rlike("[a-zа-я]") & ~has_currency(st))
+    ok = ~rejected & k.rlike(r"\d") & F.col(norm).rlike(r"^-?(\d+\.?\d*|\.\d+)$")
+    value = F.when(ok, F.struct(F.col(norm).cast("double").alias("value"), (sp != "").alias("has_decimal"),
+                                F.col(norm).alias("normalized")))
+    return df.withColumn(out, value).drop(s, kept, nums, sep, norm)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tallyframe.functions.dates import to_ledger_ts
-from tallyframe.functions.money import clean_money_column, is_dirty_cell, numeric_money
+from tallyframe.functions.money import is_dirty_cell, numeric_money, with_clean_money_column
 from tallyframe.functions.text import combine_categories
 from tallyframe.operators._keys import attach
 from tallyframe.roles import Ledger, Roles
@@ -31,9 +31,8 @@ def _is_text(df: DataFrame, name: str) -> bool:
 def clean_money(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Clean money columns in place (per key column-wide switch), → double."""
     prepared = _with_decisions(df, list(columns), [], keys)
-    exprs = {c: _money_expr(prepared, c) for c in columns}
-    return prepared.select(*[exprs.get(c, F.col(c)).alias(c) if c in exprs else F.col(c)
-                             for c in df.columns])
+    prepared, exprs = _money_columns(prepared, list(columns))
+    return prepared.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
 
 
 def _flag(name: str) -> str:
@@ -62,11 +61,18 @@ def _with_decisions(df: DataFrame, money_cols: list[str], date_cols: list[str],
     return attach(df, decisions, keys)
 
 
-def _money_expr(df: DataFrame, name: str) -> Column:
-    c = F.col(name)
-    if not _is_text(df, name):
-        return numeric_money(c)
-    return clean_money_column(c.cast("string"), F.col(_flag(name)))
+def _money_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Cleaned money per column: numeric columns directly, text columns through
+    staged projections (``__money_<name>``)."""
+    exprs: dict[str, Column] = {}
+    for name in names:
+        if not _is_text(df, name):
+            exprs[name] = numeric_money(F.col(name))
+        else:
+            out = f"__money_{name}"
+            df = with_clean_money_column(df, name, out, F.col(_flag(name)))
+            exprs[name] = F.col(out)
+    return df, exprs
 
 
 def _date_expr(df: DataFrame, date_cols: list[str]) -> Column | None:
@@ -99,7 +105,7 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
     money_cols = list(dict.fromkeys(r.revenue + r.expense + r.amount))
     base = df.select(*dict.fromkeys(list(keys) + list(r.selected())))
     decided = _with_decisions(base, money_cols, list(r.date), keys)
-    money = {c: _money_expr(decided, c) for c in money_cols}
+    decided, money = _money_columns(decided, money_cols)
 
     def total(parts: list[Column]) -> Column | None:
         return reduce(add, parts) if parts else None

@@ -72,3 +72,42 @@ def balance(spark: SparkSession, sf_dir: str) -> Ledger:
                   F.abs(F.least(amount, F.lit(0.0))).alias("expenses"), amount.alias("amount"),
                   F.col("c_mktsegment").alias("category"))
     return from_prepared(df, [], amount=True, category=True, dates=False)
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with money and dates rendered as text, the way exported ledgers look.
+
+    Built from integer cents so the text is exact. ``money_kind = o_orderkey % 8``:
+    0 plain ``12345.67``; 1 ``12 345.67 ₸``; 2 ``12.345,67``; 3 ``(12345.67)``;
+    4 ``12345,6``; 5 blank; 6 ``n/a``; 7 ``12,345`` (several commas above a million).
+    ``date_kind = (o_orderkey div 8) % 4``: ISO, ``dd.MM.yyyy``, ``dd/MM/yyyy``, and
+    either a timestamp with offset or junk. ``clean_text`` is plain text or blank.
+    ``alt_date`` is only valid for priority 1-URGENT.
+    """
+    o = table(spark, sf_dir, "orders")
+    c = cents(F.col("o_totalprice"))
+    units = (c / 100).cast("bigint")
+    frac = F.lpad((c % 100).cast("string"), 2, "0")
+    grouped = F.format_number(units, 0)
+    k = F.col("o_orderkey") % 8
+    money = (F.when(k == 0, F.concat(units.cast("string"), F.lit("."), frac))
+             .when(k == 1, F.concat(F.regexp_replace(grouped, ",", " "), F.lit("."), frac, F.lit(" ₸")))
+             .when(k == 2, F.concat(F.regexp_replace(grouped, ",", "."), F.lit(","), frac))
+             .when(k == 3, F.concat(F.lit("("), units.cast("string"), F.lit("."), frac, F.lit(")")))
+             .when(k == 4, F.concat(units.cast("string"), F.lit(","), F.substring(frac, 1, 1)))
+             .when(k == 5, F.lit(""))
+             .when(k == 6, F.lit("n/a"))
+             .otherwise(grouped))
+    d = F.col("o_orderdate")
+    dk = (F.col("o_orderkey") / 8).cast("bigint") % 4
+    half = (F.col("o_orderkey") / 32).cast("bigint") % 2
+    date_text = (F.when(dk == 0, F.date_format(d, "yyyy-MM-dd"))
+                 .when(dk == 1, F.date_format(d, "dd.MM.yyyy"))
+                 .when(dk == 2, F.date_format(d, "dd/MM/yyyy"))
+                 .when(half == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:30:00.000000 +03:00")))
+                 .otherwise(F.lit("n/d")))
+    clean = F.when(k == 5, F.lit("")).otherwise(F.concat(units.cast("string"), F.lit("."), frac))
+    alt = F.when(F.col("o_orderpriority") == "1-URGENT", F.date_format(d, "dd.MM.yyyy")).otherwise(F.lit("--"))
+    return o.select("o_orderkey", "o_orderpriority", "o_orderstatus", k.alias("money_kind"),
+                    dk.alias("date_kind"), money.alias("money_text"), clean.alias("clean_text"),
+                    date_text.alias("date_text"), alt.alias("alt_date"))

@@ -18,6 +18,7 @@ ENGINE_CONF = {
     # Reading cp1251 ledgers needs the legacy charset list in Spark 4.x.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
