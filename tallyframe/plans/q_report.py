@@ -1 +1,124 @@
-"""Placeholder; filled in later."""
+"""Report queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyframe.operators import anomalies, metrics, report, series
+from tallyframe.plans import views
+from tallyframe.plans.analyze import analyze
+from tallyframe.plans.q_insights import money_sql
+from tallyframe.plans.registry import query
+from tallyframe.plans.sql_views import CASH, SALES, anomaly_ctes
+
+
+def count_sql(x: str) -> str:
+    return f"replace(format('{{:,}}', {x}), ',', ' ')"
+
+
+@query("q_labels", f"""WITH {anomaly_ctes(SALES, 'sales', 'day')}
+SELECT rank, strftime(period, '%d.%m.%Y') AS period_text,
+       CASE series WHEN 'revenue' THEN 'Выручка' WHEN 'expenses' THEN 'Расходы' WHEN 'profit' THEN 'Прибыль' ELSE 'Сумма' END AS indicator,
+       CASE kind WHEN 'drop' THEN 'провал' ELSE 'всплеск' END AS kind,
+       CASE severity WHEN 'High' THEN 'высокая' ELSE 'средняя' END AS severity
+FROM ar WHERE rank <= 8""")
+def q_labels(spark, sf):
+    """Anomaly rows with Russian labels (series, kind, severity)."""
+    led = views.sales(spark, sf)
+    top = anomalies.detect_anomalies(series.time_series(led, "day"), led, 8)
+    sec = report.anomalies_section(top, [], report.DEPTH_BRIEF, "ru").where(F.col("row_no") > 0)
+    wide = sec.groupBy("row_no").pivot("col_no", [0, 1, 2, 5]).agg(F.first("value"))
+    return wide.select(F.col("row_no").alias("rank"), F.col("0").alias("period_text"), F.col("1").alias("indicator"),
+                       F.col("2").alias("kind"), F.col("5").alias("severity"))
+
+
+def _summary_sql(cte: str, src: str, ledger: str, detailed: bool, amount_only: bool, ru: bool) -> str:
+    L = (lambda en, r_: r_) if ru else (lambda en, r_: en)
+    na = L("not available", "нет данных")
+    money = lambda x: f"coalesce({money_sql(x)}, '{na}')"
+    days = "greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1)"
+    rows = [f"('{L('Transactions', 'Операций')}', {count_sql('count(*)')}, TRUE)"]
+    if amount_only:
+        rows.append(f"('{L('Amount', 'Сумма')}', {money('sum(revenue) - sum(expenses)')}, TRUE)")
+    else:
+        rows += [f"('{L('Revenue', 'Выручка')}', {money('sum(revenue)')}, TRUE)",
+                 f"('{L('Expenses', 'Расходы')}', {money('sum(expenses)')}, TRUE)",
+                 f"('{L('Profit', 'Прибыль')}', {money('sum(revenue) - sum(expenses)')}, TRUE)"]
+    rows.append(f"('{L('Average daily profit', 'Средняя дневная прибыль')}', {money(f'(sum(revenue) - sum(expenses)) / {days}')}, min(ts) IS NOT NULL)")
+    if detailed:
+        rows += [f"('{L('Average revenue per transaction', 'Средняя выручка на операцию')}', {money('sum(revenue) / count(*)')}, TRUE)",
+                 f"('{L('Average expense per transaction', 'Средний расход на операцию')}', {money('sum(expenses) / count(*)')}, TRUE)",
+                 f"('{L('Days in period', 'Дней в периоде')}', {count_sql(days)}, min(ts) IS NOT NULL)",
+                 f"('{L('Average daily revenue', 'Средняя дневная выручка')}', {money(f'sum(revenue) / {days}')}, min(ts) IS NOT NULL)",
+                 f"('{L('Average daily expense', 'Средний дневной расход')}', {money(f'sum(expenses) / {days}')}, min(ts) IS NOT NULL)",
+                 f"('{L('Revenue fields', 'Колонок выручки')}', '1', TRUE)",
+                 f"('{L('Expense fields', 'Колонок расходов')}', '1', TRUE)",
+                 f"('{L('Amount fields', 'Колонок суммы')}', '0', TRUE)",
+                 f"('{L('Category fields', 'Колонок категорий')}', '1', TRUE)"]
+    arr = ", ".join(f"{{'label': {r_[1:r_.index(',')]}, 'value': {r_[r_.index(',') + 2:r_.rindex(',')]}, 'keep': {r_[r_.rindex(',') + 2:-1]}}}"
+                    for r_ in rows)
+    return (f"(WITH {cte}, agg AS (SELECT [{arr}] AS items FROM {src}), "
+            f"kept AS (SELECT list_filter(items, lambda x: x.keep) AS items FROM agg) "
+            f"SELECT '{ledger}' AS ledger, (i - 1)::BIGINT AS row_no, items[i].label AS label, items[i].value AS value "
+            f"FROM kept, range(1, len(items) + 1) t(i))")
+
+
+@query("q_report_summary", _summary_sql(SALES, "sales", "sales_detailed_en", True, False, False)
+       + "\nUNION ALL\n" + _summary_sql(CASH, "cash", "cash_brief_ru", False, True, True))
+def q_report_summary(spark, sf):
+    """R2: summary rows, detailed (two-sided, English) and brief (amount-only, Russian)."""
+    out = None
+    for name, led, depth, lang in (("sales_detailed_en", views.sales(spark, sf), report.DEPTH_DETAILED, "en"),
+                                   ("cash_brief_ru", views.cash(spark, sf), report.DEPTH_BRIEF, "ru")):
+        sec = report.summary_section(metrics.basic_metrics(led), [], led.amount_only, depth, lang)
+        wide = sec.groupBy("row_no").pivot("col_no", [0, 1]).agg(F.first("value"))
+        wide = wide.select(F.lit(name).alias("ledger"), "row_no", F.col("0").alias("label"), F.col("1").alias("value"))
+        out = wide if out is None else out.unionByName(wide)
+    return out
+
+
+@query("q_report_periods", f"""WITH {SALES}, p AS (SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS period,
+       sum(revenue) AS revenue, sum(expenses) AS expenses, sum(revenue - expenses) AS profit FROM sales GROUP BY 1),
+rows AS (SELECT row_number() OVER (ORDER BY period)::BIGINT AS row_no, strftime(period, '%d.%m.%Y') AS c0,
+       {money_sql('revenue')} AS c1, {money_sql('expenses')} AS c2, {money_sql('profit')} AS c3 FROM p)
+SELECT 0::BIGINT AS row_no, 0::BIGINT AS col_no, 'Period' AS value UNION ALL SELECT 0, 1, 'Revenue'
+UNION ALL SELECT 0, 2, 'Expenses' UNION ALL SELECT 0, 3, 'Profit'
+UNION ALL SELECT row_no, 0, c0 FROM rows UNION ALL SELECT row_no, 1, c1 FROM rows
+UNION ALL SELECT row_no, 2, c2 FROM rows UNION ALL SELECT row_no, 3, c3 FROM rows""")
+def q_report_periods(spark, sf):
+    """The detailed report's period table (monthly sales, English)."""
+    led = views.sales(spark, sf)
+    sec = report.periods_section(series.time_series(led, "month"), [], False, "en")
+    return sec.select("row_no", "col_no", "value")
+
+
+@query("q_report_rows")
+def q_report_rows(spark, sf):
+    """The whole brief Russian report of weekly sales as one long table (rows-only check)."""
+    led = views.sales(spark, sf)
+    a = analyze(led, grain="week")
+    return report.build_report(a, "lineitem.parquet", report.DEPTH_BRIEF, "ru")
+
+
+@query("q_report_keyed")
+def q_report_keyed(spark, sf):
+    """R8 per key: detailed English report of monthly sales for each line status."""
+    led = views.sales(spark, sf, keyed=True)
+    a = analyze(led, grain="month")
+    return report.build_report(a, "lineitem.parquet", report.DEPTH_DETAILED, "en")
+
+
+@query("q_summary_lines", f"""WITH {SALES}, {CASH}
+SELECT 'sales' AS ledger, 'Transactions: ' || {count_sql('count(*)')} || chr(10) || 'Profit: ' || {money_sql('sum(revenue) - sum(expenses)')}
+       || chr(10) || 'Period: ' || strftime(min(ts), '%Y-%m-%d') || ' - ' || strftime(max(ts), '%Y-%m-%d') AS summary FROM sales
+UNION ALL
+SELECT 'cash', 'Transactions: ' || {count_sql('count(*)')} || chr(10) || 'Amount: ' || {money_sql('sum(revenue) - sum(expenses)')}
+       || chr(10) || 'Period: ' || strftime(min(ts), '%Y-%m-%d') || ' - ' || strftime(max(ts), '%Y-%m-%d') FROM cash""")
+def q_summary_lines(spark, sf):
+    """Compact three-line metric text for a two-sided and an amount-only ledger."""
+    out = None
+    for name, led in (("sales", views.sales(spark, sf)), ("cash", views.cash(spark, sf))):
+        s = report.summary_lines(metrics.basic_metrics(led), [], led.amount_only)
+        s = s.select(F.lit(name).alias("ledger"), "summary")
+        out = s if out is None else out.unionByName(s)
+    return out
