@@ -1 +1,109 @@
-"""Placeholder; filled in later."""
+"""Source and sink queries over files staged from ``orders``."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from tallyframe.operators import metrics
+from tallyframe.operators.detection import detect_roles
+from tallyframe.operators.prepare import prepare
+from tallyframe.plans import staging
+from tallyframe.plans.registry import query, r
+from tallyframe.roles import Roles
+from tallyframe.sources import files
+from tallyframe.sources.workbook import read_workbooks
+
+_BY_PRIORITY_SQL = """SELECT o_orderpriority AS category, count(*)::BIGINT AS transaction_count,
+       round(sum(round(o_totalprice, 2)), 2) AS revenue FROM orders GROUP BY o_orderpriority"""
+
+
+def _catalog(spark, sf):
+    return files.file_catalog(spark, staging.stage_csv(spark, sf))
+
+
+def _variant(col="path"):
+    return F.regexp_extract(F.col(col), r"/csv/([^/]+)/", 1)
+
+
+def _by_category(led):
+    return metrics.category_breakdown(led).select("category", "transaction_count", r("revenue"))
+
+
+@query("q_csv_scan", _BY_PRIORITY_SQL)
+def q_csv_scan(spark, sf):
+    """UTF-8 comma files read with their detected settings, only the
+    selected columns, money cleaned from text."""
+    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
+    df = files.read_ledgers(spark, cat, columns=["OrderDate", "TotalPrice", "Priority"])
+    led = prepare(df, Roles(date="OrderDate", revenue="TotalPrice", category="Priority"))
+    return _by_category(led)
+
+
+@query("q_headerless", _BY_PRIORITY_SQL)
+def q_headerless(spark, sf):
+    """Headerless tab files get ``Column N`` names; columns picked by position."""
+    cat = _catalog(spark, sf).where(_variant() == "tab_headerless")
+    df = files.read_ledgers(spark, cat, columns=["Column 4", "Column 3"])
+    led = prepare(df, Roles(revenue="Column 4", category="Column 3"))
+    return _by_category(led)
+
+
+@query("q_csv_cp1251", """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Срочно' WHEN '2-HIGH' THEN 'Высокий'
+         WHEN '3-MEDIUM' THEN 'Средний' WHEN '4-NOT SPECIFIED' THEN 'Не указан' ELSE 'Низкий' END AS category,
+       count(*)::BIGINT AS transaction_count, round(sum(round(o_totalprice, 2)), 2) AS revenue
+FROM orders GROUP BY 1""")
+def q_csv_cp1251(spark, sf):
+    """S2/S3 + D + P1: cp1251 ';' files with Russian headers and comma decimals;
+    roles detected from a 100-row preview, then the whole files are analysed."""
+    cat = _catalog(spark, sf).where(_variant() == "cp1251_semicolon")
+    df = files.read_ledgers(spark, cat).drop("source_file")
+    assign, _ = detect_roles(df, sample_rows=100)
+    chosen = {row.role: row.column for row in assign.collect() if row.column}
+    led = prepare(df, Roles(**chosen))
+    return _by_category(led)
+
+
+@query("q_header_check")
+def q_header_check(spark, sf):
+    """Per staged CSV variant, the header decision and settings of its files."""
+    cat = _catalog(spark, sf)
+    return cat.groupBy(_variant().alias("variant"), "encoding", "delimiter", "has_header").agg(
+        F.count(F.lit(1)).alias("files"))
+
+
+@query("q_file_catalog")
+def q_file_catalog(spark, sf):
+    """The catalog of every staged file (CSV parts and Spark's marker files)."""
+    root = os.path.dirname(staging.stage_csv(spark, sf))
+    cat = files.file_catalog(spark, root)
+    return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header")
+
+
+@query("q_preview")
+def q_preview(spark, sf):
+    """The first 100 rows of every file and its row-count text."""
+    cat = _catalog(spark, sf).where(_variant() == "pipe")
+    df = files.read_ledgers(spark, cat)
+    return files.preview(df).select("source_file", "row_no", "OrderID", "TotalPrice", "row_count_text")
+
+
+@query("q_workbooks", """SELECT o_orderpriority AS category, count(*)::BIGINT AS transaction_count,
+       round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY o_orderpriority""")
+def q_workbooks(spark, sf):
+    """Workbooks staged from orders (one per task), read back and analysed."""
+    path = staging.stage_workbooks(spark, sf)
+    df = read_workbooks(spark, path).drop("source_file")
+    led = prepare(df, Roles(date="OrderDate", revenue="TotalPrice", category="Priority"))
+    return _by_category(led)
+
+
+@query("q_report_sink")
+def q_report_sink(spark, sf):
+    """The brief report written as ';' CSV to the shared folder and read back."""
+    from tallyframe.plans.q_report import q_report_rows
+    out = os.path.join(staging.stage_root(spark, sf), "report")
+    files.write_report(q_report_rows(spark, sf), out, keys=["section"])
+    back = spark.read.option("sep", ";").option("header", "true").csv(out)
+    return back.groupBy("section").agg(F.count(F.lit(1)).alias("cells"))
