@@ -75,9 +75,8 @@ def q_header_check(spark, sf):
 
 @query("q_file_catalog")
 def q_file_catalog(spark, sf):
-    """The catalog of every staged file (CSV parts and Spark's marker files)."""
-    root = os.path.dirname(staging.stage_csv(spark, sf))
-    cat = files.file_catalog(spark, root)
+    """The catalog of every staged CSV file and workbook."""
+    cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
     return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header")
 
 
