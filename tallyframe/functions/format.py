@@ -40,7 +40,7 @@ def compact_number(x) -> Column:
     def scaled(div: float, suffix: str) -> Column:
         return F.concat(sign, _trim_zeros(F.format_string("%.1f", a / div)), F.lit(suffix))
 
-    return (F.when(v == 0, F.lit("0"))
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(v == 0, F.lit("0"))
             .when(a >= 1e9, scaled(1e9, "b")).when(a >= 1e6, scaled(1e6, "m"))
             .when(a >= 1e3, scaled(1e3, "k"))
             .when(a >= 100, F.format_string("%.0f", v))

@@ -47,9 +47,24 @@ def _extension(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, name, extension, size`` of every file (contents are not read)."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .load(paths if isinstance(paths, str) else list(paths)).select("path", "length"))
+    """``path, name, extension, size`` of every file, empty ones included.
+
+    Listing is file-system metadata (what Spark's own file index lists on the
+    driver); no file content is read. Hidden files (``_``/``.`` prefixes, e.g.
+    Spark's ``_SUCCESS`` markers) are skipped like Spark's readers skip them.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    listed = []
+    for p in [paths] if isinstance(paths, str) else list(paths):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        it = fs.listFiles(hp, True)
+        while it.hasNext():
+            st = it.next()
+            name = st.getPath().getName()
+            if not name.startswith(("_", ".")):
+                listed.append((st.getPath().toString(), int(st.getLen())))
+    df = spark.createDataFrame(listed, "path string, length long")
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
                      _extension(F.col("path")).alias("extension"), F.col("length").alias("size"))
 
