@@ -62,8 +62,8 @@ def with_clean_money_text(df: DataFrame, src: str, out: str) -> DataFrame:
     df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+]", "")) \
            .withColumn(neg, F.col(s).startswith("(") & F.col(s).endswith(")"))
     k = F.col(kept)
-    n_comma = F.length(k) - F.length(F.regexp_replace(k, ",", ""))
-    n_dot = F.length(k) - F.length(F.regexp_replace(k, r"\.", ""))
+    n_comma = F.length(k) - F.length(F.translate(k, ",", ""))
+    n_dot = F.length(k) - F.length(F.translate(k, ".", ""))
     last_comma = F.length(k) - F.locate(",", F.reverse(k))
     last_dot = F.length(k) - F.locate(".", F.reverse(k))
 
@@ -73,8 +73,8 @@ def with_clean_money_text(df: DataFrame, src: str, out: str) -> DataFrame:
 
     normalized = (
         F.when((n_comma > 0) & (n_dot > 0),
-               F.when(last_comma > last_dot, F.translate(F.regexp_replace(k, r"\.", ""), ",", "."))
-               .otherwise(F.regexp_replace(k, ",", "")))
+               F.when(last_comma > last_dot, F.translate(F.translate(k, ".", ""), ",", "."))
+               .otherwise(F.translate(k, ",", "")))
         .when((n_comma == 1) & (n_dot == 0), single(","))
         .when((n_dot == 1) & (n_comma == 0), single("."))
         .otherwise(k))
@@ -130,7 +130,7 @@ def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
     s, kept, nums, sep, norm = (_tmp(x, out) for x in ("ps", "pkept", "pnums", "psep", "pnorm"))
     df = df.withColumn(s, utrim(F.col(src).cast("string")))
     df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+()]", ""))
-    df = df.withColumn(nums, F.regexp_replace(F.col(kept), r"[()]", ""))
+    df = df.withColumn(nums, F.translate(F.col(kept), "()", ""))
     n = F.col(nums)
     has_c, has_d = F.instr(n, ",") > 0, F.instr(n, ".") > 0
     last_c = F.length(n) - F.locate(",", F.reverse(n))
@@ -143,10 +143,10 @@ def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
                  .otherwise(F.lit("")))
     df = df.withColumn(sep, separator)
     sp = F.col(sep)
-    normalized = (F.when(sp == ",", F.translate(F.regexp_replace(n, r"\.", ""), ",", "."))
-                  .when(sp == ".", F.regexp_replace(n, ",", ""))
-                  .otherwise(F.regexp_replace(n, r"[,.]", "")))
-    df = df.withColumn(norm, F.regexp_replace(normalized, r"\+", ""))
+    normalized = (F.when(sp == ",", F.translate(F.translate(n, ".", ""), ",", "."))
+                  .when(sp == ".", F.translate(n, ",", ""))
+                  .otherwise(F.translate(n, ",.", "")))
+    df = df.withColumn(norm, F.translate(normalized, "+", ""))
     k = F.col(kept)
     negative = k.startswith("(") & k.endswith(")")
     nm = F.col(norm)
