@@ -6,11 +6,11 @@ cost is bounded by the number of periods, never by ledger rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators._keys import attach, top_k
-from tallyframe.operators.series import SERIES_LABELS, long_points, visible_series
+from tallyframe.operators.series import SERIES_LABELS, long_visible, visible_series
 from tallyframe.roles import Ledger
 
 # Fixed values that must equal the reference.
@@ -32,7 +32,36 @@ def _finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def series_stats(points: DataFrame, ledger: Ledger, visible: DataFrame | None = None) -> DataFrame:
+def _stat_columns(value: Column, agg) -> dict[str, Column]:
+    """Per-series statistics; ``agg`` wraps an aggregate (groupBy or window)."""
+    return {
+        "n_values": agg(F.count(F.lit(1))),
+        "abs_sum": agg(F.sum(F.abs(value))),
+        "q1": agg(F.percentile(value, 0.25)),
+        "median": agg(F.percentile(value, 0.5)),
+        "q3": agg(F.percentile(value, 0.75)),
+        "mean": agg(F.avg(value)),
+        "std": agg(F.stddev_pop(value)),
+    }
+
+
+def _bounds() -> dict[str, Column]:
+    q1, q3, std, mean = F.col("q1"), F.col("q3"), F.col("std"), F.col("mean")
+    iqr = q3 - q1
+    return {
+        "high_iqr_bound": F.when(iqr > 0, q3 + IQR_MULTIPLIER * iqr),
+        "low_iqr_bound": F.when(iqr > 0, q1 - IQR_MULTIPLIER * iqr),
+        "high_z_bound": F.when(std > 0, mean + Z_SCORE_THRESHOLD * std),
+        "low_z_bound": F.when(std > 0, mean - Z_SCORE_THRESHOLD * std),
+    }
+
+
+def _eligible() -> Column:
+    return ((F.col("n_points") >= MIN_PERIODS_FOR_ANOMALIES) & (F.col("n_values") >= MIN_PERIODS_FOR_ANOMALIES)
+            & (F.col("abs_sum") != 0))
+
+
+def series_stats(points: DataFrame, ledger: Ledger) -> DataFrame:
     """Per key and visible series: quartiles, median, mean, population std and
     the IQR / Z bounds (a bound is null when IQR or std is 0).
 
@@ -40,33 +69,13 @@ def series_stats(points: DataFrame, ledger: Ledger, visible: DataFrame | None =
     with at least 4 points are kept.
     """
     keys = list(ledger.keys)
-    visible = visible if visible is not None else visible_series(points, ledger)
-    n_points = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
-    long = long_points(points, visible, keys).where(_finite(F.col("value")))
+    long = long_visible(points, ledger).where(_finite(F.col("value")))
+    cols = _stat_columns(F.col("value"), lambda c: c)
     stats = long.groupBy(*keys, "series", "series_order").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.sum(F.abs("value")).alias("abs_sum"),
-        F.percentile("value", 0.25).alias("q1"),
-        F.percentile("value", 0.5).alias("median"),
-        F.percentile("value", 0.75).alias("q3"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-    )
-    stats = attach(stats, n_points, keys)
-    stats = stats.where((F.col("n_points") >= MIN_PERIODS_FOR_ANOMALIES)
-                        & (F.col("n_values") >= MIN_PERIODS_FOR_ANOMALIES)
-                        & (F.col("abs_sum") != 0))
-    q1, med, q3 = F.col("q1"), F.col("median"), F.col("q3")
-    iqr = q3 - q1
-    std = F.col("std")
-    return stats.select(
-        *keys, "series", "series_order", "n_values",
-        q1.alias("q1"), med.alias("median"), q3.alias("q3"), "mean", "std",
-        F.when(iqr > 0, q3 + IQR_MULTIPLIER * iqr).alias("high_iqr_bound"),
-        F.when(iqr > 0, q1 - IQR_MULTIPLIER * iqr).alias("low_iqr_bound"),
-        F.when(std > 0, F.col("mean") + Z_SCORE_THRESHOLD * std).alias("high_z_bound"),
-        F.when(std > 0, F.col("mean") - Z_SCORE_THRESHOLD * std).alias("low_z_bound"),
-    )
+        *[c.alias(n) for n, c in cols.items()], F.max("n_points").alias("n_points"))
+    stats = stats.where(_eligible())
+    return stats.select(*keys, "series", "series_order", "n_values", "q1", "median", "q3", "mean", "std",
+                        *[c.alias(n) for n, c in _bounds().items()])
 
 
 def _direction_test(direction: str):
@@ -87,13 +96,18 @@ def _direction_test(direction: str):
 
 def all_anomalies(points: DataFrame, ledger: Ledger) -> DataFrame:
     """Every flagged point: ``keys…, period, series, series_label, kind, value,
-    baseline, score, rule, severity, series_order``."""
+    baseline, score, rule, severity, series_order``.
+
+    One chain over the points: visible long form, statistics as window
+    aggregates over ``keys, series`` (the key shuffle of the points already
+    clusters them), bounds and rules as projections. No join back.
+    """
     keys = list(ledger.keys)
-    visible = visible_series(points, ledger)
-    stats = series_stats(points, ledger, visible)
-    long = long_points(points, visible, keys).where(_finite(F.col("value")))
-    cand = long.join(stats.drop("series_order"), keys + ["series"], "inner")
-    # per series, try its allowed directions in order
+    long = long_visible(points, ledger).where(_finite(F.col("value")))
+    w = Window.partitionBy(*keys, "series")
+    stats = _stat_columns(F.col("value"), lambda c: c.over(w))
+    cand = long.select("*", *[c.alias(n) for n, c in stats.items()]).where(_eligible())
+    cand = cand.select("*", *[c.alias(n) for n, c in _bounds().items()])
     hit_cols, score_cols, rule_cols, kind_cols = [], [], [], []
     for direction in ("low", "high"):
         hit, score, rule = _direction_test(direction)
@@ -119,11 +133,10 @@ def detect_anomalies(points: DataFrame, ledger: Ledger, max_items: int | None =
     ``rank`` and ``total_found`` (all anomalies found for the key)."""
     keys = list(ledger.keys)
     found = all_anomalies(points, ledger)
+    found = found.withColumn("total_found", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     order = [F.col("score").desc(), F.abs(F.col("value") - F.col("baseline")).desc(),
              F.col("series_order").asc(), F.col("period").asc()]
-    top = top_k(found, keys, order, max_items)
-    totals = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_found"))
-    return attach(top, totals, keys)
+    return top_k(found, keys, order, max_items)
 
 
 def anomaly_status(points: DataFrame, ledger: Ledger) -> DataFrame:

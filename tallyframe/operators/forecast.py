@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators._keys import attach
-from tallyframe.operators.series import long_points, normalize_grain, visible_series
+from tallyframe.operators.series import long_visible, normalize_grain, visible_series
 from tallyframe.roles import Ledger
 
 # Fixed values that must equal the reference.
@@ -33,44 +33,46 @@ def _finite(c):
 
 
 def indexed_points(points: DataFrame, ledger: Ledger) -> DataFrame:
-    """Visible long points with ``idx`` (0-based ordinal), ``n`` and the mean of
-    the preceding 3 values; one sort per key and series."""
+    """Visible long points with ``idx`` (0-based ordinal over observed periods),
+    ``n``, the mean of the preceding 3 values, and the least-squares line of the
+    whole series (``slope``, ``intercept``) — all windows over ``keys, series``,
+    which the key shuffle of the points already clusters: one sort, no join."""
     keys = list(ledger.keys)
-    long = long_points(points, visible_series(points, ledger), keys)
-    w = Window.partitionBy(*keys, "series").orderBy("period")
-    return (long
-            .withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
-            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "series")))
-            .withColumn("ma_prev", F.avg("value").over(w.rowsBetween(-MOVING_AVERAGE_WINDOW, -1))))
+    long = long_visible(points, ledger)
+    part = Window.partitionBy(*keys, "series")
+    w = part.orderBy("period")
+    ix = (long.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
+          .withColumn("ma_prev", F.avg("value").over(w.rowsBetween(-MOVING_AVERAGE_WINDOW, -1))))
+    return (ix.withColumn("n", F.count(F.lit(1)).over(part))
+            .withColumn("slope", F.regr_slope("value", "idx").over(part))
+            .withColumn("intercept", F.regr_intercept("value", "idx").over(part))
+            .withColumn("non_finite", F.count_if(~_finite(F.col("value"))).over(part)))
 
 
 def forecast_fit(points: DataFrame, ledger: Ledger) -> DataFrame:
     """Per key and series: n, slope, intercept, moving-average level, both MAEs
     and the chosen method. Only eligible series (≥6 points, all finite)."""
     keys = list(ledger.keys)
-    ix = indexed_points(points, ledger)
+    ix = indexed_points(points, ledger).where((F.col("n_points") >= MIN_POINTS_FOR_FORECAST)
+                                              & (F.col("non_finite") == 0))
     start = F.least(F.lit(MOVING_AVERAGE_WINDOW), F.col("n"))
+    trend = F.col("slope") * F.col("idx") + F.col("intercept")
     fit = ix.groupBy(*keys, "series", "series_order").agg(
         F.max("n").alias("n"),
-        F.count_if(~_finite(F.col("value"))).alias("non_finite"),
-        F.regr_slope("value", "idx").alias("slope"),
-        F.regr_intercept("value", "idx").alias("intercept"),
+        F.first("slope").alias("slope"),
+        F.first("intercept").alias("intercept"),
         F.max("period").alias("last_period"),
         F.avg(F.when(F.col("idx") >= F.col("n") - MOVING_AVERAGE_WINDOW, F.col("value"))).alias("ma_level"),
         F.avg(F.when(F.col("idx") >= start, F.abs(F.col("value") - F.col("ma_prev")))).alias("ma_mae"),
-    ).where((F.col("n") >= MIN_POINTS_FOR_FORECAST) & (F.col("non_finite") == 0))
-    with_fit = ix.join(fit.select(*keys, "series", "slope", "intercept"), keys + ["series"], "inner")
-    trend_err = with_fit.groupBy(*keys, "series").agg(F.avg(F.when(
-        F.col("idx") >= start,
-        F.abs(F.col("value") - (F.col("slope") * F.col("idx") + F.col("intercept"))))).alias("trend_mae"))
-    fit = fit.join(trend_err, keys + ["series"], "left")
+        F.avg(F.when(F.col("idx") >= start, F.abs(F.col("value") - trend))).alias("trend_mae"),
+    )
     trend_ok = F.col("slope").isNotNull() & F.col("trend_mae").isNotNull() & _finite(F.col("trend_mae"))
     ma_ok = F.col("ma_level").isNotNull() & F.col("ma_mae").isNotNull() & _finite(F.col("ma_mae"))
     method = (F.when(trend_ok & ~ma_ok, F.lit(METHOD_LINEAR_TREND))
               .when(trend_ok & ma_ok & (F.col("trend_mae") < F.col("ma_mae") * TREND_ADVANTAGE),
                     F.lit(METHOD_LINEAR_TREND))
               .otherwise(F.lit(METHOD_MOVING_AVERAGE)))
-    return fit.drop("non_finite").withColumn("method", method)
+    return fit.withColumn("method", method)
 
 
 def step_period(period, k, grain: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.roles import Ledger
@@ -78,23 +78,43 @@ def visible_series(points: DataFrame, ledger: Ledger) -> DataFrame:
     """
     keys = list(ledger.keys)
     flags = points.groupBy(*keys).agg(*[_nonzero(s).alias("nz_" + s) for s in SERIES])
-    money = ledger.money_selected
-    if ledger.amount_only:
-        names = [F.lit("amount")]
-        arr = F.array(*names)
-    else:
-        rev = F.when(F.lit(money) & F.col("nz_revenue"), F.lit("revenue"))
-        exp = F.when(F.lit(money) & F.col("nz_expenses"), F.lit("expenses"))
-        both = F.lit(money) & F.col("nz_revenue") & F.col("nz_expenses")
-        prof = F.when(both & F.col("nz_profit"), F.lit("profit"))
-        none_yet = ~(F.lit(money) & (F.col("nz_revenue") | F.col("nz_expenses")))
-        amt = F.when(none_yet & F.lit(ledger.has_amount) & F.col("nz_amount"), F.lit("amount"))
-        arr = F.array_compact(F.array(rev, exp, prof, amt))
+    arr = _visible_array(ledger, lambda s: F.col("nz_" + s))
     order = F.create_map(*[x for i, s in enumerate(SERIES) for x in (F.lit(s), F.lit(i))])
     return (flags.select(*keys, F.explode(arr).alias("series"))
             .withColumn("series_order", order[F.col("series")].cast("bigint")))
 
 
+def _visible_array(ledger: Ledger, nz) -> Column:
+    """Visible series names from per-key non-zero flags ``nz(series) -> Column``."""
+    money = F.lit(ledger.money_selected)
+    if ledger.amount_only:
+        return F.array(F.lit("amount"))
+    rev = F.when(money & nz("revenue"), F.lit("revenue"))
+    exp = F.when(money & nz("expenses"), F.lit("expenses"))
+    prof = F.when(money & nz("revenue") & nz("expenses") & nz("profit"), F.lit("profit"))
+    none_yet = ~(money & (nz("revenue") | nz("expenses")))
+    amt = F.when(none_yet & F.lit(ledger.has_amount) & nz("amount"), F.lit("amount"))
+    return F.array_compact(F.array(rev, exp, prof, amt))
+
+
+def long_visible(points: DataFrame, ledger: Ledger) -> DataFrame:
+    """Visible long points ``keys…, period, series, series_order, value, n_points``
+    without any join: per-key facts (non-zero flags, point count) are window
+    aggregates over the key's points, so the points are computed once and
+    shuffled once by key (which also serves later ``keys, series`` windows).
+    """
+    keys = list(ledger.keys)
+    w = Window.partitionBy(*keys)
+    flags = {s: F.coalesce(F.bool_or((F.abs(F.col(s)) > 0) & ~F.isnan(F.col(s))).over(w), F.lit(False))
+             for s in SERIES}
+    vis = points.select(*keys, "period", *SERIES, _visible_array(ledger, lambda s: flags[s]).alias("__vis"),
+                        F.count(F.lit(1)).over(w).alias("n_points"))
+    pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.lit(i).cast("bigint").alias("series_order"),
+                               F.col(s).cast("double").alias("value")) for i, s in enumerate(SERIES)])
+    long = vis.select(*keys, "period", "n_points", "__vis", F.inline(pairs))
+    return long.where(F.array_contains("__vis", F.col("series"))).drop("__vis")
+
+
 def long_points(points: DataFrame, visible: DataFrame, keys) -> DataFrame:
     """Visible series of the points in long form ``keys…, period, series, series_order, value``."""
     keys = list(keys)
