@@ -1,9 +1,13 @@
 """Full analysis as one bundle of lazy DataFrames (O1).
 
 ``analyze`` wires prepare → metrics/categories → series → anomalies →
-forecast. Nothing runs until an action; the prepared ledger can be persisted
-because four consumers read it, and the (small) period points can be
-checkpointed to the shared checkpoint folder to cut lineage.
+forecast. The three results that read the ledger (period points, totals,
+category table) are small — bounded by keys × periods or keys × categories —
+and every later result and report section reads them several times, so by
+default they are checkpointed once to the shared checkpoint folder
+(``spark.checkpoint.dir``): the ledger is scanned once per result, lineage is
+cut, and a lost executor costs a re-read of a small table instead of a
+re-scan. ``materialize="persist"`` caches instead; ``None`` keeps it all lazy.
 """
 
 from __future__ import annotations
@@ -19,6 +23,15 @@ from tallyframe.roles import Ledger, Roles
 from tallyframe.session import ensure_checkpoint_dir
 
 
+def _materialize(df: DataFrame, how: str | None) -> DataFrame:
+    if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        return df.persist()
+    return df
+
+
 @dataclass(frozen=True)
 class Analysis:
     ledger: Ledger
@@ -38,7 +51,7 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
             category_limit: int | None = metrics.ANALYSIS_CATEGORY_LIMIT,
             anomaly_limit: int | None = anomalies.MAX_ANOMALIES,
             horizon: int = forecast.DEFAULT_PERIODS_AHEAD,
-            persist: bool = False, checkpoint_points: bool = False) -> Analysis:
+            persist: bool = False, materialize: str | None = "checkpoint") -> Analysis:
     """Build every analysis result for one ledger or many (``keys``)."""
     if isinstance(data, Ledger):
         ledger = data
@@ -48,14 +61,13 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
         ledger = prepare(data, roles, keys, persist=persist)
     grain = series.normalize_grain(grain)
     week_start = series.normalize_week_start(week_start)
-    points = series.time_series(ledger, grain, week_start)
-    if checkpoint_points:
-        ensure_checkpoint_dir(points.sparkSession)
-        points = points.checkpoint(eager=True)
+    points = _materialize(series.time_series(ledger, grain, week_start), materialize)
+    basic = _materialize(metrics.basic_metrics(ledger), materialize)
+    categories = _materialize(metrics.top_categories(ledger, category_limit), materialize)
     return Analysis(
         ledger=ledger, grain=grain, week_start=week_start,
-        basic=metrics.basic_metrics(ledger),
-        categories=metrics.top_categories(ledger, category_limit),
+        basic=basic,
+        categories=categories,
         points=points,
         visible=series.visible_series(points, ledger),
         anomalies=anomalies.detect_anomalies(points, ledger, anomaly_limit),

@@ -19,6 +19,8 @@ ENGINE_CONF = {
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of a finished analysis are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
