@@ -11,7 +11,7 @@ cell costs no exception.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
@@ -61,3 +61,42 @@ def to_ledger_ts(c: Column, dtype) -> Column:
     if isinstance(dtype, (TimestampType, DateType)):
         return c.cast("timestamp_ntz")
     return parse_date_text(c.cast("string"))
+
+
+def with_date_text(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out`` = ``parse_date_text(src)`` as staged projections: the trimmed
+    text, the form test and each part are computed once per row."""
+    s, yf, dfm = f"__ds_{out}", f"__dy_{out}", f"__dd_{out}"
+    parts = [f"__dp{i}_{out}" for i in range(1, 9)]
+    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    t = F.col(s)
+    df = df.withColumn(yf, t.rlike(YEAR_FIRST)).withColumn(dfm, ~F.col(yf) & t.rlike(DAY_FIRST))
+    for i, name in enumerate(parts, start=1):
+        df = df.withColumn(name, F.nullif(F.when(F.col(yf), F.regexp_extract(t, YEAR_FIRST, i))
+                                          .when(F.col(dfm), F.regexp_extract(t, DAY_FIRST, i)), F.lit("")))
+    g = [F.col(p) for p in parts]
+    y_raw = F.when(F.col(yf), g[0]).otherwise(g[2]).cast("int")
+    year = F.when(F.col(dfm) & (y_raw < 100), F.when(y_raw < 70, y_raw + 2000).otherwise(y_raw + 1900)) \
+        .otherwise(y_raw)
+    month = g[1].cast("int")
+    day = F.when(F.col(yf), g[2]).otherwise(g[0]).cast("int")
+    hour = F.coalesce(g[3].cast("int"), F.lit(0))
+    minute = F.coalesce(g[4].cast("int"), F.lit(0))
+    frac = F.coalesce(g[6], F.lit("0"))
+    seconds = F.concat(F.coalesce(g[5], F.lit("0")), F.lit("."), F.substring(F.rpad(frac, 6, "0"), 1, 6)) \
+        .cast("decimal(8,6)")
+    base = F.try_make_timestamp_ntz(year, month, day, hour, minute, seconds)
+    digits = F.regexp_replace(g[7], ":", "")
+    sign = F.when(digits.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    off_min = sign * (F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int"))
+    shift = F.when(g[7].isNull() | (g[7] == "Z"), F.lit(0)).otherwise(off_min)
+    value = F.when(F.col(yf) | F.col(dfm), base - F.make_dt_interval(F.lit(0), F.lit(0), shift))
+    return df.withColumn(out, value).drop(s, yf, dfm, *parts)
+
+
+def with_ledger_ts(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out`` as timestamp_ntz from any supported date column type."""
+    dtype = df.schema[src].dataType
+    if isinstance(dtype, (TimestampNTZType, TimestampType, DateType)):
+        return df.withColumn(out, to_ledger_ts(F.col(src), dtype))
+    return with_date_text(df, src, out)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tallyframe.functions.dates import to_ledger_ts
+from tallyframe.functions.dates import with_ledger_ts
 from tallyframe.functions.money import is_dirty_cell, numeric_money, with_clean_money_column
 from tallyframe.functions.text import combine_categories
 from tallyframe.operators._keys import attach
@@ -53,8 +53,8 @@ def _with_decisions(df: DataFrame, money_cols: list[str], date_cols: list[str],
             aggs.append(F.coalesce(F.bool_or(is_dirty_cell(F.col(c).cast("string"))),
                                    F.lit(False)).alias(_flag(c)))
     if len(date_cols) > 1:
-        for i, c in enumerate(date_cols):
-            aggs.append(F.count(to_ledger_ts(F.col(c), df.schema[c].dataType)).alias(_dates_flag(i)))
+        for i, _ in enumerate(date_cols):
+            aggs.append(F.count(F.col(_date_col(i))).alias(_dates_flag(i)))
     if not aggs:
         return df
     decisions = df.groupBy(*keys).agg(*aggs)
@@ -75,10 +75,21 @@ def _money_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str
     return df, exprs
 
 
+def _date_col(i: int) -> str:
+    return f"__date_{i}"
+
+
+def _with_dates(df: DataFrame, date_cols: list[str]) -> DataFrame:
+    """Parsed timestamp per selected date column (staged projections)."""
+    for i, c in enumerate(date_cols):
+        df = with_ledger_ts(df, c, _date_col(i))
+    return df
+
+
 def _date_expr(df: DataFrame, date_cols: list[str]) -> Column | None:
     if not date_cols:
         return None
-    parsed = [to_ledger_ts(F.col(c), df.schema[c].dataType) for c in date_cols]
+    parsed = [F.col(_date_col(i)) for i in range(len(date_cols))]
     if len(parsed) == 1:
         return parsed[0]
     # first selected column having at least one valid date (per key)
@@ -103,7 +114,7 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
     keys = tuple(keys)
     r = roles.existing(df.columns)
     money_cols = list(dict.fromkeys(r.revenue + r.expense + r.amount))
-    base = df.select(*dict.fromkeys(list(keys) + list(r.selected())))
+    base = _with_dates(df.select(*dict.fromkeys(list(keys) + list(r.selected()))), list(r.date))
     decided = _with_decisions(base, money_cols, list(r.date), keys)
     decided, money = _money_columns(decided, money_cols)
 
