@@ -122,3 +122,13 @@ def q_summary_lines(spark, sf):
         s = s.select(F.lit(name).alias("ledger"), "summary")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+@query("q_anomaly_lines", f"""WITH {anomaly_ctes(SALES, 'sales', 'week')}
+SELECT rank, strftime(period, '%Y-%m-%d') || ': ' || series_label || ' ' || kind || ' (' || {money_sql('value')} || ')' AS text
+FROM ar WHERE rank <= 8""")
+def q_anomaly_lines(spark, sf):
+    """One short line per anomaly (weekly sales), as in the compact panel."""
+    led = views.sales(spark, sf)
+    top = anomalies.detect_anomalies(series.time_series(led, "week"), led, 8)
+    return report.anomaly_short(top, [], "week")

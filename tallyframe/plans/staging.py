@@ -50,14 +50,25 @@ def _variant_frame(o: DataFrame, name: str) -> DataFrame:
                     F.col("o_orderstatus").alias("Status"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp))
+
+
 def stage_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Write every CSV variant (3 files each); returns the root folder."""
+    """Write every CSV variant (3 files each) once per data folder; returns the root.
+
+    A variant whose ``_SUCCESS`` marker exists is complete and is not rewritten
+    (the files are a pure function of the ``orders`` table)."""
     root = stage_root(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
     for name, opt in VARIANTS.items():
+        target = os.path.join(root, "csv", name)
+        if _exists(spark, os.path.join(target, "_SUCCESS")):
+            continue
         (_variant_frame(o, name).repartition(FILES_PER_VARIANT).write.mode("overwrite")
          .option("sep", opt["sep"]).option("encoding", opt["encoding"]).option("header", str(opt["header"]).lower())
-         .csv(os.path.join(root, "csv", name)))
+         .csv(target))
     return os.path.join(root, "csv")
 
 
@@ -85,6 +96,9 @@ def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     """One workbook per partition of orders, written by the task that holds it."""
     root = os.path.join(stage_root(spark, sf_dir), "xlsx")
     local = root[len("file:"):] if root.startswith("file:") else root
+    done = os.path.join(local, "_SUCCESS")
+    if os.path.exists(done):
+        return local
     if os.path.isdir(local):
         for f in os.listdir(local):
             if f.endswith(".xlsx"):
@@ -93,5 +107,8 @@ def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     frame = o.select(F.col("o_orderkey").cast("string").alias("OrderID"),
                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"),
                      F.col("o_orderpriority").alias("Priority"), F.col("o_totalprice").alias("TotalPrice"))
-    frame.repartition(books).mapInPandas(_write_books(local), "path string, rows long").collect()
+    written = frame.repartition(books).mapInPandas(_write_books(local), "path string, rows long") \
+        .agg(F.count(F.lit(1)).alias("books")).first()
+    if written and written.books:
+        open(done, "w").close()
     return local
