@@ -27,6 +27,12 @@ def basic_metrics(ledger: Ledger) -> DataFrame:
         F.min("ts").alias("date_min"),
         F.max("ts").alias("date_max"),
     )
+    return _finish_basic(agg, ledger)
+
+
+def _finish_basic(agg: DataFrame, ledger: Ledger) -> DataFrame:
+    """Derived metrics from per-key count, sums and date range."""
+    keys = list(ledger.keys)
     rev = F.col("total_revenue") if ledger.has_revenue else F.lit(None).cast("double")
     exp = F.col("total_expenses") if ledger.has_expenses else F.lit(None).cast("double")
     profit = rev - exp
@@ -69,6 +75,52 @@ def category_breakdown(ledger: Ledger) -> DataFrame:
 
 def top_categories(ledger: Ledger, limit: int | None = ANALYSIS_CATEGORY_LIMIT) -> DataFrame:
     """Categories ranked by |profit| descending (ties: category name)."""
-    cats = category_breakdown(ledger)
+    return ranked_categories(category_breakdown(ledger), ledger, limit)
+
+
+def ranked_categories(cats: DataFrame, ledger: Ledger, limit: int | None = ANALYSIS_CATEGORY_LIMIT) -> DataFrame:
     order = [F.abs("profit").desc(), F.col("category").asc()]
     return top_k(cats, ledger.keys, order, limit)
+
+
+# grouping_id of each level for grouping columns (keys…, category, period)
+_LEVEL_TOTAL, _LEVEL_CATEGORY, _LEVEL_PERIOD = 3, 1, 2
+
+
+def ledger_rollup(ledger: Ledger, grain: str = "day", week_start: str = "monday") -> DataFrame:
+    """Totals per key, per key and category, and per key and period from ONE
+    scan and ONE shuffle (grouping sets; partial aggregation before the
+    exchange). ``level`` is ``total`` / ``category`` / ``period``."""
+    from tallyframe.operators.series import period_start
+    keys = list(ledger.keys)
+    df = ledger.df.withColumn("period", period_start(F.col("ts"), grain, week_start))
+    rev0, exp0 = F.coalesce("revenue", F.lit(0.0)), F.coalesce("expenses", F.lit(0.0))
+    sets = [keys, keys + ["category"], keys + ["period"]]
+    agg = df.groupingSets([[F.col(c) for c in s] for s in sets], *keys, "category", "period").agg(
+        F.count(F.lit(1)).alias("transaction_count"),
+        F.sum("revenue").alias("total_revenue"), F.sum("expenses").alias("total_expenses"),
+        F.min("ts").alias("date_min"), F.max("ts").alias("date_max"),
+        F.sum(rev0).alias("revenue"), F.sum(exp0).alias("expenses"), F.sum(rev0 - exp0).alias("profit"),
+        F.sum(F.coalesce("amount", F.lit(0.0))).alias("amount"),
+        F.grouping_id().alias("gid"))
+    level = (F.when(F.col("gid") == _LEVEL_TOTAL, F.lit("total"))
+             .when(F.col("gid") == _LEVEL_CATEGORY, F.lit("category")).otherwise(F.lit("period")))
+    return agg.withColumn("level", level).drop("gid")
+
+
+def basic_from_rollup(rollup: DataFrame, ledger: Ledger) -> DataFrame:
+    return _finish_basic(rollup.where(F.col("level") == "total"), ledger)
+
+
+def categories_from_rollup(rollup: DataFrame, ledger: Ledger) -> DataFrame:
+    out = rollup.where(F.col("level") == "category").select(
+        *ledger.keys, "category", "transaction_count", "revenue", "expenses", "profit")
+    if not ledger.has_category or not (ledger.has_revenue or ledger.has_expenses):
+        out = out.where(F.lit(False))
+    return out
+
+
+def points_from_rollup(rollup: DataFrame, ledger: Ledger) -> DataFrame:
+    out = rollup.where((F.col("level") == "period") & F.col("period").isNotNull()).select(
+        *ledger.keys, "period", "revenue", "expenses", "profit", "amount")
+    return out if ledger.has_dates else out.where(F.lit(False))

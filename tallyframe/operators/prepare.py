@@ -13,7 +13,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import NumericType
 
 from tallyframe.functions.dates import with_ledger_ts
 from tallyframe.functions.money import is_dirty_cell, numeric_money, with_clean_money_column

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.format import format_count, format_date, format_money
-from tallyframe.operators._keys import top_k
 from tallyframe.operators.insights import generate_insights
 from tallyframe.operators.labels import label, label_col, series_label_col
 from tallyframe.operators.series import GRAINS

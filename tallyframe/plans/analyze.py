@@ -2,12 +2,11 @@
 
 ``analyze`` wires prepare → metrics/categories → series → anomalies →
 forecast. The three results that read the ledger (period points, totals,
-category table) are small — bounded by keys × periods or keys × categories —
-and every later result and report section reads them several times, so by
-default they are checkpointed once to the shared checkpoint folder
-(``spark.checkpoint.dir``): the ledger is scanned once per result, lineage is
-cut, and a lost executor costs a re-read of a small table instead of a
-re-scan. ``materialize="persist"`` caches instead; ``None`` keeps it all lazy.
+category table) come from ONE grouping-sets aggregate (one scan, one shuffle),
+which is small — keys × (1 + categories + periods) rows — and is read by every
+later result and report section, so by default it is checkpointed once to the
+shared checkpoint folder (``spark.checkpoint.dir``): lineage is cut and a lost
+executor costs a re-read of a small table instead of a re-scan of the ledger. ``materialize="persist"`` caches instead; ``None`` keeps it all lazy.
 """
 
 from __future__ import annotations
@@ -61,9 +60,17 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
         ledger = prepare(data, roles, keys, persist=persist)
     grain = series.normalize_grain(grain)
     week_start = series.normalize_week_start(week_start)
-    points = _materialize(series.time_series(ledger, grain, week_start), materialize)
-    basic = _materialize(metrics.basic_metrics(ledger), materialize)
-    categories = _materialize(metrics.top_categories(ledger, category_limit), materialize)
+    if materialize:
+        # one scan + one shuffle of the ledger for all three, materialised once
+        roll = _materialize(metrics.ledger_rollup(ledger, grain, week_start), materialize)
+        points = metrics.points_from_rollup(roll, ledger)
+        basic = metrics.basic_from_rollup(roll, ledger)
+        categories = metrics.ranked_categories(metrics.categories_from_rollup(roll, ledger), ledger,
+                                               category_limit)
+    else:
+        points = series.time_series(ledger, grain, week_start)
+        basic = metrics.basic_metrics(ledger)
+        categories = metrics.top_categories(ledger, category_limit)
     return Analysis(
         ledger=ledger, grain=grain, week_start=week_start,
         basic=basic,

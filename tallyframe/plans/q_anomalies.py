@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tallyframe.operators import anomalies, series
 from tallyframe.plans import views
 from tallyframe.plans.registry import query, r

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.format import format_money
 from tallyframe.operators import forecast, series
 from tallyframe.plans import views
 from tallyframe.plans.registry import query, r

@@ -178,3 +178,17 @@ def q_category_multi(spark, sf):
     li = views.table(spark, sf, "lineitem").withColumn("cat", _dirty_category())
     led = prepare(li, Roles(revenue="l_extendedprice", category=["cat", "l_linestatus"]))
     return metrics.category_breakdown(led).select("category", "transaction_count", r("revenue"))
+
+
+@query("q_ledger_rollup", f"""WITH {SALES}
+SELECT k AS l_linestatus, category, CAST(date_trunc('month', ts) AS TIMESTAMP) AS period,
+       CASE GROUPING(category, date_trunc('month', ts)) WHEN 3 THEN 'total' WHEN 1 THEN 'category' ELSE 'period' END AS level,
+       count(*)::BIGINT AS transaction_count, round(sum(revenue), 2) AS revenue, round(sum(expenses), 2) AS expenses,
+       round(sum(revenue - expenses), 2) AS profit
+FROM sales GROUP BY GROUPING SETS ((k), (k, category), (k, date_trunc('month', ts)))""")
+def q_ledger_rollup(spark, sf):
+    """analyze()'s single-scan aggregate: totals, categories and monthly points per key."""
+    led = views.sales(spark, sf, keyed=True)
+    roll = metrics.ledger_rollup(led, "month")
+    return roll.select("l_linestatus", "category", "period", "level", "transaction_count", r("revenue"),
+                       r("expenses"), r("profit"))

@@ -5,7 +5,7 @@ Expected numbers are the documented ones (FIXTURES §A)."""
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import anomalies, forecast, metrics, series
+from tallyframe.operators import forecast, metrics, series
 from tallyframe.operators.detection import detect_roles
 from tallyframe.plans.analyze import analyze
 from tallyframe.roles import Roles
