@@ -43,8 +43,9 @@ def _fmt_number(text: str) -> str:
     return str(int(v)) if v.is_integer() and "." not in text and "e" not in text.lower() else str(v)
 
 
-def parse_first_sheet(data: bytes) -> list[list[str]]:
-    """Rows of the first worksheet, cells as display strings ('' when empty)."""
+def parse_first_sheet(data: bytes, max_rows: int | None = None) -> list[list[str]]:
+    """Rows of the first worksheet, cells as display strings ('' when empty);
+    ``max_rows`` stops early (header probes read one row)."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared: list[str] = []
@@ -61,66 +62,74 @@ def parse_first_sheet(data: bytes) -> list[list[str]]:
         target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid)
         target = target.lstrip("/")
         sheet_path = target if target.startswith("xl/") else "xl/" + target
-        root = ET.fromstring(z.read(sheet_path))
-    rows: list[list[str]] = []
-    data_el = root.find("m:sheetData", _NS)
-    for row in (data_el if data_el is not None else []):
-        cells: dict[int, str] = {}
-        for c in row.findall("m:c", _NS):
-            idx = _col_index(c.get("r", "A1")) if c.get("r") else len(cells)
-            t = c.get("t")
-            v = c.find("m:v", _NS)
-            if t == "inlineStr":
-                is_el = c.find("m:is", _NS)
-                text = "".join(x.text or "" for x in is_el.iter(f"{{{_NS['m']}}}t")) if is_el is not None else ""
-            elif v is None:
-                text = ""
-            elif t == "s":
-                text = shared[int(v.text)]
-            elif t == "b":
-                text = "True" if v.text == "1" else "False"
-            elif t in ("str", "e"):
-                text = v.text or ""
-            else:
-                text = _fmt_number(v.text or "")
-            cells[idx] = text
-        width = max(cells) + 1 if cells else 0
-        rows.append([cells.get(i, "") for i in range(width)])
+        rows: list[list[str]] = []
+        row_tag, c_tag = f"{{{_NS['m']}}}row", f"{{{_NS['m']}}}c"
+        with z.open(sheet_path) as fh:
+            for _, el in ET.iterparse(fh, events=("end",)):
+                if el.tag != row_tag:
+                    continue
+                cells: dict[int, str] = {}
+                for c in el.iter(c_tag):
+                    idx = _col_index(c.get("r")) if c.get("r") else len(cells)
+                    cells[idx] = _cell_text(c, shared)
+                width = max(cells) + 1 if cells else 0
+                rows.append([cells.get(i, "") for i in range(width)])
+                el.clear()
+                if max_rows is not None and len(rows) >= max_rows:
+                    break
     return rows
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                rows = parse_first_sheet(bytes(content))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError, StopIteration):
-                rows = []
-            out.extend((path, i, r) for i, r in enumerate(rows))
-        yield pd.DataFrame(out, columns=["path", "row_no", "cells"])
-
-
-def workbook_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def _cell_text(c, shared: list[str]) -> str:
+    t = c.get("t")
+    v = c.find("m:v", _NS)
+    if t == "inlineStr":
+        is_el = c.find("m:is", _NS)
+        return "".join(x.text or "" for x in is_el.iter(f"{{{_NS['m']}}}t")) if is_el is not None else ""
+    if v is None:
+        return ""
+    if t == "s":
+        return shared[int(v.text)]
+    if t == "b":
+        return "True" if v.text == "1" else "False"
+    if t in ("str", "e"):
+        return v.text or ""
+    return _fmt_number(v.text or "")
+
+
+def _parser(max_rows: int | None):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows = parse_first_sheet(bytes(content), max_rows)
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, StopIteration):
+                    rows = []
+                out.extend((path, i, r) for i, r in enumerate(rows))
+            yield pd.DataFrame(out, columns=["path", "row_no", "cells"])
+    return parse
+
+
+def workbook_rows(spark: SparkSession, paths: str | Sequence[str], max_rows: int | None = None) -> DataFrame:
     """``path, row_no, cells`` for the first sheet of every ``.xlsx`` file."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths)))
-    return files.select("path", "content").mapInPandas(_parse_batches, ROWS_SCHEMA)
+    return files.select("path", "content").mapInPandas(_parser(max_rows), ROWS_SCHEMA)
 
 
 def read_workbooks(spark: SparkSession, paths: str | Sequence[str], width: int | None = None) -> DataFrame:
     """Workbooks as a string table keyed by ``source_file``: a first row that
     looks like data makes the sheet headerless (``Column N`` names); otherwise the
     first row of the first workbook names the columns (blank → ``Column i``)."""
-    rows = workbook_rows(spark, paths)
-    first = rows.where(F.col("row_no") == 0).select("path", F.col("cells").alias("head"))
-    rows = rows.join(first, "path")
-    has_header = ~headers_look_like_data(F.col("head"))
-    n = width or rows.select(F.max(F.size("cells"))).first()[0] or 0
-    head = first.first()
+    heads = workbook_rows(spark, paths, max_rows=1).select("path", F.col("cells").alias("head"))
+    heads = heads.withColumn("has_header", ~headers_look_like_data(F.col("head"))).persist()
+    rows = workbook_rows(spark, paths).join(heads.select("path", "has_header"), "path")
+    has_header = F.col("has_header")
+    n = width or heads.select(F.max(F.size("head"))).first()[0] or 0
+    head = heads.first()
     names = generic_names(n)
-    if head is not None and not bool(spark.createDataFrame([(head.head,)], "head array<string>")
-                                     .select(headers_look_like_data(F.col("head"))).first()[0]):
+    if head is not None and head.has_header:
         names = [(head.head[i].strip() if i < len(head.head) and head.head[i].strip() else f"Column {i + 1}")
                  for i in range(n)]
     body = rows.where(~(has_header & (F.col("row_no") == 0)))
