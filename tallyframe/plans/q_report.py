@@ -132,3 +132,38 @@ def q_anomaly_lines(spark, sf):
     led = views.sales(spark, sf)
     top = anomalies.detect_anomalies(series.time_series(led, "week"), led, 8)
     return report.anomaly_short(top, [], "week")
+
+
+@query("q_report_source", f"""WITH {SALES}, s AS (SELECT count(*) AS n, min(ts) AS a, max(ts) AS b,
+       greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1) AS d FROM sales)
+SELECT 0::BIGINT AS row_no, 'Файл' AS label, 'lineitem.parquet' AS value FROM s
+UNION ALL SELECT 1, 'Период', strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') || ' (' || {count_sql('d')} || ')' FROM s
+UNION ALL SELECT 2, 'Операций', {count_sql('n')} FROM s
+UNION ALL SELECT 3, 'Группировка', 'по неделям' FROM s""")
+def q_report_source(spark, sf):
+    """The source section (Russian) of a weekly sales report."""
+    led = views.sales(spark, sf)
+    sec = report.source_section(metrics.basic_metrics(led), [], "lineitem.parquet", "week", "ru")
+    wide = sec.groupBy("row_no").pivot("col_no", [0, 1]).agg(F.first("value"))
+    return wide.select("row_no", F.col("0").alias("label"), F.col("1").alias("value"))
+
+
+@query("q_report_categories", f"""WITH {SALES}, c AS (
+  SELECT l_partkey::VARCHAR AS category, count(*) AS n, sum(revenue) AS rv, sum(expenses) AS ex,
+         sum(revenue - expenses) AS pf FROM sales GROUP BY l_partkey),
+t AS (SELECT *, row_number() OVER (ORDER BY abs(pf) DESC, category) AS rn FROM c QUALIFY rn <= 5)
+SELECT 0::BIGINT AS row_no, 0::BIGINT AS col_no, 'Category' AS value UNION ALL SELECT 0, 1, 'Transactions'
+UNION ALL SELECT 0, 2, 'Revenue' UNION ALL SELECT 0, 3, 'Expenses' UNION ALL SELECT 0, 4, 'Profit'
+UNION ALL SELECT rn, 0, category FROM t UNION ALL SELECT rn, 1, {count_sql('n')} FROM t
+UNION ALL SELECT rn, 2, {money_sql('round(rv, 2)')} FROM t UNION ALL SELECT rn, 3, {money_sql('round(ex, 2)')} FROM t
+UNION ALL SELECT rn, 4, {money_sql('round(pf, 2)')} FROM t""")
+def q_report_categories(spark, sf):
+    """The brief category table (top 5 of all parts by |profit|), English."""
+    li = views.table(spark, sf, "lineitem").withColumn("expense_value", views.sales_expense())
+    from tallyframe.operators.prepare import prepare
+    from tallyframe.roles import Roles
+    led = prepare(li, Roles(date="l_shipdate", revenue="l_extendedprice", expense="expense_value",
+                            category="l_partkey"))
+    cats = metrics.top_categories(led, 25).withColumn("revenue", F.round("revenue", 2)) \
+        .withColumn("expenses", F.round("expenses", 2)).withColumn("profit", F.round("profit", 2))
+    return report.categories_section(cats, [], report.DEPTH_BRIEF, "en").select("row_no", "col_no", "value")

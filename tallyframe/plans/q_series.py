@@ -111,3 +111,23 @@ def q_format(spark, sf):
                     format_money(F.round("profit", 2)).alias("profit_text"),
                     compact_number(F.round("revenue", 2)).alias("revenue_compact"),
                     compact_number(F.round("expenses", 2) / 997.0).alias("small_compact"))
+
+
+@query("q_series_status", f"""WITH {SALES}
+SELECT 'sales' AS ledger, count(ts)::BIGINT AS dated_rows, '' AS message, count(*)::BIGINT AS transaction_count,
+       round(sum(revenue) - sum(expenses), 2) AS total_profit, CAST(NULL AS BIGINT) AS period_days FROM sales
+UNION ALL
+SELECT 'balance', 0::BIGINT, 'Select a date column to build a chart.', count(*)::BIGINT,
+       round(sum(greatest(c_acctbal, 0.0)) - sum(abs(least(c_acctbal, 0.0))), 2), CAST(NULL AS BIGINT) FROM customer""")
+def q_series_status(spark, sf):
+    """T7 + the dateless path: status per ledger, and totals without a date range."""
+    from tallyframe.operators import metrics
+    out = None
+    for name, led in (("sales", views.sales(spark, sf)), ("balance", views.balance(spark, sf))):
+        m = metrics.basic_metrics(led)
+        s = series.series_status(led)
+        row = s.select(F.lit(name).alias("ledger"), "dated_rows", "message").join(
+            m.select(F.lit(name).alias("ledger"), "transaction_count", r("total_profit"),
+                     F.when(F.lit(name) == "balance", F.col("period_days")).alias("period_days")), "ledger")
+        out = row if out is None else out.unionByName(row)
+    return out
