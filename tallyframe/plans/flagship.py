@@ -12,6 +12,8 @@ from tallyframe.plans.sql_views import SALES, anomaly_ctes
 
 
 def weekly_points_with_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.session import configure
+    configure(spark)
     led = views.sales(spark, sf_dir)
     pts = series.time_series(led, "week", "monday")
     flagged = anomalies.all_anomalies(pts, led)

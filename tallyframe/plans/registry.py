@@ -8,18 +8,27 @@ sides: money sums to 2 places, other reals to 4 or 6.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.session import configure
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; the registered callable first applies the
+    engine's runtime settings to whatever session it is given."""
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            configure(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -51,8 +51,11 @@ def _variant_frame(o: DataFrame, name: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp))
+    try:
+        hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp))
+    except Exception:  # noqa: BLE001 - no JVM handle: local paths only
+        return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
 
 
 def stage_csv(spark: SparkSession, sf_dir: str) -> str:

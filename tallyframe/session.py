@@ -35,14 +35,39 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    configure(spark)
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the engine relies on to any session
+    (time zone, AQE, charsets) and make sure a checkpoint folder is known."""
     for key, value in ENGINE_CONF.items():
         if key.startswith("spark.sql."):
-            spark.conf.set(key, value)
-    spark.sparkContext.setLogLevel("ERROR")
+            try:
+                spark.conf.set(key, value)
+            except Exception:  # noqa: BLE001 - a static conf on a running session
+                pass
     ensure_checkpoint_dir(spark)
+    _ship_code_by_value()
     return spark
 
 
+def _ship_code_by_value() -> None:
+    """Pickle this package's functions by value into tasks (applyInPandas /
+    mapInPandas), so executors need no installed copy of it. Installing the
+    package or ``--py-files`` on a cluster works as well."""
+    import sys
+
+    from pyspark import cloudpickle
+    pkg = sys.modules[__name__.split(".")[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except (ValueError, AttributeError):
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 

@@ -53,7 +53,13 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     driver); no file content is read. Hidden files (``_``/``.`` prefixes, e.g.
     Spark's ``_SUCCESS`` markers) are skipped like Spark's readers skip them.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect): content-free listing
+        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .load(paths if isinstance(paths, str) else list(paths)).select("path", "length"))
+        return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+                         _extension(F.col("path")).alias("extension"), F.col("length").alias("size"))
     listed = []
     for p in [paths] if isinstance(paths, str) else list(paths):
         hp = jvm.org.apache.hadoop.fs.Path(p)
