@@ -76,18 +76,17 @@ def forecast_fit(points: DataFrame, ledger: Ledger) -> DataFrame:
 
 
 def step_period(period, k, grain: str):
-    """``period`` advanced by ``k`` grains (calendar months/years for month/year)."""
+    """``period`` advanced by ``k`` grains. Months and years step one at a time,
+    so a day clamped at a short month stays clamped (Jan 31 → Feb 29 → Mar 29)."""
     grain = normalize_grain(grain)
-    zero = F.lit(0)
-    if grain == "month":
-        return period + F.make_interval(zero, k)
-    if grain == "year":
-        return period + F.make_interval(k)
+    if grain in ("month", "year"):
+        one = F.make_interval(F.lit(0), F.lit(1)) if grain == "month" else F.make_interval(F.lit(1))
+        return F.aggregate(F.sequence(F.lit(1), k), period, lambda acc, _: acc + one)
     if grain == "week":
         return period + F.make_dt_interval(k * 7)
     if grain == "day":
         return period + F.make_dt_interval(k)
-    return period + F.make_dt_interval(zero, k)
+    return period + F.make_dt_interval(F.lit(0), k)
 
 
 def forecast(points: DataFrame, ledger: Ledger, grain: str = "day",

@@ -185,6 +185,8 @@ def read_csv(spark: SparkSession, paths: Sequence[str], encoding: str = UTF8, de
     become ``Column i``. ``columns`` selects (and orders) the columns read —
     Catalyst prunes the rest at the scan.
     """
+    if columns is not None and not list(columns):
+        raise ValueError("Select at least one column to load.")
     df = (spark.read.option("header", str(header).lower()).option("sep", delimiter)
           .option("encoding", SPARK_CHARSETS.get(encoding, encoding)).option("mode", "PERMISSIVE")
           .option("inferSchema", "false").csv(list(paths)))

@@ -93,6 +93,10 @@ def test_forecast_guards_and_steps(spark):
     months = [datetime(2026, m, 1) for m in range(1, 7)]
     mp = spark.createDataFrame([(d, float(i), 0.0, float(i), 0.0) for i, d in enumerate(months)], PTS_SCHEMA)
     assert str(forecast.forecast(mp, led, "month", 1).first().period.date()) == "2026-07-01"
+    ends = [datetime(2025, m, 28) for m in range(8, 13)] + [datetime(2026, 1, 31)]
+    ep = spark.createDataFrame([(d, float(i), 0.0, float(i), 0.0) for i, d in enumerate(ends)], PTS_SCHEMA)
+    steps = forecast.forecast(ep, led, "month", 2).orderBy("step").collect()
+    assert [str(r.period.date()) for r in steps] == ["2026-02-28", "2026-03-28"]
     spiky = points(spark, revenue=[0, 0, 0, 0, 0, 1, 0, 0])
     assert all(abs(r.value) < 1e9 for r in forecast.forecast(spiky, led, "day").collect())
 

@@ -47,3 +47,12 @@ def test_workbook_roundtrip(spark, tmp_path):
     (headless / "n.xlsx").write_bytes(xlsx_bytes(["2026-01-01", "5"], [["2026-01-02", "6"]]))
     h = read_workbooks(spark, str(headless))
     assert h.columns == ["source_file", "Column 1", "Column 2"] and h.count() == 2
+
+
+def test_nothing_selected_is_an_error(spark, tmp_path):
+    import pytest
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_csv(spark, [str(tmp_path / "x.csv")], columns=[])
+    with pytest.raises(ValueError):
+        files.read_csv(spark, [str(tmp_path / "x.csv")], columns=["missing"])
