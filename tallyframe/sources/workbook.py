@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -26,6 +27,30 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 ROWS_SCHEMA = "path string, row_no long, cells array<string>"
 
 
+# Spreadsheet day 0 (1900 system, with its leap-year quirk folded in) and the 1904 system.
+_EPOCH_1900 = datetime(1899, 12, 30)
+_EPOCH_1904 = datetime(1904, 1, 1)
+# Built-in number formats that are dates or times.
+_BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
+
+
+def _date_styles(styles_xml: bytes) -> set[int]:
+    """Indexes of cell styles whose number format shows a date or time."""
+    root = ET.fromstring(styles_xml)
+    custom = {}
+    fmts = root.find("m:numFmts", _NS)
+    for f in (fmts if fmts is not None else []):
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")).lower()
+        custom[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", code))
+    out = set()
+    xfs = root.find("m:cellXfs", _NS)
+    for i, xf in enumerate(xfs if xfs is not None else []):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in _BUILTIN_DATE_FORMATS or custom.get(fid, False):
+            out.add(i)
+    return out
+
+
 def _col_index(ref: str) -> int:
     letters = re.match(r"[A-Z]+", ref).group(0)
     n = 0
@@ -53,7 +78,10 @@ def parse_first_sheet(data: bytes, max_rows: int | None = None) -> list[list[str
             root = ET.fromstring(z.read("xl/sharedStrings.xml"))
             for si in root.findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+        date_styles = _date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
         wb = ET.fromstring(z.read("xl/workbook.xml"))
+        pr = wb.find("m:workbookPr", _NS)
+        epoch = _EPOCH_1904 if pr is not None and pr.get("date1904") in ("1", "true") else _EPOCH_1900
         sheets = wb.find("m:sheets", _NS)
         if sheets is None or not len(sheets):
             return []
@@ -71,7 +99,7 @@ def parse_first_sheet(data: bytes, max_rows: int | None = None) -> list[list[str
                 cells: dict[int, str] = {}
                 for c in el.iter(c_tag):
                     idx = _col_index(c.get("r")) if c.get("r") else len(cells)
-                    cells[idx] = _cell_text(c, shared)
+                    cells[idx] = _cell_text(c, shared, date_styles, epoch)
                 width = max(cells) + 1 if cells else 0
                 rows.append([cells.get(i, "") for i in range(width)])
                 el.clear()
@@ -80,9 +108,16 @@ def parse_first_sheet(data: bytes, max_rows: int | None = None) -> list[list[str
     return rows
 
 
-def _cell_text(c, shared: list[str]) -> str:
+def _cell_text(c, shared: list[str], date_styles: set[int] = frozenset(), epoch=None) -> str:
     t = c.get("t")
     v = c.find("m:v", _NS)
+    style = c.get("s")
+    if t in (None, "n") and v is not None and style is not None and int(style) in date_styles:
+        try:
+            ms = round(float(v.text) * 86_400_000)
+            return str((epoch or _EPOCH_1900) + timedelta(milliseconds=ms))
+        except (TypeError, ValueError, OverflowError):
+            pass
     if t == "inlineStr":
         is_el = c.find("m:is", _NS)
         return "".join(x.text or "" for x in is_el.iter(f"{{{_NS['m']}}}t")) if is_el is not None else ""

@@ -56,3 +56,25 @@ def test_nothing_selected_is_an_error(spark, tmp_path):
         files.read_csv(spark, [str(tmp_path / "x.csv")], columns=[])
     with pytest.raises(ValueError):
         files.read_csv(spark, [str(tmp_path / "x.csv")], columns=["missing"])
+
+
+def test_workbook_date_cells(spark, tmp_path):
+    """A serial number in a date-formatted cell reads as a date-time text."""
+    import io
+    import zipfile as zf
+
+    from tallyframe.sources.workbook import parse_first_sheet
+    src = io.BytesIO(xlsx_bytes(["Date", "Amount"], [[46023, 5]]))
+    out = io.BytesIO()
+    with zf.ZipFile(src) as zin, zf.ZipFile(out, "w") as zout:
+        for item in zin.namelist():
+            data = zin.read(item)
+            if item == "xl/worksheets/sheet1.xml":
+                data = data.replace(b'<c r="A2"><v>46023</v></c>', b'<c r="A2" s="1"><v>46023.5</v></c>')
+            zout.writestr(item, data)
+        ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        zout.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}"><numFmts count="1"><numFmt numFmtId="164" '
+                      'formatCode="dd.mm.yyyy hh:mm"/></numFmts><cellXfs count="2"><xf numFmtId="0"/>'
+                      '<xf numFmtId="164"/></cellXfs></styleSheet>')
+    rows = parse_first_sheet(out.getvalue())
+    assert rows == [["Date", "Amount"], ["2026-01-01 12:00:00", "5"]]
