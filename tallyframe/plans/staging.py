@@ -98,6 +98,9 @@ def _write_books(target: str):
 def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     """One workbook per partition of orders, written by the task that holds it."""
     root = os.path.join(stage_root(spark, sf_dir), "xlsx")
+    if "://" in root and not root.startswith("file:"):
+        raise RuntimeError("Workbook staging writes with plain file I/O and needs a POSIX-mounted shared "
+                           f"folder; spark.checkpoint.dir is {root!r}.")
     local = root[len("file:"):] if root.startswith("file:") else root
     done = os.path.join(local, "_SUCCESS")
     if os.path.exists(done):

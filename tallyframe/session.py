@@ -40,6 +40,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def sizing_conf(input_bytes: int, target_partition_bytes: int = 128 * 1024 ** 2,
+                max_partitions: int = 100_000) -> dict[str, str]:
+    """Shuffle sizing for a given input volume: enough initial shuffle partitions
+    that each holds about ``target_partition_bytes`` before AQE coalesces the
+    small ones, and the same size as AQE's advisory and scan split size. For
+    100 TB this gives the 100 000 cap (≈1 GB per partition before partial
+    aggregation shrinks it); the ledger aggregates here shuffle far less than
+    they read."""
+    n = max(200, min(max_partitions, input_bytes // target_partition_bytes + 1))
+    size = f"{target_partition_bytes // (1024 ** 2)}m"
+    return {"spark.sql.shuffle.partitions": str(n),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+            "spark.sql.files.maxPartitionBytes": size,
+            "spark.sql.adaptive.coalescePartitions.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the engine relies on to any session
     (time zone, AQE, charsets) and make sure a checkpoint folder is known."""
