@@ -81,3 +81,14 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
         forecast=forecast.forecast(points, ledger, grain, horizon),
         horizon=horizon,
     )
+
+
+def file_metrics(spark, paths, roles: Roles, keys: Sequence[str] = ("source_file",)) -> DataFrame:
+    """One call from files to totals (S7 ∘ P11 ∘ M1): catalog the files, read only
+    the role columns with each file's own settings, prepare, aggregate per file."""
+    from tallyframe.sources import files as file_sources
+    if not roles.selected():
+        raise ValueError("Select at least one column to load.")
+    catalog = file_sources.file_catalog(spark, paths)
+    df = file_sources.read_ledgers(spark, catalog, columns=list(roles.selected()))
+    return metrics.basic_metrics(prepare(df, roles, keys))

@@ -77,7 +77,8 @@ def q_header_check(spark, sf):
 def q_file_catalog(spark, sf):
     """The catalog of every staged CSV file and workbook."""
     cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
-    return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header")
+    return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header",
+                      "column_count", F.array_join("column_names", ", ").alias("column_names"))
 
 
 @query("q_preview")

@@ -12,6 +12,7 @@ A folder of thousands of files is one job per step, never a loop per file:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -142,7 +143,9 @@ def _first_rows(spark: SparkSession, files: DataFrame, has_header: bool = False)
 
 def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per file: ``path, name, extension, size, size_text, status,
-    encoding, delimiter, has_header`` (status ok / unsupported / empty).
+    encoding, delimiter, has_header, column_count, column_names`` (status ok /
+    unsupported / empty; names from the header row, blank → ``Column i``, or
+    ``Column 1..N`` when the first row is data).
 
     Encoding: UTF-8 when every line of the whole file is valid UTF-8 (a BOM is
     valid UTF-8 and Spark's reader strips it), else cp1251.
@@ -155,7 +158,9 @@ def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
            .select("path").collect()]
     if not csv:
         return files.select("*", F.lit(None).cast("string").alias("encoding"),
-                            F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("boolean").alias("has_header"))
+                            F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("boolean").alias("has_header"),
+                            F.lit(None).cast("int").alias("column_count"),
+                            F.lit(None).cast("array<string>").alias("column_names"))
     raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
     enc = raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")) \
         .select("path", F.when(F.col("utf8"), F.lit(UTF8)).otherwise(F.lit(CP1251)).alias("encoding"))
@@ -168,7 +173,12 @@ def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     delims = reduce(lambda a, b: a.unionByName(b), delim_parts)
     settings = enc.join(delims, "path", "left").na.fill({"delimiter": ","})
     heads = _first_rows(spark, settings)
-    header = heads.select("path", (~headers_look_like_data(F.col("cells"))).alias("has_header"))
+    has_header = ~headers_look_like_data(F.col("cells"))
+    named = F.transform(F.col("cells"), lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+                        .otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
+    generic = F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
+    header = heads.select("path", has_header.alias("has_header"), F.size("cells").alias("column_count"),
+                          F.when(has_header, named).otherwise(generic).alias("column_names"))
     return files.join(settings.join(header, "path", "left"), "path", "left")
 
 
@@ -193,7 +203,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], encoding: str = UTF8, de
     if not header:
         df = df.toDF(*generic_names(len(df.columns)))
     else:
-        df = df.toDF(*[c if c.strip() and not c.startswith("_c") else f"Column {i + 1}"
+        df = df.toDF(*[c if c.strip() and not re.fullmatch(r"_c\d+", c) else f"Column {i + 1}"
                        for i, c in enumerate(df.columns)])
     src = F.col("_metadata.file_path").alias("source_file")
     if columns:

@@ -19,6 +19,8 @@ def test_catalog_mixed_folder(spark, tmp_path):
     assert (cat["b.csv"].encoding, cat["b.csv"].delimiter, cat["b.csv"].has_header) == ("utf-8", "\t", False)
     assert cat["c.csv"].status == "empty" and cat["notes.txt"].status == "unsupported"
     assert cat["a.csv"].size_text.endswith(" B")
+    assert (cat["a.csv"].column_count, cat["a.csv"].column_names) == (3, ["Дата", "Сумма", "Категория"])
+    assert cat["b.csv"].column_names == ["Column 1", "Column 2", "Column 3"]
     df = files.read_ledgers(spark, files.file_catalog(spark, str(tmp_path / "a.csv")))
     assert df.columns == ["source_file", "Дата", "Сумма", "Категория"]
     assert [r["Категория"] for r in df.collect()] == ["Продажи", "Аренда"]
@@ -78,3 +80,11 @@ def test_workbook_date_cells(spark, tmp_path):
                       '<xf numFmtId="164"/></cellXfs></styleSheet>')
     rows = parse_first_sheet(out.getvalue())
     assert rows == [["Date", "Amount"], ["2026-01-01 12:00:00", "5"]]
+
+
+def test_file_metrics_one_call(spark, tmp_path):
+    from tallyframe.plans.analyze import file_metrics
+    from tallyframe.roles import Roles
+    (tmp_path / "l.csv").write_text("Date;Income;Cost\n01.01.2026;1 000,50;\n02.01.2026;;250\n", encoding="utf-8")
+    m = file_metrics(spark, str(tmp_path), Roles(date="Date", revenue="Income", expense="Cost")).first()
+    assert (m.transaction_count, m.total_revenue, m.total_expenses, m.period_days) == (2, 1000.5, 250.0, 2)
