@@ -152,7 +152,8 @@ def anomaly_status(points: DataFrame, ledger: Ledger) -> DataFrame:
                 .withColumn("total_found", found.select(F.first("total_found")).scalar()))
     n_vis = F.coalesce("n_visible", F.lit(0))
     tot = F.coalesce("total_found", F.lit(0)).cast("bigint")
-    msg = (F.when(F.col("n_points") < MIN_PERIODS_FOR_ANOMALIES, F.lit(MSG_FEW_PERIODS))
+    msg = (F.when(F.col("n_points") == 0, F.lit(MSG_NO_POINTS))
+           .when(F.col("n_points") < MIN_PERIODS_FOR_ANOMALIES, F.lit(MSG_FEW_PERIODS))
            .when(n_vis == 0, F.lit(MSG_NO_VISIBLE))
            .when(tot == 0, F.lit(MSG_NONE_FOUND)).otherwise(F.lit("")))
     return base.select(*keys, "n_points", tot.alias("total_found"), msg.alias("message"))

@@ -63,6 +63,9 @@ def test_few_periods_message(spark):
     pts = points(spark, revenue=[100, 200, 300])
     st = anomalies.anomaly_status(pts, ledger(spark)).first()
     assert st.message == "Need at least 4 periods to detect anomalies."
+    empty = spark.createDataFrame([], PTS_SCHEMA)
+    assert anomalies.anomaly_status(empty, ledger(spark)).first().message == \
+        "No chart data available for anomaly detection."
 
 
 def test_linear_trend_continues(spark):
