@@ -45,6 +45,6 @@ def r(c: str | Column, places: int = 2, alias: str | None = None) -> Column:
 def load_all() -> None:
     """Import every query module so the registry is filled."""
     from tallyframe.plans import (  # noqa: F401
-        flagship, q_anomalies, q_cleaning, q_detection, q_forecast, q_insights, q_metrics, q_report,
+        flagship, q_anomalies, q_cleaning, q_detection, q_forecast, q_insights, q_metrics, q_report, q_streaming,
         q_series, q_sources,
     )

@@ -118,3 +118,15 @@ def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     if written and written.books:
         open(done, "w").close()
     return local
+
+
+def stage_events_csv(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """``events`` as text CSV files with a signed amount (errors are outflows)."""
+    target = os.path.join(stage_root(spark, sf_dir), "events_csv")
+    if _exists(spark, os.path.join(target, "_SUCCESS")):
+        return target
+    ev = views.table(spark, sf_dir, "events")
+    signed = F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))
+    (ev.select(F.col("ts").cast("string").alias("ts"), F.col("event_type"), signed.cast("string").alias("amount"))
+     .repartition(files).write.mode("overwrite").option("header", "true").csv(target))
+    return target
