@@ -78,7 +78,7 @@ def q_file_catalog(spark, sf):
     """The catalog of every staged CSV file and workbook."""
     cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
     return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header",
-                      "column_count", F.array_join("column_names", ", ").alias("column_names"))
+                      "column_count", F.array_join("column_names", ", ").alias("column_names"), "row_count_text")
 
 
 @query("q_preview")
@@ -107,3 +107,16 @@ def q_report_sink(spark, sf):
     files.write_report(q_report_rows(spark, sf), out, keys=["section"])
     back = spark.read.option("sep", ";").option("header", "true").csv(out)
     return back.groupBy("section").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("q_file_report")
+def q_file_report(spark, sf):
+    """The application's whole action on real files: catalog → read → detect roles
+    on a preview → analyse all rows (day grain) → detailed English report."""
+    from tallyframe.operators import report
+    from tallyframe.plans.analyze import analyze
+    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
+    df = files.read_ledgers(spark, cat).drop("source_file")
+    assign, _ = detect_roles(df, sample_rows=100)
+    roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})
+    return report.build_report(analyze(df, roles, grain="day"), "orders.csv", report.DEPTH_DETAILED, "en")

@@ -143,7 +143,8 @@ def _first_rows(spark: SparkSession, files: DataFrame, has_header: bool = False)
 
 def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per file: ``path, name, extension, size, size_text, status,
-    encoding, delimiter, has_header, column_count, column_names`` (status ok /
+    encoding, delimiter, has_header, column_count, column_names, row_count_text``
+    (status ok /
     unsupported / empty; names from the header row, blank → ``Column i``, or
     ``Column 1..N`` when the first row is data).
 
@@ -158,12 +159,14 @@ def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
            .select("path").collect()]
     if not csv:
         return files.select("*", F.lit(None).cast("string").alias("encoding"),
+                            F.lit(None).cast("string").alias("row_count_text"),
                             F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("boolean").alias("has_header"),
                             F.lit(None).cast("int").alias("column_count"),
                             F.lit(None).cast("array<string>").alias("column_names"))
     raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
-    enc = raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")) \
-        .select("path", F.when(F.col("utf8"), F.lit(UTF8)).otherwise(F.lit(CP1251)).alias("encoding"))
+    enc = raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                  F.count_if(F.trim("value") != "").alias("lines")) \
+        .select("path", F.when(F.col("utf8"), F.lit(UTF8)).otherwise(F.lit(CP1251)).alias("encoding"), "lines")
     enc = enc.persist()
     delim_parts = []
     for e in (UTF8, CP1251):
@@ -179,7 +182,10 @@ def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     generic = F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
     header = heads.select("path", has_header.alias("has_header"), F.size("cells").alias("column_count"),
                           F.when(has_header, named).otherwise(generic).alias("column_names"))
-    return files.join(settings.join(header, "path", "left"), "path", "left")
+    out = files.join(settings.join(header, "path", "left"), "path", "left")
+    rows = F.col("lines") - F.when(F.col("has_header"), F.lit(1)).otherwise(F.lit(0))
+    text = F.when(rows > PREVIEW_ROW_LIMIT, F.lit(f"{PREVIEW_ROW_LIMIT}+ (fast preview)")).otherwise(rows.cast("string"))
+    return out.withColumn("row_count_text", F.when(F.col("lines").isNotNull(), text)).drop("lines")
 
 
 def generic_names(n: int) -> list[str]:

@@ -21,6 +21,7 @@ def test_catalog_mixed_folder(spark, tmp_path):
     assert cat["a.csv"].size_text.endswith(" B")
     assert (cat["a.csv"].column_count, cat["a.csv"].column_names) == (3, ["Дата", "Сумма", "Категория"])
     assert cat["b.csv"].column_names == ["Column 1", "Column 2", "Column 3"]
+    assert (cat["a.csv"].row_count_text, cat["b.csv"].row_count_text) == ("2", "2")
     df = files.read_ledgers(spark, files.file_catalog(spark, str(tmp_path / "a.csv")))
     assert df.columns == ["source_file", "Дата", "Сумма", "Категория"]
     assert [r["Категория"] for r in df.collect()] == ["Продажи", "Аренда"]
