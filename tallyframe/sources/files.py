@@ -125,12 +125,15 @@ def headers_look_like_data(cells: Column) -> Column:
     return (n > 0) & ~has_hint & (hits >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
-def _first_rows(spark: SparkSession, files: DataFrame, has_header: bool = False) -> DataFrame:
-    """First record of every CSV file parsed with its own settings: ``path, cells``."""
+def _first_rows(spark: SparkSession, settings: dict[str, tuple[str, str]]) -> DataFrame | None:
+    """First record of every CSV file parsed with its own settings: ``path, cells``.
+    One read per distinct (encoding, delimiter); only block 0 of each file feeds
+    the per-file top-1 (a WindowGroupLimit, partial before the shuffle)."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path, setting in settings.items():
+        groups.setdefault(setting, []).append(path)
     parts = []
-    for enc, delim in [tuple(r) for r in files.select("encoding", "delimiter").distinct().collect()]:
-        paths = [r.path for r in files.where((F.col("encoding") == enc) & (F.col("delimiter") == delim))
-                 .select("path").collect()]
+    for (enc, delim), paths in groups.items():
         df = (spark.read.option("header", "false").option("sep", delim)
               .option("encoding", SPARK_CHARSETS[enc]).option("mode", "PERMISSIVE").csv(paths))
         cells = F.array(*[F.col(c) for c in df.columns])
@@ -141,51 +144,62 @@ def _first_rows(spark: SparkSession, files: DataFrame, has_header: bool = False)
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
+CATALOG_SCHEMA = ("path string, name string, extension string, size long, status string, size_text string, "
+                  "encoding string, delimiter string, has_header boolean, column_count int, "
+                  "column_names array<string>, row_count_text string")
+
+
 def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per file: ``path, name, extension, size, size_text, status,
+    """One row per file: ``path, name, extension, size, status, size_text,
     encoding, delimiter, has_header, column_count, column_names, row_count_text``
-    (status ok /
-    unsupported / empty; names from the header row, blank → ``Column i``, or
-    ``Column 1..N`` when the first row is data).
-
-    Encoding: UTF-8 when every line of the whole file is valid UTF-8 (a BOM is
-    valid UTF-8 and Spark's reader strips it), else cp1251.
+    (status ok / unsupported / empty; names from the header row, blank →
+    ``Column i``, or ``Column 1..N`` when the first row is data).
+
+    Three distributed passes over the CSV files — every line (UTF-8 validity and
+    line count: UTF-8 when every line is valid, else cp1251), the first 20 lines
+    of each file (delimiter) and the first record (header) — each ending in a
+    per-file metadata collect. The catalog itself is a small materialised table,
+    so using it again never re-reads the files.
     """
     files = list_files(spark, paths)
     status = (F.when(~F.col("extension").isin(*SUPPORTED_EXTENSIONS), F.lit("unsupported"))
               .when(F.col("size") == 0, F.lit("empty")).otherwise(F.lit("ok")))
-    files = files.withColumn("status", status).withColumn("size_text", format_file_size(F.col("size")))
-    csv = [r.path for r in files.where((F.col("extension") == ".csv") & (F.col("status") == "ok"))
-           .select("path").collect()]
-    if not csv:
-        return files.select("*", F.lit(None).cast("string").alias("encoding"),
-                            F.lit(None).cast("string").alias("row_count_text"),
-                            F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("boolean").alias("has_header"),
-                            F.lit(None).cast("int").alias("column_count"),
-                            F.lit(None).cast("array<string>").alias("column_names"))
-    raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
-    enc = raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-                                  F.count_if(F.trim("value") != "").alias("lines")) \
-        .select("path", F.when(F.col("utf8"), F.lit(UTF8)).otherwise(F.lit(CP1251)).alias("encoding"), "lines")
-    enc = enc.persist()
-    delim_parts = []
-    for e in (UTF8, CP1251):
-        ps = [r.path for r in enc.where(F.col("encoding") == e).select("path").collect()]
-        if ps:
-            delim_parts.append(_delimiter_choice(_lines(spark, ps, SPARK_CHARSETS[e])))
-    delims = reduce(lambda a, b: a.unionByName(b), delim_parts)
-    settings = enc.join(delims, "path", "left").na.fill({"delimiter": ","})
-    heads = _first_rows(spark, settings)
-    has_header = ~headers_look_like_data(F.col("cells"))
-    named = F.transform(F.col("cells"), lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
-                        .otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
-    generic = F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
-    header = heads.select("path", has_header.alias("has_header"), F.size("cells").alias("column_count"),
-                          F.when(has_header, named).otherwise(generic).alias("column_names"))
-    out = files.join(settings.join(header, "path", "left"), "path", "left")
-    rows = F.col("lines") - F.when(F.col("has_header"), F.lit(1)).otherwise(F.lit(0))
-    text = F.when(rows > PREVIEW_ROW_LIMIT, F.lit(f"{PREVIEW_ROW_LIMIT}+ (fast preview)")).otherwise(rows.cast("string"))
-    return out.withColumn("row_count_text", F.when(F.col("lines").isNotNull(), text)).drop("lines")
+    listed = [r.asDict() for r in files.withColumn("status", status)
+              .withColumn("size_text", format_file_size(F.col("size"))).collect()]
+    csv = [r["path"] for r in listed if r["extension"] == ".csv" and r["status"] == "ok"]
+    meta: dict[str, dict] = {p: {} for p in csv}
+    if csv:
+        raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
+        for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                         F.count_if(F.trim("value") != "").alias("lines")).collect():
+            meta.setdefault(r.path, {}).update(encoding=UTF8 if r.utf8 else CP1251, lines=r.lines)
+        for e in (UTF8, CP1251):
+            ps = [p for p, m in meta.items() if m.get("encoding") == e]
+            if ps:
+                for r in _delimiter_choice(_lines(spark, ps, SPARK_CHARSETS[e])).collect():
+                    meta[r.path]["delimiter"] = r.delimiter
+        settings = {p: (m.get("encoding", UTF8), m.get("delimiter", ",")) for p, m in meta.items()}
+        heads = _first_rows(spark, settings)
+        if heads is not None:
+            has_header = ~headers_look_like_data(F.col("cells"))
+            named = F.transform(F.col("cells"), lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+                                .otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
+            generic = F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
+            for r in heads.select("path", has_header.alias("has_header"), F.size("cells").alias("column_count"),
+                                  F.when(has_header, named).otherwise(generic).alias("column_names")).collect():
+                meta[r.path].update(has_header=r.has_header, column_count=r.column_count,
+                                    column_names=list(r.column_names))
+    rows = []
+    for r in listed:
+        m = meta.get(r["path"], {})
+        count_text = None
+        if "lines" in m:
+            n = m["lines"] - (1 if m.get("has_header") else 0)
+            count_text = f"{PREVIEW_ROW_LIMIT}+ (fast preview)" if n > PREVIEW_ROW_LIMIT else str(n)
+        rows.append((r["path"], r["name"], r["extension"], r["size"], r["status"], r["size_text"],
+                     m.get("encoding"), m.get("delimiter", "," if "encoding" in m else None), m.get("has_header"),
+                     m.get("column_count"), m.get("column_names"), count_text))
+    return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
 def generic_names(n: int) -> list[str]:
