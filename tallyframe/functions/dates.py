@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from tallyframe.functions import qcol
 from tallyframe.functions.money import utrim
 
 _TIME = r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?)?"
@@ -68,7 +69,7 @@ def with_date_text(df: DataFrame, src: str, out: str) -> DataFrame:
     text, the form test and each part are computed once per row."""
     s, yf, dfm = f"__ds_{out}", f"__dy_{out}", f"__dd_{out}"
     parts = [f"__dp{i}_{out}" for i in range(1, 9)]
-    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    df = df.withColumn(s, utrim(qcol(src).cast("string")))
     t = F.col(s)
     df = df.withColumn(yf, t.rlike(YEAR_FIRST)).withColumn(dfm, ~F.col(yf) & t.rlike(DAY_FIRST))
     for i, name in enumerate(parts, start=1):
@@ -98,5 +99,5 @@ def with_ledger_ts(df: DataFrame, src: str, out: str) -> DataFrame:
     """Add ``out`` as timestamp_ntz from any supported date column type."""
     dtype = df.schema[src].dataType
     if isinstance(dtype, (TimestampNTZType, TimestampType, DateType)):
-        return df.withColumn(out, to_ledger_ts(F.col(src), dtype))
+        return df.withColumn(out, to_ledger_ts(qcol(src), dtype))
     return with_date_text(df, src, out)

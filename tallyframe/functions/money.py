@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import qcol
+
 # Plain number: optional sign, digits with optional fraction, optional exponent,
 # or inf/infinity/nan. Spark's cast also takes '1d' / '1f' / hex floats; the
 # guard rejects them so only real numeric text is cast.
@@ -58,7 +60,7 @@ def with_clean_money_text(df: DataFrame, src: str, out: str) -> DataFrame:
     each intermediate is computed once per row.
     """
     s, kept, neg, norm = (_tmp(x, out) for x in ("s", "kept", "neg", "norm"))
-    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    df = df.withColumn(s, utrim(qcol(src).cast("string")))
     df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+]", "")) \
            .withColumn(neg, F.col(s).startswith("(") & F.col(s).endswith(")"))
     k = F.col(kept)
@@ -91,7 +93,7 @@ def with_clean_money_column(df: DataFrame, src: str, out: str, dirty_flag: Colum
     it directly; unreadable and missing cells become 0 (not null)."""
     cleaned = _tmp("cleaned", out)
     df = with_clean_money_text(df, src, cleaned)
-    value = F.when(dirty_flag, F.col(cleaned)).otherwise(direct_number(F.col(src).cast("string")))
+    value = F.when(dirty_flag, F.col(cleaned)).otherwise(direct_number(qcol(src).cast("string")))
     return df.withColumn(out, F.coalesce(value, F.lit(0.0))).drop(cleaned)
 
 
@@ -128,7 +130,7 @@ def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
     its last occurrence, otherwise every separator is a thousands mark.
     """
     s, kept, nums, sep, norm = (_tmp(x, out) for x in ("ps", "pkept", "pnums", "psep", "pnorm"))
-    df = df.withColumn(s, utrim(F.col(src).cast("string")))
+    df = df.withColumn(s, utrim(qcol(src).cast("string")))
     df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+()]", ""))
     df = df.withColumn(nums, F.translate(F.col(kept), "()", ""))
     n = F.col(nums)

@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions import qcol
+
+
+def qname(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach one row of per-key aggregates to every row of ``df``.
@@ -22,11 +28,11 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
         packed = stats.select(F.struct(*cols).alias("__s")).scalar()
         return df.withColumn("__s", packed).select(
-            *[F.col(c) for c in df.columns], *[F.col("__s." + c).alias(c) for c in cols])
+            *[qcol(c) for c in df.columns], *[F.col("__s").getField(c).alias(c) for c in cols])
     renamed = stats.select(*[F.col(k).alias("__k_" + k) for k in keys], *cols)
     cond = [df[k].eqNullSafe(renamed["__k_" + k]) for k in keys]
     joined = df.join(renamed, cond, "left")
-    return joined.select(*[df[c] for c in df.columns], *[renamed[c] for c in cols])
+    return joined.select(*[df[qname(c)] for c in df.columns], *[renamed[qname(c)] for c in cols])
 
 
 def key_window(keys: Sequence[str], *extra: str) -> Window:

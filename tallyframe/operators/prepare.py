@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tallyframe.functions import qcol
 from tallyframe.functions.dates import with_ledger_ts
 from tallyframe.functions.money import is_dirty_cell, numeric_money, with_clean_money_column
 from tallyframe.functions.text import combine_categories
@@ -32,11 +33,18 @@ def clean_money(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
     """Clean money columns in place (per key column-wide switch), → double."""
     prepared = _with_decisions(df, list(columns), [], keys)
     prepared, exprs = _money_columns(prepared, list(columns))
-    return prepared.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+    return prepared.select(*[exprs[c].alias(c) if c in exprs else qcol(c) for c in df.columns])
+
+
+def _safe(name: str) -> str:
+    """A parse-safe internal column suffix for a user column name."""
+    import hashlib
+    import re
+    return re.sub(r"\W", "_", name) + "_" + hashlib.md5(name.encode()).hexdigest()[:6]
 
 
 def _flag(name: str) -> str:
-    return f"__dirty_{name}"
+    return f"__dirty_{_safe(name)}"
 
 
 def _dates_flag(i: int) -> str:
@@ -50,7 +58,7 @@ def _with_decisions(df: DataFrame, money_cols: list[str], date_cols: list[str],
     aggs: list[Column] = []
     for c in money_cols:
         if _is_text(df, c):
-            aggs.append(F.coalesce(F.bool_or(is_dirty_cell(F.col(c).cast("string"))),
+            aggs.append(F.coalesce(F.bool_or(is_dirty_cell(qcol(c).cast("string"))),
                                    F.lit(False)).alias(_flag(c)))
     if len(date_cols) > 1:
         for i, _ in enumerate(date_cols):
@@ -67,9 +75,9 @@ def _money_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str
     exprs: dict[str, Column] = {}
     for name in names:
         if not _is_text(df, name):
-            exprs[name] = numeric_money(F.col(name))
+            exprs[name] = numeric_money(qcol(name))
         else:
-            out = f"__money_{name}"
+            out = f"__money_{_safe(name)}"
             df = with_clean_money_column(df, name, out, F.col(_flag(name)))
             exprs[name] = F.col(out)
     return df, exprs
@@ -114,7 +122,7 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
     keys = tuple(keys)
     r = roles.existing(df.columns)
     money_cols = list(dict.fromkeys(r.revenue + r.expense + r.amount))
-    base = _with_dates(df.select(*dict.fromkeys(list(keys) + list(r.selected()))), list(r.date))
+    base = _with_dates(df.select(*[qcol(c) for c in dict.fromkeys(list(keys) + list(r.selected()))]), list(r.date))
     decided = _with_decisions(base, money_cols, list(r.date), keys)
     decided, money = _money_columns(decided, money_cols)
 
@@ -130,13 +138,13 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
         revenue = pos if revenue is None else revenue + pos
         expenses = neg if expenses is None else expenses + neg
     ts = _date_expr(decided, list(r.date))
-    category = combine_categories([F.col(c) for c in r.category]) if r.category else None
+    category = combine_categories([qcol(c) for c in r.category]) if r.category else None
 
     def col_or_null(e: Column | None, dtype: str) -> Column:
         return e if e is not None else F.lit(None).cast(dtype)
 
     out = decided.select(
-        *[F.col(k) for k in keys],
+        *[qcol(k) for k in keys],
         col_or_null(ts, "timestamp_ntz").alias("ts"),
         col_or_null(revenue, "double").alias("revenue"),
         col_or_null(expenses, "double").alias("expenses"),

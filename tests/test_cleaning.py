@@ -67,3 +67,11 @@ def test_categories_and_signed_amounts(spark):
                    "Uncategorized / c": (-10.0, 0.0, 10.0), "Uncategorized / d": (0.0, 0.0, 0.0),
                    "Uncategorized / e": (5.0, 5.0, 0.0)}
     assert (led.has_revenue, led.has_expenses, led.amount_only) == (True, True, True)
+
+
+def test_dotted_and_spaced_column_names(spark):
+    df = spark.createDataFrame([("01.01.2026", "1 000,5", "a"), ("02.01.2026", "n/a", "b")],
+                               "`Op.Date` string, `Total.Price (₸)` string, `Kind.Name` string")
+    led = prepare(df, Roles(date="Op.Date", revenue="Total.Price (₸)", category="Kind.Name"))
+    got = sorted((str(r.ts.date()), r.revenue, r.category) for r in led.df.collect())
+    assert got == [("2026-01-01", 1000.5, "a"), ("2026-01-02", 0.0, "b")]
