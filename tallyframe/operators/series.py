@@ -58,10 +58,13 @@ def series_status(ledger: Ledger) -> DataFrame:
     """Per key: number of dated rows and the chart status message ('' when fine)."""
     keys = list(ledger.keys)
     agg = ledger.df.groupBy(*keys).agg(F.count("ts").alias("dated_rows"))
+    # A selected date column without any valid date counts as no date column (the
+    # first-valid-date rule finds none); the "no valid dates" text is kept for
+    # callers that pass already-parsed dates.
     if not ledger.has_dates:
         msg = F.lit(MSG_NO_DATE_COLUMN)
     else:
-        msg = F.when(F.col("dated_rows") == 0, F.lit(MSG_NO_VALID_DATES)).otherwise(F.lit(""))
+        msg = F.when(F.col("dated_rows") == 0, F.lit(MSG_NO_DATE_COLUMN)).otherwise(F.lit(""))
     return agg.select(*keys, "dated_rows", msg.alias("message"))
 
 
