@@ -31,6 +31,12 @@ def _trim_zeros(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """Fixed-point text rounded like Python's format (exact binary value,
+    half-even): ``format_number`` without its grouping commas."""
+    return F.regexp_replace(F.format_number(x, places), ",", "")
+
+
 def compact_number(x) -> Column:
     """Axis text: ``1.2k``, ``3.4m``, ``5b``; ≥100 without decimals; else ≤2 decimals."""
     v = _as_col(x).cast("double")
@@ -38,20 +44,19 @@ def compact_number(x) -> Column:
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
 
     def scaled(div: float, suffix: str) -> Column:
-        return F.concat(sign, _trim_zeros(F.format_string("%.1f", a / div)), F.lit(suffix))
+        return F.concat(sign, _trim_zeros(_fixed(a / div, 1)), F.lit(suffix))
 
     return (F.when(v.isNull(), F.lit(None).cast("string")).when(v == 0, F.lit("0"))
             .when(a >= 1e9, scaled(1e9, "b")).when(a >= 1e6, scaled(1e6, "m"))
             .when(a >= 1e3, scaled(1e3, "k"))
-            .when(a >= 100, F.format_string("%.0f", v))
-            .otherwise(_trim_zeros(F.format_string("%.2f", v))))
+            .when(a >= 100, _fixed(v, 0))
+            .otherwise(_trim_zeros(_fixed(v, 2))))
 
 
 def format_percent(x) -> Column:
-    """One decimal, without a pointless ``.0``."""
-    rounded = F.bround(_as_col(x).cast("double"), 1)
-    return F.when(rounded == F.floor(rounded), F.floor(rounded).cast("bigint").cast("string")) \
-        .otherwise(rounded.cast("string"))
+    """One decimal, without a pointless ``.0`` (rounded like Python's ``round``)."""
+    text = _fixed(_as_col(x).cast("double"), 1)
+    return F.regexp_replace(text, r"\.0$", "")
 
 
 def format_date(x, pattern: str = "dd.MM.yyyy") -> Column:
