@@ -91,13 +91,16 @@ def q_burn_rate(spark, sf):
     return out.select("rule", r("value", 4), "text")
 
 
-_AN_SQL = f"""(WITH {anomaly_ctes(SALES, 'sales', 'month')}
+def an_sql(grain: str) -> str:
+    return f"""(WITH {anomaly_ctes(SALES, 'sales', grain)}
   SELECT 4::BIGINT AS rule_order, 'anomaly_summary' AS rule, CAST(total_found AS DOUBLE) AS value,
          'Unusual periods found: ' || total_found || '. The most notable is a ' || kind || ' in ' || series_label
          || ' on ' || strftime(period, '%d.%m.%Y') || '.' AS text
   FROM ar WHERE rank = 1)"""
 
-_FC_SQL = f"""(WITH {forecast_ctes(SALES, 'sales', 'month')}
+
+def fc_sql(grain: str) -> str:
+    return f"""(WITH {forecast_ctes(SALES, 'sales', grain)}
   SELECT 7::BIGINT AS rule_order, 'forecast_summary' AS rule, value,
          'Next period forecast: ' || CASE series WHEN 'revenue' THEN 'Revenue' WHEN 'profit' THEN 'Profit' ELSE 'Amount' END
          || ' around ' || {money_sql('value')} || '.' AS text
@@ -105,10 +108,16 @@ _FC_SQL = f"""(WITH {forecast_ctes(SALES, 'sales', 'month')}
   ORDER BY CASE series WHEN 'profit' THEN 0 WHEN 'amount' THEN 1 ELSE 2 END LIMIT 1)"""
 
 
-@query("q_insights", f"""WITH {SALES}, p AS ({points('sales', 'month')}), {_last_change_sql()}, {_half_sql()}, {_CAT_SQL}, {_BURN_SQL},
+def insights_ctes(grain: str) -> str:
+    """CTEs (after SALES) ending in ``ins(position, rule, text)`` for the sales ledger."""
+    return f"""p AS ({points('sales', grain)}), {_last_change_sql()}, {_half_sql()}, {_CAT_SQL}, {_BURN_SQL},
 allr AS (SELECT * FROM lc UNION ALL SELECT * FROM ht UNION ALL SELECT * FROM cs UNION ALL SELECT * FROM br
-         UNION ALL SELECT * FROM {_AN_SQL} UNION ALL SELECT * FROM {_FC_SQL})
-SELECT row_number() OVER (ORDER BY rule_order)::BIGINT AS position, rule, text FROM allr QUALIFY position <= 6""")
+         UNION ALL SELECT * FROM {an_sql(grain)} UNION ALL SELECT * FROM {fc_sql(grain)}),
+ins AS (SELECT row_number() OVER (ORDER BY rule_order)::BIGINT AS position, rule, text FROM allr QUALIFY position <= 6)"""
+
+
+@query("q_insights", f"""WITH {SALES}, {insights_ctes('month')}
+SELECT position, rule, text FROM ins""")
 def q_insights(spark, sf):
     """I8: all rules over monthly sales, capped at 6 in rule order."""
     led = views.sales(spark, sf)
