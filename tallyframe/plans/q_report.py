@@ -92,14 +92,6 @@ def q_report_periods(spark, sf):
     return sec.select("row_no", "col_no", "value")
 
 
-@query("q_report_rows")
-def q_report_rows(spark, sf):
-    """The whole brief Russian report of weekly sales as one long table (rows-only check)."""
-    led = views.sales(spark, sf)
-    a = analyze(led, grain="week")
-    return report.build_report(a, "lineitem.parquet", report.DEPTH_BRIEF, "ru")
-
-
 @query("q_report_keyed")
 def q_report_keyed(spark, sf):
     """R8 per key: detailed English report of monthly sales for each line status."""
@@ -169,50 +161,56 @@ def q_report_categories(spark, sf):
     return report.categories_section(cats, [], report.DEPTH_BRIEF, "en").select("row_no", "col_no", "value")
 
 
-def _report_sql() -> str:
-    """DuckDB text of the brief English weekly sales report, long form."""
-    from tallyframe.plans.q_insights import insights_ctes
+def _report_sql(lang: str = "en") -> str:
+    """DuckDB text of the brief weekly sales report in ``lang``, long form."""
+    from tallyframe.plans.q_insights import insights_ctes, lbl, series_lbl_sql
     from tallyframe.plans.sql_views import forecast_ctes
     days = "greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1)"
     money = money_sql
+    L = lambda key: lbl(lang, key)
 
     def cell(order, section, row, col, value):
-        return f"SELECT {order}::BIGINT AS section_order, '{section}' AS section, {row}::BIGINT AS row_no, {col}::BIGINT AS col_no, {value} AS value"
+        return (f"SELECT {order}::BIGINT AS section_order, '{section}' AS section, {row}::BIGINT AS row_no, "
+                f"{col}::BIGINT AS col_no, {value} AS value FROM m")
 
+    period = f"strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') || ' (' || {count_sql('d')} || ')'"
     src = " UNION ALL ".join([
-        cell(1, "source", 0, 0, "'File'") + " FROM m", cell(1, "source", 0, 1, "'lineitem.parquet'") + " FROM m",
-        cell(1, "source", 1, 0, "'Period'") + " FROM m",
-        cell(1, "source", 1, 1, f"strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') || ' (' || {count_sql('d')} || ')'") + " FROM m",
-        cell(1, "source", 2, 0, "'Transactions'") + " FROM m", cell(1, "source", 2, 1, count_sql('n')) + " FROM m",
-        cell(1, "source", 3, 0, "'Grouping'") + " FROM m", cell(1, "source", 3, 1, "'by week'") + " FROM m"])
+        cell(1, "source", 0, 0, L("source_file")), cell(1, "source", 0, 1, "'lineitem.parquet'"),
+        cell(1, "source", 1, 0, L("source_period")), cell(1, "source", 1, 1, period),
+        cell(1, "source", 2, 0, L("source_transactions")), cell(1, "source", 2, 1, count_sql("n")),
+        cell(1, "source", 3, 0, L("source_grouping")), cell(1, "source", 3, 1, L("grouping_week"))])
     summ = " UNION ALL ".join([
-        cell(2, "summary", 0, 0, "'Transactions'") + " FROM m", cell(2, "summary", 0, 1, count_sql('n')) + " FROM m",
-        cell(2, "summary", 1, 0, "'Revenue'") + " FROM m", cell(2, "summary", 1, 1, money('rv')) + " FROM m",
-        cell(2, "summary", 2, 0, "'Expenses'") + " FROM m", cell(2, "summary", 2, 1, money('ex')) + " FROM m",
-        cell(2, "summary", 3, 0, "'Profit'") + " FROM m", cell(2, "summary", 3, 1, money('rv - ex')) + " FROM m",
-        cell(2, "summary", 4, 0, "'Average daily profit'") + " FROM m",
-        cell(2, "summary", 4, 1, money('(rv - ex) / d')) + " FROM m"])
+        cell(2, "summary", 0, 0, L("metric_transactions")), cell(2, "summary", 0, 1, count_sql("n")),
+        cell(2, "summary", 1, 0, L("metric_revenue")), cell(2, "summary", 1, 1, money("rv")),
+        cell(2, "summary", 2, 0, L("metric_expenses")), cell(2, "summary", 2, 1, money("ex")),
+        cell(2, "summary", 3, 0, L("metric_profit")), cell(2, "summary", 3, 1, money("rv - ex")),
+        cell(2, "summary", 4, 0, L("metric_average_daily_profit")), cell(2, "summary", 4, 1, money("(rv - ex) / d"))])
+    method = (f"CASE method WHEN 'linear_trend' THEN {L('forecast_method_linear_trend')} "
+              f"ELSE {L('forecast_method_moving_average')} END")
     fc = f"""(WITH {forecast_ctes(SALES, 'sales', 'week')},
       hdr AS (SELECT step, strftime(min(period), '%d.%m.%Y') AS d FROM fc GROUP BY step)
-      {cell(4, 'forecast', 0, 0, "'Indicator'")}
+      SELECT 4::BIGINT, 'forecast', 0::BIGINT, 0::BIGINT, {L('header_indicator')}
       UNION ALL SELECT 4, 'forecast', 0, step + 1, d FROM hdr
-      UNION ALL {cell(4, 'forecast', 0, 4, "'Method'")}
-      UNION ALL SELECT 4, 'forecast', series_order + 1, 0,
-                CASE series WHEN 'revenue' THEN 'Revenue' WHEN 'expenses' THEN 'Expenses' WHEN 'profit' THEN 'Profit' ELSE 'Amount' END
-                FROM fc WHERE step = 0
+      UNION ALL SELECT 4, 'forecast', 0, 4, {L('header_method')}
+      UNION ALL SELECT 4, 'forecast', series_order + 1, 0, {series_lbl_sql(lang, 'series')} FROM fc WHERE step = 0
       UNION ALL SELECT 4, 'forecast', series_order + 1, step + 1, {money('value')} FROM fc
-      UNION ALL SELECT 4, 'forecast', series_order + 1, 4,
-                CASE method WHEN 'linear_trend' THEN 'linear trend' ELSE 'moving average' END FROM fc WHERE step = 0)"""
+      UNION ALL SELECT 4, 'forecast', series_order + 1, 4, {method} FROM fc WHERE step = 0)"""
+    an_heads = ", ".join(f"({i}, {L(k)})" for i, k in enumerate(
+        ["header_period", "header_indicator", "header_kind", "header_value", "header_baseline", "header_severity"]))
+    kind = f"CASE kind WHEN 'drop' THEN {L('anomaly_drop')} ELSE {L('anomaly_spike')} END"
+    sev = f"CASE severity WHEN 'High' THEN {L('severity_high')} ELSE {L('severity_medium')} END"
     an = f"""(WITH {anomaly_ctes(SALES, 'sales', 'week')}
-      SELECT 6::BIGINT, 'anomalies', 0::BIGINT, c::BIGINT, h FROM (VALUES (0, 'Period'), (1, 'Indicator'), (2, 'Kind'),
-             (3, 'Value'), (4, 'Baseline'), (5, 'Severity')) t(c, h) WHERE (SELECT count(*) FROM ar) > 0
+      SELECT 6::BIGINT, 'anomalies', 0::BIGINT, c::BIGINT, h FROM (VALUES {an_heads}) t(c, h)
+             WHERE (SELECT count(*) FROM ar) > 0
       UNION ALL SELECT 6, 'anomalies', rank, 0, strftime(period, '%d.%m.%Y') FROM ar WHERE rank <= 8
-      UNION ALL SELECT 6, 'anomalies', rank, 1, series_label FROM ar WHERE rank <= 8
-      UNION ALL SELECT 6, 'anomalies', rank, 2, kind FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 1, {series_lbl_sql(lang, 'series')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 2, {kind} FROM ar WHERE rank <= 8
       UNION ALL SELECT 6, 'anomalies', rank, 3, {money('value')} FROM ar WHERE rank <= 8
       UNION ALL SELECT 6, 'anomalies', rank, 4, {money('baseline')} FROM ar WHERE rank <= 8
-      UNION ALL SELECT 6, 'anomalies', rank, 5, lower(severity) FROM ar WHERE rank <= 8)"""
-    return f"""WITH {SALES}, {insights_ctes('week')},
+      UNION ALL SELECT 6, 'anomalies', rank, 5, {sev} FROM ar WHERE rank <= 8)"""
+    cat_heads = ", ".join(f"({i}, {L(k)})" for i, k in enumerate(
+        ["header_category", "header_transactions", "header_revenue", "header_expenses", "header_profit"]))
+    return f"""WITH {SALES}, {insights_ctes('week', lang)},
 m AS (SELECT count(*) AS n, sum(revenue) AS rv, sum(expenses) AS ex, min(ts) AS a, max(ts) AS b, {days} AS d FROM sales),
 c AS (SELECT category, count(*) AS cn, sum(revenue) AS crv, sum(expenses) AS cex, sum(revenue - expenses) AS cpf,
         row_number() OVER (ORDER BY abs(sum(revenue - expenses)) DESC, category) AS rank FROM sales GROUP BY category),
@@ -221,8 +219,7 @@ cb AS (SELECT * FROM c WHERE rank <= 5)
 UNION ALL {summ}
 UNION ALL SELECT 3, 'insights', position, 0, text FROM ins
 UNION ALL SELECT * FROM {fc}
-UNION ALL SELECT 5::BIGINT, 'categories', 0::BIGINT, c::BIGINT, h FROM (VALUES (0, 'Category'), (1, 'Transactions'),
-          (2, 'Revenue'), (3, 'Expenses'), (4, 'Profit')) t(c, h)
+UNION ALL SELECT 5::BIGINT, 'categories', 0::BIGINT, c::BIGINT, h FROM (VALUES {cat_heads}) t(c, h)
 UNION ALL SELECT 5, 'categories', rank, 0, category FROM cb
 UNION ALL SELECT 5, 'categories', rank, 1, {count_sql('cn')} FROM cb
 UNION ALL SELECT 5, 'categories', rank, 2, {money('crv')} FROM cb
@@ -237,3 +234,11 @@ def q_report_brief(spark, sf):
     a = analyze(views.sales(spark, sf), grain="week")
     return report.build_report(a, "lineitem.parquet", report.DEPTH_BRIEF, "en").select(
         "section_order", "section", "row_no", "col_no", "value")
+
+
+@query("q_report_rows", _report_sql("ru"))
+def q_report_rows(spark, sf):
+    """The whole brief Russian report of weekly sales as one long table (rows-only check)."""
+    led = views.sales(spark, sf)
+    a = analyze(led, grain="week")
+    return report.build_report(a, "lineitem.parquet", report.DEPTH_BRIEF, "ru")
