@@ -92,14 +92,6 @@ def q_report_periods(spark, sf):
     return sec.select("row_no", "col_no", "value")
 
 
-@query("q_report_keyed")
-def q_report_keyed(spark, sf):
-    """R8 per key: detailed English report of monthly sales for each line status."""
-    led = views.sales(spark, sf, keyed=True)
-    a = analyze(led, grain="month")
-    return report.build_report(a, "lineitem.parquet", report.DEPTH_DETAILED, "en")
-
-
 @query("q_summary_lines", f"""WITH {SALES}, {CASH}
 SELECT 'sales' AS ledger, 'Transactions: ' || {count_sql('count(*)')} || chr(10) || 'Profit: ' || {money_sql('sum(revenue) - sum(expenses)')}
        || chr(10) || 'Period: ' || strftime(min(ts), '%Y-%m-%d') || ' - ' || strftime(max(ts), '%Y-%m-%d') AS summary FROM sales
@@ -242,3 +234,114 @@ def q_report_rows(spark, sf):
     led = views.sales(spark, sf)
     a = analyze(led, grain="week")
     return report.build_report(a, "lineitem.parquet", report.DEPTH_BRIEF, "ru")
+
+
+def _report_keyed_sql(lang: str = "en", grain: str = "month") -> str:
+    """DuckDB text of the detailed report per line status (key column ``k``)."""
+    from tallyframe.plans.q_insights import (
+        _half_sql, _last_change_sql, lbl, pct_sql, series_lbl_sql, tmpl_sql,
+    )
+    from tallyframe.plans.sql_views import forecast_ctes, points
+    L = lambda key: lbl(lang, key)
+    money = money_sql
+    days = "greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1)"
+
+    def cells(order, section, rows):
+        """rows: (row_no, col_no, value sql) over m (one row per key)."""
+        return " UNION ALL ".join(
+            f"SELECT k, {order}::BIGINT AS section_order, '{section}' AS section, {r}::BIGINT AS row_no, "
+            f"{c}::BIGINT AS col_no, {v} AS value FROM m" for r, c, v in rows)
+
+    period = f"strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') || ' (' || {count_sql('d')} || ')'"
+    src = cells(1, "source", [(0, 0, L("source_file")), (0, 1, "'lineitem.parquet'"), (1, 0, L("source_period")),
+                              (1, 1, period), (2, 0, L("source_transactions")), (2, 1, count_sql("n")),
+                              (3, 0, L("source_grouping")), (3, 1, L(f"grouping_{grain}"))])
+    summary_rows = [("metric_transactions", count_sql("n")), ("metric_revenue", money("rv")),
+                    ("metric_expenses", money("ex")), ("metric_profit", money("rv - ex")),
+                    ("metric_average_daily_profit", money("(rv - ex) / d")),
+                    ("metric_average_revenue", money("rv / n")), ("metric_average_expense", money("ex / n")),
+                    ("metric_period_days", count_sql("d")), ("metric_average_daily_revenue", money("rv / d")),
+                    ("metric_average_daily_expense", money("ex / d")), ("metric_revenue_fields", "'1'"),
+                    ("metric_expense_fields", "'1'"), ("metric_amount_fields", "'0'"), ("metric_category_fields", "'1'")]
+    summ = cells(2, "summary", [x for i, (key, v) in enumerate(summary_rows) for x in ((i, 0, L(key)), (i, 1, v))])
+    kind = f"CASE kind WHEN 'drop' THEN {L('anomaly_drop')} ELSE {L('anomaly_spike')} END"
+    an_text = tmpl_sql(lang, "insight_anomalies", count="CAST(total_found AS VARCHAR)", kind=kind,
+                       series=series_lbl_sql(lang, "series"), date="strftime(period, '%d.%m.%Y')")
+    fc_text = tmpl_sql(lang, "insight_forecast", series=series_lbl_sql(lang, "series"), value=money("value"))
+    method = (f"CASE method WHEN 'linear_trend' THEN {L('forecast_method_linear_trend')} "
+              f"ELSE {L('forecast_method_moving_average')} END")
+    sev = f"CASE severity WHEN 'High' THEN {L('severity_high')} ELSE {L('severity_medium')} END"
+    an_heads = ", ".join(f"({i}, {L(h)})" for i, h in enumerate(
+        ["header_period", "header_indicator", "header_kind", "header_value", "header_baseline", "header_severity"]))
+    cat_heads = ", ".join(f"({i}, {L(h)})" for i, h in enumerate(
+        ["header_category", "header_transactions", "header_revenue", "header_expenses", "header_profit"]))
+    per_heads = ", ".join(f"({i}, {L(h)})" for i, h in enumerate(
+        ["header_period", "header_revenue", "header_expenses", "header_profit"]))
+    fc_block = f"""(WITH {forecast_ctes(SALES, 'sales', grain, keys='k')}
+      SELECT k, 4::BIGINT, 'forecast', 0::BIGINT, 0::BIGINT, {L('header_indicator')} FROM (SELECT DISTINCT k FROM fc)
+      UNION ALL SELECT k, 4, 'forecast', 0, step + 1, strftime(min(period), '%d.%m.%Y') FROM fc GROUP BY k, step
+      UNION ALL SELECT k, 4, 'forecast', 0, 4, {L('header_method')} FROM (SELECT DISTINCT k FROM fc)
+      UNION ALL SELECT k, 4, 'forecast', series_order + 1, 0, {series_lbl_sql(lang, 'series')} FROM fc WHERE step = 0
+      UNION ALL SELECT k, 4, 'forecast', series_order + 1, step + 1, {money('value')} FROM fc
+      UNION ALL SELECT k, 4, 'forecast', series_order + 1, 4, {method} FROM fc WHERE step = 0)"""
+    an_block = f"""(WITH {anomaly_ctes(SALES, 'sales', grain, keys='k')}
+      SELECT k, 6::BIGINT, 'anomalies', 0::BIGINT, c::BIGINT, h FROM (SELECT DISTINCT k FROM ar), (VALUES {an_heads}) t(c, h)
+      UNION ALL SELECT k, 6, 'anomalies', rank, 0, strftime(period, '%d.%m.%Y') FROM ar WHERE rank <= 8
+      UNION ALL SELECT k, 6, 'anomalies', rank, 1, {series_lbl_sql(lang, 'series')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT k, 6, 'anomalies', rank, 2, {kind} FROM ar WHERE rank <= 8
+      UNION ALL SELECT k, 6, 'anomalies', rank, 3, {money('value')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT k, 6, 'anomalies', rank, 4, {money('baseline')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT k, 6, 'anomalies', rank, 5, {sev} FROM ar WHERE rank <= 8)"""
+    an_ins = f"""(WITH {anomaly_ctes(SALES, 'sales', grain, keys='k')}
+      SELECT k, 4::BIGINT AS rule_order, 'anomaly_summary' AS rule, CAST(total_found AS DOUBLE) AS value, {an_text} AS text
+      FROM ar WHERE rank = 1)"""
+    fc_ins = f"""(WITH {forecast_ctes(SALES, 'sales', grain, keys='k')}
+      SELECT k, 7::BIGINT AS rule_order, 'forecast_summary' AS rule, value, {fc_text} AS text FROM fc
+      WHERE step = 0 AND series IN ('profit', 'amount', 'revenue')
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE series WHEN 'profit' THEN 0 WHEN 'amount' THEN 1 ELSE 2 END) = 1)"""
+    return f"""WITH {SALES}, p AS ({points('sales', grain, 'k')}), {_last_change_sql('k', lang)}, {_half_sql('k', lang)},
+m AS (SELECT k, count(*) AS n, sum(revenue) AS rv, sum(expenses) AS ex, min(ts) AS a, max(ts) AS b, {days} AS d
+      FROM sales GROUP BY k),
+c AS (SELECT k, category, count(*) AS cn, sum(revenue) AS crv, sum(expenses) AS cex, sum(revenue - expenses) AS cpf,
+        row_number() OVER (PARTITION BY k ORDER BY abs(sum(revenue - expenses)) DESC, category) AS rank
+      FROM sales GROUP BY k, category),
+cb AS (SELECT * FROM c WHERE rank <= 25),
+cs_g AS (SELECT k, sum(abs(crv) + abs(cex)) AS total, arg_max(category, abs(crv) + abs(cex)) AS leader,
+           max(abs(crv) + abs(cex)) AS lt FROM cb GROUP BY k),
+cs AS (SELECT k, 3::BIGINT AS rule_order, 'category_concentration' AS rule, lt / total * 100 AS value,
+         {tmpl_sql(lang, 'insight_category_share', name='leader', percent=pct_sql('lt / total * 100'))} AS text
+       FROM cs_g WHERE total > 1e-9 AND lt / total * 100 >= 25),
+br AS (SELECT k, 5::BIGINT AS rule_order, 'burn_rate' AS rule, ex / d AS value,
+         {tmpl_sql(lang, 'insight_burn_rate', value=money('ex / d'))} AS text FROM m WHERE ex / d > 0
+       UNION ALL SELECT k, 6::BIGINT, 'cash_gap', (rv - ex) / d,
+         {tmpl_sql(lang, 'insight_cash_gap', value=money('abs((rv - ex) / d)'))} FROM m WHERE (rv - ex) / d < 0),
+allr AS (SELECT * FROM lc UNION ALL SELECT * FROM ht UNION ALL SELECT * FROM cs UNION ALL SELECT * FROM br
+         UNION ALL SELECT * FROM {an_ins} UNION ALL SELECT * FROM {fc_ins}),
+ins AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY rule_order)::BIGINT AS position, text FROM allr
+        QUALIFY position <= 6),
+pr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY period) AS rn FROM p)
+SELECT k AS l_linestatus, section_order, section, row_no, col_no, value FROM (
+{src}
+UNION ALL {summ}
+UNION ALL SELECT k, 3, 'insights', position, 0, text FROM ins
+UNION ALL SELECT * FROM {fc_block}
+UNION ALL SELECT k, 5::BIGINT, 'categories', 0::BIGINT, c::BIGINT, h FROM (SELECT DISTINCT k FROM cb), (VALUES {cat_heads}) t(c, h)
+UNION ALL SELECT k, 5, 'categories', rank, 0, category FROM cb
+UNION ALL SELECT k, 5, 'categories', rank, 1, {count_sql('cn')} FROM cb
+UNION ALL SELECT k, 5, 'categories', rank, 2, {money('crv')} FROM cb
+UNION ALL SELECT k, 5, 'categories', rank, 3, {money('cex')} FROM cb
+UNION ALL SELECT k, 5, 'categories', rank, 4, {money('cpf')} FROM cb
+UNION ALL SELECT * FROM {an_block}
+UNION ALL SELECT k, 7::BIGINT, 'periods', 0::BIGINT, c::BIGINT, h FROM (SELECT DISTINCT k FROM pr), (VALUES {per_heads}) t(c, h)
+UNION ALL SELECT k, 7, 'periods', rn, 0, strftime(period, '%d.%m.%Y') FROM pr
+UNION ALL SELECT k, 7, 'periods', rn, 1, {money('revenue')} FROM pr
+UNION ALL SELECT k, 7, 'periods', rn, 2, {money('expenses')} FROM pr
+UNION ALL SELECT k, 7, 'periods', rn, 3, {money('profit')} FROM pr)"""
+
+
+@query("q_report_keyed", _report_keyed_sql("en", "month"))
+def q_report_keyed(spark, sf):
+    """R8 per key: detailed English report of monthly sales for each line status."""
+    led = views.sales(spark, sf, keyed=True)
+    a = analyze(led, grain="month")
+    return report.build_report(a, "lineitem.parquet", report.DEPTH_DETAILED, "en")
