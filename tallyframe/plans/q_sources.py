@@ -99,13 +99,18 @@ def q_workbooks(spark, sf):
     return _by_category(led)
 
 
-@query("q_report_sink")
+def _sink_sql() -> str:
+    from tallyframe.plans.q_report import _report_sql
+    return f"SELECT section, count(*)::BIGINT AS cells FROM ({_report_sql('ru')}) GROUP BY section"
+
+
+@query("q_report_sink", _sink_sql())
 def q_report_sink(spark, sf):
     """The brief report written as ';' CSV to the shared folder and read back."""
     from tallyframe.plans.q_report import q_report_rows
     out = os.path.join(staging.stage_root(spark, sf), "report")
     files.write_report(q_report_rows(spark, sf), out, keys=["section"])
-    back = spark.read.option("sep", ";").option("header", "true").csv(out)
+    back = spark.read.option("sep", ";").option("header", "true").option("multiLine", "true").csv(out)
     return back.groupBy("section").agg(F.count(F.lit(1)).alias("cells"))
 
 
