@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe.operators import anomalies, forecast, metrics, series
 from tallyframe.operators.prepare import prepare
@@ -92,3 +93,52 @@ def file_metrics(spark, paths, roles: Roles, keys: Sequence[str] = ("source_file
     catalog = file_sources.file_catalog(spark, paths)
     df = file_sources.read_ledgers(spark, catalog, columns=list(roles.selected()))
     return metrics.basic_metrics(prepare(df, roles, keys))
+
+
+@dataclass(frozen=True)
+class RoleGroup:
+    roles: Roles
+    key_values: tuple
+    analysis: Analysis
+
+
+def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), sample_rows: int | None = 100,
+                 grain: str = "day", week_start: str = "monday", catalog: DataFrame | None = None,
+                 **options) -> list[RoleGroup]:
+    """O2 for a fleet: detect roles per key (preview of ``sample_rows`` rows per
+    key), group the keys that share a role assignment, and analyse each group
+    once. The only driver round-trip is the assignment table (≤ 5 rows per key);
+    keys without any money column are left out. With a file ``catalog`` (and
+    ``keys=["source_file"]``) each file is judged on its own columns only."""
+    from tallyframe.functions import qcol
+    from tallyframe.operators.detection import detect_roles
+    keys = list(keys)
+    members = None
+    if catalog is not None:
+        members = catalog.where(F.col("column_names").isNotNull()).select(
+            F.col("path").alias(keys[0]), F.explode("column_names").alias("column"))
+    assign, _ = detect_roles(df, keys, sample_rows=sample_rows, members=members)
+    per_key: dict[tuple, dict[str, str]] = {}
+    for row in assign.collect():
+        k = tuple(row[c] for c in keys)
+        per_key.setdefault(k, {})
+        if row.column:
+            per_key[k][row.role] = row.column
+    groups: dict[tuple, list[tuple]] = {}
+    for k, chosen in per_key.items():
+        groups.setdefault(tuple(sorted(chosen.items())), []).append(k)
+    out = []
+    for chosen, members in groups.items():
+        roles = Roles(**dict(chosen))
+        if not roles.has_money_column:
+            continue
+        cond = None
+        for k in members:
+            match = None
+            for name, value in zip(keys, k):
+                c = qcol(name).eqNullSafe(F.lit(value))
+                match = c if match is None else match & c
+            cond = match if cond is None else cond | match
+        out.append(RoleGroup(roles, tuple(members),
+                             analyze(df.where(cond), roles, grain, week_start, keys, **options)))
+    return out

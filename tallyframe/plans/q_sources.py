@@ -125,3 +125,22 @@ def q_file_report(spark, sf):
     assign, _ = detect_roles(df, sample_rows=100)
     roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})
     return report.build_report(analyze(df, roles, grain="day"), "orders.csv", report.DEPTH_DETAILED, "en")
+
+
+@query("q_auto_fleet")
+def q_auto_fleet(spark, sf):
+    """O2 over a fleet of files: every staged CSV variant (English, Russian cp1251,
+    headerless, pipe) gets its own roles; totals per file and its roles."""
+    from functools import reduce
+
+    from tallyframe.plans.analyze import auto_analyze
+    cat = _catalog(spark, sf)
+    df = files.read_ledgers(spark, cat)
+    out = []
+    for g in auto_analyze(df, ["source_file"], grain="month", catalog=cat):
+        text = ", ".join(f"{k}={v}" for k, v in sorted((r, ", ".join(getattr(g.roles, r)))
+                                                        for r in ("date", "revenue", "expense", "amount", "category")
+                                                        if getattr(g.roles, r)))
+        out.append(g.analysis.basic.select("source_file", "transaction_count", r("total_revenue"),
+                                           r("total_expenses"), "period_days", F.lit(text).alias("roles")))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -89,3 +89,22 @@ def test_file_metrics_one_call(spark, tmp_path):
     (tmp_path / "l.csv").write_text("Date;Income;Cost\n01.01.2026;1 000,50;\n02.01.2026;;250\n", encoding="utf-8")
     m = file_metrics(spark, str(tmp_path), Roles(date="Date", revenue="Income", expense="Cost")).first()
     assert (m.transaction_count, m.total_revenue, m.total_expenses, m.period_days) == (2, 1000.5, 250.0, 2)
+
+
+def test_fleet_auto_analysis_per_file_roles(spark, tmp_path):
+    from tallyframe.plans.analyze import auto_analyze
+    (tmp_path / "en.csv").write_text("Date,Region,Total\n" + "\n".join(
+        f"2026-01-{d:02d},{'North' if d % 2 else 'South'},{100 + d}.50" for d in range(1, 9)) + "\n")
+    (tmp_path / "ru.csv").write_text("Дата;Категория;Сумма дохода;Сумма расхода\n" + "\n".join(
+        f"{d:02d}.01.2026;{'Аренда' if d % 2 else 'Продажи'};{1000 * d};{50 * d}" for d in range(1, 9)) + "\n",
+        encoding="cp1251")
+    cat = files.file_catalog(spark, str(tmp_path))
+    df = files.read_ledgers(spark, cat)
+    groups = auto_analyze(df, ["source_file"], catalog=cat)
+    by_file = {g.key_values[0][0].split("/")[-1]: g for g in groups}
+    assert set(by_file) == {"en.csv", "ru.csv"}
+    assert by_file["en.csv"].roles.amount == ("Total",) and by_file["en.csv"].roles.category == ("Region",)
+    ru = by_file["ru.csv"]
+    assert ru.roles.revenue == ("Сумма дохода",) and ru.roles.expense == ("Сумма расхода",)
+    m = ru.analysis.basic.first()
+    assert (m.total_revenue, m.total_expenses) == (36000.0, 1800.0)
