@@ -137,7 +137,7 @@ def q_auto_fleet(spark, sf):
     cat = _catalog(spark, sf)
     df = files.read_ledgers(spark, cat)
     out = []
-    for g in auto_analyze(df, ["source_file"], grain="month", catalog=cat):
+    for g in auto_analyze(df, ["source_file"], grain="month", catalog=cat, materialize=None):
         text = ", ".join(f"{k}={v}" for k, v in sorted((r, ", ".join(getattr(g.roles, r)))
                                                         for r in ("date", "revenue", "expense", "amount", "category")
                                                         if getattr(g.roles, r)))
