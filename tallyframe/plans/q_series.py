@@ -115,7 +115,8 @@ def q_format(spark, sf):
 
 @query("q_series_status", f"""WITH {SALES}
 SELECT 'sales' AS ledger, count(ts)::BIGINT AS dated_rows, '' AS message, count(*)::BIGINT AS transaction_count,
-       round(sum(revenue) - sum(expenses), 2) AS total_profit, CAST(NULL AS BIGINT) AS period_days FROM sales
+       round(sum(revenue) - sum(expenses), 2) AS total_profit,
+       greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1)::BIGINT AS period_days FROM sales
 UNION ALL
 SELECT 'balance', 0::BIGINT, 'Select a date column to build a chart.', count(*)::BIGINT,
        round(sum(greatest(c_acctbal, 0.0)) - sum(abs(least(c_acctbal, 0.0))), 2), CAST(NULL AS BIGINT) FROM customer""")
@@ -127,7 +128,6 @@ def q_series_status(spark, sf):
         m = metrics.basic_metrics(led)
         s = series.series_status(led)
         row = s.select(F.lit(name).alias("ledger"), "dated_rows", "message").join(
-            m.select(F.lit(name).alias("ledger"), "transaction_count", r("total_profit"),
-                     F.when(F.lit(name) == "balance", F.col("period_days")).alias("period_days")), "ledger")
+            m.select(F.lit(name).alias("ledger"), "transaction_count", r("total_profit"), "period_days"), "ledger")
         out = row if out is None else out.unionByName(row)
     return out
