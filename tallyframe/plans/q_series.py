@@ -105,7 +105,8 @@ SELECT period, replace(format('{{:,.2f}}', round(revenue, 2)), ',', ' ') AS reve
        {_compact_sql('round(expenses, 2) / 997.0')} AS small_compact
 FROM pm""")
 def q_format(spark, sf):
-    """Money text and compact axis numbers over monthly points."""
+    """Money text and compact axis numbers over monthly points (expenses
+    per 997 units puts values in the <1k branches of the compact format)."""
     p = series.time_series(views.sales(spark, sf), "month")
     return p.select("period", format_money(F.round("revenue", 2)).alias("revenue_text"),
                     format_money(F.round("profit", 2)).alias("profit_text"),
