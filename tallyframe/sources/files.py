@@ -147,19 +147,74 @@ def _first_rows(spark: SparkSession, settings: dict[str, tuple[str, str]]) -> Da
 CATALOG_SCHEMA = ("path string, name string, extension string, size long, status string, size_text string, "
                   "encoding string, delimiter string, has_header boolean, column_count int, "
                   "column_names array<string>, row_count_text string")
-
-
-def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+HEAD_SCHEMA = "path string, encoding string, delimiter string, cells array<string>, data_lines long, complete boolean"
+HEAD_MAX_BYTES = 16 * 1024 * 1024
+
+
+def _read_head(path: str, max_lines: int, max_bytes: int) -> tuple[bytes, bool]:
+    """The file's first ``max_lines`` complete lines (or all of it): (bytes, reached EOF)."""
+    import pyarrow.fs as pafs
+    fs, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://").replace("s3n://", "s3://"))
+    buf, eof = b"", False
+    with fs.open_input_stream(inner) as fh:
+        while buf.count(b"\n") < max_lines and len(buf) < max_bytes:
+            chunk = fh.read(64 * 1024)
+            if not chunk:
+                eof = True
+                break
+            buf += chunk
+    if not eof:
+        buf = buf[:buf.rfind(b"\n") + 1] if b"\n" in buf else buf
+    return buf, eof
+
+
+def _head_rows(batches):
+    """Per file: encoding, delimiter, first record cells, data-line count — from the
+    head only (complete lines, so no multi-byte character is ever cut)."""
+    import csv
+    import io
+
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            head, eof = _read_head(path, PREVIEW_ROW_LIMIT + 2, HEAD_MAX_BYTES)
+            try:
+                text, enc = head.decode("utf-8"), UTF8
+            except UnicodeDecodeError:
+                text, enc = head.decode("cp1251", errors="replace"), CP1251
+            text = text.lstrip("\ufeff")
+            lines = text.splitlines()
+            sample = [ln for ln in lines[:DELIMITER_SAMPLE_LINES] if ln.strip()]
+            counts = [sum(ln.count(d) for ln in sample) for d in CSV_DELIMITERS]
+            delim = CSV_DELIMITERS[counts.index(max(counts))] if sample and max(counts) > 0 else ","
+            first = next(csv.reader(io.StringIO(lines[0]), delimiter=delim), []) if lines else []
+            data = sum(1 for ln in lines if ln.strip())
+            out.append((path, enc, delim, [c for c in first], data, eof))
+        yield pd.DataFrame(out, columns=["path", "encoding", "delimiter", "cells", "data_lines", "complete"])
+
+
+def _heads_from_tasks(spark: SparkSession, csv: list[str]) -> DataFrame:
+    """Head facts of every CSV file, read in tasks (bounded bytes per file)."""
+    paths = spark.createDataFrame([(p,) for p in csv], "path string")
+    n = max(1, min(len(csv), spark.sparkContext.defaultParallelism * 4))
+    return paths.repartition(n).mapInPandas(_head_rows, HEAD_SCHEMA)
+
+
+def file_catalog(spark: SparkSession, paths: str | Sequence[str], validate_encoding: str = "head") -> DataFrame:
     """One row per file: ``path, name, extension, size, status, size_text,
     encoding, delimiter, has_header, column_count, column_names, row_count_text``
     (status ok / unsupported / empty; names from the header row, blank →
     ``Column i``, or ``Column 1..N`` when the first row is data).
 
-    Three distributed passes over the CSV files — every line (UTF-8 validity and
-    line count: UTF-8 when every line is valid, else cp1251), the first 20 lines
-    of each file (delimiter) and the first record (header) — each ending in a
-    per-file metadata collect. The catalog itself is a small materialised table,
-    so using it again never re-reads the files.
+    Each CSV file is read only up to its first 101 complete lines (at most
+    16 MB), in tasks: encoding (UTF-8 if the head decodes, else cp1251),
+    delimiter (counts over the first 20 non-blank lines), the first record and
+    the row-count status come from that head, so cataloguing costs a bounded read
+    per file, not a pass over the data. ``validate_encoding="full"`` adds one
+    distributed pass that checks every line is valid UTF-8. The catalog is a
+    small materialised table. On a file system the task-side reader cannot
+    open, three Spark passes over the files are used instead.
     """
     files = list_files(spark, paths)
     status = (F.when(~F.col("extension").isin(*SUPPORTED_EXTENSIONS), F.lit("unsupported"))
@@ -169,37 +224,64 @@ def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     csv = [r["path"] for r in listed if r["extension"] == ".csv" and r["status"] == "ok"]
     meta: dict[str, dict] = {p: {} for p in csv}
     if csv:
-        raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
-        for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-                                         F.count_if(F.trim("value") != "").alias("lines")).collect():
-            meta.setdefault(r.path, {}).update(encoding=UTF8 if r.utf8 else CP1251, lines=r.lines)
-        for e in (UTF8, CP1251):
-            ps = [p for p, m in meta.items() if m.get("encoding") == e]
-            if ps:
-                for r in _delimiter_choice(_lines(spark, ps, SPARK_CHARSETS[e])).collect():
-                    meta[r.path]["delimiter"] = r.delimiter
-        settings = {p: (m.get("encoding", UTF8), m.get("delimiter", ",")) for p, m in meta.items()}
-        heads = _first_rows(spark, settings)
-        if heads is not None:
+        try:
+            heads = _heads_from_tasks(spark, csv)
             has_header = ~headers_look_like_data(F.col("cells"))
-            named = F.transform(F.col("cells"), lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
-                                .otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
-            generic = F.transform(F.col("cells"), lambda c, i: F.concat(F.lit("Column "), (i + 1).cast("string")))
-            for r in heads.select("path", has_header.alias("has_header"), F.size("cells").alias("column_count"),
-                                  F.when(has_header, named).otherwise(generic).alias("column_names")).collect():
-                meta[r.path].update(has_header=r.has_header, column_count=r.column_count,
-                                    column_names=list(r.column_names))
-    rows = []
+            rows = heads.select("path", "encoding", "delimiter", "data_lines", "complete", "cells",
+                                has_header.alias("has_header")).collect()
+        except Exception:  # noqa: BLE001 - task-side reader unavailable for this file system
+            rows = None
+        if rows is not None:
+            for r in rows:
+                names = [(c.strip() if c and c.strip() else f"Column {i + 1}") for i, c in enumerate(r.cells)] \
+                    if r.has_header else generic_names(len(r.cells))
+                n = r.data_lines - (1 if r.has_header else 0)
+                meta[r.path].update(encoding=r.encoding, delimiter=r.delimiter, has_header=r.has_header,
+                                    column_count=len(r.cells), column_names=names,
+                                    count_text=(str(n) if r.complete and n <= PREVIEW_ROW_LIMIT
+                                                else f"{PREVIEW_ROW_LIMIT}+ (fast preview)"))
+        else:
+            _catalog_by_passes(spark, csv, meta)
+        if validate_encoding == "full":
+            raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
+            for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect():
+                if not r.utf8 and meta.get(r.path, {}).get("encoding") == UTF8:
+                    meta[r.path]["encoding"] = CP1251
+    out = []
     for r in listed:
         m = meta.get(r["path"], {})
-        count_text = None
-        if "lines" in m:
-            n = m["lines"] - (1 if m.get("has_header") else 0)
-            count_text = f"{PREVIEW_ROW_LIMIT}+ (fast preview)" if n > PREVIEW_ROW_LIMIT else str(n)
-        rows.append((r["path"], r["name"], r["extension"], r["size"], r["status"], r["size_text"],
-                     m.get("encoding"), m.get("delimiter", "," if "encoding" in m else None), m.get("has_header"),
-                     m.get("column_count"), m.get("column_names"), count_text))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+        out.append((r["path"], r["name"], r["extension"], r["size"], r["status"], r["size_text"],
+                    m.get("encoding"), m.get("delimiter"), m.get("has_header"), m.get("column_count"),
+                    m.get("column_names"), m.get("count_text")))
+    return spark.createDataFrame(out, CATALOG_SCHEMA)
+
+
+def _catalog_by_passes(spark: SparkSession, csv: list[str], meta: dict[str, dict]) -> None:
+    """Fallback: whole-file UTF-8 validity and line counts, delimiter from the
+    first 20 lines of block 0, first record — three Spark passes."""
+    raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
+    for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                     F.count_if(F.trim("value") != "").alias("lines")).collect():
+        meta.setdefault(r.path, {}).update(encoding=UTF8 if r.utf8 else CP1251, lines=r.lines)
+    for e in (UTF8, CP1251):
+        ps = [p for p, m in meta.items() if m.get("encoding") == e]
+        if ps:
+            for r in _delimiter_choice(_lines(spark, ps, SPARK_CHARSETS[e])).collect():
+                meta[r.path]["delimiter"] = r.delimiter
+    settings = {p: (m.get("encoding", UTF8), m.get("delimiter", ",")) for p, m in meta.items()}
+    heads = _first_rows(spark, settings)
+    if heads is None:
+        return
+    has_header = ~headers_look_like_data(F.col("cells"))
+    for r in heads.select("path", "cells", has_header.alias("has_header")).collect():
+        cells = list(r.cells)
+        names = [(c.strip() if c and c.strip() else f"Column {i + 1}") for i, c in enumerate(cells)] \
+            if r.has_header else generic_names(len(cells))
+        m = meta[r.path]
+        m.setdefault("delimiter", ",")
+        n = m.get("lines", 0) - (1 if r.has_header else 0)
+        m.update(has_header=r.has_header, column_count=len(cells), column_names=names,
+                 count_text=f"{PREVIEW_ROW_LIMIT}+ (fast preview)" if n > PREVIEW_ROW_LIMIT else str(n))
 
 
 def generic_names(n: int) -> list[str]:

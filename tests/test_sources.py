@@ -108,3 +108,17 @@ def test_fleet_auto_analysis_per_file_roles(spark, tmp_path):
     assert ru.roles.revenue == ("Сумма дохода",) and ru.roles.expense == ("Сумма расхода",)
     m = ru.analysis.basic.first()
     assert (m.total_revenue, m.total_expenses) == (36000.0, 1800.0)
+
+
+def test_catalog_fallback_matches_head_reader(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("Дата;Сумма\n01.01.2026;1 200,50\n", encoding="cp1251")
+    (tmp_path / "b.csv").write_text("x|y\n1|2\n3|4\n", encoding="utf-8-sig")
+    cols = ["name", "encoding", "delimiter", "has_header", "column_count", "column_names", "row_count_text"]
+    fast = sorted(tuple(r) for r in files.file_catalog(spark, str(tmp_path)).select(*cols).collect())
+
+    def boom(*_a, **_k):
+        raise RuntimeError("no task-side reader")
+    monkeypatch.setattr(files, "_heads_from_tasks", boom)
+    slow = sorted(tuple(r) for r in files.file_catalog(spark, str(tmp_path)).select(*cols).collect())
+    assert fast == slow
+    assert fast[0][1:4] == ("cp1251", ";", True) and fast[1][1:4] == ("utf-8", "|", True)
