@@ -83,10 +83,12 @@ def q_file_catalog(spark, sf):
 
 @query("q_preview")
 def q_preview(spark, sf):
-    """The first 100 rows of every file and its row-count text."""
+    """The first 100 rows of every file (read from its head) and its row-count text."""
     cat = _catalog(spark, sf).where(_variant() == "pipe")
-    df = files.read_ledgers(spark, cat)
-    return files.preview(df).select("source_file", "row_no", "OrderID", "TotalPrice", "row_count_text")
+    p = files.preview_files(spark, cat)
+    pos = lambda name: F.array_position("column_names", name).cast("int")
+    return p.select("source_file", "row_no", F.element_at("cells", pos("OrderID")).alias("OrderID"),
+                    F.element_at("cells", pos("TotalPrice")).alias("TotalPrice"), "row_count_text")
 
 
 @query("q_workbooks", """SELECT o_orderpriority AS category, count(*)::BIGINT AS transaction_count,

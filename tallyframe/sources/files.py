@@ -343,6 +343,42 @@ def preview(df: DataFrame, key: str = "source_file", limit: int = PREVIEW_ROW_LI
     return head.where(F.col("row_no") <= limit).withColumn("row_count_text", text).drop("__rid", "__n")
 
 
+PREVIEW_SCHEMA = "source_file string, row_no long, cells array<string>"
+
+
+def _preview_rows(batches):
+    """First 100 data rows of each file from its head, parsed like the CSV reader
+    (empty fields are null)."""
+    import csv
+    import io
+
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for path, enc, delim, header in zip(pdf["path"], pdf["encoding"], pdf["delimiter"], pdf["has_header"]):
+            head, _ = _read_head(path, PREVIEW_ROW_LIMIT + 2, HEAD_MAX_BYTES)
+            text = head.decode("utf-8" if enc == UTF8 else "cp1251", errors="replace").lstrip("\ufeff")
+            rows = [r for r in csv.reader(io.StringIO(text), delimiter=delim) if r and any(x != "" for x in r)]
+            rows = rows[1:] if header else rows
+            for i, r in enumerate(rows[:PREVIEW_ROW_LIMIT], start=1):
+                out.append((path, i, [x if x != "" else None for x in r]))
+        yield pd.DataFrame(out, columns=["source_file", "row_no", "cells"])
+
+
+def preview_files(spark: SparkSession, catalog: DataFrame) -> DataFrame:
+    """S6 for files: the first 100 rows of every ok CSV file, read from the file's
+    head in tasks (never the whole file), with the catalog's column names and
+    row-count status: ``source_file, row_no, column_names, cells, row_count_text``."""
+    ok = catalog.where((F.col("status") == "ok") & (F.col("extension") == ".csv"))
+    n = max(1, min(ok.count(), spark.sparkContext.defaultParallelism * 4))
+    rows = ok.select("path", "encoding", "delimiter", "has_header").repartition(n) \
+        .mapInPandas(_preview_rows, PREVIEW_SCHEMA)
+    width = F.size("column_names")
+    padded = F.slice(F.concat(F.col("cells"), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
+    return rows.join(ok.select(F.col("path").alias("source_file"), "column_names", "row_count_text"), "source_file") \
+        .select("source_file", "row_no", "column_names", padded.alias("cells"), "row_count_text")
+
+
 def write_report(report: DataFrame, path: str, keys: Sequence[str] = (), fmt: str = "csv") -> None:
     """Write a long report table, partitioned by keys; CSV uses ``;``."""
     w = report.write.mode("overwrite")

@@ -122,3 +122,15 @@ def test_catalog_fallback_matches_head_reader(spark, tmp_path, monkeypatch):
     slow = sorted(tuple(r) for r in files.file_catalog(spark, str(tmp_path)).select(*cols).collect())
     assert fast == slow
     assert fast[0][1:4] == ("cp1251", ";", True) and fast[1][1:4] == ("utf-8", "|", True)
+
+
+def test_preview_files_reads_heads(spark, tmp_path):
+    lines = ["a;b;c"] + [f"{i};{i * 2};" for i in range(150)]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "small.csv").write_text("2026-01-01,5\n2026-01-02,7\n")
+    cat = files.file_catalog(spark, str(tmp_path))
+    p = {(r.source_file.split("/")[-1], r.row_no): r for r in files.preview_files(spark, cat).collect()}
+    assert p[("big.csv", 1)].cells == ["0", "0", None] and p[("big.csv", 1)].row_count_text == "100+ (fast preview)"
+    assert max(k[1] for k in p if k[0] == "big.csv") == 100
+    assert p[("small.csv", 1)].column_names == ["Column 1", "Column 2"] and p[("small.csv", 2)].cells == ["2026-01-02", "7"]
+    assert p[("small.csv", 2)].row_count_text == "2"
