@@ -109,15 +109,19 @@ def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), sample_r
     key), group the keys that share a role assignment, and analyse each group
     once. The only driver round-trip is the assignment table (≤ 5 rows per key);
     keys without any money column are left out. With a file ``catalog`` (and
-    ``keys=["source_file"]``) each file is judged on its own columns only."""
+    ``keys=["source_file"]``) each file is judged on its own columns and its
+    first 100 rows, read from the file's head rather than from a full scan."""
     from tallyframe.functions import qcol
     from tallyframe.operators.detection import detect_roles
     keys = list(keys)
-    members = None
     if catalog is not None:
-        members = catalog.where(F.col("column_names").isNotNull()).select(
-            F.col("path").alias(keys[0]), F.explode("column_names").alias("column"))
-    assign, _ = detect_roles(df, keys, sample_rows=sample_rows, members=members)
+        # each file judged on its own first rows, read from its head (bounded)
+        from tallyframe.operators.detection import detect_from_cells, preview_cells
+        from tallyframe.sources.files import preview_files
+        cells = preview_cells(preview_files(df.sparkSession, catalog), keys[0])
+        assign, _ = detect_from_cells(cells, keys)
+    else:
+        assign, _ = detect_roles(df, keys, sample_rows=sample_rows)
     per_key: dict[tuple, dict[str, str]] = {}
     for row in assign.collect():
         k = tuple(row[c] for c in keys)
