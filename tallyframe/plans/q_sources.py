@@ -116,19 +116,6 @@ def q_report_sink(spark, sf):
     return back.groupBy("section").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("q_file_report")
-def q_file_report(spark, sf):
-    """The application's whole action on real files: catalog → read → detect roles
-    on a preview → analyse all rows (day grain) → detailed English report."""
-    from tallyframe.operators import report
-    from tallyframe.plans.analyze import analyze
-    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
-    df = files.read_ledgers(spark, cat).drop("source_file")
-    assign, _ = detect_roles(df, sample_rows=100)
-    roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})
-    return report.build_report(analyze(df, roles, grain="day"), "orders.csv", report.DEPTH_DETAILED, "en")
-
-
 @query("q_auto_fleet")
 def q_auto_fleet(spark, sf):
     """O2 over a fleet of files: every staged CSV variant (English, Russian cp1251,
@@ -146,3 +133,108 @@ def q_auto_fleet(spark, sf):
         out.append(g.analysis.basic.select("source_file", "transaction_count", r("total_revenue"),
                                            r("total_expenses"), "period_days", F.lit(text).alias("roles")))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _file_report_sql(lang: str = "en") -> str:
+    """DuckDB text of ``q_file_report``: the detailed daily report of the staged
+    order files read as an amount-only ledger (amount = TotalPrice, category =
+    Status, date = OrderDate — the roles detection assigns to these files)."""
+    from tallyframe.plans.q_insights import _half_sql, _last_change_sql, lbl, money_sql, pct_sql, series_lbl_sql, tmpl_sql
+    from tallyframe.plans.q_report import count_sql
+    from tallyframe.plans.sql_views import anomaly_ctes, forecast_ctes, points
+    view = """oa AS (SELECT o_orderdate AS ts, round(o_totalprice, 2) AS amount,
+         greatest(round(o_totalprice, 2), 0.0) AS revenue, abs(least(round(o_totalprice, 2), 0.0)) AS expenses,
+         o_orderstatus AS category FROM orders)"""
+    L = lambda key: lbl(lang, key)
+    money = money_sql
+    days = "greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1, 1)"
+
+    def cells(order, section, rows):
+        return " UNION ALL ".join(f"SELECT {order}::BIGINT AS section_order, '{section}' AS section, {r}::BIGINT AS row_no, "
+                                  f"{c}::BIGINT AS col_no, {v} AS value FROM m" for r, c, v in rows)
+
+    period = f"strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') || ' (' || {count_sql('d')} || ')'"
+    src = cells(1, "source", [(0, 0, L("source_file")), (0, 1, "'orders.csv'"), (1, 0, L("source_period")),
+                              (1, 1, period), (2, 0, L("source_transactions")), (2, 1, count_sql("n")),
+                              (3, 0, L("source_grouping")), (3, 1, L("grouping_day"))])
+    summary = [("metric_transactions", count_sql("n")), ("metric_amount", money("rv - ex")),
+               ("metric_average_daily_profit", money("(rv - ex) / d")), ("metric_average_revenue", money("rv / n")),
+               ("metric_average_expense", money("ex / n")), ("metric_period_days", count_sql("d")),
+               ("metric_average_daily_revenue", money("rv / d")), ("metric_average_daily_expense", money("ex / d")),
+               ("metric_revenue_fields", "'0'"), ("metric_expense_fields", "'0'"), ("metric_amount_fields", "'1'"),
+               ("metric_category_fields", "'1'")]
+    summ = cells(2, "summary", [x for i, (k, v) in enumerate(summary) for x in ((i, 0, L(k)), (i, 1, v))])
+    kind = f"CASE kind WHEN 'drop' THEN {L('anomaly_drop')} ELSE {L('anomaly_spike')} END"
+    sev = f"CASE severity WHEN 'High' THEN {L('severity_high')} ELSE {L('severity_medium')} END"
+    method = (f"CASE method WHEN 'linear_trend' THEN {L('forecast_method_linear_trend')} "
+              f"ELSE {L('forecast_method_moving_average')} END")
+    an_text = tmpl_sql(lang, "insight_anomalies", count="CAST(total_found AS VARCHAR)", kind=kind,
+                       series=series_lbl_sql(lang, "series"), date="strftime(period, '%d.%m.%Y')")
+    fc_text = tmpl_sql(lang, "insight_forecast", series=series_lbl_sql(lang, "series"), value=money("value"))
+    heads = lambda keys: ", ".join(f"({i}, {L(k)})" for i, k in enumerate(keys))
+    an_ctes = anomaly_ctes(view, "oa", "day", amount_only=True)
+    fc_ctes = forecast_ctes(view, "oa", "day", amount_only=True)
+    return f"""WITH {view}, p AS ({points('oa', 'day')}), {_last_change_sql('', lang)}, {_half_sql('', lang)},
+m AS (SELECT count(*) AS n, sum(revenue) AS rv, sum(expenses) AS ex, min(ts) AS a, max(ts) AS b, {days} AS d FROM oa),
+c AS (SELECT category, count(*) AS cn, sum(revenue) AS crv, sum(expenses) AS cex, sum(revenue - expenses) AS cpf,
+        row_number() OVER (ORDER BY abs(sum(revenue - expenses)) DESC, category) AS rank FROM oa GROUP BY category),
+cb AS (SELECT * FROM c WHERE rank <= 25),
+cs_g AS (SELECT sum(abs(crv) + abs(cex)) AS total, arg_max(category, abs(crv) + abs(cex)) AS leader,
+           max(abs(crv) + abs(cex)) AS lt FROM cb),
+cs AS (SELECT 3::BIGINT AS rule_order, 'category_concentration' AS rule, lt / total * 100 AS value,
+         {tmpl_sql(lang, 'insight_category_share', name='leader', percent=pct_sql('lt / total * 100'))} AS text
+       FROM cs_g WHERE total > 1e-9 AND lt / total * 100 >= 25),
+br AS (SELECT 5::BIGINT AS rule_order, 'burn_rate' AS rule, ex / d AS value,
+         {tmpl_sql(lang, 'insight_burn_rate', value=money('ex / d'))} AS text FROM m WHERE ex / d > 0
+       UNION ALL SELECT 6::BIGINT, 'cash_gap', (rv - ex) / d,
+         {tmpl_sql(lang, 'insight_cash_gap', value=money('abs((rv - ex) / d)'))} FROM m WHERE (rv - ex) / d < 0),
+allr AS (SELECT * FROM lc UNION ALL SELECT * FROM ht UNION ALL SELECT * FROM cs UNION ALL SELECT * FROM br
+         UNION ALL SELECT * FROM (WITH {an_ctes} SELECT 4::BIGINT AS rule_order, 'anomaly_summary' AS rule,
+                                  CAST(total_found AS DOUBLE) AS value, {an_text} AS text FROM ar WHERE rank = 1)
+         UNION ALL SELECT * FROM (WITH {fc_ctes} SELECT 7::BIGINT AS rule_order, 'forecast_summary' AS rule, value,
+                                  {fc_text} AS text FROM fc WHERE step = 0 AND series IN ('profit', 'amount', 'revenue')
+                                  ORDER BY CASE series WHEN 'profit' THEN 0 WHEN 'amount' THEN 1 ELSE 2 END LIMIT 1)),
+ins AS (SELECT row_number() OVER (ORDER BY rule_order)::BIGINT AS position, text FROM allr QUALIFY position <= 6),
+pr AS (SELECT *, row_number() OVER (ORDER BY period) AS rn FROM p)
+{src}
+UNION ALL {summ}
+UNION ALL SELECT 3, 'insights', position, 0, text FROM ins
+UNION ALL SELECT * FROM (WITH {fc_ctes}
+      SELECT 4::BIGINT, 'forecast', 0::BIGINT, 0::BIGINT, {L('header_indicator')}
+      UNION ALL SELECT 4, 'forecast', 0, step + 1, strftime(min(period), '%d.%m.%Y') FROM fc GROUP BY step
+      UNION ALL SELECT 4, 'forecast', 0, 4, {L('header_method')}
+      UNION ALL SELECT 4, 'forecast', series_order + 1, 0, {series_lbl_sql(lang, 'series')} FROM fc WHERE step = 0
+      UNION ALL SELECT 4, 'forecast', series_order + 1, step + 1, {money('value')} FROM fc
+      UNION ALL SELECT 4, 'forecast', series_order + 1, 4, {method} FROM fc WHERE step = 0)
+UNION ALL SELECT 5::BIGINT, 'categories', 0::BIGINT, c::BIGINT, h FROM (VALUES {heads(['header_category', 'header_transactions', 'header_revenue', 'header_expenses', 'header_profit'])}) t(c, h)
+UNION ALL SELECT 5, 'categories', rank, 0, category FROM cb
+UNION ALL SELECT 5, 'categories', rank, 1, {count_sql('cn')} FROM cb
+UNION ALL SELECT 5, 'categories', rank, 2, {money('crv')} FROM cb
+UNION ALL SELECT 5, 'categories', rank, 3, {money('cex')} FROM cb
+UNION ALL SELECT 5, 'categories', rank, 4, {money('cpf')} FROM cb
+UNION ALL SELECT * FROM (WITH {an_ctes}
+      SELECT 6::BIGINT, 'anomalies', 0::BIGINT, c::BIGINT, h FROM (VALUES {heads(['header_period', 'header_indicator', 'header_kind', 'header_value', 'header_baseline', 'header_severity'])}) t(c, h)
+             WHERE (SELECT count(*) FROM ar) > 0
+      UNION ALL SELECT 6, 'anomalies', rank, 0, strftime(period, '%d.%m.%Y') FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 1, {series_lbl_sql(lang, 'series')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 2, {kind} FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 3, {money('value')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 4, {money('baseline')} FROM ar WHERE rank <= 8
+      UNION ALL SELECT 6, 'anomalies', rank, 5, {sev} FROM ar WHERE rank <= 8)
+UNION ALL SELECT 7::BIGINT, 'periods', 0::BIGINT, c::BIGINT, h FROM (VALUES {heads(['header_period', 'header_amount'])}) t(c, h)
+UNION ALL SELECT 7, 'periods', rn, 0, strftime(period, '%d.%m.%Y') FROM pr
+UNION ALL SELECT 7, 'periods', rn, 1, {money('amount')} FROM pr"""
+
+
+@query("q_file_report", _file_report_sql())
+def q_file_report(spark, sf):
+    """The application's whole action on real files: catalog → read → detect roles
+    on a preview → analyse all rows (day grain) → detailed English report."""
+    from tallyframe.operators import report
+    from tallyframe.plans.analyze import analyze
+    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
+    df = files.read_ledgers(spark, cat).drop("source_file")
+    assign, _ = detect_roles(df, sample_rows=100)
+    roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})
+    return report.build_report(analyze(df, roles, grain="day"), "orders.csv", report.DEPTH_DETAILED, "en") \
+        .select("section_order", "section", "row_no", "col_no", "value")
