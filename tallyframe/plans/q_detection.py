@@ -127,7 +127,14 @@ def q_role_assignment(spark, sf):
     return a.select("source", "role", "column", "confidence", "reason", "weak_headers", "needs_confirmation")
 
 
-@query("q_auto_analysis")
+@query("q_auto_analysis", f"""WITH {assignment_ctes()},
+r AS (SELECT string_agg(role || '=' || "column", ',' ORDER BY role) AS roles FROM asg
+      WHERE source = 'orders' AND "column" IS NOT NULL)
+SELECT count(*)::BIGINT AS transaction_count, round(sum(greatest(o_totalprice, 0.0)), 2) AS total_revenue,
+       round(sum(abs(least(o_totalprice, 0.0))), 2) AS total_expenses, 0::BIGINT AS revenue_column_count,
+       0::BIGINT AS expense_column_count, 1::BIGINT AS amount_column_count, 1::BIGINT AS category_column_count,
+       (SELECT roles FROM r) AS roles
+FROM orders""")
 def q_auto_analysis(spark, sf):
     """O2: detect roles on the orders table rendered as text, then analyse it.
 
