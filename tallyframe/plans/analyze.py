@@ -98,51 +98,44 @@ def file_metrics(spark, paths, roles: Roles, keys: Sequence[str] = ("source_file
 @dataclass(frozen=True)
 class RoleGroup:
     roles: Roles
-    key_values: tuple
+    keys: DataFrame
     analysis: Analysis
 
 
 def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), sample_rows: int | None = 100,
                  grain: str = "day", week_start: str = "monday", catalog: DataFrame | None = None,
                  **options) -> list[RoleGroup]:
-    """O2 for a fleet: detect roles per key (preview of ``sample_rows`` rows per
-    key), group the keys that share a role assignment, and analyse each group
-    once. The only driver round-trip is the assignment table (≤ 5 rows per key);
-    keys without any money column are left out. With a file ``catalog`` (and
+    """O2 for a fleet: detect roles per key, group the keys that share a role
+    assignment, and analyse each group once.
+
+    The grouping runs in Spark: each key gets a role-set signature and only the
+    distinct signatures come to the driver (one per header layout, not per
+    key); a group's keys stay a DataFrame and select its rows with a semi-join.
+    Keys without any money column are left out. With a file ``catalog`` (and
     ``keys=["source_file"]``) each file is judged on its own columns and its
-    first 100 rows, read from the file's head rather than from a full scan."""
-    from tallyframe.functions import qcol
+    first 100 rows, read from the file's head rather than from a full scan.
+    """
     from tallyframe.operators.detection import detect_roles
     keys = list(keys)
     if catalog is not None:
-        # each file judged on its own first rows, read from its head (bounded)
         from tallyframe.operators.detection import detect_from_cells, preview_cells
         from tallyframe.sources.files import preview_files
         cells = preview_cells(preview_files(df.sparkSession, catalog), keys[0])
         assign, _ = detect_from_cells(cells, keys)
     else:
         assign, _ = detect_roles(df, keys, sample_rows=sample_rows)
-    per_key: dict[tuple, dict[str, str]] = {}
-    for row in assign.collect():
-        k = tuple(row[c] for c in keys)
-        per_key.setdefault(k, {})
-        if row.column:
-            per_key[k][row.role] = row.column
-    groups: dict[tuple, list[tuple]] = {}
-    for k, chosen in per_key.items():
-        groups.setdefault(tuple(sorted(chosen.items())), []).append(k)
+    sig = (assign.where(F.col("column").isNotNull())
+           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("role", "column"))).alias("sig")))
+    sig = sig.persist()
     out = []
-    for chosen, members in groups.items():
-        roles = Roles(**dict(chosen))
+    for row in sig.select("sig").distinct().collect():
+        chosen = {e["role"]: e["column"] for e in row.sig}
+        roles = Roles(**chosen)
         if not roles.has_money_column:
             continue
-        cond = None
-        for k in members:
-            match = None
-            for name, value in zip(keys, k):
-                c = qcol(name).eqNullSafe(F.lit(value))
-                match = c if match is None else match & c
-            cond = match if cond is None else cond | match
-        out.append(RoleGroup(roles, tuple(members),
-                             analyze(df.where(cond), roles, grain, week_start, keys, **options)))
+        literal = F.array(*[F.struct(F.lit(e["role"]).alias("role"), F.lit(e["column"]).alias("column"))
+                            for e in row.sig])
+        members = sig.where(F.col("sig") == literal).select(*keys)
+        group_df = df.join(members, keys, "left_semi")
+        out.append(RoleGroup(roles, members, analyze(group_df, roles, grain, week_start, keys, **options)))
     return out

@@ -101,7 +101,7 @@ def test_fleet_auto_analysis_per_file_roles(spark, tmp_path):
     cat = files.file_catalog(spark, str(tmp_path))
     df = files.read_ledgers(spark, cat)
     groups = auto_analyze(df, ["source_file"], catalog=cat)
-    by_file = {g.key_values[0][0].split("/")[-1]: g for g in groups}
+    by_file = {r.source_file.split("/")[-1]: g for g in groups for r in g.keys.collect()}
     assert set(by_file) == {"en.csv", "ru.csv"}
     assert by_file["en.csv"].roles.amount == ("Total",) and by_file["en.csv"].roles.category == ("Region",)
     ru = by_file["ru.csv"]
