@@ -30,6 +30,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster (a cluster sizes it at submit)
+            builder = builder.config("spark.driver.memory", "8g")
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
