@@ -24,6 +24,7 @@ def _fit(spark, sf, which):
 @query("q_linear_trend", f"""WITH {_ORD_M}
 SELECT series, n::BIGINT AS n, round(slope, 4) AS slope, round(intercept, 4) AS intercept FROM fit""")
 def q_linear_trend(spark, sf):
+    """Least-squares line over the ordinal index of monthly orders."""
     return _fit(spark, sf, "orders").select("series", F.col("n").cast("bigint").alias("n"),
                                             r("slope", 4), r("intercept", 4))
 
@@ -31,18 +32,21 @@ def q_linear_trend(spark, sf):
 @query("q_moving_average", f"""WITH {_ORD_M}
 SELECT series, round(ma_level, 4) AS ma_level, CAST(last_period AS TIMESTAMP) AS last_period FROM fit""")
 def q_moving_average(spark, sf):
+    """moving-average level of the last three months (orders)."""
     return _fit(spark, sf, "orders").select("series", r("ma_level", 4), "last_period")
 
 
 @query("q_forecast_errors", f"""WITH {_SALES_W}
 SELECT series, round(trend_mae, 4) AS trend_mae, round(ma_mae, 4) AS ma_mae FROM fit""")
 def q_forecast_errors(spark, sf):
+    """Trend and moving-average errors from index 3 on (weekly sales)."""
     return _fit(spark, sf, "sales").select("series", r("trend_mae", 4), r("ma_mae", 4))
 
 
 @query("q_forecast_method", f"""WITH {_ORD_M} SELECT 'orders' AS ledger, series, method FROM fit
 UNION ALL (WITH {_SALES_W} SELECT 'sales' AS ledger, series, method FROM fit)""")
 def q_forecast_method(spark, sf):
+    """the chosen method per series for two ledgers."""
     a = _fit(spark, sf, "orders").select(F.lit("orders").alias("ledger"), "series", "method")
     b = _fit(spark, sf, "sales").select(F.lit("sales").alias("ledger"), "series", "method")
     return a.unionByName(b)
@@ -51,6 +55,7 @@ def q_forecast_method(spark, sf):
 @query("q_forecast", f"""WITH {_ORD_M} SELECT 'orders' AS ledger, series, step, period, round(value, 4) AS value, method FROM fc
 UNION ALL (WITH {_SALES_W} SELECT 'sales' AS ledger, series, step, period, round(value, 4) AS value, method FROM fc)""")
 def q_forecast(spark, sf):
+    """Three projected periods per series for monthly orders and weekly sales."""
     out = []
     for name, led, grain in (("orders", views.orders(spark, sf), "month"),
                              ("sales", views.sales(spark, sf), "week")):

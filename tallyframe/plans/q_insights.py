@@ -102,6 +102,7 @@ _BURN_SQL = _burn_sql()
 @query("q_last_change", f"""WITH {SALES}, p AS ({points('sales', 'month', 'k')}), {_last_change_sql('k')}
 SELECT k AS l_linestatus, rule, round(value, 4) AS value, text FROM lc""")
 def q_last_change(spark, sf):
+    """Last month's profit against the one before, per line status."""
     led = views.sales(spark, sf, keyed=True)
     out = insights.last_period_change(series.time_series(led, "month"), led.keys)
     return out.select("l_linestatus", "rule", r("value", 4), "text")
@@ -110,6 +111,7 @@ def q_last_change(spark, sf):
 @query("q_half_trend", f"""WITH {SALES}, p AS ({points('sales', 'week', 'k')}), {_half_sql('k')}
 SELECT k AS l_linestatus, rule, round(value, 4) AS value, text FROM ht""")
 def q_half_trend(spark, sf):
+    """Second half vs first half of weekly profit, per line status."""
     led = views.sales(spark, sf, keyed=True)
     out = insights.half_period_trend(series.time_series(led, "week"), led.keys)
     return out.select("l_linestatus", "rule", r("value", 4), "text")
@@ -118,6 +120,7 @@ def q_half_trend(spark, sf):
 @query("q_category_share", f"""WITH {SALES}, {_CAT_SQL}
 SELECT rule, round(value, 4) AS value, text FROM cs""")
 def q_category_share(spark, sf):
+    """I4: share of turnover held by the leading category."""
     led = views.sales(spark, sf)
     out = insights.category_concentration(metrics.top_categories(led, 25), led.keys)
     return out.select("rule", r("value", 4), "text")
@@ -126,6 +129,7 @@ def q_category_share(spark, sf):
 @query("q_burn_rate", f"""WITH {SALES}, {_BURN_SQL}
 SELECT rule, round(value, 4) AS value, text FROM br""")
 def q_burn_rate(spark, sf):
+    """Daily burn rate and cash-gap sentences."""
     led = views.sales(spark, sf)
     out = insights.burn_rate_and_cash_gap(metrics.basic_metrics(led), led.keys)
     return out.select("rule", r("value", 4), "text")

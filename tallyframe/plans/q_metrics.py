@@ -28,6 +28,7 @@ SELECT count(*)::BIGINT AS transaction_count, round(sum(revenue), 2) AS total_re
        0::BIGINT AS amount_column_count, 1::BIGINT AS category_column_count
 FROM sales""")
 def q_basic_metrics(spark, sf):
+    """M1-M2, M6: totals, per-transaction averages and column counts of the sales ledger."""
     return _basic(metrics.basic_metrics(views.sales(spark, sf)))
 
 
@@ -45,6 +46,7 @@ _PERIOD_SQL = """CAST(min(ts) AS TIMESTAMP) AS date_min, CAST(max(ts) AS TIMESTA
 
 @query("q_period_metrics", f"WITH {SALES}\nSELECT {_PERIOD_SQL} FROM sales")
 def q_period_metrics(spark, sf):
+    """M3-M5: date range, period days and daily averages of the sales ledger."""
     return _period(metrics.basic_metrics(views.sales(spark, sf)))
 
 
@@ -55,6 +57,7 @@ SELECT k AS l_linestatus, count(*)::BIGINT AS transaction_count, round(sum(reven
        {_PERIOD_SQL}
 FROM sales GROUP BY k""")
 def q_metrics_keyed(spark, sf):
+    """M1-M5 per key: totals, averages and date range per line status."""
     m = metrics.basic_metrics(views.sales(spark, sf, keyed=True))
     return m.select("l_linestatus", "transaction_count", r("total_revenue"), r("total_expenses"),
                     r("total_profit"), r("average_revenue", 4), r("average_expense", 4),
@@ -113,6 +116,7 @@ SELECT category, count(*)::BIGINT AS transaction_count, round(sum(revenue), 2) A
        round(sum(0.0::DOUBLE), 2) AS expenses, round(sum(revenue), 2) AS profit
 FROM ords GROUP BY category""")
 def q_category_breakdown(spark, sf):
+    """M7: count and sums per order priority."""
     return _cats(metrics.category_breakdown(views.orders(spark, sf)))
 
 

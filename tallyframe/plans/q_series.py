@@ -24,31 +24,37 @@ def _pts_sql(src_cte, src, grain, keys="", week_start=0, key_alias=None):
 
 @query("q_series_hour", _pts_sql(CASH, "cash", "hour"))
 def q_series_hour(spark, sf):
+    """Hourly points of the event cash flow."""
     return _pts(series.time_series(views.cash(spark, sf), "hour"))
 
 
 @query("q_series_day", _pts_sql(SALES, "sales", "day"))
 def q_series_day(spark, sf):
+    """Daily points of the sales ledger."""
     return _pts(series.time_series(views.sales(spark, sf), "day"))
 
 
 @query("q_series_month", _pts_sql(SALES, "sales", "month", "k", key_alias="l_linestatus"))
 def q_series_month(spark, sf):
+    """T3/T5 per key: monthly points per line status."""
     return _pts(series.time_series(views.sales(spark, sf, keyed=True), "month"), "l_linestatus")
 
 
 @query("q_series_year", _pts_sql(ORDERS, "ords", "year"))
 def q_series_year(spark, sf):
+    """Yearly points of the orders ledger."""
     return _pts(series.time_series(views.orders(spark, sf), "year"))
 
 
 @query("q_series_week_mon", _pts_sql(SALES, "sales", "week", week_start=0))
 def q_series_week_mon(spark, sf):
+    """T4: weekly points, weeks starting on Monday."""
     return _pts(series.time_series(views.sales(spark, sf), "week", "monday"))
 
 
 @query("q_series_week_sun", _pts_sql(SALES, "sales", "week", week_start=6))
 def q_series_week_sun(spark, sf):
+    """T4: weekly points, weeks starting on Sunday."""
     return _pts(series.time_series(views.sales(spark, sf), "week", "sunday"))
 
 
