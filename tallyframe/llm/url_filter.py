@@ -56,8 +56,8 @@ def _block(key: Column, blocks: int) -> Column:
 def _masks(key: Column) -> list[Column]:
     """The bit that ``key`` sets in each word: eight 6-bit slices of a second hash."""
     h = F.xxhash64(F.lit("word"), key)
-    return [F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * w).bitwiseAND(F.lit(63)).cast("int"))
-            for w in range(WORDS)]
+    return [F.call_function("shiftleft", F.lit(1).cast("long"),
+                            F.shiftrightunsigned(h, 6 * w).bitwiseAND(F.lit(63)).cast("int")) for w in range(WORDS)]
 
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
