@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, line_dedup, packing, simhash, token_files, url_filter
+from tallyframe.llm import (
+    ann, bpe, embedding_dups, line_dedup, packing, pii, simhash, token_files, toxicity, url_filter,
+)
 from tallyframe.llm.common import read, tokenizer_path
 from tallyframe.session import configure
 
@@ -93,3 +95,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 3-word shingles, 3 bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_embedding_dups")
+def op3_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more, and groups, of all vectors."""
+    return embedding_dups.near_duplicates(read(spark, sf_dir, "embeddings"), bound=0.9)
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by pseudonyms, and their number."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_replaced")
+
+
+@query("op8_ann")
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each vector whose id is divisible by 100."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows of four folds."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~toxicity.held_out())
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
