@@ -23,20 +23,40 @@ from tallyframe.llm.common import worker_state
 MEMO_CHUNKS = 700_000
 #: Bytes of text per vectorised step.
 STEP_BYTES = 8_000_000
+#: New chunks that go to the library as one text.
+JOINED = 256
 
 
 class ChunkEncoder:
     """``encode(texts)`` gives one ``bytes`` of little-endian uint32 ids per text."""
 
-    def __init__(self, library_batch):
+    def __init__(self, library_batch, starts: np.ndarray | None = None):
         #: list of texts -> list of uint32 id lists (the encoder proper)
         self.library_batch = library_batch
+        #: by id: does its string start with a space or a line feed?
+        self.starts = starts
         self.memo: dict[str, bytes | None] = {}
         self.newline = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self.library_batch(texts)]
 
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with safe edges. Joined, they are still encoded one by one, and
+        only a chunk's first id starts with its separator, so the ids split again."""
+        if self.starts is None:
+            return self._ids(chunks)
+        out: list[bytes] = []
+        groups = [chunks[at:at + JOINED] for at in range(0, len(chunks), JOINED)]
+        for group, ids in zip(groups, self.library_batch(["".join(g) for g in groups])):
+            ids = np.array(ids, "<u4")
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(cuts) != len(group) or cuts[0] != 0:
+                raise ValueError("the vocabulary joins chunks")
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        return out
+
     @staticmethod
     def _edges_are_safe(piece: str) -> bool:
         body = piece[1:] if piece.startswith("\n") else piece
@@ -51,7 +71,7 @@ class ChunkEncoder:
                 missing = pieces
             safe = [p for p in missing if self._edges_are_safe(p)]
             memo.update(dict.fromkeys(missing))
-            memo.update(zip(safe, self._ids([p if p[0] == "\n" else " " + p for p in safe])))
+            memo.update(zip(safe, self._chunk_ids([p if p[0] == "\n" else " " + p for p in safe])))
         return [memo[p] for p in pieces]
 
     def _step(self, texts: pa.Array) -> list[bytes]:
@@ -99,5 +119,8 @@ def library_encoder(path: str) -> ChunkEncoder:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        return ChunkEncoder(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+        # byte-level vocabularies write a space as U+0120 and a line feed as U+010A
+        starts = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+        starts[[i for s, i in tok.get_vocab().items() if s[0] in "\u0120\u010a"]] = True
+        return ChunkEncoder(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], starts)
     return worker_state(("library", path), make)
