@@ -185,7 +185,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     "start": pa.array(ends - lens + row["base"] + row["before"], pa.int64()),
                     "n_tokens": pa.array(lens, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return (segments.join(base, "shard").select("base", "before", "doc_ids", "doc_lens", "payload")
+    # base: a row of two numbers per write task
+    return (segments.join(F.broadcast(base), "shard").select("base", "before", "doc_ids", "doc_lens", "payload")
             .mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
