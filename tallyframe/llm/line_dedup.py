@@ -83,7 +83,8 @@ class LineRuns:
     def repeated(self) -> DataFrame:
         """Keys found in ``min_docs`` documents or more."""
         paths = [p for level in self.levels for p in level]
-        return self._merged(paths).where(F.col("docs") >= self.min_docs)
+        counts = self._read(paths) if len(paths) == 1 else self._merged(paths)
+        return counts.where(F.col("docs") >= self.min_docs)
 
     def add(self, keys: DataFrame) -> None:
         """Take in a batch: rows (h1, h2), one per line key and document."""
@@ -142,8 +143,8 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
         runs.add(staged_keys.where(F.col("batch") == b).select("h1", "h2"))
     runs.compact(everything=True)
     repeated = runs.repeated().select("h1", "h2")
-    # a document's dropped keys: rows of a repeated line are split over tasks by AQE's
-    # skewed-join handling, then gathered per document
+    # a document's dropped keys: both sides are shuffled tables, so AQE splits the rows
+    # of a very common line over tasks; then they are gathered per document
     drops = (staged_keys.join(repeated.hint("merge"), ["h1", "h2"], "left_semi")
              .groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("__ld_drops"))
              .withColumnRenamed("row", "__ld_of"))
