@@ -199,29 +199,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUNK_ROW
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED,
                     chunk_rows: int = CHUNK_ROWS, bands: int | None = None) -> DataFrame:
-    """(doc_id, rk, fp, component_id): one row per row of ``docs``."""
+    """(doc_id, rk, fp, group, component_id): one row per row of ``docs``. ``group`` is
+    the smallest fingerprint of the group, which unlike an id is never shared."""
     fps = staged(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(distinct.select("fp"), radius, chunk_rows, bands))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low")
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return (fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "rk", "fp", "component_id"))
+    classes = classes.join(lowest, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("group"), "component_id")
+    return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "rk", "fp", "group", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest
     doc_id (nulls last), on ties the smallest row key; equal rows leave one."""
     columns = docs.columns
-    found = near_duplicates(docs, **options)
     # a group's best row is a minimum of partial aggregates: a hot group is one row per task
-    best = found.groupBy("fp", "component_id").agg(
+    best = near_duplicates(docs, **options).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("best"))
-    # groups without any id stay apart by fingerprint root
-    best = best.withColumn("_g", F.when(F.col("component_id").isNull(), F.col("fp")))
-    best = best.groupBy("component_id", "_g").agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.rk").alias("_keep_rk")).distinct()
-    keyed = docs.withColumn("_rk", row_key())
-    kept = keyed.join(keep, (F.col("_rk") == F.col("_keep_rk")), "left_semi")
-    return kept.dropDuplicates(["_rk"]).select(*[F.col(f"`{c}`") for c in columns])
+    keep = best.select(F.col("best.rk").alias("_keep"))
+    keyed = docs.withColumn("__sim_rk", row_key())
+    kept = keyed.join(keep, F.col("__sim_rk") == F.col("_keep"), "left_semi")
+    return kept.dropDuplicates(["__sim_rk"]).select(*[F.col(f"`{c}`") for c in columns])
