@@ -1,11 +1,11 @@
 """Toxic passages by maximum-scoring segment search.
 
 Model. Every token gets the log-odds of its word between toxic and other labelled
-documents, with an informative Dirichlet prior: the word frequencies of the whole
-corpus, all documents counted. Log-odds below ``Z_LEAST`` standard errors count as
-zero, and every token pays ``DRIFT``, so ordinary text scores negative. Words are
-hashed into ``BUCKETS`` buckets, so the model has a fixed size however large the
-vocabulary grows.
+documents (a word counts once for a document), with an informative Dirichlet prior:
+the word frequencies of the whole corpus, all documents counted, over a flat floor.
+Log-odds below ``Z_LEAST`` standard errors count as zero, and every token pays
+``DRIFT``, so ordinary text scores negative. Words are hashed into ``BUCKETS`` buckets,
+so the model has a fixed size however large the vocabulary grows.
 
 Search. One linear pass finds all maximal scoring segments of a text (each run of
 tokens whose total cannot be raised by extending or shortening it).
@@ -15,8 +15,9 @@ chance of one of at least ``s`` in ``n`` tokens is ``1 - exp(-K n exp(-lambda s)
 with ``lambda`` solved from the token scores of the corpus and ``K`` fitted on
 labelled documents that are not toxic. Segments with an expected count of at most
 ``E_MOST`` are passages; a document's evidence is the excess ``lambda s - ln(K n)``
-of its best segment and the sum over its passages, mapped to a probability by a
-logistic regression on labelled documents held out from the word counts.
+of its best segment, the sum over its passages, its best and summed ``lambda s`` and
+its length, mapped to a probability by a logistic regression on labelled documents
+held out from the word counts.
 
 Labels are learnt from a bounded sample (``TRAIN_ROWS``, smallest hashes of the id) of
 the labelled rows that ``is_training`` admits. Labels, language, source and id are
@@ -44,11 +45,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import worker_state
 
-BUCKETS = 2 ** 18
+BUCKETS = 2 ** 20
 TRAIN_ROWS = 50_000
-PRIOR = 1000.0
-Z_LEAST = 4.0
-DRIFT = 0.25
+#: Weight of the corpus frequencies, and the flat floor of each word, in documents.
+PRIOR, FLOOR = 100.0, 0.5
+Z_LEAST = 3.3
+DRIFT = 0.5
 SCORE_MOST = 8.0
 E_MOST = 0.05
 #: Bytes of text per vectorised step.
@@ -119,32 +121,37 @@ class Model:
     scores: np.ndarray  # by bucket
     lam: float = 1.0
     log_k: float = 0.0
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0,) * 6
     constant: float | None = None
 
     def excess(self, score: float, n: int) -> float:
         return self.lam * score - self.log_k - math.log(max(n, 1))
 
-    def passages(self, buckets: np.ndarray) -> tuple[list[tuple[int, int, float]], float, float]:
-        """(significant segments, best excess, summed excess of the significant)."""
-        n = len(buckets)
-        found = [(a, b, self.excess(s, n)) for a, b, s in segments(self.scores[buckets])]
-        sure = [x for x in found if x[2] >= -math.log(E_MOST)]
-        return sure, max([0.0, *(x[2] for x in found)]), sum(x[2] for x in sure)
+    def evidence(self, scores: list[float], n: int) -> list[float]:
+        """What the regression sees of a text: from its segments' scores and length."""
+        over = [self.excess(x, n) for x in scores]
+        raw = [self.lam * x for x in scores]
+        return [1.0, min(max([0.0, *over]), 50.0) / 10, math.log1p(sum(x for x in over if x >= -math.log(E_MOST))),
+                max([0.0, *raw]) / 10, math.log1p(sum(x for x in raw if x > 1)), math.log(max(n, 1)) / 10]
 
-    def probability(self, best: float, summed: float) -> float:
+    def judge(self, buckets: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """(probability, passages) of a text."""
+        n = len(buckets)
+        found = segments(self.scores[buckets])
+        over = [(a, b, self.excess(x, n)) for a, b, x in found]
+        sure = [x for x in over if x[2] >= -math.log(E_MOST)]
         if self.constant is not None:
-            return self.constant
-        w = self.weights
-        z = w[0] + w[1] * min(best, 50.0) / 10 + w[2] * math.log1p(summed)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return self.constant, sure
+        z = sum(w * x for w, x in zip(self.weights, self.evidence([x for _, _, x in found], n)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), sure
 
 
-def log_odds(all_docs: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Token scores by bucket from its counts in all, toxic and other documents."""
-    prior = PRIOR * (all_docs + 0.01) / (all_docs.sum() + 0.01 * len(all_docs))
+def log_odds(all_docs: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Token scores by bucket: from its count in the corpus, and the toxic and other
+    documents that hold it, of ``n_toxic`` and ``n_other``."""
+    prior = PRIOR * (all_docs + 0.01) / (all_docs.sum() + 0.01 * len(all_docs)) + FLOOR
     a, b = toxic + prior, other + prior
-    odds = np.log(a / (toxic.sum() + PRIOR - a)) - np.log(b / (other.sum() + PRIOR - b))
+    odds = np.log(a / (n_toxic + 1)) - np.log(b / (n_other + 1))
     z = odds / np.sqrt(1 / a + 1 / b)
     return np.clip(np.where(np.abs(z) >= Z_LEAST, odds, 0.0), -SCORE_MOST, SCORE_MOST) - DRIFT
 
@@ -179,7 +186,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``is_training`` is
     a condition on ``doc_id``. Two passes over the texts; what reaches the driver is the
-    bucket counts and two numbers for each sampled row."""
+    bucket counts and the segment scores of the sampled rows that calibrate."""
     sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(F.col("toxic").isNotNull() & is_training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(train_rows))
@@ -197,9 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, train_rows: int
             for step in _steps(part, 0):
                 flat, ends = tokens(step.column(0))
                 sums[0] += np.bincount(flat, minlength=BUCKETS)
-                kinds = np.repeat(step.column(1).to_numpy(), np.diff(ends))
-                for kind in (1, 2):
-                    sums[kind] += np.bincount(flat[kinds == kind], minlength=BUCKETS)
+                kinds = step.column(1).to_numpy()
+                for k in np.flatnonzero(kinds).tolist():
+                    sums[kinds[k], np.unique(flat[ends[k]:ends[k + 1]])] += 1
         held = np.flatnonzero(sums[0])
         for at in range(0, len(held), 50_000):
             own = held[at:at + 50_000]
@@ -209,45 +216,41 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, train_rows: int
     counts = (joined.mapInArrow(count, "bucket int, n long, toxic long, other long").groupBy("bucket")
               .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas())
     n, toxic, other = (np.bincount(counts["bucket"], counts[c], BUCKETS) for c in ("n", "toxic", "other"))
-    model = Model(log_odds(n, toxic, other))
+    seen = sample.groupBy((F.col("toxic") > 0).alias("toxic"), "calibrates").count().collect()
+    n_toxic, n_other = (sum(r["count"] for r in seen if r.toxic == t and not r.calibrates) for t in (True, False))
+    model = Model(log_odds(n, toxic, other, n_toxic, n_other))
     model.lam = extreme_value_rate(model.scores, n)
-    evidence = _evidence(marked.join(sample, F.col("doc_id") == F.col("_id")).where("calibrates")
-                         .select("doc_id", "text", "toxic"), model).toPandas()
-    y = (evidence["toxic"].to_numpy() > 0).astype(float)
-    if len(y) == 0 or y.min() == y.max() or not toxic.sum() or not other.sum():
-        seen = sample.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-        model.constant = float(seen or 0.0)
+    held = _segment_scores(marked.join(sample, F.col("doc_id") == F.col("_id")).where("calibrates")
+                           .select("text", "toxic"), model).toPandas()
+    y = (held["toxic"].to_numpy() > 0).astype(float)
+    if len(y) == 0 or y.min() == y.max() or not n_toxic or not n_other:
+        total = sum(r["count"] for r in seen)
+        model.constant = sum(r["count"] for r in seen if r.toxic) / total if total else 0.0
         return model
     # K by moments of the extreme-value law: its mean is (ln(K n) + 0.5772) / lambda
-    raw, length = evidence["top"].to_numpy(), np.maximum(evidence["n"].to_numpy(), 1)
-    model.log_k = float((model.lam * raw - np.log(length))[y == 0].mean()) - 0.5772
-    evidence = _evidence(marked.join(sample, F.col("doc_id") == F.col("_id")).where("calibrates")
-                         .select("doc_id", "text", "toxic"), model).toPandas()
-    y = (evidence["toxic"].to_numpy() > 0).astype(float)
-    x = np.stack([np.ones(len(evidence)), np.minimum(evidence["best"], 50) / 10, np.log1p(evidence["summed"])], axis=1)
+    length = np.maximum(held["n"].to_numpy(), 1)
+    top = np.array([max([0.0, *x]) for x in held["scores"]])
+    model.log_k = float((model.lam * top - np.log(length))[y == 0].mean()) - 0.5772
+    x = np.array([model.evidence(list(own), k) for own, k in zip(held["scores"], length.tolist())])
     model.weights = tuple(logistic(x, y).tolist())
     return model
 
 
-def _evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, toxic, n, top (best raw score), best, summed for docs with toxic."""
+def _segment_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """toxic, n (tokens), scores (of all segments) for docs (text, toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for part in parts:
-            for step in _steps(part, 1):
-                flat, ends = tokens(step.column(1))
-                rows = []
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    _, best, summed = m.passages(flat[a:b])
-                    top = max([0.0, *(s for _, _, s in segments(m.scores[flat[a:b]]))])
-                    rows.append((b - a, top, best, summed))
-                cols = [pa.array([r[k] for r in rows], pa.int64() if not k else pa.float64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), *cols],
-                                                 ["doc_id", "toxic", "n", "top", "best", "summed"])
+            for step in _steps(part, 0):
+                flat, ends = tokens(step.column(0))
+                found = [[x for _, _, x in segments(m.scores[flat[a:b]])] for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [step.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(found, pa.list_(pa.float64()))],
+                    ["toxic", "n", "scores"])
 
-    return docs.mapInArrow(run, "doc_id long, toxic int, n long, top double, best double, summed double")
+    return docs.mapInArrow(run, "toxic int, n long, scores array<double>")
 
 
 #: A passage: its first token, the token after its last, and its excess.
@@ -266,15 +269,13 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
-        positive = m.scores > 0
         for part in parts:
             for step in _steps(part, at):
                 flat, ends = tokens(step.column(at))
-                marks = np.concatenate([[0], np.cumsum(positive[flat])])
                 scores, found = [], []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    sure, best, summed = m.passages(flat[a:b]) if marks[b] > marks[a] else ([], 0.0, 0.0)
-                    scores.append(m.probability(best, summed))
+                    probability, sure = m.judge(flat[a:b])
+                    scores.append(probability)
                     found.append([{"first": i, "last": j, "excess": x} for i, j, x in sure])
                 yield pa.RecordBatch.from_arrays(
                     [*(step.column(k) for k in range(at)), pa.array(scores, pa.float64()), pa.array(found, spans)],
