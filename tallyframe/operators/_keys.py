@@ -35,16 +35,6 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*[df[qname(c)] for c in df.columns], *[renamed[qname(c)] for c in cols])
 
 
-def key_window(keys: Sequence[str], *extra: str) -> Window:
-    """Window partitioned by keys (+extra). Used only on aggregated rows."""
-    parts = list(keys) + list(extra)
-    return Window.partitionBy(*parts) if parts else Window.partitionBy()
-
-
-def group(df: DataFrame, keys: Sequence[str], *extra: str | Column):
-    return df.groupBy(*list(keys), *extra)
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: list[Column], k: int | None,
           rank_col: str = "rank") -> DataFrame:
     """First ``k`` rows per key by ``order`` with a 1-based ``rank`` column.
@@ -52,14 +42,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: list[Column], k: int | None
     Keyed: ``row_number`` filtered to k, which Spark plans as a WindowGroupLimit
     (partial top-k before the shuffle). One ledger: ``orderBy().limit(k)`` — a
     distributed TakeOrdered — and the rank is numbered over the k rows only.
-    ``k=None`` keeps every row (keyed only ranks; one ledger returns no rank).
+    ``k=None`` keeps and ranks every row; without keys that numbers all rows in one
+    task, so it is for aggregated rows (periods, categories, anomalies).
     """
     keys = list(keys)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*order)
         ranked = df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
         return ranked if k is None else ranked.where(F.col(rank_col) <= k)
-    if k is None:
-        return df.withColumn(rank_col, F.lit(None).cast("bigint"))
-    limited = df.orderBy(*order).limit(k)
+    limited = df if k is None else df.orderBy(*order).limit(k)
     return limited.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

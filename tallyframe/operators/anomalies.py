@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators._keys import top_k
+from tallyframe.operators._keys import attach, top_k
 from tallyframe.operators.series import SERIES_LABELS, long_visible, visible_series
 from tallyframe.roles import Ledger
 
@@ -145,11 +145,7 @@ def anomaly_status(points: DataFrame, ledger: Ledger) -> DataFrame:
     visible = visible_series(points, ledger).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_visible"))
     found = all_anomalies(points, ledger).groupBy(*keys).agg(F.count(F.lit(1)).alias("total_found"))
     base = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
-    if keys:
-        base = base.join(visible, keys, "left").join(found, keys, "left")
-    else:
-        base = (base.withColumn("n_visible", visible.select(F.first("n_visible")).scalar())
-                .withColumn("total_found", found.select(F.first("total_found")).scalar()))
+    base = attach(attach(base, visible, keys), found, keys)
     n_vis = F.coalesce("n_visible", F.lit(0))
     tot = F.coalesce("total_found", F.lit(0)).cast("bigint")
     msg = (F.when(F.col("n_points") == 0, F.lit(MSG_NO_POINTS))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.format import format_count, format_date, format_money
+from tallyframe.operators._keys import attach
 from tallyframe.operators.insights import generate_insights
 from tallyframe.operators.labels import label, label_col, series_label_col
 from tallyframe.operators.series import GRAINS
@@ -145,10 +146,7 @@ def forecast_table(forecasts: DataFrame, keys, horizon: int, language: str) -> D
             .pivot("step", steps).agg(F.first("money")))
     firsts = forecasts.where(F.col("step") == 0).groupBy(*keys).agg(
         format_date(F.min("period")).alias("first_period"))
-    if keys:
-        wide = wide.join(firsts, keys, "left")
-    else:
-        wide = wide.withColumn("first_period", firsts.select(F.first("first_period")).scalar())
+    wide = attach(wide, firsts, keys)
     method = label_col(language, F.concat(F.lit("forecast_method_"), F.col("method")))
     return wide.select(*keys, series_label_col(language, F.col("series")).alias("indicator"),
                        *[F.col(str(s)).alias(f"step_{s + 1}") for s in steps],

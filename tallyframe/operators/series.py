@@ -118,17 +118,6 @@ def long_visible(points: DataFrame, ledger: Ledger) -> DataFrame:
     return long.where(F.array_contains("__vis", F.col("series"))).drop("__vis")
 
 
-def long_points(points: DataFrame, visible: DataFrame, keys) -> DataFrame:
-    """Visible series of the points in long form ``keys…, period, series, series_order, value``."""
-    keys = list(keys)
-    # long form via inline(array(struct)) — a Generate, which stays in codegen
-    pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(s).cast("double").alias("value"))
-                      for s in SERIES])
-    long = points.select(*keys, "period", F.inline(pairs))
-    return long.join(visible, keys + ["series"], "inner") if keys else \
-        long.join(visible, ["series"], "inner")
-
-
 def period_label(period: Column, grain: str) -> Column:
     """Display label per grain: hour → 'yyyy-MM-dd HH:mm', month → 'yyyy-MM', year → 'yyyy', else date."""
     grain = normalize_grain(grain)

@@ -14,10 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import qcol
 from tallyframe.operators import anomalies, forecast, metrics, series
+from tallyframe.operators._keys import attach
+from tallyframe.operators.partials import raw_rollup
 from tallyframe.operators.prepare import prepare
 from tallyframe.roles import Ledger, Roles
 from tallyframe.session import ensure_checkpoint_dir
@@ -63,7 +66,9 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
     week_start = series.normalize_week_start(week_start)
     if materialize:
         # one scan + one shuffle of the ledger for all three, materialised once
-        roll = _materialize(metrics.ledger_rollup(ledger, grain, week_start), materialize)
+        roll = (metrics.ledger_rollup(ledger, grain, week_start) if isinstance(data, Ledger)
+                else raw_rollup(data, roles, keys, grain, week_start))
+        roll = _materialize(roll, materialize)
         points = metrics.points_from_rollup(roll, ledger)
         basic = metrics.basic_from_rollup(roll, ledger)
         categories = metrics.ranked_categories(metrics.categories_from_rollup(roll, ledger), ledger,
@@ -92,50 +97,72 @@ def file_metrics(spark, paths, roles: Roles, keys: Sequence[str] = ("source_file
         raise ValueError("Select at least one column to load.")
     catalog = file_sources.file_catalog(spark, paths)
     df = file_sources.read_ledgers(spark, catalog, columns=list(roles.selected()))
-    return metrics.basic_metrics(prepare(df, roles, keys))
+    ledger = prepare(df, roles, keys)
+    return metrics.basic_from_rollup(raw_rollup(df, roles, keys), ledger)
 
 
 @dataclass(frozen=True)
-class RoleGroup:
-    roles: Roles
-    keys: DataFrame
-    analysis: Analysis
-
-
-def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), sample_rows: int | None = 100,
-                 grain: str = "day", week_start: str = "monday", catalog: DataFrame | None = None,
-                 **options) -> list[RoleGroup]:
-    """O2 for a fleet: detect roles per key, group the keys that share a role
-    assignment, and analyse each group once.
-
-    The grouping runs in Spark: each key gets a role-set signature and only the
-    distinct signatures come to the driver (one per header layout, not per
-    key); a group's keys stay a DataFrame and select its rows with a semi-join.
-    Keys without any money column are left out. With a file ``catalog`` (and
-    ``keys=["source_file"]``) each file is judged on its own columns and its
-    first 100 rows, read from the file's head rather than from a full scan.
+class Fleet:
+    """Results for many ledgers, each with its own roles. ``roles`` has a row per key
+    and role (``column`` null where none was found); ``basic`` a row per key with its
+    roles as text; ``categories`` and ``points`` as for one ledger, by key. Keys
+    without a money column are left out."""
+
+    roles: DataFrame
+    basic: DataFrame
+    categories: DataFrame
+    points: DataFrame
+    ledger: Ledger
+
+
+CANONICAL = {"date": "__date", "revenue": "__revenue", "expense": "__expense", "amount": "__amount",
+             "category": "__category"}
+
+
+def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), grain: str = "day",
+                 week_start: str = "monday", members: DataFrame | None = None,
+                 category_limit: int | None = metrics.ANALYSIS_CATEGORY_LIMIT) -> Fleet:
+    """O2 for a fleet: detect roles per key from all its rows, then analyse all keys
+    together in one pass.
+
+    Each key's chosen columns (five names) are joined to its rows, which then show
+    them under one name per role; so a single keyed preparation and rollup serves
+    all keys, however many role sets there are. ``members`` (keys, column) restricts
+    the detection of a key to its own columns.
     """
-    from tallyframe.operators.detection import detect_roles
+    from tallyframe.operators.detection import as_text, detect_roles
     keys = list(keys)
-    if catalog is not None:
-        from tallyframe.operators.detection import detect_from_cells, preview_cells
-        from tallyframe.sources.files import preview_files
-        cells = preview_cells(preview_files(df.sparkSession, catalog), keys[0])
-        assign, _ = detect_from_cells(cells, keys)
-    else:
-        assign, _ = detect_roles(df, keys, sample_rows=sample_rows)
-    sig = (assign.where(F.col("column").isNotNull())
-           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("role", "column"))).alias("sig")))
-    sig = sig.persist()
-    out = []
-    for row in sig.select("sig").distinct().collect():
-        chosen = {e["role"]: e["column"] for e in row.sig}
-        roles = Roles(**chosen)
-        if not roles.has_money_column:
-            continue
-        literal = F.array(*[F.struct(F.lit(e["role"]).alias("role"), F.lit(e["column"]).alias("column"))
-                            for e in row.sig])
-        members = sig.where(F.col("sig") == literal).select(*keys)
-        group_df = df.join(members, keys, "left_semi")
-        out.append(RoleGroup(roles, members, analyze(group_df, roles, grain, week_start, keys, **options)))
-    return out
+    ensure_checkpoint_dir(df.sparkSession)
+    assign, _ = detect_roles(df, keys, members=members)
+    assign = assign.checkpoint()
+    chosen = assign.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("role") == role, F.col("column"))).alias(name + "_of") for role, name in CANONICAL.items()],
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("column").isNotNull(), F.concat(
+            F.col("role"), F.lit("="), F.col("column"))))), ", ").alias("roles"))
+    money = [CANONICAL[m] + "_of" for m in ("revenue", "expense", "amount")]
+    chosen = chosen.where(F.coalesce(*money).isNotNull())
+    missing = [r[0] for r in assign.where(F.col("column").isNotNull()).select("column").distinct().collect()
+               if r[0] not in df.columns]
+    if missing:
+        raise ValueError(f"Columns not found: {missing}")
+    rows = attach(df, chosen, keys).where(F.col("roles").isNotNull())
+    columns = [c for c in df.columns if c not in keys]
+
+    def picked(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col(name + "_of") == c, as_text(qcol(c), df.schema[c].dataType)) for c in columns])
+
+    canonical = rows.select(*[qcol(k) for k in keys], *[picked(name).alias(name) for name in CANONICAL.values()])
+    ledger = prepare(canonical, Roles(**CANONICAL), keys)
+    roll = _materialize(raw_rollup(canonical, Roles(**CANONICAL), keys, grain, week_start), "checkpoint")
+    basic = attach(metrics.basic_from_rollup(roll, ledger), chosen.select(*keys, "roles"), keys)
+    return Fleet(assign, basic,
+                 metrics.ranked_categories(metrics.categories_from_rollup(roll, ledger), ledger, category_limit),
+                 metrics.points_from_rollup(roll, ledger), ledger)
+
+
+def fleet_analysis(spark, catalog: DataFrame, **options) -> Fleet:
+    """``auto_analyze`` of a catalog's files, each judged on its own columns."""
+    from tallyframe.sources import files as file_sources
+    members = catalog.where(F.col("status") == "ok").select(F.col("path").alias("source_file"),
+                                                            F.explode("column_names").alias("column"))
+    return auto_analyze(file_sources.read_ledgers(spark, catalog), ["source_file"], members=members, **options)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.dates import parse_date_text
+from tallyframe.functions.dates import parse_date_text, unreadable
 from tallyframe.functions.money import with_profile_number
 from tallyframe.operators import metrics
+from tallyframe.operators.partials import raw_rollup
 from tallyframe.operators.prepare import clean_money, prepare
 from tallyframe.plans import views
 from tallyframe.plans.registry import query, r
@@ -35,8 +36,7 @@ def q_clean_money(spark, sf):
 
 
 def _profile_sql() -> str:
-    from tallyframe.functions.money import _currency_regex
-    cur = _currency_regex().replace("'", "''")
+    from tallyframe.plans.sql_detect import has_currency
     return f"""WITH {RAW},
 k AS (SELECT money_kind, trim(money_text) AS s, regexp_replace(trim(money_text), '[^0-9,.+()-]', '', 'g') AS kept FROM raw),
 n AS (SELECT *, replace(replace(kept, '(', ''), ')', '') AS nums FROM k),
@@ -52,7 +52,7 @@ sg AS (SELECT *, CASE WHEN starts_with(kept, '(') AND ends_with(kept, ')') AND N
                       THEN '-' || norm0 ELSE norm0 END AS norm FROM nm),
 pv AS (SELECT money_kind, sep,
          CASE WHEN s = '' OR regexp_matches(s, '[{{}}\\[\\]:]')
-                   OR (regexp_matches(lower(s), '[a-zа-я]') AND NOT regexp_matches(lower(s), '{cur}'))
+                   OR (regexp_matches(lower(s), '[a-zа-я]') AND NOT {has_currency('s')})
                    OR NOT regexp_matches(kept, '\\d') OR NOT regexp_matches(norm, '^-?(\\d+\\.?\\d*|\\.\\d+)$')
               THEN NULL ELSE CAST(norm AS DOUBLE) END AS v FROM sg)
 SELECT money_kind, count(*)::BIGINT AS n, count(v)::BIGINT AS parsed, round(sum(v), 2) AS parsed_total,
@@ -72,13 +72,28 @@ def q_money_parse(spark, sf):
 
 
 @query("q_clean_dates", f"""WITH {RAW}
-SELECT date_kind, count(*)::BIGINT AS n, count(ts)::BIGINT AS valid, min(ts) AS first_ts, max(ts) AS last_ts
-FROM (SELECT date_kind, {date_sql('date_text')} AS ts FROM raw) GROUP BY date_kind""")
+SELECT date_kind, count(*)::BIGINT AS n, count(ts)::BIGINT AS valid, count(*) FILTER (WHERE ts IS NULL)::BIGINT AS unreadable,
+       min(ts) AS first_ts, max(ts) AS last_ts
+FROM (SELECT date_kind, {date_sql('date_text')} AS ts FROM raw) GROUP BY date_kind
+UNION ALL SELECT 10 + o_orderkey % 5, count(*), count(*), 0, min(o_orderdate + to_hours(h)), max(o_orderdate + to_hours(h))
+FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate,
+             CASE o_orderkey % 5 WHEN 1 THEN 15 ELSE 0 END AS h FROM orders
+      WHERE o_orderkey % 5 <> 4 OR day(o_orderdate) > 12) GROUP BY o_orderkey % 5""")
 def q_clean_dates(spark, sf):
-    """Every cell read on its own (ISO, day-first, time and offset)."""
+    """Every cell read on its own: ISO, day-first, time and offset, and (kinds 10
+    to 14) month names in both orders, compact ISO, AM/PM, month-first where the day is
+    over 12."""
     raw = views.raw_orders(spark, sf)
-    p = raw.select("date_kind", parse_date_text(F.col("date_text")).alias("ts"))
+    o, d = views.table(spark, sf, "orders"), F.col("o_orderdate")
+    kind = F.col("o_orderkey") % 5
+    text = (F.when(kind == 0, F.date_format(d, "d MMMM yyyy")).when(kind == 1, F.date_format(d, "MMM d, yyyy '3:00 PM'"))
+            .when(kind == 2, F.date_format(d, "yyyyMMdd")).when(kind == 3, F.date_format(d, "yyyy-MM-dd'T12:00:00 AM'"))
+            .otherwise(F.date_format(d, "MM/dd/yyyy")))
+    more = o.where((kind != 4) | (F.dayofmonth(d) > 12)).select((kind + 10).alias("date_kind"), text.alias("date_text"))
+    cells = raw.select("date_kind", "date_text").unionAll(more)
+    p = cells.withColumn("ts", parse_date_text(F.col("date_text")))
     return p.groupBy("date_kind").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("valid"),
+                                      F.count_if(unreadable(F.col("date_text"), F.col("ts"))).alias("unreadable"),
                                       F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
@@ -91,9 +106,8 @@ GROUP BY o_orderpriority""")
 def q_first_valid_date(spark, sf):
     """P5 per key: the first selected date column with a valid date is used."""
     raw = views.raw_orders(spark, sf)
-    led = prepare(raw, Roles(date=["alt_date", "date_text"], revenue="clean_text"), keys=["o_orderpriority"])
-    return led.df.groupBy("o_orderpriority").agg(F.count("ts").alias("dated_rows"), F.min("ts").alias("date_min"),
-                                                F.max("ts").alias("date_max"))
+    roll = raw_rollup(raw, Roles(date=["alt_date", "date_text"], revenue="clean_text"), ["o_orderpriority"])
+    return roll.where("level = 'total'").select("o_orderpriority", "dated_rows", "date_min", "date_max")
 
 
 @query("q_prepared", f"""WITH {RAW},
@@ -107,9 +121,6 @@ FROM c GROUP BY category""")
 def q_prepared(spark, sf):
     """Raw text ledger → prepared ledger (signed amount, dates, category)."""
     raw = views.raw_orders(spark, sf)
-    led = prepare(raw, Roles(date="date_text", amount="money_text", category="o_orderpriority"))
-    cats = metrics.category_breakdown(led)
-    dated = led.df.groupBy("category").agg(F.sum(F.col("amount")).alias("amount"),
-                                           F.count("ts").alias("dated_rows"))
-    return cats.join(dated, "category").select("category", "transaction_count", r("revenue"), r("expenses"),
-                                               r("amount"), "dated_rows")
+    roll = raw_rollup(raw, Roles(date="date_text", amount="money_text", category="o_orderpriority"))
+    return roll.where("level = 'category'").select("category", "transaction_count", r("revenue"), r("expenses"),
+                                                   r("amount"), "dated_rows")

@@ -15,7 +15,7 @@ from tallyframe.plans.registry import query, r
 from tallyframe.plans.sql_detect import DETECT_TABLES, assignment_ctes, norm_sql, profile_ctes, score_ctes
 from tallyframe.roles import Roles
 
-_RATIOS = ("date_ratio", "numeric_ratio", "decimal_ratio", "currency_or_sign_ratio", "long_integer_ratio",
+_RATIOS = ("unique_ratio", "date_ratio", "numeric_ratio", "decimal_ratio", "currency_or_sign_ratio", "long_integer_ratio",
            "small_integer_ratio", "zero_ratio")
 
 
@@ -28,6 +28,13 @@ def cells(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def headers(spark, sf):
+    """The column names of every profiled table, from the schemas alone."""
+    rows = [(table, i, c) for table, cols in DETECT_TABLES.items()
+            for i, c in enumerate(views.table(spark, sf, table).select(*cols).columns)]
+    return spark.createDataFrame(rows, "source string, position long, column string")
+
+
 def profile(spark, sf):
     return D.column_profile(cells(spark, sf), ["source"])
 
@@ -53,7 +60,7 @@ SELECT source, count(*)::BIGINT AS n_columns,
 FROM hdr GROUP BY source""")
 def q_weak_headers(spark, sf):
     """D2 per source table."""
-    return D.weak_headers(profile(spark, sf).select("source", "column"), ["source"]) \
+    return D.weak_headers(headers(spark, sf), ["source"]) \
         .select("source", "n_columns", "n_weak", "weak_headers")
 
 
@@ -61,8 +68,7 @@ def q_weak_headers(spark, sf):
 SELECT source, "column", role, ks AS score, kr AS reason FROM ks""")
 def q_keyword_scores(spark, sf):
     """D3: header keyword scores for the five roles, generic amount and direction lists."""
-    cat = profile(spark, sf).select("source", "position", "column")
-    return D.keyword_scores(cat, ["source"]).select("source", "column", "role", "score", "reason")
+    return D.keyword_scores(headers(spark, sf), ["source"]).select("source", "column", "role", "score", "reason")
 
 
 @query("q_column_profile", f"""WITH {profile_ctes()}
@@ -108,6 +114,17 @@ def q_money_candidates(spark, sf):
     return c.select("source", "rank", "column", "confidence", "reason")
 
 
+@query("q_role_candidates", f"""WITH {score_ctes()}
+SELECT source, role, rank, "column", confidence, reason FROM (
+  SELECT source, role, "column", round(score, 2) AS confidence, reason,
+         row_number() OVER (PARTITION BY source, role ORDER BY round(score, 2) DESC, position)::BIGINT AS rank
+  FROM rs WHERE score > 0) WHERE rank <= 5""")
+def q_role_candidates(spark, sf):
+    """The five best columns per table for every role, money and direction."""
+    c = D.role_candidates(scores(spark, sf), ["source"])
+    return c.select("source", "role", "rank", "column", "confidence", "reason")
+
+
 @query("q_role_scores", f"""WITH {score_ctes()}
 SELECT source, "column", role, round(score, 4) AS score, reason FROM rs""")
 def q_role_scores(spark, sf):
@@ -120,10 +137,7 @@ SELECT asg.source, role, "column", confidence, reason, weak_headers, needs_confi
 FROM asg JOIN conf USING (source)""")
 def q_role_assignment(spark, sf):
     """D14 + D15: greedy role assignment and the confirmation flag per table."""
-    prof = profile(spark, sf)
-    sc = D.role_scores(prof, ["source"])
-    weak = D.weak_headers(prof.select("source", "column"), ["source"])
-    a = D.assign_roles(sc, weak, ["source"])
+    a = D.assign_roles(scores(spark, sf), D.weak_headers(headers(spark, sf), ["source"]), ["source"])
     return a.select("source", "role", "column", "confidence", "reason", "weak_headers", "needs_confirmation")
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.operators import metrics
 from tallyframe.operators.detection import detect_roles
 from tallyframe.operators.prepare import prepare
-from tallyframe.plans import staging
+from tallyframe.plans import staging, views
 from tallyframe.plans.registry import query, r
 from tallyframe.roles import Roles
+from tallyframe.session import shared_path
 from tallyframe.sources import files
 from tallyframe.sources.workbook import read_workbooks
 
@@ -31,14 +33,19 @@ def _by_category(led):
     return metrics.category_breakdown(led).select("category", "transaction_count", r("revenue"))
 
 
-@query("q_csv_scan", _BY_PRIORITY_SQL)
+@query("q_csv_scan", """SELECT v.variant, CASE WHEN v.variant = 'late_cp1251' AND o_orderpriority = '5-LOW' THEN 'Низкий'
+         ELSE o_orderpriority END AS category, count(*)::BIGINT AS transaction_count,
+       round(sum(round(o_totalprice, 2)), 2) AS revenue
+FROM orders CROSS JOIN (VALUES ('utf8_comma'), ('pipe'), ('permuted_quotes'), ('late_cp1251')) v(variant) GROUP BY ALL""")
 def q_csv_scan(spark, sf):
-    """UTF-8 comma files read with their detected settings, only the
-    selected columns, money cleaned from text."""
-    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
+    """Files of four layouts (another column order, padded names, doubled
+    quotes, line ends in quotes, a late cp1251 row) read together by their own headers,
+    only the selected columns, money cleaned from text."""
+    cat = _catalog(spark, sf).where(_variant().isin(*staging.ENGLISH))
     df = files.read_ledgers(spark, cat, columns=["OrderDate", "TotalPrice", "Priority"])
-    led = prepare(df, Roles(date="OrderDate", revenue="TotalPrice", category="Priority"))
-    return _by_category(led)
+    led = prepare(df.withColumn("variant", _variant("source_file")),
+                  Roles(date="OrderDate", revenue="TotalPrice", category="Priority"), ["variant"])
+    return metrics.category_breakdown(led).select("variant", "category", "transaction_count", r("revenue"))
 
 
 @query("q_headerless", _BY_PRIORITY_SQL)
@@ -56,39 +63,68 @@ def q_headerless(spark, sf):
 FROM orders GROUP BY 1""")
 def q_csv_cp1251(spark, sf):
     """S2/S3 + D + P1: cp1251 ';' files with Russian headers and comma decimals;
-    roles detected from a 100-row preview, then the whole files are analysed."""
+    roles detected from the whole files, which are then analysed."""
     cat = _catalog(spark, sf).where(_variant() == "cp1251_semicolon")
     df = files.read_ledgers(spark, cat).drop("source_file")
-    assign, _ = detect_roles(df, sample_rows=100)
+    assign, _ = detect_roles(df)
     chosen = {row.role: row.column for row in assign.collect() if row.column}
     led = prepare(df, Roles(**chosen))
     return _by_category(led)
 
 
-@query("q_header_check")
+#: Per staged variant: encoding, delimiter, header, names, quoted line ends.
+_VARIANTS_SQL = """(VALUES
+  ('utf8_comma', 'utf-8', ',', TRUE, 'OrderID, OrderDate, Priority, TotalPrice, Status', FALSE),
+  ('cp1251_semicolon', 'cp1251', ';', TRUE, 'Дата операции, Категория, Сумма дохода, Номер заказа', FALSE),
+  ('tab_headerless', 'utf-8', chr(9), FALSE, 'Column 1, Column 2, Column 3, Column 4, Column 5', FALSE),
+  ('pipe', 'utf-8', '|', TRUE, 'OrderID, OrderDate, Priority, TotalPrice, Status', FALSE),
+  ('permuted_quotes', 'utf-8', ',', TRUE, 'TotalPrice, Priority, Note, OrderDate', TRUE),
+  ('late_cp1251', 'cp1251', ',', TRUE, 'OrderDate, Priority, TotalPrice', FALSE)
+) v(variant, encoding, delimiter, has_header, column_names, multi_line)"""
+
+
+@query("q_header_check", f"""SELECT variant, encoding, delimiter, has_header, column_names, multi_line,
+       greatest(3, 1)::BIGINT AS files FROM {_VARIANTS_SQL} WHERE (SELECT count(*) FROM orders) > 0""")
 def q_header_check(spark, sf):
-    """Per staged CSV variant, the header decision and settings of its files."""
+    """Per staged CSV variant, the settings and names found for its files."""
     cat = _catalog(spark, sf)
-    return cat.groupBy(_variant().alias("variant"), "encoding", "delimiter", "has_header").agg(
+    return cat.groupBy(_variant().alias("variant"), "encoding", "delimiter", "has_header",
+                       F.array_join("column_names", ", ").alias("column_names"), "multi_line").agg(
         F.count(F.lit(1)).alias("files"))
 
 
-@query("q_file_catalog")
+@query("q_file_catalog", f"""SELECT variant, '.csv' AS extension, 'ok' AS status, encoding, delimiter, has_header,
+       len(string_split(column_names, ', '))::BIGINT AS column_count, column_names, 3::BIGINT AS files,
+       CASE WHEN (SELECT count(*) FROM orders) > 600 THEN '100+ (fast preview)' END AS row_count_text
+FROM {_VARIANTS_SQL}
+UNION ALL SELECT 'workbooks', '.xlsx', 'ok', NULL, NULL, NULL, NULL, NULL, 4, NULL""")
 def q_file_catalog(spark, sf):
-    """The catalog of every staged CSV file and workbook."""
+    """The catalog of every staged CSV file and workbook, by variant."""
     cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
-    return cat.select("name", "extension", "size", "size_text", "status", "encoding", "delimiter", "has_header",
-                      "column_count", F.array_join("column_names", ", ").alias("column_names"), "row_count_text")
+    variant = F.when(F.col("extension") == ".xlsx", F.lit("workbooks")).otherwise(_variant())
+    return cat.groupBy(variant.alias("variant"), "extension", "status", "encoding", "delimiter", "has_header",
+                       F.col("column_count").cast("bigint").alias("column_count"),
+                       F.array_join("column_names", ", ").alias("column_names"), "row_count_text").agg(
+        F.count(F.lit(1)).alias("files"))
 
 
-@query("q_preview")
+@query("q_preview", """SELECT variant, 300::BIGINT AS rows, 3::BIGINT AS files, '100+ (fast preview)' AS row_count_text,
+       300::BIGINT AS in_orders, least(count(*), 100)::BIGINT AS last_row_no
+FROM orders CROSS JOIN (VALUES ('utf8_comma'), ('pipe')) v(variant) GROUP BY variant""")
 def q_preview(spark, sf):
-    """The first 100 rows of every file (read from its head) and its row-count text."""
-    cat = _catalog(spark, sf).where(_variant() == "pipe")
+    """The first 100 records of every file, each found in the table that the files
+    were written from, with its own price."""
+    cat = _catalog(spark, sf).where(_variant().isin("utf8_comma", "pipe"))
     p = files.preview_files(spark, cat)
-    pos = lambda name: F.array_position("column_names", name).cast("int")
-    return p.select("source_file", "row_no", F.element_at("cells", pos("OrderID")).alias("OrderID"),
-                    F.element_at("cells", pos("TotalPrice")).alias("TotalPrice"), "row_count_text")
+    cell = lambda name: F.element_at("cells", F.array_position("column_names", name).cast("int"))
+    p = p.select("source_file", "row_no", "row_count_text", cell("OrderID").cast("bigint").alias("key"),
+                 cell("TotalPrice").cast("double").alias("price"))
+    o = views.table(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("total"))
+    same = p.join(o, F.col("key") == F.col("o_orderkey"), "left")
+    return same.groupBy(_variant("source_file").alias("variant"), "row_count_text").agg(
+        F.count("*").alias("rows"), F.count_distinct("source_file").alias("files"),
+        F.count_if(F.abs(F.col("total") - F.col("price")) < 0.006).alias("in_orders"),
+        F.max("row_no").alias("last_row_no"))
 
 
 @query("q_workbooks", """SELECT o_orderpriority AS category, count(*)::BIGINT AS transaction_count,
@@ -103,36 +139,45 @@ def q_workbooks(spark, sf):
 
 def _sink_sql() -> str:
     from tallyframe.plans.q_report import _report_sql
-    return f"SELECT section, count(*)::BIGINT AS cells FROM ({_report_sql('ru')}) GROUP BY section"
+    return (f"SELECT section, section_order::BIGINT AS section_order, row_no::BIGINT AS row_no, col_no::BIGINT AS col_no, "
+            f"value FROM ({_report_sql('ru')})")
 
 
 @query("q_report_sink", _sink_sql())
 def q_report_sink(spark, sf):
-    """The brief report written as ';' CSV to the shared folder and read back."""
+    """The brief report written as ';' CSV to a new folder of the shared one, and
+    every cell read back."""
     from tallyframe.plans.q_report import q_report_rows
-    out = os.path.join(staging.stage_root(spark, sf), "report")
-    files.write_report(q_report_rows(spark, sf), out, keys=["section"])
-    back = spark.read.option("sep", ";").option("header", "true").option("multiLine", "true").csv(out)
-    return back.groupBy("section").agg(F.count(F.lit(1)).alias("cells"))
-
-
-@query("q_auto_fleet")
+    out = shared_path(spark, "report", uuid.uuid4().hex)
+    rows = q_report_rows(spark, sf)
+    files.write_report(rows, out, keys=["section"])
+    back = (spark.read.schema(T.StructType([f for f in rows.schema.fields if f.name != "section"] +
+                                           [T.StructField("section", T.StringType())]))
+            .option("sep", ";").option("header", "true").option("multiLine", "true").option("escape", '"').csv(out))
+    return back.select("section", "section_order", "row_no", "col_no", "value")
+
+
+_FLEET_ROLES = """(VALUES
+  ('utf8_comma', 'amount=TotalPrice, category=Status, date=OrderDate'),
+  ('pipe', 'amount=TotalPrice, category=Status, date=OrderDate'),
+  ('tab_headerless', 'amount=Column 4, date=Column 2'),
+  ('cp1251_semicolon', 'category=Категория, date=Дата операции, revenue=Сумма дохода'),
+  ('permuted_quotes', 'amount=TotalPrice, category=Priority, date=OrderDate'),
+  ('late_cp1251', 'amount=TotalPrice, category=Priority, date=OrderDate')) v(variant, roles)"""
+
+
+@query("q_auto_fleet", f"""SELECT variant, roles, count(*)::BIGINT AS transaction_count,
+       round(sum(round(o_totalprice, 2)), 2) AS total_revenue, 0.0::DOUBLE AS total_expenses, 3::BIGINT AS files
+FROM orders CROSS JOIN {_FLEET_ROLES} GROUP BY ALL""")
 def q_auto_fleet(spark, sf):
-    """O2 over a fleet of files: every staged CSV variant (English, Russian cp1251,
-    headerless, pipe) gets its own roles; totals per file and its roles."""
-    from functools import reduce
-
-    from tallyframe.plans.analyze import auto_analyze
-    cat = _catalog(spark, sf)
-    df = files.read_ledgers(spark, cat)
-    out = []
-    for g in auto_analyze(df, ["source_file"], grain="month", catalog=cat, materialize=None):
-        text = ", ".join(f"{k}={v}" for k, v in sorted((r, ", ".join(getattr(g.roles, r)))
-                                                        for r in ("date", "revenue", "expense", "amount", "category")
-                                                        if getattr(g.roles, r)))
-        out.append(g.analysis.basic.select("source_file", "transaction_count", r("total_revenue"),
-                                           r("total_expenses"), "period_days", F.lit(text).alias("roles")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    """O2 over a fleet of files: every staged CSV variant gets its own roles, each file
+    is read once to detect and once to analyse; totals by variant and roles."""
+    from tallyframe.plans.analyze import fleet_analysis
+    fleet = fleet_analysis(spark, _catalog(spark, sf), grain="month")
+    basic = fleet.basic.select("source_file", "transaction_count", "total_revenue", "total_expenses", "roles")
+    return basic.groupBy(_variant("source_file").alias("variant"), "roles").agg(
+        F.sum("transaction_count").alias("transaction_count"), r(F.sum("total_revenue"), 2, "total_revenue"),
+        r(F.sum("total_expenses"), 2, "total_expenses"), F.count("*").alias("files"))
 
 
 def _file_report_sql(lang: str = "en") -> str:
@@ -229,12 +274,12 @@ UNION ALL SELECT 7, 'periods', rn, 1, {money('amount')} FROM pr"""
 @query("q_file_report", _file_report_sql())
 def q_file_report(spark, sf):
     """The application's whole action on real files: catalog → read → detect roles
-    on a preview → analyse all rows (day grain) → detailed English report."""
+    on all rows → analyse them (day grain) → detailed English report."""
     from tallyframe.operators import report
     from tallyframe.plans.analyze import analyze
     cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
     df = files.read_ledgers(spark, cat).drop("source_file")
-    assign, _ = detect_roles(df, sample_rows=100)
+    assign, _ = detect_roles(df)
     roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})
     return report.build_report(analyze(df, roles, grain="day"), "orders.csv", report.DEPTH_DETAILED, "en") \
         .select("section_order", "section", "row_no", "col_no", "value")

@@ -21,10 +21,10 @@ def q_stream_points(spark, sf):
     src = staging.stage_events_csv(spark, sf)
     # a fresh sink and stream checkpoint per run, so every run streams all files
     root = os.path.join(staging.stage_root(spark, sf), "streams", uuid.uuid4().hex)
-    q = start_points_stream(spark, src, "ts string, event_type string, amount string",
-                            Roles(date="ts", amount="amount", category="event_type"),
+    roles = Roles(date="ts", amount="amount", category="event_type")
+    q = start_points_stream(spark, src, "ts string, event_type string, amount string", roles,
                             os.path.join(root, "stream_points"), grain="hour",
                             checkpoint_location=os.path.join(root, "stream_points_ckpt"))
     q.awaitTermination()
-    pts = read_points(spark, os.path.join(root, "stream_points"))
+    pts = read_points(spark, os.path.join(root, "stream_points"), roles)
     return pts.select("period", r("revenue"), r("expenses"), r("profit"), r("amount"))

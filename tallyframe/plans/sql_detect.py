@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from tallyframe.functions.money import _currency_regex
-from tallyframe.functions.text import normalize_text_py
 from tallyframe.functions.vocab import (
-    DATE_VALUE_PATTERNS, DIRECTION_KEYWORDS, DIRECTION_VALUE_KEYWORDS, GENERIC_AMOUNT_KEYWORDS,
+    CURRENCY_TOKENS, DATE_VALUE_PATTERNS, DIRECTION_KEYWORDS, DIRECTION_VALUE_KEYWORDS, GENERIC_AMOUNT_KEYWORDS,
     ROLE_KEYWORDS,
 )
-from tallyframe.operators.detection import _phrase_regex
 
 # (source table, columns) profiled by the detection queries: whole tables.
 DETECT_TABLES = {
@@ -48,9 +45,13 @@ def date_like(x: str) -> str:
     return f"coalesce(regexp_matches(trim({x}), {q(pat)}), FALSE)"
 
 
+def has_currency(x: str) -> str:
+    """A currency token occurs in the lower-cased text: plain substring tests."""
+    return "(" + " OR ".join(f"contains(lower({x}), {q(t)})" for t in CURRENCY_TOKENS) + ")"
+
+
 def parse_ctes(src: str, col: str, p: str) -> tuple[str, str]:
     """CTE chain adding {p}_v (double or NULL), {p}_dec, {p}_norm for text ``col``."""
-    cur = q(_currency_regex())
     ctes = f"""{p}1 AS (SELECT *, trim({col}) AS {p}_s, regexp_replace(trim({col}), '[^0-9,.+()-]', '', 'g') AS {p}_kept FROM {src}),
 {p}2 AS (SELECT *, replace(replace({p}_kept, '(', ''), ')', '') AS {p}_nums FROM {p}1),
 {p}3 AS (SELECT *, CASE WHEN strpos({p}_nums, ',') > 0 AND strpos({p}_nums, '.') > 0 THEN
@@ -63,7 +64,7 @@ def parse_ctes(src: str, col: str, p: str) -> tuple[str, str]:
 {p}5 AS (SELECT *, CASE WHEN starts_with({p}_kept, '(') AND ends_with({p}_kept, ')') AND NOT starts_with({p}_n0, '-')
             THEN '-' || {p}_n0 ELSE {p}_n0 END AS {p}_norm FROM {p}4),
 {p}6 AS (SELECT *, CASE WHEN {p}_s = '' OR regexp_matches({p}_s, '[{{}}\\[\\]:]')
-              OR (regexp_matches(lower({p}_s), '[a-zа-я]') AND NOT regexp_matches(lower({p}_s), {cur}))
+              OR (regexp_matches(lower({p}_s), '[a-zа-я]') AND NOT {has_currency(p + "_s")})
               OR NOT regexp_matches({p}_kept, '\\d') OR NOT regexp_matches({p}_norm, '^-?(\\d+\\.?\\d*|\\.\\d+)$')
             THEN NULL ELSE CAST({p}_norm AS DOUBLE) END AS {p}_v FROM {p}5),
 {p}7 AS (SELECT *, {p}_v IS NOT NULL AND {p}_sep <> '' AS {p}_dec FROM {p}6)"""
@@ -72,8 +73,8 @@ def parse_ctes(src: str, col: str, p: str) -> tuple[str, str]:
 
 def profile_ctes() -> str:
     """cells → pc (profile counts) → prof (ratios) per source, position, column."""
-    cur = q(_currency_regex())
-    dir_re = q(_phrase_regex(DIRECTION_VALUE_KEYWORDS))
+    words = ", ".join(q(f" {w} ") for w in DIRECTION_VALUE_KEYWORDS)
+    has_direction = f"len(list_filter([{words}], w -> contains(' ' || nv || ' ', w))) > 0"
     pv, last1 = parse_ctes("cv", "value", "pa")
     pn, last2 = parse_ctes(last1, "nv", "pb")
     return f"""{cells_sql()},
@@ -86,13 +87,14 @@ pc AS (SELECT source, position, "column", count(*) AS n_values,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL) AS numeric_count,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_dec) AS decimal_count,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL
-                          AND (regexp_matches(lower(value), {cur}) OR regexp_matches(lower(value), '(^|[\\s(])[+-]\\s*\\d'))) AS cur_count,
+                          AND ({has_currency('value')} OR regexp_matches(lower(value), '(^|[\\s(])[+-]\\s*\\d'))) AS cur_count,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL AND NOT pa_dec
                           AND length(regexp_replace(pa_norm, '\\D', '', 'g')) >= 5) AS long_count,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL AND NOT pa_dec AND abs(pa_v) <= 20) AS small_count,
          count(*) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL AND pa_v = 0) AS zero_count,
+         count(DISTINCT pa_norm) FILTER (WHERE pa_s <> '' AND NOT {date_like('value')} AND pa_v IS NOT NULL) AS unique_count,
          count(*) FILTER (WHERE pa_s <> '') AS direction_checked,
-         count(*) FILTER (WHERE pa_s <> '' AND coalesce(regexp_matches(nv, {dir_re}), FALSE)) AS direction_hits,
+         count(*) FILTER (WHERE pa_s <> '' AND coalesce({has_direction}, FALSE)) AS direction_hits,
          count(*) FILTER (WHERE nv <> '') AS category_checked,
          count(DISTINCT nv) FILTER (WHERE nv <> '') AS category_unique,
          count(*) FILTER (WHERE nv <> '' AND NOT {date_like('nv')} AND NOT (pb_v IS NOT NULL AND trim(nv) <> '')) AS category_text
@@ -107,6 +109,7 @@ prof AS (SELECT h.source, h.position, h."column", h.n, coalesce(n_values, 0) AS
           CASE WHEN numeric_count > 0 THEN long_count / numeric_count ELSE 0.0 END AS long_integer_ratio,
           CASE WHEN numeric_count > 0 THEN small_count / numeric_count ELSE 0.0 END AS small_integer_ratio,
           CASE WHEN numeric_count > 0 THEN zero_count / numeric_count ELSE 0.0 END AS zero_ratio,
+          CASE WHEN numeric_count > 0 THEN unique_count / numeric_count ELSE 0.0 END AS unique_ratio,
           coalesce(direction_checked, 0) AS direction_checked,
           CASE WHEN direction_checked > 0 THEN direction_hits / direction_checked ELSE 0.0 END AS direction_ratio,
           coalesce(category_checked, 0) AS category_checked, coalesce(category_unique, 0) AS category_unique,
@@ -122,7 +125,7 @@ def _kw_values() -> str:
     lists["direction"] = DIRECTION_KEYWORDS
     for role, words in lists.items():
         for i, w in enumerate(words):
-            rows.append(f"({q(role)}, {i}, {q(w)}, {q(normalize_text_py(w))})")
+            rows.append(f"({q(role)}, {i}, {q(w)}, {q(w)})")
     return "kwt AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(role, rk, kw, nkw))"
 
 

@@ -22,18 +22,42 @@ from tallyframe.sources.workbook import xlsx_bytes
 # Russian category names for the cp1251 variant (by priority).
 PRIORITY_RU = {"1-URGENT": "Срочно", "2-HIGH": "Высокий", "3-MEDIUM": "Средний", "4-NOT SPECIFIED": "Не указан",
                "5-LOW": "Низкий"}
+#: ``order`` sorts each file; ``keep_spaces`` writes padded header names as they are.
 VARIANTS = {
     "utf8_comma": {"sep": ",", "encoding": "UTF-8", "header": True},
     "cp1251_semicolon": {"sep": ";", "encoding": "windows-1251", "header": True},
     "tab_headerless": {"sep": "\t", "encoding": "UTF-8", "header": False},
     "pipe": {"sep": "|", "encoding": "UTF-8", "header": True},
+    # columns in another order, padded names, doubled quotes, line ends inside quotes
+    "permuted_quotes": {"sep": ",", "encoding": "UTF-8", "header": True, "keep_spaces": True},
+    # the first character that is not ASCII comes after most of the file
+    "late_cp1251": {"sep": ",", "encoding": "windows-1251", "header": True, "order": ["Priority", "OrderDate"]},
 }
-FILES_PER_VARIANT = 3
+ENGLISH = ("utf8_comma", "pipe", "permuted_quotes", "late_cp1251")
+LEAST_FILES = 3
+FILE_BYTES = 128 * 1024 * 1024
+
+
+def _table_files(spark: SparkSession, sf_dir: str, table: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file of a driver table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), int(f.getLen()), int(f.getModificationTime())))
+    return sorted(out)
 
 
 def stage_root(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
-    return shared_path(spark, "staged", tag)
+    """Where the files staged from this state of the tables lie: a table that is
+    written anew gets another folder."""
+    state = repr([_table_files(spark, sf_dir, t) for t in ("orders", "events")])
+    return shared_path(spark, "staged", hashlib.sha1(state.encode()).hexdigest()[:16])
+
+
+def _file_count(spark: SparkSession, sf_dir: str, table: str) -> int:
+    return max(LEAST_FILES, sum(n for _, n, _ in _table_files(spark, sf_dir, table)) // FILE_BYTES + 1)
 
 
 def _variant_frame(o: DataFrame, name: str) -> DataFrame:
@@ -44,6 +68,15 @@ def _variant_frame(o: DataFrame, name: str) -> DataFrame:
                         ru[F.col("o_orderpriority")].alias("Категория"),
                         F.regexp_replace(price, r"\.", ",").alias("Сумма дохода"),
                         F.col("o_orderkey").cast("string").alias("Номер заказа"))
+    if name == "permuted_quotes":
+        note = F.when(F.col("o_orderkey") % 3 == 0, F.lit('said "ok", then\nleft')).when(
+            F.col("o_orderkey") % 3 == 1, F.lit('a "quoted" word'))
+        return o.select(price.alias(" TotalPrice"), F.col("o_orderpriority").alias("Priority "), note.alias("Note"),
+                        F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"))
+    if name == "late_cp1251":
+        late = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(PRIORITY_RU["5-LOW"])).otherwise(F.col("o_orderpriority"))
+        return o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"), late.alias("Priority"),
+                        price.alias("TotalPrice"))
     return o.select(F.col("o_orderkey").cast("string").alias("OrderID"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"),
                     F.col("o_orderpriority").alias("Priority"), price.alias("TotalPrice"),
@@ -59,7 +92,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stage_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Write every CSV variant (3 files each) once per data folder; returns the root.
+    """Write every CSV variant (3 files or more, by the table's size) once per state of
+    the tables; returns the root.
 
     A variant whose ``_SUCCESS`` marker exists is complete and is not rewritten
     (the files are a pure function of the ``orders`` table)."""
@@ -69,9 +103,13 @@ def stage_csv(spark: SparkSession, sf_dir: str) -> str:
         target = os.path.join(root, "csv", name)
         if _exists(spark, os.path.join(target, "_SUCCESS")):
             continue
-        (_variant_frame(o, name).repartition(FILES_PER_VARIANT).write.mode("overwrite")
-         .option("sep", opt["sep"]).option("encoding", opt["encoding"]).option("header", str(opt["header"]).lower())
-         .csv(target))
+        frame = _variant_frame(o, name).repartition(_file_count(spark, sf_dir, "orders"))
+        if "order" in opt:
+            frame = frame.sortWithinPartitions(*opt["order"])
+        trim = str(not opt.get("keep_spaces", False)).lower()
+        (frame.write.mode("overwrite").option("sep", opt["sep"]).option("encoding", opt["encoding"])
+         .option("header", str(opt["header"]).lower()).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).csv(target))
     return os.path.join(root, "csv")
 
 
@@ -120,7 +158,7 @@ def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     return local
 
 
-def stage_events_csv(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+def stage_events_csv(spark: SparkSession, sf_dir: str) -> str:
     """``events`` as text CSV files with a signed amount (errors are outflows)."""
     target = os.path.join(stage_root(spark, sf_dir), "events_csv")
     if _exists(spark, os.path.join(target, "_SUCCESS")):
@@ -128,5 +166,5 @@ def stage_events_csv(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
     ev = views.table(spark, sf_dir, "events")
     signed = F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))
     (ev.select(F.col("ts").cast("string").alias("ts"), F.col("event_type"), signed.cast("string").alias("amount"))
-     .repartition(files).write.mode("overwrite").option("header", "true").csv(target))
+     .repartition(_file_count(spark, sf_dir, "events")).write.mode("overwrite").option("header", "true").csv(target))
     return target

@@ -2,22 +2,26 @@
 
 A folder of thousands of files is one job per step, never a loop per file:
 
-* ``file_catalog`` — name, size, status, encoding, delimiter and header
-  decision for every file, computed with grouped aggregates over the files'
-  lines (``_metadata.file_path`` is the key);
-* ``read_ledgers`` — the files read with their own settings (one read per
-  distinct setting group), every column a string, ``source_file`` as the key;
-* ``preview`` — the first 100 rows per file and whether more exist.
+* ``file_catalog`` — name, size, status, encoding, delimiter, header and column
+  names of every file, from grouped aggregates over all lines of the files
+  (``_metadata.file_path`` is the key);
+* ``read_ledgers`` — the files read by their own layout (one read per distinct
+  encoding, delimiter, header and ordered names), every column a string,
+  ``source_file`` as the key;
+* ``preview_files`` — the first 100 records per file and whether more exist.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyframe.functions import qcol
+from tallyframe.session import ensure_checkpoint_dir
 
 # Fixed values that must equal the reference.
 SUPPORTED_EXTENSIONS = (".csv", ".xlsx", ".xls")
@@ -76,32 +80,6 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                      _extension(F.col("path")).alias("extension"), F.col("length").alias("size"))
 
 
-def _lines(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
-    """Decoded physical lines of files with their file and order (quotes off)."""
-    df = (spark.read.option("sep", "\u0001").option("quote", "").option("escape", "")
-          .option("header", "false").option("encoding", charset).option("mode", "PERMISSIVE")
-          .csv(paths))
-    return df.select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line_id"), F.col("_c0").alias("line"))
-
-
-def _delimiter_choice(lines: DataFrame) -> DataFrame:
-    """Most frequent delimiter over the first 20 lines per file (order , ; tab |)."""
-    first = lines.where(F.col("block") == 0)
-    w = Window.partitionBy("path").orderBy("line_id")
-    first = first.withColumn("ln", F.row_number().over(w)).where(F.col("ln") <= DELIMITER_SAMPLE_LINES)
-    first = first.where(F.trim(F.col("line")) != "")
-    counts = first.groupBy("path").agg(*[
-        F.sum(F.length("line") - F.length(F.replace(F.col("line"), F.lit(d), F.lit("")))).alias(f"d{i}")
-        for i, d in enumerate(CSV_DELIMITERS)])
-    best = F.greatest(*[F.col(f"d{i}") for i in range(len(CSV_DELIMITERS))])
-    choice = F.lit(",")
-    for i in reversed(range(len(CSV_DELIMITERS))):
-        choice = F.when(F.col(f"d{i}") == best, F.lit(CSV_DELIMITERS[i])).otherwise(choice)
-    return counts.select("path", F.when(best > 0, choice).otherwise(F.lit(",")).alias("delimiter"))
-
-
 def _normalize_header_cell(c: Column) -> Column:
     t = F.translate(F.lower(c), "ё", "е")
     t = F.regexp_replace(t, r"[_\-/\\|:;.,()\[\]{}]+", " ")
@@ -125,163 +103,112 @@ def headers_look_like_data(cells: Column) -> Column:
     return (n > 0) & ~has_hint & (hits >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
-def _first_rows(spark: SparkSession, settings: dict[str, tuple[str, str]]) -> DataFrame | None:
-    """First record of every CSV file parsed with its own settings: ``path, cells``.
-    One read per distinct (encoding, delimiter); only block 0 of each file feeds
-    the per-file top-1 (a WindowGroupLimit, partial before the shuffle)."""
-    groups: dict[tuple[str, str], list[str]] = {}
-    for path, setting in settings.items():
-        groups.setdefault(setting, []).append(path)
-    parts = []
-    for (enc, delim), paths in groups.items():
-        df = (spark.read.option("header", "false").option("sep", delim)
-              .option("encoding", SPARK_CHARSETS[enc]).option("mode", "PERMISSIVE").csv(paths))
-        cells = F.array(*[F.col(c) for c in df.columns])
-        df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("rid"), cells.alias("cells")).where(F.col("block") == 0)
-        w = Window.partitionBy("path").orderBy("rid")
-        parts.append(df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select("path", "cells"))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
-
-
-CATALOG_SCHEMA = ("path string, name string, extension string, size long, status string, size_text string, "
-                  "encoding string, delimiter string, has_header boolean, column_count int, "
-                  "column_names array<string>, row_count_text string")
-HEAD_SCHEMA = "path string, encoding string, delimiter string, cells array<string>, data_lines long, complete boolean"
-HEAD_MAX_BYTES = 16 * 1024 * 1024
-
-
-def _read_head(path: str, max_lines: int, max_bytes: int) -> tuple[bytes, bool]:
-    """The file's first ``max_lines`` complete lines (or all of it): (bytes, reached EOF)."""
-    import pyarrow.fs as pafs
-    fs, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://").replace("s3n://", "s3://"))
-    buf, eof = b"", False
-    with fs.open_input_stream(inner) as fh:
-        while buf.count(b"\n") < max_lines and len(buf) < max_bytes:
-            chunk = fh.read(64 * 1024)
-            if not chunk:
-                eof = True
-                break
-            buf += chunk
-    if not eof:
-        buf = buf[:buf.rfind(b"\n") + 1] if b"\n" in buf else buf
-    return buf, eof
-
-
-def _head_rows(batches):
-    """Per file: encoding, delimiter, first record cells, data-line count — from the
-    head only (complete lines, so no multi-byte character is ever cut)."""
-    import csv
-    import io
-
-    import pandas as pd
-    for pdf in batches:
-        out = []
-        for path in pdf["path"]:
-            head, eof = _read_head(path, PREVIEW_ROW_LIMIT + 2, HEAD_MAX_BYTES)
-            try:
-                text, enc = head.decode("utf-8"), UTF8
-            except UnicodeDecodeError:
-                text, enc = head.decode("cp1251", errors="replace"), CP1251
-            text = text.lstrip("\ufeff")
-            lines = text.splitlines()
-            sample = [ln for ln in lines[:DELIMITER_SAMPLE_LINES] if ln.strip()]
-            counts = [sum(ln.count(d) for ln in sample) for d in CSV_DELIMITERS]
-            delim = CSV_DELIMITERS[counts.index(max(counts))] if sample and max(counts) > 0 else ","
-            first = next(csv.reader(io.StringIO(lines[0]), delimiter=delim), []) if lines else []
-            data = sum(1 for ln in lines if ln.strip())
-            out.append((path, enc, delim, [c for c in first], data, eof))
-        yield pd.DataFrame(out, columns=["path", "encoding", "delimiter", "cells", "data_lines", "complete"])
-
-
-def _heads_from_tasks(spark: SparkSession, csv: list[str]) -> DataFrame:
-    """Head facts of every CSV file, read in tasks (bounded bytes per file)."""
-    paths = spark.createDataFrame([(p,) for p in csv], "path string")
-    n = max(1, min(len(csv), spark.sparkContext.defaultParallelism * 4))
-    return paths.repartition(n).mapInPandas(_head_rows, HEAD_SCHEMA)
-
-
-def file_catalog(spark: SparkSession, paths: str | Sequence[str], validate_encoding: str = "head") -> DataFrame:
-    """One row per file: ``path, name, extension, size, status, size_text,
-    encoding, delimiter, has_header, column_count, column_names, row_count_text``
-    (status ok / unsupported / empty; names from the header row, blank →
-    ``Column i``, or ``Column 1..N`` when the first row is data).
-
-    Each CSV file is read only up to its first 101 complete lines (at most
-    16 MB), in tasks: encoding (UTF-8 if the head decodes, else cp1251),
-    delimiter (counts over the first 20 non-blank lines), the first record and
-    the row-count status come from that head, so cataloguing costs a bounded read
-    per file, not a pass over the data. ``validate_encoding="full"`` adds one
-    distributed pass that checks every line is valid UTF-8. The catalog is a
-    small materialised table. On a file system the task-side reader cannot
-    open, three Spark passes over the files are used instead.
+def header_names(cells: Column, has_header: Column) -> Column:
+    """Column names of a file from its first record: trimmed header cells, blank ones
+    ``Column i``; ``Column 1..N`` without a header. A name that occurs before gets the
+    number of its occurrence (``Total``, ``Total 2``)."""
+    named = F.transform(cells, lambda c, i: F.when(
+        has_header & (_trimmed(c) != ""), _trimmed(c)).otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
+
+    def numbered(name: Column, i: Column) -> Column:
+        nth = F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda other: other == name))
+        return F.when(nth > 1, F.concat(name, F.lit(" "), nth.cast("string"))).otherwise(name)
+
+    return F.transform(named, numbered)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.coalesce(F.regexp_replace(c, r"(?U)^[\s\ufeff]+|\s+$", ""), F.lit(""))
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _first_record(line: Column, delimiter: str, width: int) -> Column:
+    """Cells of a record by Spark's own CSV parser (quotes doubled inside quotes)."""
+    if not width:
+        return F.array().cast("array<string>")
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(line, schema, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    # as many cells as there are delimiters outside quotes
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    n = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return F.slice(F.array(*[parsed[f"c{i}"] for i in range(width)]), F.lit(1), n.cast("int"))
+
+
+CATALOG_COLUMNS = ("path", "name", "extension", "size", "status", "size_text", "encoding", "delimiter", "has_header",
+                   "column_count", "column_names", "multi_line", "row_count_text")
+
+
+def file_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """One row per file: ``path, name, extension, size, status, size_text, encoding,
+    delimiter, has_header, column_count, column_names, multi_line, row_count_text``
+    (status ok / unsupported / empty).
+
+    Every CSV file is judged whole, in one distributed pass over its lines: UTF-8 if
+    every line is valid UTF-8, else cp1251; ``multi_line`` if some line has an odd
+    number of quotes, so that a quoted field may go over several lines; the delimiter
+    from the first 20 lines that are not blank; header and names from the first
+    record. The row count text counts records. The result is written to the shared
+    folder: a row per file, read again by each later step.
     """
+    ensure_checkpoint_dir(spark)
     files = list_files(spark, paths)
     status = (F.when(~F.col("extension").isin(*SUPPORTED_EXTENSIONS), F.lit("unsupported"))
               .when(F.col("size") == 0, F.lit("empty")).otherwise(F.lit("ok")))
-    listed = [r.asDict() for r in files.withColumn("status", status)
-              .withColumn("size_text", format_file_size(F.col("size"))).collect()]
-    csv = [r["path"] for r in listed if r["extension"] == ".csv" and r["status"] == "ok"]
-    meta: dict[str, dict] = {p: {} for p in csv}
-    if csv:
-        try:
-            heads = _heads_from_tasks(spark, csv)
-            has_header = ~headers_look_like_data(F.col("cells"))
-            rows = heads.select("path", "encoding", "delimiter", "data_lines", "complete", "cells",
-                                has_header.alias("has_header")).collect()
-        except Exception:  # noqa: BLE001 - task-side reader unavailable for this file system
-            rows = None
-        if rows is not None:
-            for r in rows:
-                names = [(c.strip() if c and c.strip() else f"Column {i + 1}") for i, c in enumerate(r.cells)] \
-                    if r.has_header else generic_names(len(r.cells))
-                n = r.data_lines - (1 if r.has_header else 0)
-                meta[r.path].update(encoding=r.encoding, delimiter=r.delimiter, has_header=r.has_header,
-                                    column_count=len(r.cells), column_names=names,
-                                    count_text=(str(n) if r.complete and n <= PREVIEW_ROW_LIMIT
-                                                else f"{PREVIEW_ROW_LIMIT}+ (fast preview)"))
-        else:
-            _catalog_by_passes(spark, csv, meta)
-        if validate_encoding == "full":
-            raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
-            for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect():
-                if not r.utf8 and meta.get(r.path, {}).get("encoding") == UTF8:
-                    meta[r.path]["encoding"] = CP1251
-    out = []
-    for r in listed:
-        m = meta.get(r["path"], {})
-        out.append((r["path"], r["name"], r["extension"], r["size"], r["status"], r["size_text"],
-                    m.get("encoding"), m.get("delimiter"), m.get("has_header"), m.get("column_count"),
-                    m.get("column_names"), m.get("count_text")))
-    return spark.createDataFrame(out, CATALOG_SCHEMA)
-
-
-def _catalog_by_passes(spark: SparkSession, csv: list[str], meta: dict[str, dict]) -> None:
-    """Fallback: whole-file UTF-8 validity and line counts, delimiter from the
-    first 20 lines of block 0, first record — three Spark passes."""
-    raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"), "value")
-    for r in raw.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-                                     F.count_if(F.trim("value") != "").alias("lines")).collect():
-        meta.setdefault(r.path, {}).update(encoding=UTF8 if r.utf8 else CP1251, lines=r.lines)
-    for e in (UTF8, CP1251):
-        ps = [p for p, m in meta.items() if m.get("encoding") == e]
-        if ps:
-            for r in _delimiter_choice(_lines(spark, ps, SPARK_CHARSETS[e])).collect():
-                meta[r.path]["delimiter"] = r.delimiter
-    settings = {p: (m.get("encoding", UTF8), m.get("delimiter", ",")) for p, m in meta.items()}
-    heads = _first_rows(spark, settings)
-    if heads is None:
-        return
-    has_header = ~headers_look_like_data(F.col("cells"))
-    for r in heads.select("path", "cells", has_header.alias("has_header")).collect():
-        cells = list(r.cells)
-        names = [(c.strip() if c and c.strip() else f"Column {i + 1}") for i, c in enumerate(cells)] \
-            if r.has_header else generic_names(len(cells))
-        m = meta[r.path]
-        m.setdefault("delimiter", ",")
-        n = m.get("lines", 0) - (1 if r.has_header else 0)
-        m.update(has_header=r.has_header, column_count=len(cells), column_names=names,
-                 count_text=f"{PREVIEW_ROW_LIMIT}+ (fast preview)" if n > PREVIEW_ROW_LIMIT else str(n))
+    files = (files.withColumn("status", status).withColumn("size_text", format_file_size(F.col("size")))
+             .checkpoint())
+    csv = [r.path for r in files.where((F.col("extension") == ".csv") & (F.col("status") == "ok")).select("path").collect()]
+    if not csv:
+        types = {"has_header": "boolean", "multi_line": "boolean", "column_count": "int", "column_names": "array<string>"}
+        return files.select(*[F.col(c) if c in files.columns else F.lit(None).cast(types.get(c, "string")).alias(c)
+                              for c in CATALOG_COLUMNS])
+    raw = spark.read.text(csv).select(F.col("_metadata.file_path").alias("path"),
+                                      F.col("_metadata.file_block_start").alias("block"),
+                                      F.monotonically_increasing_id().alias("at"), "value")
+    whole = raw.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(_quotes(F.col("value")) % 2 == 1).alias("multi_line"),
+        F.count_if(F.trim("value") != "").alias("lines"))
+    # the first lines of each file: partial top-k before the shuffle
+    order = Window.partitionBy("path").orderBy("at")
+    heads = (raw.where((F.col("block") == 0) & (F.trim("value") != "")).withColumn("nth", F.row_number().over(order))
+             .where(F.col("nth") <= DELIMITER_SAMPLE_LINES)
+             .groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nth", "value"))).alias("head")))
+    facts = whole.join(heads, "path", "left").withColumn("encoding", F.when(F.col("utf8"), UTF8).otherwise(CP1251))
+    decoded = F.transform("head", lambda h: F.when(F.col("utf8"), h["value"]).otherwise(
+        F.decode(h["value"].cast("binary"), SPARK_CHARSETS[CP1251])))
+    facts = facts.withColumn("head", F.coalesce(decoded, F.array().cast("array<string>")))
+    joined = F.array_join("head", "\n")
+    counts = [F.length(joined) - F.length(F.replace(joined, F.lit(d), F.lit(""))) for d in CSV_DELIMITERS]
+    choice = F.lit(CSV_DELIMITERS[0])
+    for d, n in reversed(list(zip(CSV_DELIMITERS, counts))):
+        choice = F.when(n == F.greatest(*counts), F.lit(d)).otherwise(choice)
+    facts = facts.withColumn("delimiter", F.when(F.greatest(*counts) > 0, choice).otherwise(F.lit(CSV_DELIMITERS[0])))
+    facts = facts.withColumn("first", F.regexp_replace(F.coalesce(F.get("head", F.lit(0)), F.lit("")), "^\ufeff", ""))
+    facts = facts.checkpoint()
+    width = facts.agg(F.max(F.length("first") - F.length(F.translate("first", "".join(CSV_DELIMITERS), "")) + 1)).first()[0] or 0
+    cells = F.array().cast("array<string>")
+    for d in CSV_DELIMITERS:
+        cells = F.when(F.col("delimiter") == d, _first_record(F.col("first"), d, width)).otherwise(cells)
+    facts = facts.withColumn("cells", cells).withColumn("has_header", ~headers_look_like_data(F.col("cells")))
+    facts = facts.withColumn("column_names", header_names(F.col("cells"), F.col("has_header"))).withColumn(
+        "column_count", F.size("cells"))
+    facts = facts.select("path", "encoding", "delimiter", "has_header", "column_count", "column_names", "multi_line", "lines")
+    facts = facts.checkpoint()
+    # lines are records, but for files with quoted line ends, which are read to count
+    broken = facts.where("multi_line")
+    if broken.isEmpty():
+        records = facts.select("path", (F.col("lines") - F.col("has_header").cast("int")).alias("records"))
+    else:
+        read = _read_groups(spark, broken).groupBy("source_file").agg(F.count("*").alias("n"))
+        records = facts.join(read, F.col("path") == F.col("source_file"), "left").select(
+            "path", F.when(F.col("multi_line"), F.coalesce("n", F.lit(0)))
+            .otherwise(F.col("lines") - F.col("has_header").cast("int")).alias("records"))
+    text = F.when(F.col("records") > PREVIEW_ROW_LIMIT, F.lit(f"{PREVIEW_ROW_LIMIT}+ (fast preview)")) \
+        .otherwise(F.col("records").cast("string"))
+    out = files.join(facts, "path", "left").join(records, "path", "left").withColumn("row_count_text", text)
+    return out.select(*CATALOG_COLUMNS).checkpoint()
 
 
 def generic_names(n: int) -> list[str]:
@@ -289,94 +216,91 @@ def generic_names(n: int) -> list[str]:
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], encoding: str = UTF8, delimiter: str = ",",
-             header: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV ledger files of one setting, every column a string, ``source_file`` key.
-
-    PERMISSIVE keeps short rows (null-padded) and drops extra fields; no schema
-    inference pass. Headerless files get ``Column 1..N``; blank header cells
-    become ``Column i``. ``columns`` selects (and orders) the columns read —
-    Catalyst prunes the rest at the scan.
+             header: bool = True, columns: Sequence[str] | None = None, names: Sequence[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV ledger files of one layout, every column a string, ``source_file`` key.
+
+    ``names`` are the columns in file order (by default those of the first file's
+    catalog row). Quotes inside quoted fields are doubled; ``multi_line`` reads quoted
+    fields over several lines. Short rows are null-padded, extra fields dropped, no
+    schema inference. ``columns`` selects (and orders) the columns read.
     """
     if columns is not None and not list(columns):
         raise ValueError("Select at least one column to load.")
-    df = (spark.read.option("header", str(header).lower()).option("sep", delimiter)
+    if names is None:
+        names = file_catalog(spark, [paths[0]]).first().column_names
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    df = (spark.read.schema(schema).option("header", str(header).lower()).option("sep", delimiter)
           .option("encoding", SPARK_CHARSETS.get(encoding, encoding)).option("mode", "PERMISSIVE")
-          .option("inferSchema", "false").csv(list(paths)))
-    if not header:
-        df = df.toDF(*generic_names(len(df.columns)))
-    else:
-        df = df.toDF(*[c if c.strip() and not re.fullmatch(r"_c\d+", c) else f"Column {i + 1}"
-                       for i, c in enumerate(df.columns)])
+          .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower())
+          .option("enforceSchema", "true").csv(list(paths)))
     src = F.col("_metadata.file_path").alias("source_file")
     if columns:
-        missing = [c for c in columns if c not in df.columns]
+        missing = [c for c in columns if c not in names]
         if missing:
             raise ValueError(f"Columns not found: {missing}")
-        return df.select(src, *[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
-    return df.select(src, *[F.col(f"`{c}`") for c in df.columns])
+    return df.select(src, *[qcol(c) for c in dict.fromkeys(columns or names)])
 
 
-def read_ledgers(spark: SparkSession, catalog: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read every ok CSV file of a catalog with its own settings; one read per
-    distinct (encoding, delimiter, header) group, unioned by column name."""
-    ok = catalog.where((F.col("status") == "ok") & (F.col("extension") == ".csv"))
-    groups = ok.select("encoding", "delimiter", "has_header").distinct().collect()
+def layouts(catalog: DataFrame) -> list:
+    """The distinct layouts of a catalog's readable CSV files with their paths: one row
+    per (encoding, delimiter, header, ordered names, multi_line)."""
+    ok = catalog.where((F.col("status") == "ok") & (F.col("extension") == ".csv") & (F.col("column_count") > 0))
+    return (ok.groupBy("encoding", "delimiter", "has_header", "column_names", "multi_line")
+            .agg(F.sort_array(F.collect_list("path")).alias("paths")).collect())
+
+
+def _read_groups(spark: SparkSession, catalog: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    if "status" not in catalog.columns:
+        catalog = catalog.withColumn("status", F.lit("ok")).withColumn("extension", F.lit(".csv"))
+    groups = layouts(catalog)
+    if not groups:
+        raise ValueError("No readable CSV files.")
+    if columns is not None:
+        known = {n for g in groups for n in g.column_names}
+        missing = [c for c in columns if c not in known]
+        if missing:
+            raise ValueError(f"Columns not found: {missing}")
     parts = []
     for g in groups:
-        paths = [r.path for r in ok.where((F.col("encoding") == g.encoding) & (F.col("delimiter") == g.delimiter)
-                                          & (F.col("has_header") == g.has_header)).select("path").collect()]
-        parts.append(read_csv(spark, paths, g.encoding, g.delimiter, bool(g.has_header), columns))
-    if not parts:
-        raise ValueError("No readable CSV files.")
+        own = None if columns is None else [c for c in columns if c in g.column_names]
+        if own == []:
+            own = g.column_names[:1]  # rows without any of the columns still count
+        part = read_csv(spark, g.paths, g.encoding, g.delimiter, bool(g.has_header), own, g.column_names, bool(g.multi_line))
+        if columns is not None:
+            part = part.select("source_file", *[qcol(c) if c in g.column_names else F.lit(None).cast("string").alias(c)
+                                                for c in dict.fromkeys(columns)])
+        parts.append(part)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def preview(df: DataFrame, key: str = "source_file", limit: int = PREVIEW_ROW_LIMIT) -> DataFrame:
-    """First ``limit`` rows per file (by read order) plus ``row_count_text``:
-    the exact count when the file has at most ``limit`` rows, else ``100+``."""
-    ordered = df.withColumn("__rid", F.monotonically_increasing_id())
-    w = Window.partitionBy(key).orderBy("__rid")
-    head = ordered.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") <= limit + 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    head = head.withColumn("__n", n)
-    text = F.when(F.col("__n") > limit, F.lit(f"{limit}+ (fast preview)")).otherwise(F.col("__n").cast("string"))
-    return head.where(F.col("row_no") <= limit).withColumn("row_count_text", text).drop("__rid", "__n")
-
-
-PREVIEW_SCHEMA = "source_file string, row_no long, cells array<string>"
-
-
-def _preview_rows(batches):
-    """First 100 data rows of each file from its head, parsed like the CSV reader
-    (empty fields are null)."""
-    import csv
-    import io
-
-    import pandas as pd
-    for pdf in batches:
-        out = []
-        for path, enc, delim, header in zip(pdf["path"], pdf["encoding"], pdf["delimiter"], pdf["has_header"]):
-            head, _ = _read_head(path, PREVIEW_ROW_LIMIT + 2, HEAD_MAX_BYTES)
-            text = head.decode("utf-8" if enc == UTF8 else "cp1251", errors="replace").lstrip("\ufeff")
-            rows = [r for r in csv.reader(io.StringIO(text), delimiter=delim) if r and any(x != "" for x in r)]
-            rows = rows[1:] if header else rows
-            for i, r in enumerate(rows[:PREVIEW_ROW_LIMIT], start=1):
-                out.append((path, i, [x if x != "" else None for x in r]))
-        yield pd.DataFrame(out, columns=["source_file", "row_no", "cells"])
-
-
-def preview_files(spark: SparkSession, catalog: DataFrame) -> DataFrame:
-    """S6 for files: the first 100 rows of every ok CSV file, read from the file's
-    head in tasks (never the whole file), with the catalog's column names and
-    row-count status: ``source_file, row_no, column_names, cells, row_count_text``."""
-    ok = catalog.where((F.col("status") == "ok") & (F.col("extension") == ".csv"))
-    n = max(1, min(ok.count(), spark.sparkContext.defaultParallelism * 4))
-    rows = ok.select("path", "encoding", "delimiter", "has_header").repartition(n) \
-        .mapInPandas(_preview_rows, PREVIEW_SCHEMA)
-    width = F.size("column_names")
-    padded = F.slice(F.concat(F.col("cells"), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
-    return rows.join(ok.select(F.col("path").alias("source_file"), "column_names", "row_count_text"), "source_file") \
-        .select("source_file", "row_no", "column_names", padded.alias("cells"), "row_count_text")
+def read_ledgers(spark: SparkSession, catalog: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Read every ok CSV file of a catalog by its own layout, one read per distinct
+    layout, and union the columns by name (null where a file lacks one)."""
+    if columns is not None and not list(columns):
+        raise ValueError("Select at least one column to load.")
+    return _read_groups(spark, catalog, columns)
+
+
+def preview_files(spark: SparkSession, catalog: DataFrame, limit: int = PREVIEW_ROW_LIMIT) -> DataFrame:
+    """The first ``limit`` records of every ok CSV file, by the same reader as the
+    analysis, with the catalog's names and row-count status:
+    ``source_file, row_no, column_names, cells, row_count_text``."""
+    order = Window.partitionBy("source_file").orderBy("at")
+    parts = []
+    for g in layouts(catalog):
+        part = read_csv(spark, g.paths, g.encoding, g.delimiter, bool(g.has_header), None, g.column_names, bool(g.multi_line))
+        parts.append(part.select(
+            "source_file", F.monotonically_increasing_id().alias("at"),
+            F.array(*[F.lit(n) for n in g.column_names]).alias("column_names"),
+            F.array(*[qcol(n) for n in g.column_names]).alias("cells"))
+            .withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= limit).drop("at"))
+    if not parts:
+        raise ValueError("No readable CSV files.")
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    texts = catalog.select(F.col("path").alias("source_file"), "row_count_text")
+    return rows.join(texts, "source_file").select(
+        "source_file", F.col("row_no").cast("long").alias("row_no"), "column_names", "cells", "row_count_text")
 
 
 def write_report(report: DataFrame, path: str, keys: Sequence[str] = (), fmt: str = "csv") -> None:

@@ -15,7 +15,7 @@ def test_label_tables_have_identical_keys():
     assert set(labels.LABELS["ru"]) == set(labels.LABELS["en"])
     assert labels.label("de", "metric_revenue") == "Revenue"
     assert labels.label("ru", "no_such_key") == "no_such_key"
-    assert labels.series_label("ru", "expenses") == "Расходы"
+    assert labels.label("ru", labels.SERIES_LABEL_KEYS["expenses"]) == "Расходы"
 
 
 def test_number_text(spark):

@@ -34,10 +34,51 @@ def test_ragged_rows_and_preview(spark, tmp_path):
     (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
     df = files.read_csv(spark, [str(tmp_path / "r.csv")])
     assert df.count() == 150 and df.where(F.col("c").isNull()).count() == 15
-    p = files.preview(df).collect()
+    p = files.preview_files(spark, files.file_catalog(spark, str(tmp_path))).collect()
     assert len(p) == 100 and p[0].row_count_text == "100+ (fast preview)"
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Region,Total\n2026-01-01,North,10.50\n2026-01-02,South,1\n")
+    (tmp_path / "b.csv").write_text("Total, Date ,Region\n901.25,2026-02-01,South\n")
+    (tmp_path / "c.csv").write_text("2026-03-01,5\n2026-03-02,6\n")
+    (tmp_path / "d.csv").write_text("2026-04-01,7,east\n")
+    (tmp_path / "e.csv").write_text("Total,Total,,_c2\n1,2,3,4\n")
+    cat = files.file_catalog(spark, str(tmp_path))
+    names = {r.name: r.column_names for r in cat.collect()}
+    assert names["b.csv"] == ["Total", "Date", "Region"] and names["d.csv"] == ["Column 1", "Column 2", "Column 3"]
+    assert names["e.csv"] == ["Total", "Total 2", "Column 3", "_c2"]
+    rows = [r.asDict() for r in files.read_ledgers(spark, cat).collect()]
+    by_date = {r["Date"]: (r["Region"], r["Total"]) for r in rows if r["Date"]}
+    assert by_date == {"2026-01-01": ("North", "10.50"), "2026-01-02": ("South", "1"), "2026-02-01": ("South", "901.25")}
+    assert sorted((r["Column 1"], r["Column 2"], r["Column 3"]) for r in rows if r["Column 1"]) == [
+        ("2026-03-01", "5", None), ("2026-03-02", "6", None), ("2026-04-01", "7", "east")]
+    assert [(r["Total"], r["Total 2"], r["_c2"]) for r in rows if r["_c2"]] == [("1", "2", "4")]
+    some = files.read_ledgers(spark, cat, columns=["Region", "Total"])
+    assert some.columns == ["source_file", "Region", "Total"] and some.count() == 7
+
+
+def test_quotes_and_line_ends_in_fields(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Note,Total\n"He said ""hi"", ok",5.5\n"two\nlines",6\nplain,7\n')
+    cat = files.file_catalog(spark, str(tmp_path))
+    assert (cat.first().row_count_text, cat.first().multi_line) == ("3", True)
+    got = [(r.Note, r.Total) for r in files.read_ledgers(spark, cat).collect()]
+    assert got == [('He said "hi", ok', "5.5"), ("two\nlines", "6"), ("plain", "7")]
+    preview = [tuple(r.cells) for r in files.preview_files(spark, cat).orderBy("row_no").collect()]
+    assert preview == got
+
+
+def test_encoding_is_decided_on_the_whole_file(spark, tmp_path):
+    late = "Kind,Sum\n" + "plain,1\n" * 20_000 + "Аренда,2\n"
+    (tmp_path / "late.csv").write_bytes(late.encode("cp1251"))
+    (tmp_path / "bom.csv").write_bytes("\ufeffx|y\n1|2\n".encode())
+    cat = {r.name: r for r in files.file_catalog(spark, str(tmp_path)).collect()}
+    assert cat["late.csv"].encoding == "cp1251" and cat["bom.csv"].encoding == "utf-8"
+    assert cat["bom.csv"].column_names == ["x", "y"]
+    df = files.read_ledgers(spark, files.file_catalog(spark, str(tmp_path / "late.csv")))
+    assert df.where("Kind = 'Аренда'").count() == 1 and df.count() == 20_001
+
+
 def test_workbook_roundtrip(spark, tmp_path):
     path = tmp_path / "book.xlsx"
     path.write_bytes(xlsx_bytes(["Date", "Amount", "Kind"], [["2026-01-01", 10.5, "x"], ["2026-01-02", 3, "y"]]))
@@ -92,39 +133,36 @@ def test_file_metrics_one_call(spark, tmp_path):
 
 
 def test_fleet_auto_analysis_per_file_roles(spark, tmp_path):
-    from tallyframe.plans.analyze import auto_analyze
+    from tallyframe.plans.analyze import auto_analyze, fleet_analysis
     (tmp_path / "en.csv").write_text("Date,Region,Total\n" + "\n".join(
         f"2026-01-{d:02d},{'North' if d % 2 else 'South'},{100 + d}.50" for d in range(1, 9)) + "\n")
+    (tmp_path / "turned.csv").write_text("Total,Date,Region\n" + "\n".join(
+        f"{100 + d}.50,2026-01-{d:02d},{'North' if d % 2 else 'South'}" for d in range(1, 9)) + "\n")
     (tmp_path / "ru.csv").write_text("Дата;Категория;Сумма дохода;Сумма расхода\n" + "\n".join(
         f"{d:02d}.01.2026;{'Аренда' if d % 2 else 'Продажи'};{1000 * d};{50 * d}" for d in range(1, 9)) + "\n",
         encoding="cp1251")
-    cat = files.file_catalog(spark, str(tmp_path))
-    df = files.read_ledgers(spark, cat)
-    groups = auto_analyze(df, ["source_file"], catalog=cat)
-    by_file = {r.source_file.split("/")[-1]: g for g in groups for r in g.keys.collect()}
-    assert set(by_file) == {"en.csv", "ru.csv"}
-    assert by_file["en.csv"].roles.amount == ("Total",) and by_file["en.csv"].roles.category == ("Region",)
-    ru = by_file["ru.csv"]
-    assert ru.roles.revenue == ("Сумма дохода",) and ru.roles.expense == ("Сумма расхода",)
-    m = ru.analysis.basic.first()
-    assert (m.total_revenue, m.total_expenses) == (36000.0, 1800.0)
-
-
-def test_catalog_fallback_matches_head_reader(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.csv").write_text("Дата;Сумма\n01.01.2026;1 200,50\n", encoding="cp1251")
-    (tmp_path / "b.csv").write_text("x|y\n1|2\n3|4\n", encoding="utf-8-sig")
-    cols = ["name", "encoding", "delimiter", "has_header", "column_count", "column_names", "row_count_text"]
-    fast = sorted(tuple(r) for r in files.file_catalog(spark, str(tmp_path)).select(*cols).collect())
-
-    def boom(*_a, **_k):
-        raise RuntimeError("no task-side reader")
-    monkeypatch.setattr(files, "_heads_from_tasks", boom)
-    slow = sorted(tuple(r) for r in files.file_catalog(spark, str(tmp_path)).select(*cols).collect())
-    assert fast == slow
-    assert fast[0][1:4] == ("cp1251", ";", True) and fast[1][1:4] == ("utf-8", "|", True)
-
-
-def test_preview_files_reads_heads(spark, tmp_path):
+    (tmp_path / "words.csv").write_text("note;who\nsome text;ann\nmore text;bob\n")
+    fleet = fleet_analysis(spark, files.file_catalog(spark, str(tmp_path)))
+    name = lambda r: r.source_file.split("/")[-1]
+    basic = {name(r): r for r in fleet.basic.collect()}
+    assert set(basic) == {"en.csv", "turned.csv", "ru.csv"}
+    assert basic["en.csv"].roles == basic["turned.csv"].roles == "amount=Total, category=Region, date=Date"
+    assert basic["ru.csv"].roles == "category=Категория, date=Дата, expense=Сумма расхода, revenue=Сумма дохода"
+    assert (basic["ru.csv"].total_revenue, basic["ru.csv"].total_expenses) == (36000.0, 1800.0)
+    for f in ("en.csv", "turned.csv"):
+        assert (basic[f].total_revenue, basic[f].period_days) == (sum(100.5 + d for d in range(1, 9)), 8)
+    assert {(name(r), r.category) for r in fleet.categories.collect()} == {
+        (f, c) for f, cs in (("en.csv", ("North", "South")), ("turned.csv", ("North", "South")),
+                             ("ru.csv", ("Аренда", "Продажи"))) for c in cs}
+    assert fleet.points.count() == 24
+    # any keyed table, a null key included
+    df = spark.createDataFrame([(k, f"2026-01-{d:02d}", f"{d}.25") for k in ("x", None) for d in range(1, 7)],
+                               "shop string, date string, sales string")
+    again = auto_analyze(df, ["shop"])
+    assert {(r.shop, r.total_revenue) for r in again.basic.collect()} == {("x", 22.5), (None, 22.5)}
+
+
+def test_preview_files(spark, tmp_path):
     lines = ["a;b;c"] + [f"{i};{i * 2};" for i in range(150)]
     (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "small.csv").write_text("2026-01-01,5\n2026-01-02,7\n")
