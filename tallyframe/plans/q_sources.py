@@ -97,13 +97,13 @@ def q_header_check(spark, sf):
        len(string_split(column_names, ', '))::BIGINT AS column_count, column_names, 3::BIGINT AS files,
        CASE WHEN (SELECT count(*) FROM orders) > 600 THEN '100+ (fast preview)' END AS row_count_text
 FROM {_VARIANTS_SQL}
-UNION ALL SELECT 'workbooks', '.xlsx', 'ok', NULL, NULL, NULL, NULL, NULL, 4, NULL""")
+UNION ALL SELECT 'workbooks', '.xlsx', 'ok', NULL, NULL, NULL, 0, NULL, 4, NULL""")
 def q_file_catalog(spark, sf):
     """The catalog of every staged CSV file and workbook, by variant."""
     cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
     variant = F.when(F.col("extension") == ".xlsx", F.lit("workbooks")).otherwise(_variant())
     return cat.groupBy(variant.alias("variant"), "extension", "status", "encoding", "delimiter", "has_header",
-                       F.col("column_count").cast("bigint").alias("column_count"),
+                       F.coalesce("column_count", F.lit(0)).cast("bigint").alias("column_count"),
                        F.array_join("column_names", ", ").alias("column_names"), "row_count_text").agg(
         F.count(F.lit(1)).alias("files"))
 

@@ -73,8 +73,7 @@ def parse_ctes(src: str, col: str, p: str) -> tuple[str, str]:
 
 def profile_ctes() -> str:
     """cells → pc (profile counts) → prof (ratios) per source, position, column."""
-    words = ", ".join(q(f" {w} ") for w in DIRECTION_VALUE_KEYWORDS)
-    has_direction = f"len(list_filter([{words}], w -> contains(' ' || nv || ' ', w))) > 0"
+    has_direction = "(" + " OR ".join(f"contains(' ' || nv || ' ', {q(f' {w} ')})" for w in DIRECTION_VALUE_KEYWORDS) + ")"
     pv, last1 = parse_ctes("cv", "value", "pa")
     pn, last2 = parse_ctes(last1, "nv", "pb")
     return f"""{cells_sql()},
