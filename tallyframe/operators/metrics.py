@@ -19,18 +19,22 @@ def basic_metrics(ledger: Ledger) -> DataFrame:
     ``transaction_count`` counts every row (dateless rows included); a side
     that was not selected is null, and profit needs both sides.
     """
-    df, keys = ledger.df, list(ledger.keys)
-    agg = df.groupBy(*keys).agg(
+    return basic_from_totals(ledger_totals(ledger), ledger)
+
+
+def ledger_totals(ledger: Ledger) -> DataFrame:
+    """The sums that every per-key figure comes from, one row per key."""
+    return ledger.df.groupBy(*ledger.keys).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("expenses").alias("total_expenses"),
         F.min("ts").alias("date_min"),
         F.max("ts").alias("date_max"),
+        F.count("ts").alias("dated_rows"),
     )
-    return _finish_basic(agg, ledger)
 
 
-def _finish_basic(agg: DataFrame, ledger: Ledger) -> DataFrame:
+def basic_from_totals(agg: DataFrame, ledger: Ledger) -> DataFrame:
     """Derived metrics from per-key count, sums and date range."""
     keys = list(ledger.keys)
     rev = F.col("total_revenue") if ledger.has_revenue else F.lit(None).cast("double")
@@ -109,7 +113,7 @@ def ledger_rollup(ledger: Ledger, grain: str = "day", week_start: str = "monday"
 
 
 def basic_from_rollup(rollup: DataFrame, ledger: Ledger) -> DataFrame:
-    return _finish_basic(rollup.where(F.col("level") == "total"), ledger)
+    return basic_from_totals(rollup.where(F.col("level") == "total"), ledger)
 
 
 def categories_from_rollup(rollup: DataFrame, ledger: Ledger) -> DataFrame:

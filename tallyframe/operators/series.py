@@ -56,8 +56,12 @@ def time_series(ledger: Ledger, grain: str = "day", week_start: str = "monday")
 
 def series_status(ledger: Ledger) -> DataFrame:
     """Per key: number of dated rows and the chart status message ('' when fine)."""
+    return status_from_totals(ledger.df.groupBy(*ledger.keys).agg(F.count("ts").alias("dated_rows")), ledger)
+
+
+def status_from_totals(agg: DataFrame, ledger: Ledger) -> DataFrame:
+    """``series_status`` from per-key aggregates that hold ``dated_rows``."""
     keys = list(ledger.keys)
-    agg = ledger.df.groupBy(*keys).agg(F.count("ts").alias("dated_rows"))
     # A selected date column without any valid date counts as no date column (the
     # first-valid-date rule finds none); the "no valid dates" text is kept for
     # callers that pass already-parsed dates.

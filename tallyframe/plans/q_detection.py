@@ -76,7 +76,7 @@ SELECT source, "column", n_values::BIGINT AS n_values, checked_count::BIGINT AS
        {', '.join(f'round({c}, 6) AS {c}' for c in _RATIOS)} FROM prof""")
 def q_column_profile(spark, sf):
     """Date evidence and money profile of every column of five tables."""
-    p = profile(spark, sf)
+    p = D.column_profile(cells(spark, sf), ["source"], unique_ratio=True)
     return p.select("source", "column", "n_values", "checked_count", *[r(c, 6) for c in _RATIOS])
 
 

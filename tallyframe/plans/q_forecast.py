@@ -83,7 +83,8 @@ def q_forecast_eligibility(spark, sf):
     for name, led, grain in (("orders_year", views.orders(spark, sf), "year"),
                              ("cash_week", views.cash(spark, sf), "week"),
                              ("sales_month", views.sales(spark, sf), "month")):
-        st = forecast.forecast_status(series.time_series(led, grain), led).select(
+        points = series.time_series(led, grain).checkpoint()  # a row per period, read three times
+        st = forecast.forecast_status(points, led).select(
             F.lit(name).alias("ledger"), "n_points", "n_visible", "n_forecast", "message")
         out = st if out is None else out.unionByName(st)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyframe.operators import anomalies, forecast, insights, metrics, series
 from tallyframe.plans import views
+from tallyframe.plans.analyze import analyze
 from tallyframe.plans.registry import query, r
 from tallyframe.plans.sql_views import SALES, anomaly_ctes, forecast_ctes, points
 
@@ -165,9 +166,6 @@ ins AS (SELECT row_number() OVER (ORDER BY rule_order)::BIGINT AS position, rule
 SELECT position, rule, text FROM ins""")
 def q_insights(spark, sf):
     """I8: all rules over monthly sales, capped at 6 in rule order."""
-    led = views.sales(spark, sf)
-    pts = series.time_series(led, "month")
-    out = insights.generate_insights(
-        led, pts, metrics.basic_metrics(led), metrics.top_categories(led, 25),
-        anomalies.detect_anomalies(pts, led), forecast.forecast(pts, led, "month"), "en")
+    a = analyze(views.sales(spark, sf), grain="month")  # one scan; the rules read its rollup
+    out = insights.generate_insights(a.ledger, a.points, a.basic, a.categories, a.anomalies, a.forecast, "en")
     return out.select("position", "rule", "text")

@@ -132,8 +132,8 @@ def q_series_status(spark, sf):
     from tallyframe.operators import metrics
     out = None
     for name, led in (("sales", views.sales(spark, sf)), ("balance", views.balance(spark, sf))):
-        m = metrics.basic_metrics(led)
-        s = series.series_status(led)
+        totals = metrics.ledger_totals(led).checkpoint()  # one row per key, from one scan
+        m, s = metrics.basic_from_totals(totals, led), series.status_from_totals(totals, led)
         row = s.select(F.lit(name).alias("ledger"), "dated_rows", "message").join(
             m.select(F.lit(name).alias("ledger"), "transaction_count", r("total_profit"), "period_days"), "ledger")
         out = row if out is None else out.unionByName(row)

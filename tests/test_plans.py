@@ -44,3 +44,77 @@ def test_rollup_is_one_scan_one_exchange(spark):
 def test_no_cartesian_or_nested_loop_join(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_raw_ledger_is_scanned_once(spark):
+    """Cleaning decisions are taken after the aggregate: one scan, and only aggregated
+    rows are shuffled, also where nothing may be broadcast."""
+    from tallyframe.operators.partials import partials, raw_rollup
+    from tallyframe.plans import views
+    from tallyframe.roles import Roles
+    raw = views.raw_orders(spark, SF001)
+    roles = Roles(date=["alt_date", "date_text"], amount="money_text", category="o_orderstatus")
+    parts = partials(raw, roles, ["o_orderpriority"])
+    p = parts._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan parquet") == 1 and p.count("Exchange") == 1 and "Join" not in p
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = final_plan(raw_rollup(raw, roles, ["o_orderpriority"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # every shuffle of ledger rows lies above a partial aggregate
+    final = p.split("+- == Initial Plan ==")[0]
+    for line, above in zip(final.splitlines(), final.splitlines()[1:]):
+        if "Exchange hashpartitioning(o_orderpriority" in line:
+            assert "Aggregate" in above or "Project" in above or "Filter" in above or "Sort" in above
+
+
+def test_fleet_reads_each_layout_once_per_pass(spark, tmp_path):
+    from tallyframe.plans.analyze import fleet_analysis
+    from tallyframe.sources import files
+    for name, head, row in (("a", "Date,Kind,Total", "2026-01-0{},x,{}.5"), ("b", "Date,Kind,Total", "2026-02-0{},y,{}.5"),
+                            ("c", "Total,Date", "{1}.5,2026-03-0{0}")):
+        (tmp_path / f"{name}.csv").write_text(head + "\n" + "".join(row.format(i, i) + "\n" for i in range(1, 8)))
+    catalog = files.file_catalog(spark, str(tmp_path))
+    assert files.read_ledgers(spark, catalog)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    assert len(fleet_analysis(spark, catalog).basic.collect()) == 3
+
+
+def test_uncapped_lists_are_ranked(spark):
+    """``limit=None`` keeps and numbers everything, in the report too."""
+    from tallyframe.operators import report
+    from tallyframe.plans import views
+    from tallyframe.plans.analyze import analyze
+    a = analyze(views.sales(spark, SF001), grain="day", category_limit=None, anomaly_limit=None)
+    found = [r["rank"] for r in a.anomalies.orderBy("rank").collect()]
+    assert found == list(range(1, len(found) + 1)) and len(found) > 0
+    assert [r["rank"] for r in a.categories.orderBy("rank").collect()] == [1, 2, 3]
+    sections = {r.section for r in report.build_report(a, "f", "brief", "en").select("section").distinct().collect()}
+    assert {"categories", "anomalies"} <= sections
+
+
+def test_generated_code_fits_a_method(spark):
+    """A text date and a text money column into period points: every stage compiles, no
+    method beyond the JVM's 64 KB."""
+    from tallyframe.operators import series
+    from tallyframe.operators.partials import raw_rollup
+    from tallyframe.operators.prepare import prepare
+    from tallyframe.plans import views
+    from tallyframe.roles import Roles
+    roles = Roles(date="date_text", amount="money_text")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        raw = views.raw_orders(spark, SF001)
+        for df in (series.time_series(prepare(raw, roles)), raw_rollup(raw, roles)):
+            stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert sizes and all(0 < n < 65_536 for n in sizes), sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
