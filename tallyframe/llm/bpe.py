@@ -159,10 +159,14 @@ def _digest(bpe: Bpe, ids: np.ndarray) -> tuple:
     return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
+def _encoder(tokenizer: str) -> tuple[Bpe, ChunkEncoder]:
+    bpe = Bpe(tokenizer)
+    return bpe, ChunkEncoder(lambda texts: [bpe.encode(t) for t in texts])
+
+
 def _mapped(docs: DataFrame, tokenizer: str, of, schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_state(("bpe", tokenizer), lambda: Bpe(tokenizer))
-        encoder = worker_state(("bpe chunks", tokenizer), lambda: ChunkEncoder(lambda ts: [bpe.encode(t) for t in ts]))
+        bpe, encoder = worker_state(("bpe", tokenizer), lambda: _encoder(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

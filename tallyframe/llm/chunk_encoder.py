@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tallyframe.llm.common import worker_state
 
 #: Chunks a worker remembers before it starts afresh (memory only, never results).
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 500_000
 #: Bytes of text per vectorised step.
 STEP_BYTES = 8_000_000
 #: New chunks that go to the library as one text.

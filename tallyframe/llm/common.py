@@ -31,13 +31,15 @@ def staged(df: DataFrame, tag: str, **partition_by) -> DataFrame:
 
 
 def worker_state(key, make):
-    """``make()`` once per Python worker process and ``key``. Kept under an entry of
-    ``sys.modules`` so that it outlives a task even when this package's functions
-    travel pickled by value."""
+    """``make()`` once per Python worker process, as long as the worker asks for the same
+    ``key``; another key replaces it, so a reused worker holds the state of one operator
+    only. Kept in ``sys.modules`` so that it outlives a task even when this package's
+    functions travel pickled by value."""
     kept = sys.modules.setdefault("_tallyframe_worker", types.ModuleType("_tallyframe_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("state", None)
+        kept["key"], kept["state"] = key, make()
+    return kept["state"]
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

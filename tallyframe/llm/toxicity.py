@@ -53,8 +53,9 @@ Z_LEAST = 3.3
 DRIFT = 0.5
 SCORE_MOST = 8.0
 E_MOST = 0.05
-#: Bytes of text per vectorised step.
-STEP_BYTES = 8_000_000
+#: Bytes of text per vectorised step, and words a worker remembers (memory only).
+STEP_BYTES = 4_000_000
+MEMO_WORDS = 400_000
 
 
 def _bucket(word: str) -> int:
@@ -66,7 +67,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     words = split.values.dictionary_encode()
     memo = worker_state("toxicity words", dict)
-    if len(memo) > 1_000_000:
+    if len(memo) > MEMO_WORDS:
         memo.clear()
     of = np.empty(len(words.dictionary) + 1, np.int64)
     for k, w in enumerate(words.dictionary.to_pylist()):
