@@ -16,6 +16,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows handed to Python at once: whole texts, so fewer than the default 10,000
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Reading cp1251 ledgers needs the legacy charset list in Spark 4.x.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
