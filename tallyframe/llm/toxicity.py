@@ -261,11 +261,11 @@ PASSAGES = "array<struct<first:int,last:int,excess:double>>"
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``score`` (probability) and ``passages``."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS numbers
-    text = F.col("`text`").cast("string").alias("__tox_text")
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]),
-                        f"score double, passages {PASSAGES}"])
-    at = len(keep)
+    chosen = docs.withColumn("text", F.col("text").cast("string")).select(
+        *[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    at = chosen.columns.index("text")
+    kept = chosen.schema.fields[:len(keep)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"score double, passages {PASSAGES}"])
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("excess", pa.float64())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     scores.append(probability)
                     found.append([{"first": i, "last": j, "excess": x} for i, j, x in sure])
                 yield pa.RecordBatch.from_arrays(
-                    [*(step.column(k) for k in range(at)), pa.array(scores, pa.float64()), pa.array(found, spans)],
+                    [*(step.column(k) for k in range(len(keep))), pa.array(scores, pa.float64()), pa.array(found, spans)],
                     [*keep, "score", "passages"])
 
     return chosen.mapInArrow(run, schema)
