@@ -22,10 +22,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = staged(links, "links")
     for _ in range(rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        # written first, so that both sides of the join are shuffled tables that AQE can split
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")),
+                     "least")
         large = (both.where("v > u").join(low, F.col("u") == F.col("c"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        large = staged(large, "links")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m"), "least")
         small = (large.join(low, F.col("u") == F.col("c"))
                  .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                          F.col("m").alias("v")).distinct())
