@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import staged
+
 #: The rules that op2 judges by: (verdict, host suffix and path prefix).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
@@ -114,7 +116,8 @@ def judge(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_R
     else:
         listed = possible_hits(keys.select("key").distinct(), bloom, blocks).join(rules, "key")
         hits = keys.join(listed, "key")
-    best = hits.groupBy("_keys").agg(F.max(rank).alias("_best"))
+    # written first: both sides of the last join are shuffled tables, so AQE splits a hot host
+    best = staged(hits.groupBy("_keys").agg(F.max(rank).alias("_best")), "url-verdicts")
     return (urls.join(best.withColumnRenamed("_keys", "_of"), F.col("_keys") == F.col("_of"), "left")
             .select("page_id", "url", "host", "path", F.col("_best.rule").alias("rule"),
                     F.when(F.col("_best.block"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict")))
