@@ -67,6 +67,19 @@ def test_links_match_brute_force(spark, list_rows, chunk_rows):
     assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(brute_links(table, 0.9), key=repr)
 
 
+def test_links_of_low_rank_vectors_over_many_lists(spark):
+    # true pairs differ in the few directions in which the centres differ as well
+    rng = np.random.default_rng(4)
+    v = (rng.standard_normal((8000, 8)) @ rng.standard_normal((8, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], SCHEMA).repartition(8)
+    got = {r.vec_id: r.n_links for r in embedding_dups.near_duplicates(df, 0.9, list_rows=160).collect()}
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    want = (w @ w.T >= 0.9).sum(1) - 1
+    assert want.sum() > 20_000 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.999 * want.sum()
+
+
 def test_given_embeddings(spark):
     df = spark.read.parquet(f"{SF001}/embeddings.parquet")
     table = [(r.vec_id, r.embedding) for r in df.collect()]
