@@ -11,7 +11,8 @@ values stay equal in all documents:
 * phone: the last ten digits (fewer: all); country code and punctuation stay;
 * IPv4: the 32-bit address;
 * social security number: area, group and serial within their valid ranges;
-* date (``2024-01-31``, ``31.01.2024``, ``01/31/2024``, else ``31/01/2024``): the day
+* date (``2024-01-31``, ``31.01.2024``, ``01/31/2024``, else ``31/01/2024``; hyphens and
+  slashes in each order, one-digit days and months, the month's English name): the day
   within its stretch of 73,000 days counted from 1900-01-01, written in the same form.
 
 An email is no number; it becomes a keyed digest in the reserved domain
@@ -37,14 +38,23 @@ ROUNDS = 8
 DAYS = (365, 200)
 EPOCH = "1900-01-01"
 
+MONTH = ("(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+         "|nov(?:ember)?|dec(?:ember)?)")
+NTH = "(?i:st|nd|rd|th)?"
 #: The kinds, in the order in which they are tried at a position.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4})(?![0-9]|[./-][0-9])"
+            rf"|(?<![0-9A-Za-z./-])(?:{MONTH}\.? [0-9]{{1,2}}{NTH},? [0-9]{{4}}"
+            rf"|[0-9]{{1,2}}{NTH}(?: of)?[ -]{MONTH}\.?,?[ -][0-9]{{4}})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}"
-             r"|\+[0-9]{1,3}(?:[ .-][0-9]{1,4}){2,5})(?![0-9])",
+    # national by threes; with country code, first without separators; in brackets; trunk 0; ten bare digits
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-]|(?<![0-9][ .,/-])[0-9]{3} )[0-9]{3}[ .-][0-9]{4}"
+             r"|\+[0-9]{8,15}(?![0-9])|\+[0-9](?:[ .()/-]{0,3}[0-9]){7,14}"
+             r"|\([0-9]{2,5}\)(?:[ .-]?[0-9]){6,8}"
+             r"|(?<![0-9][ .,/-])(?:00[1-9](?:[ .()/-]{0,3}[0-9]){7,12}|0[1-9](?:[ .-]?[0-9]){7,10}|[2-9][0-9]{2}[2-9][0-9]{6})"
+             r"(?![0-9A-Za-z]|[.,-][0-9]))(?![0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
 }
 #: Back references keep their number: only the card pattern has a capturing group.
@@ -162,29 +172,67 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new)
 
 
-def _permuted_day(form: str, key: str):
+def _moved_day(day: Column, form: str, key: str) -> Column:
+    """Another day of the same stretch of 73,000; the padded ``form`` is part of the key."""
     a, b = DAYS
 
     def of(days: Column) -> Column:
         base = F.floor(days / (a * b)) * (a * b)
         at = days - base
         moved = feistel(F.floor(at / b), at % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date" + form)
-        return _let(moved, lambda p: F.date_format(
-            F.date_add(F.lit(EPOCH).cast("date"), (base + p["l"] * b + p["r"]).cast("int")), form))
-    return of
+        return _let(moved, lambda p: F.date_add(F.lit(EPOCH).cast("date"), (base + p["l"] * b + p["r"]).cast("int")))
+    return F.when(F.year(day).between(1, 9800), _let(F.datediff(day, F.lit(EPOCH).cast("date")), of))
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    # a day that the calendar lacks is null
+    return F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")).cast("date")
 
 
 def _date(m: Column, key: str) -> Column:
-    out = F.lit(None).cast("string")
-    for shape, form in ((r"^\d{2}/", "dd/MM/yyyy"), (r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy"),
-                        (r"^\d{4}-", "yyyy-MM-dd")):
-        # a day that the calendar lacks is null
-        day = F.when(m.rlike(shape), F.try_to_timestamp(m, F.lit(form)).cast("date"))
-        days = F.datediff(day, F.lit(EPOCH).cast("date"))
-        out = F.coalesce(F.when(F.year(day).between(1, 9800), _let(days, _permuted_day(form, key))), out)
+    out = _named_date(m, key)
+    p = F.split(m, "[./-]")
+    for sep in "./-":
+        mark = "[.]" if sep == "." else sep
+        last = [("dd", "MM", "yyyy"), ("MM", "dd", "yyyy")]
+        # the later form goes first: month before day, but not between dots
+        for parts in [("yyyy", "MM", "dd"), *(last[:1] if sep == "." else last)]:
+            year_first = parts[0] == "yyyy"
+            shape = f"^[0-9]{{4}}{mark}" if year_first else f"^[0-9]{{1,2}}{mark}[0-9]{{1,2}}{mark}"
+            day = F.when(m.rlike(shape), _day(*(F.get(p, parts.index(x)) for x in ("yyyy", "MM", "dd"))))
+            form = sep.join(parts)
+            short = sep.join(x if x == "yyyy" else x[0] for x in parts)
+            # a day or month of one digit: neither is padded
+            out = F.coalesce(_let(_moved_day(day, form, key), lambda new: F.when(
+                F.length(m) == 10, F.date_format(new, form)).otherwise(F.date_format(new, short))), out)
     return out
 
 
+def _named_date(m: Column, key: str) -> Column:
+    """Dates with the month's name: its length and case, ordinals and punctuation stay."""
+    name = F.regexp_extract(m, f"({MONTH})(?![a-z])", 1)
+    of = F.regexp_extract(m, "([0-9]{1,2})(?![0-9])", 1)
+    nth = F.floor((F.position(F.lower(F.substring(name, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3)
+    day = F.when(name != "", _day(F.substring(m, -4, 4), nth.cast("string"), of))
+
+    def written(new: Column) -> Column:
+        full = (F.length(name) > 4) | F.lower(name).isin("may", "june", "july")
+        month = F.when(full, F.date_format(new, "MMMM")).otherwise(F.date_format(new, "MMM"))
+        month = F.when(name == F.upper(name), F.upper(month)).when(name == F.lower(name), F.lower(month)).otherwise(month)
+        d = F.dayofmonth(new)
+        number = F.when(of.startswith("0"), F.date_format(new, "dd")).otherwise(d.cast("string"))
+        suffix = (F.when(d.between(11, 13), "th").when(d % 10 == 1, "st").when(d % 10 == 2, "nd").when(d % 10 == 3, "rd")
+                  .otherwise("th"))
+        # what lies between: blanks, commas, points, hyphens, "of"
+        first, second = (F.regexp_extract(m, f"^(?:{MONTH}|[0-9]{{1,2}}(?i:st|nd|rd|th)?)((?: of)?[ .-]+)"
+                                             f"(?:{MONTH}|[0-9]{{1,2}}(?i:st|nd|rd|th)?)([ .,-]+)[0-9]{{4}}$", k) for k in (1, 2))
+        number = F.when(m.rlike("[0-9](?i:st|nd|rd|th)"), F.concat(number, suffix)).otherwise(number)
+        front = m.rlike("^[0-9]")
+        return F.concat(F.when(front, number).otherwise(month), first, F.when(front, month).otherwise(number), second,
+                        F.date_format(new, "yyyy"))
+    return _let(_moved_day(day, "d MMMM yyyy", key), written)
+
+
 def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), F.lit("|email|"), m), 256), 1, 20),
                     F.lit("@example.invalid"))

@@ -128,3 +128,35 @@ def test_given_documents(spark):
     assert seen > 5
     plan = pii.pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+PHONES = ["+15558675309", "+442071838750", "555 867 5309", "5558675309", "+33 612345678", "+86 13912345678",
+          "+44 (0)20 7183 8750", "+44 20 71838750", "+4915112345678", "+1 (017) 555-7713", "(555) 8675309", "0612345678",
+          "06 12 34 56 78", "020 7183 8750", "0151 12345678", "0033612345678", "+49-30-1234567", "(020) 7183 8750"]
+#: date, its day, the key's form, and how the new day is written
+DATES = [("1/5/2024", (2024, 1, 5), "MM/dd/yyyy", "{m}/{d}/{y}"), ("5.1.2024", (2024, 1, 5), "dd.MM.yyyy", "{d}.{m}.{y}"),
+         ("25/1/2024", (2024, 1, 25), "dd/MM/yyyy", "{d}/{m}/{y}"), ("2024/01/05", (2024, 1, 5), "yyyy/MM/dd", "{y}/{m:02}/{d:02}"),
+         ("2024/1/5", (2024, 1, 5), "yyyy/MM/dd", "{y}/{m}/{d}"), ("2024-1-5", (2024, 1, 5), "yyyy-MM-dd", "{y}-{m}-{d}"),
+         ("31-01-2024", (2024, 1, 31), "dd-MM-yyyy", "{d:02}-{m:02}-{y}"),
+         ("January 5, 2024", (2024, 1, 5), "d MMMM yyyy", "{B} {d}, {y}"), ("Jan. 05 2024", (2024, 1, 5), "d MMMM yyyy", "{b}. {d:02} {y}"),
+         ("5 Jan 2024", (2024, 1, 5), "d MMMM yyyy", "{d} {b} {y}"), ("5-JAN-2024", (2024, 1, 5), "d MMMM yyyy", "{d}-{b2} {y}"),
+         ("31 Sept. 2024", None, "", ""), ("2024/02/30", None, "", ""), ("13/13/2024", None, "", "")]
+
+
+def test_common_phone_and_date_forms(spark):
+    want = {}
+    for m in PHONES:
+        d = re.sub(r"\D", "", m)
+        want[m] = refill(m, d[:-10] + digits_of(d[-10:], "phone"))
+    for m, ymd, form, written in DATES:
+        want[m] = m
+        if ymd:
+            n = (datetime.date(*ymd) - datetime.date(1900, 1, 1)).days
+            x, y = feistel(n // 200, n % 200, 365, 200, "date" + form)
+            new = datetime.date(1900, 1, 1) + datetime.timedelta(x * 200 + y)
+            want[m] = written.replace("{b2} ", "{b2}-").format(y=new.year, m=new.month, d=new.day, B=new.strftime("%B"),
+                                                               b=new.strftime("%b"), b2=new.strftime("%b").upper())
+    same = ["3.5558675309", "1700000000", "5558675309.25", "a5558675309", "555-1234", "1/5/24", "May 2024", "version 1.2.3"]
+    want |= {m: m for m in same}
+    got = pii.pseudonymise(docs(spark, [(k, f"at {m}, or") for k, m in enumerate(want)]), KEY).collect()
+    assert {m: got[k].text for k, m in enumerate(want)} == {m: f"at {new}, or" for m, new in want.items()}
