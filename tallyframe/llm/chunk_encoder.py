@@ -30,13 +30,15 @@ JOINED = 256
 class ChunkEncoder:
     """``encode(texts)`` gives one ``bytes`` of little-endian uint32 ids per text."""
 
-    def __init__(self, library_batch, starts: np.ndarray | None = None):
+    def __init__(self, library_batch, starts: np.ndarray | None = None, spaced: bool = False):
         #: list of texts -> list of uint32 id lists (the encoder proper)
         self.library_batch = library_batch
         #: by id: does its string start with a space or a line feed?
         self.starts = starts
+        #: encode a space and the text instead of the text
+        self.spaced = spaced
         self.memo: dict[str, bytes | None] = {}
-        self.newline = self._ids(["\n"])[0]
+        self.newline = b"" if spaced else self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self.library_batch(texts)]
@@ -76,7 +78,8 @@ class ChunkEncoder:
 
     def _step(self, texts: pa.Array) -> list[bytes]:
         # every piece that follows a line feed, the first one included, starts with it
-        mark, glue = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        # (a spaced text needs no mark: its first piece follows a space like the others)
+        mark, glue = pa.scalar("" if self.spaced else "\n", pa.large_string()), pa.scalar("", pa.large_string())
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n"), glue)
         split = pc.split_pattern(marked, " ")
         pieces = split.values.dictionary_encode()
@@ -91,7 +94,8 @@ class ChunkEncoder:
         out = [data[a + skip:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         whole = np.flatnonzero(bad).tolist()
         if whole:
-            for k, ids_k in zip(whole, self._ids([texts[k].as_py() for k in whole])):
+            lead = " " if self.spaced else ""
+            for k, ids_k in zip(whole, self._ids([lead + texts[k].as_py() for k in whole])):
                 out[k] = ids_k
         return out
 
