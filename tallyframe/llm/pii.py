@@ -41,9 +41,11 @@ EPOCH = "1900-01-01"
 MONTH = ("(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
          "|nov(?:ember)?|dec(?:ember)?)")
 NTH = "(?i:st|nd|rd|th)?"
-#: The kinds, in the order in which they are tried at a position.
+#: The kinds, in the order in which they are tried at a position. Every repeated group is
+#: bounded (a domain has 127 labels of 63 characters at most): the pattern matcher takes
+#: a stack frame per repetition of a group, so junk of any length must not repeat one freely.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9-])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}|[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4})(?![0-9]|[./-][0-9])"
             rf"|(?<![0-9A-Za-z./-])(?:{MONTH}\.? [0-9]{{1,2}}{NTH},? [0-9]{{4}}"

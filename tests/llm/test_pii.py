@@ -160,3 +160,26 @@ def test_common_phone_and_date_forms(spark):
     want |= {m: m for m in same}
     got = pii.pseudonymise(docs(spark, [(k, f"at {m}, or") for k, m in enumerate(want)]), KEY).collect()
     assert {m: got[k].text for k, m in enumerate(want)} == {m: f"at {new}, or" for m, new in want.items()}
+
+
+def test_a_million_repetitions_of_each_pattern_part(spark):
+    """Junk that repeats a part of a pattern neither overflows the matcher's stack nor hangs."""
+    n = 1_000_000
+    parts = ["a.", "a@", "a-", "1.", "1-", "1/", "1 ", "(1", "+1", "(12)", "1)", "0", "a", ".", "+", "may ", "1st ", "12 of ", "a1."]
+    given = [(i, head + part * n + tail) for i, (part, head, tail) in enumerate(
+        [(p, h, t) for p in parts for h, t in (("", ""), ("see x@", " b@c.org"))])]
+    short = [(1000, "see x@" + "a." * 2000 + "com"), (1001, "x@" + "b" * 64 + ".org"), (1002, "x@" + "a." * 100 + "com")]
+    df = docs(spark, given + short).repartition(8)
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY, count="n").selectExpr(
+        "doc_id", "n", "length(text) as size", "right(text, 40) as tail").collect()}
+    assert len(got) == len(given) + len(short)
+    assert got[1002].n == 1 and got[1001].n == 0
+    for i, text in given:
+        if text.endswith(" b@c.org"):
+            assert "@example.invalid" in got[i].tail and got[i].n >= 1
+
+
+def test_long_domains_are_found_up_to_their_bounds(spark):
+    mails = ["x@" + "a" * 63 + ".org", "x@" + "ab." * 126 + "com", "first.last+tag@mail.example.co.uk"]
+    got = pii.pseudonymise(docs(spark, list(enumerate(mails))), KEY, count="n").collect()
+    assert all(r.n == 1 and r.text.endswith("@example.invalid") for r in got)
