@@ -1,8 +1,8 @@
 """URL rules by a blocked Bloom filter and an exact hash join.
 
 A rule lists a host suffix and a path prefix (``example.org/es/``). The canonical
-keys of a URL are its host and each parent domain, joined to each of its path
-prefixes as long as some rule's path. A blocked Bloom filter of the listed keys, one
+keys of a URL are its last labels, as many as some rule's host has, joined to each of
+its path prefixes as long as some rule's path; so a host of any length has few keys. A blocked Bloom filter of the listed keys, one
 row of eight 64-bit words per block, passes possible hits; an exact hash join with
 the list removes the false positives; the longest rule left decides, and a URL that
 no rule fits is allowed.
@@ -89,8 +89,9 @@ def judge(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_R
         (cut - 1).alias("_host_chars"), (F.char_length("rule") - cut + 1).alias("_path_chars")).where(cut > 0)
         .groupBy("key", "_host_chars", "_path_chars")  # listed twice: one row; block before allow
         .agg(F.min("_rule").alias("_rule"), F.max("_verdict").alias("_verdict")))
-    shape = rules.agg(F.count("*"), F.sort_array(F.collect_set("_path_chars"))).first()
-    n, lengths = shape[0], shape[1]  # as many lengths as the longest rule has characters at most
+    labels = F.size(F.split(F.expr("left(key, _host_chars)"), "[.]"))
+    shape = rules.agg(F.count("*"), F.sort_array(F.collect_set("_path_chars")), F.sort_array(F.collect_set(labels))).first()
+    n, lengths, depths = shape  # as many lengths and depths as the longest rule has characters at most
     blocks = max(1, -(-n // KEYS_PER_BLOCK))
     small = n <= broadcast_rules
     bounded = F.broadcast if small else (lambda df: df)
@@ -99,8 +100,9 @@ def judge(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_R
     host, path = split_url(F.col("url"))
     urls = (pages.select("page_id", F.col("url").cast("string").alias("url"))
             .withColumn("host", host).withColumn("path", path))
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), "
-                      "i -> concat_ws('.', slice(split(host, '[.]'), i, size(split(host, '[.]')))))")
+    # a host of fewer labels than asked for is its own suffix
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -d) for d in depths])
+                                ) if depths else F.array().cast("array<string>")
     prefixes = F.array(*[F.when(F.char_length("path") >= k, F.substring("path", 1, k)) for k in lengths]
                        ) if lengths else F.array().cast("array<string>")
     urls = urls.withColumn("_keys", F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(

@@ -70,3 +70,15 @@ def test_bloom_passes_all_listed(spark):
     assert url_filter.possible_hits(keys, bloom, 250).count() == 2000
     others = spark.range(20_000).selectExpr("concat('o', id) as key")
     assert url_filter.possible_hits(others, bloom, 250).count() < 1000
+
+
+def test_very_long_urls(spark):
+    """Keys do not grow with the labels of a host or the length of a path."""
+    long_host = "a." * 10_000 + "example.org"
+    urls = [f"http://{long_host}/en/1", "http://example.org/" + "x" * 1_000_000, "http://" + "y" * 1_000_000 + ".com/de/",
+            "http://" + "." * 20_000 + "com/fr/x", "http://" + "b." * 300_000 + "org/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in
+           url_filter.judge(pages, url_filter.rule_table(spark)).select("page_id", "rule", "verdict").collect()}
+    assert got == {0: ("example.org/en/1", "block"), 1: ("org/", "allow"), 2: ("com/de/", "block"), 3: ("com/fr/", "allow"),
+                   4: ("org/", "allow")}
