@@ -18,6 +18,8 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows handed to Python at once: whole texts, so fewer than the default 10,000
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # and at most this many bytes of them, so that long texts do not add up
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 ** 2),
     # Reading cp1251 ledgers needs the legacy charset list in Spark 4.x.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
