@@ -20,21 +20,27 @@ columns pass through ``clean`` unchanged, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.common import new_folder, row_key
+from tallyframe.llm.words import steps
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 FANOUT = 4
 BATCHES = 4
+#: Bytes of text that a task has in hand at once (a longer text alone).
+STEP_BYTES = 2_000_000
 
 KEYS = "h1 long, h2 long, docs long"
 
@@ -50,11 +56,6 @@ def line_hashes(text: str | None, min_chars: int = MIN_CHARS) -> list[bytes | No
     return out
 
 
-def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    return tuple(pa.array([int.from_bytes(d[a:a + 8], "little", signed=True) for d in digests], pa.int64())
-                 for a in (0, 8))
-
-
 class LineRuns:
     """The runs of one corpus, kept as Parquet folders below ``folder``."""
 
@@ -116,13 +117,13 @@ def _keys(docs: DataFrame, min_chars: int, batches: int, path: str) -> DataFrame
     """Stage (batch, row key, h1, h2), one row per distinct line key of a document."""
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows, found = [], []
-            for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own = {h for h in line_hashes(text, min_chars) if h is not None}
-                rows += [k] * len(own)
-                found += own
-            h1, h2 = _halves(found)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "h1": h1, "h2": h2})
+            rows = part.column(0).to_numpy()
+            for start, texts in steps(part.column(1), STEP_BYTES):
+                own = [b"".join({h for h in line_hashes(t, min_chars) if h is not None}) for t in texts.to_pylist()]
+                halves = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+                row = np.repeat(rows[start:start + len(own)], [len(x) // 16 for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                                                 ["row", "h1", "h2"])
 
     (docs.select(row_key(), F.col("text").cast("string")).mapInArrow(hashes, "row long, h1 long, h2 long")
      .withColumn("batch", F.expr(f"cast(pmod(row, {batches}) as int)"))
@@ -160,32 +161,32 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
     at = joined.columns.index("text")
 
     def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        import pyarrow.compute as pc
         for part in parts:
-            texts, lines, dropped = part.column(at).to_pylist(), [], []
             sets = part.column(part.num_columns - 1)
-            flat, offsets = sets.flatten(), pc.list_value_length(sets).fill_null(0).to_pylist()
-            h1, h2, first = flat.field(0).to_pylist(), flat.field(1).to_pylist(), 0
-            for i, n in enumerate(offsets):
-                text = texts[i]
-                lines.append((text or "").count("\n") + 1)
-                dropped.append(0)
-                if n:
-                    gone = {a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True)
-                            for a, b in zip(h1[first:first + n], h2[first:first + n])}
-                    kept = [x for x, h in zip(text.split("\n"), line_hashes(text, min_chars)) if h not in gone]
-                    dropped[-1] = lines[-1] - len(kept)
-                    texts[i] = "\n".join(kept)
-                first += n
-            counts = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            if digest:
-                sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha, pa.string())], schema.names)
-            else:
-                cols = [part.column(k) for k in range(part.num_columns - 1)]
-                cols[at] = pa.array(texts, cols[at].type)
-                yield pa.RecordBatch.from_arrays([*cols, *counts], schema.names)
+            flat = sets.flatten()
+            # 16 bytes for each dropped key, and where each document's keys end
+            keys = np.stack([flat.field(k).to_numpy() for k in (0, 1)], 1).astype("<i8").tobytes()
+            ends = np.cumsum(pc.list_value_length(sets).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) * 16
+            for start, texts in steps(part.column(at), STEP_BYTES):
+                rows, lines, dropped = texts.to_pylist(), [], []
+                for i, text in enumerate(rows):
+                    first, last = int(ends[start + i - 1]) if start + i else 0, int(ends[start + i])
+                    lines.append(text.count("\n") + 1)
+                    dropped.append(0)
+                    if last > first:
+                        gone = {keys[k:k + 16] for k in range(first, last, 16)}
+                        kept = [x for x, h in zip(text.split("\n"), line_hashes(text, min_chars)) if h not in gone]
+                        dropped[-1] = lines[-1] - len(kept)
+                        rows[i] = "\n".join(kept)
+                own = part.slice(start, len(rows))
+                counts = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+                if digest:
+                    sha = [hashlib.sha256(t.encode()).hexdigest() for t in rows]
+                    yield pa.RecordBatch.from_arrays([own.column(0), *counts, pa.array(sha, pa.string())], schema.names)
+                else:
+                    cols = [own.column(k) for k in range(own.num_columns - 1)]
+                    empty = cols[at].is_null().to_pylist()  # a null text stays null
+                    cols[at] = pa.array([None if e else t for e, t in zip(empty, rows)], cols[at].type)
+                    yield pa.RecordBatch.from_arrays([*cols, *counts], schema.names)
 
     return joined.mapInArrow(drop, schema)
