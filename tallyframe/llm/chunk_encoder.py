@@ -30,13 +30,15 @@ JOINED = 256
 class ChunkEncoder:
     """``encode(texts)`` gives one ``bytes`` of little-endian uint32 ids per text."""
 
-    def __init__(self, library_batch, starts: np.ndarray | None = None, spaced: bool = False):
+    def __init__(self, library_batch, starts: np.ndarray | None = None, spaced: bool = False,
+                 memo_chunks: int = MEMO_CHUNKS):
         #: list of texts -> list of uint32 id lists (the encoder proper)
         self.library_batch = library_batch
         #: by id: does its string start with a space or a line feed?
         self.starts = starts
         #: encode a space and the text instead of the text
         self.spaced = spaced
+        self.memo_chunks = memo_chunks
         self.memo: dict[str, bytes | None] = {}
         self.newline = b"" if spaced else self._ids(["\n"])[0]
 
@@ -68,7 +70,7 @@ class ChunkEncoder:
         memo = self.memo
         missing = [p for p in pieces if p not in memo]
         if missing:
-            if len(memo) + len(missing) > MEMO_CHUNKS:
+            if len(memo) + len(missing) > self.memo_chunks:
                 memo.clear()
                 missing = pieces
             safe = [p for p in missing if self._edges_are_safe(p)]

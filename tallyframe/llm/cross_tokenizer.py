@@ -43,7 +43,11 @@ from tallyframe.llm.words import raw_bytes, steps
 #: Id pairs whose counts are broadcast at once (17 bytes each).
 PAIRS_AT_ONCE = 4_000_000
 #: Different windows a worker remembers before it starts afresh (memory only, never results).
-MEMO_WINDOWS = 300_000
+MEMO_WINDOWS = 150_000
+#: Different chunks that each of the two encoders remembers.
+MEMO_CHUNKS = 150_000
+#: Bytes of text that a task has in hand at once (a longer text alone).
+STEP_BYTES = 2_000_000
 SPACE_MARK = "▁"
 
 
@@ -77,7 +81,7 @@ def library_a(path: str) -> tuple[ChunkEncoder, Vocabulary]:
         strings[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
     starts = np.array([s[:1] in (b" ", b"\n") for s in strings])
     encoder = ChunkEncoder(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)],
-                           starts, spaced=True)
+                           starts, True, MEMO_CHUNKS)
     return encoder, Vocabulary(strings)
 
 
@@ -104,7 +108,7 @@ def library_b(path: str) -> tuple[ChunkEncoder, Vocabulary]:
                 out[k] = out[k][1:]
         return out
 
-    encoder = ChunkEncoder(ids, spaced=True)
+    encoder = ChunkEncoder(ids, None, True, MEMO_CHUNKS)
     if not apart:
         encoder.encode = lambda texts: [np.array(x, "<u4").tobytes() for x in model.encode(
             [t or "" for t in texts.to_pylist()], num_threads=1)]
@@ -220,7 +224,7 @@ def _mapped(docs: DataFrame, path_a: str, path_b: str, schema: str, columns) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = worker_state(("windows", path_a, path_b), lambda: Windows(path_a, path_b))
         for batch in batches:
-            for start, texts in steps(batch.column(1), 4_000_000):
+            for start, texts in steps(batch.column(1), STEP_BYTES):
                 own = columns(windows, windows.documents(texts))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(start, len(texts)), **own})
 
