@@ -21,8 +21,9 @@ _BY_PRIORITY_SQL = """SELECT o_orderpriority AS category, count(*)::BIGINT AS tr
        round(sum(round(o_totalprice, 2)), 2) AS revenue FROM orders GROUP BY o_orderpriority"""
 
 
-def _catalog(spark, sf):
-    return files.file_catalog(spark, staging.stage_csv(spark, sf))
+def _catalog(spark, sf, *variants, **how):
+    """The catalog of the named variants' folders (all six by default)."""
+    return files.file_catalog(spark, staging.stage_csv(spark, sf, variants or tuple(staging.VARIANTS)), **how)
 
 
 def _variant(col="path"):
@@ -41,7 +42,7 @@ def q_csv_scan(spark, sf):
     """Files of four layouts (another column order, padded names, doubled
     quotes, line ends in quotes, a late cp1251 row) read together by their own headers,
     only the selected columns, money cleaned from text."""
-    cat = _catalog(spark, sf).where(_variant().isin(*staging.ENGLISH))
+    cat = _catalog(spark, sf, *staging.ENGLISH)
     df = files.read_ledgers(spark, cat, columns=["OrderDate", "TotalPrice", "Priority"])
     led = prepare(df.withColumn("variant", _variant("source_file")),
                   Roles(date="OrderDate", revenue="TotalPrice", category="Priority"), ["variant"])
@@ -51,7 +52,7 @@ def q_csv_scan(spark, sf):
 @query("q_headerless", _BY_PRIORITY_SQL)
 def q_headerless(spark, sf):
     """Headerless tab files get ``Column N`` names; columns picked by position."""
-    cat = _catalog(spark, sf).where(_variant() == "tab_headerless")
+    cat = _catalog(spark, sf, "tab_headerless")
     df = files.read_ledgers(spark, cat, columns=["Column 4", "Column 3"])
     led = prepare(df, Roles(revenue="Column 4", category="Column 3"))
     return _by_category(led)
@@ -64,7 +65,7 @@ FROM orders GROUP BY 1""")
 def q_csv_cp1251(spark, sf):
     """S2/S3 + D + P1: cp1251 ';' files with Russian headers and comma decimals;
     roles detected from the whole files, which are then analysed."""
-    cat = _catalog(spark, sf).where(_variant() == "cp1251_semicolon")
+    cat = _catalog(spark, sf, "cp1251_semicolon")
     df = files.read_ledgers(spark, cat).drop("source_file")
     assign, _ = detect_roles(df)
     chosen = {row.role: row.column for row in assign.collect() if row.column}
@@ -84,28 +85,84 @@ _VARIANTS_SQL = """(VALUES
 
 
 @query("q_header_check", f"""SELECT variant, encoding, delimiter, has_header, column_names, multi_line,
-       greatest(3, 1)::BIGINT AS files FROM {_VARIANTS_SQL} WHERE (SELECT count(*) FROM orders) > 0""")
+       (SELECT count(*) FROM orders)::BIGINT AS records FROM {_VARIANTS_SQL} WHERE (SELECT count(*) FROM orders) > 0""")
 def q_header_check(spark, sf):
-    """Per staged CSV variant, the settings and names found for its files."""
+    """Per staged CSV variant, the settings and names found for its files, and their records."""
     cat = _catalog(spark, sf)
     return cat.groupBy(_variant().alias("variant"), "encoding", "delimiter", "has_header",
                        F.array_join("column_names", ", ").alias("column_names"), "multi_line").agg(
-        F.count(F.lit(1)).alias("files"))
+        F.sum("records").alias("records"))
 
 
 @query("q_file_catalog", f"""SELECT variant, '.csv' AS extension, 'ok' AS status, encoding, delimiter, has_header,
-       len(string_split(column_names, ', '))::BIGINT AS column_count, column_names, 3::BIGINT AS files,
-       CASE WHEN (SELECT count(*) FROM orders) > 600 THEN '100+ (fast preview)' END AS row_count_text
+       len(string_split(column_names, ', '))::BIGINT AS column_count, column_names, (SELECT count(*) FROM orders)::BIGINT AS records,
+       TRUE AS several_files, CASE WHEN (SELECT count(*) FROM orders) > 600 THEN '100+ (fast preview)' END AS row_count_text
 FROM {_VARIANTS_SQL}
-UNION ALL SELECT 'workbooks', '.xlsx', 'ok', NULL, NULL, NULL, 0, NULL, 4, NULL""")
+UNION ALL SELECT variant, '.csv', 'ok', 'utf-8', ',', TRUE, 2, name || ', TotalPrice', (SELECT count(*) FROM orders),
+       TRUE, '100+ (fast preview)'
+FROM (VALUES ('long_name', repeat('note, ', 2500) || 'x'), ('many_quotes', repeat('"', 50000))) o(variant, name)
+UNION ALL SELECT 'workbooks', '.xlsx', 'ok', NULL, NULL, NULL, 0, NULL, NULL, TRUE, NULL""")
 def q_file_catalog(spark, sf):
-    """The catalog of every staged CSV file and workbook, by variant."""
-    cat = files.file_catalog(spark, [staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
+    """The catalog of every staged CSV file and workbook, by variant; files whose
+    names are very long or full of quotes leave the others alone."""
+    cat = files.file_catalog(spark, [*staging.stage_csv(spark, sf), staging.stage_workbooks(spark, sf)])
     variant = F.when(F.col("extension") == ".xlsx", F.lit("workbooks")).otherwise(_variant())
     return cat.groupBy(variant.alias("variant"), "extension", "status", "encoding", "delimiter", "has_header",
                        F.coalesce("column_count", F.lit(0)).cast("bigint").alias("column_count"),
                        F.array_join("column_names", ", ").alias("column_names"), "row_count_text").agg(
-        F.count(F.lit(1)).alias("files"))
+        F.sum("records").alias("records"), (F.count(F.lit(1)) >= 3).alias("several_files"))
+
+
+@query("q_kept_catalog", """SELECT 'ok' AS status, (SELECT count(*) FROM orders)::BIGINT AS records, TRUE AS several_files,
+       0::BIGINT AS judged_again""")
+def q_kept_catalog(spark, sf):
+    """The catalog of unchanged files, from the kept rows of an earlier run alone."""
+    folder = staging.stage_csv(spark, sf, ("pipe",))
+    kept = shared_path(spark, "kept", uuid.uuid4().hex)
+    first = files.file_catalog(spark, folder, kept=kept)
+    again = files.file_catalog(spark, folder, kept=kept)
+    rows = spark.read.parquet(kept).count() - first.count()
+    return again.groupBy("status").agg(F.sum("records").alias("records"), (F.count(F.lit(1)) >= 3).alias("several_files")) \
+        .withColumn("judged_again", F.lit(rows).cast("bigint"))
+
+
+@query("q_record_issues", f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % {staging.RAGGED_PARTS} AS part FROM orders),
+l AS (SELECT part, max(k) AS last FROM o GROUP BY part),
+t AS (SELECT part, k, (k = last AND part % 2 = 1) AS spoilt FROM o JOIN l USING (part))
+SELECT part::BIGINT AS part, count(*)::BIGINT AS records, count(*) FILTER (WHERE NOT spoilt AND k % 10 = 0)::BIGINT AS short,
+       count(*) FILTER (WHERE NOT spoilt AND k % 10 = 1)::BIGINT AS long, part % 2 = 1 AS odd_quotes, 0::BIGINT AS lines_in_quotes
+FROM t GROUP BY part""")
+def q_record_issues(spark, sf):
+    """Short and overlong rows and quotes that nothing closes, counted per file."""
+    cat = files.file_catalog(spark, staging.stage_ragged(spark, sf))
+    found = files.record_issues(spark, cat)
+    return found.select(F.regexp_extract("source_file", r"/part=(\d+)/", 1).cast("bigint").alias("part"), "records", "short",
+                        "long", "odd_quotes", "lines_in_quotes")
+
+
+@query("q_file_metrics", """SELECT v.variant, count(*)::BIGINT AS transaction_count, round(sum(round(o_totalprice, 2)), 2) AS total_revenue,
+       0.0::DOUBLE AS total_expenses
+FROM orders CROSS JOIN (VALUES ('utf8_comma'), ('permuted_quotes')) v(variant) GROUP BY ALL""")
+def q_file_metrics(spark, sf):
+    """M9: totals per file in one call, from paths and role columns."""
+    from tallyframe.plans.analyze import file_metrics
+    per_file = file_metrics(spark, staging.stage_csv(spark, sf, ("utf8_comma", "permuted_quotes")),
+                            Roles(date="OrderDate", amount="TotalPrice", category="Priority"))
+    return per_file.groupBy(_variant("source_file").alias("variant")).agg(
+        F.sum("transaction_count").alias("transaction_count"), r(F.sum("total_revenue"), 2, "total_revenue"),
+        r(F.sum("total_expenses"), 2, "total_expenses"))
+
+
+@query("q_all_categories_ranked", """SELECT category, transaction_count, revenue, rank FROM (
+  SELECT o_clerk AS category, count(*)::BIGINT AS transaction_count, round(sum(o_totalprice), 2) AS revenue,
+         row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_clerk)::BIGINT AS rank FROM
+  (SELECT 'C' || o_orderkey AS o_clerk, o_totalprice FROM orders) GROUP BY 1)""")
+def q_all_categories_ranked(spark, sf):
+    """M8 without a limit: as many categories as rows, ranked over all partitions."""
+    from tallyframe.operators._keys import top_k
+    o = views.table(spark, sf, "orders").select(F.concat(F.lit("C"), F.col("o_orderkey")).alias("category"), "o_totalprice")
+    rows = o.groupBy("category").agg(F.count("*").alias("transaction_count"), r(F.sum("o_totalprice"), 2, "revenue"))
+    return top_k(rows, [], [F.col("revenue").desc(), F.col("category").asc()], None)
 
 
 @query("q_preview", """SELECT variant, 300::BIGINT AS rows, 3::BIGINT AS files, '100+ (fast preview)' AS row_count_text,
@@ -114,7 +171,7 @@ FROM orders CROSS JOIN (VALUES ('utf8_comma'), ('pipe')) v(variant) GROUP BY var
 def q_preview(spark, sf):
     """The first 100 records of every file, each found in the table that the files
     were written from, with its own price."""
-    cat = _catalog(spark, sf).where(_variant().isin("utf8_comma", "pipe"))
+    cat = _catalog(spark, sf, "utf8_comma", "pipe", heads_only=True)
     p = files.preview_files(spark, cat)
     cell = lambda name: F.element_at("cells", F.array_position("column_names", name).cast("int"))
     p = p.select("source_file", "row_no", "row_count_text", cell("OrderID").cast("bigint").alias("key"),
@@ -277,7 +334,7 @@ def q_file_report(spark, sf):
     on all rows → analyse them (day grain) → detailed English report."""
     from tallyframe.operators import report
     from tallyframe.plans.analyze import analyze
-    cat = _catalog(spark, sf).where(_variant() == "utf8_comma")
+    cat = _catalog(spark, sf, "utf8_comma")
     df = files.read_ledgers(spark, cat).drop("source_file")
     assign, _ = detect_roles(df)
     roles = Roles(**{row.role: row.column for row in assign.collect() if row.column})

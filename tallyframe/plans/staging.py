@@ -33,6 +33,11 @@ VARIANTS = {
     # the first character that is not ASCII comes after most of the file
     "late_cp1251": {"sep": ",", "encoding": "windows-1251", "header": True, "order": ["Priority", "OrderDate"]},
 }
+#: Files that must not stop a folder: names of 15,000 characters, and of 50,000 quotes.
+ODD = {
+    "long_name": {"sep": ",", "encoding": "UTF-8", "header": True, "name": "note, " * 2500 + "x"},
+    "many_quotes": {"sep": ",", "encoding": "UTF-8", "header": True, "name": '"' * 50_000},
+}
 ENGLISH = ("utf8_comma", "pipe", "permuted_quotes", "late_cp1251")
 LEAST_FILES = 3
 FILE_BYTES = 128 * 1024 * 1024
@@ -62,6 +67,8 @@ def _file_count(spark: SparkSession, sf_dir: str, table: str) -> int:
 
 def _variant_frame(o: DataFrame, name: str) -> DataFrame:
     price = F.format_string("%.2f", F.col("o_totalprice"))
+    if name in ODD:
+        return o.select(F.col("o_orderstatus").alias(ODD[name]["name"]), price.alias("TotalPrice"))
     if name == "cp1251_semicolon":
         ru = F.create_map(*[x for k, v in PRIORITY_RU.items() for x in (F.lit(k), F.lit(v))])
         return o.select(F.date_format("o_orderdate", "dd.MM.yyyy").alias("Дата операции"),
@@ -88,16 +95,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp))
 
 
-def stage_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Write every CSV variant (3 files or more, by the table's size) once per state of
-    the tables; returns the root.
+def stage_csv(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] | None = None) -> list[str]:
+    """Write CSV variants (all unless named; 3 files or more each, by the table's size)
+    once per state of the tables; returns their folders.
 
     A variant whose ``_SUCCESS`` marker exists is complete and is not rewritten
     (the files are a pure function of the ``orders`` table)."""
     root = stage_root(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
-    for name, opt in VARIANTS.items():
-        target = os.path.join(root, "csv", name)
+    known = VARIANTS | ODD
+    targets = [os.path.join(root, "csv", name) for name in variants or known]
+    for name, target in zip(variants or known, targets):
+        opt = known[name]
         if _exists(spark, os.path.join(target, "_SUCCESS")):
             continue
         frame = _variant_frame(o, name).repartition(_file_count(spark, sf_dir, "orders"))
@@ -107,7 +116,33 @@ def stage_csv(spark: SparkSession, sf_dir: str) -> str:
         (frame.write.mode("overwrite").option("sep", opt["sep"]).option("encoding", opt["encoding"])
          .option("header", str(opt["header"]).lower()).option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).csv(target))
-    return os.path.join(root, "csv")
+    return targets
+
+
+#: Folders of the ragged variant, one file each; which row a file spoils depends on these.
+RAGGED_PARTS = 32
+
+
+def stage_ragged(spark: SparkSession, sf_dir: str) -> str:
+    """``orders`` as files of ``key,date,price`` without header, dealt by ``key % RAGGED_PARTS``:
+    every key divisible by 10 lacks its price, each that leaves 1 has a field too many, and the
+    largest key of the odd files has a quote that nothing closes."""
+    target = os.path.join(stage_root(spark, sf_dir), "ragged")
+    if _exists(spark, os.path.join(target, "_SUCCESS")):
+        return target
+    o = views.table(spark, sf_dir, "orders")
+    key, part = F.col("o_orderkey"), (F.col("o_orderkey") % RAGGED_PARTS).alias("part")
+    last = o.groupBy(part).agg(F.max("o_orderkey").alias("last"))
+    day, price = F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_string("%.2f", F.col("o_totalprice"))
+    row = (F.when((key == F.col("last")) & (F.col("part") % 2 == 1), F.concat_ws(",", key, day, F.concat(F.lit('"'), price)))
+           .when(key % 10 == 0, F.concat_ws(",", key, day)).when(key % 10 == 1, F.concat_ws(",", key, day, price, F.lit("extra")))
+           .otherwise(F.concat_ws(",", key, day, price)))
+    # the full row first, so that every file has three names
+    frame = o.select("*", part).join(last, "part").select("part", row.alias("value"), (key % 10 < 2).alias("bad"))
+    frame.repartition(RAGGED_PARTS, "part").sortWithinPartitions("part", "bad").select("part", "value") \
+        .write.mode("overwrite").partitionBy("part").option("compression", "none").format("csv") \
+        .option("quote", "\u0000").option("sep", "\u0001").option("escapeQuotes", "false").save(target)
+    return target
 
 
 def _write_books(target: str):

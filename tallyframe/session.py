@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine relies on. Time zone is pinned so that timestamp_ntz
 # values and period boundaries mean the same thing on every executor.
@@ -68,15 +69,20 @@ def sizing_conf(input_bytes: int, target_partition_bytes: int = 128 * 1024 ** 2,
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the engine relies on to any session
     (time zone, AQE, charsets) and make sure a checkpoint folder is known."""
+    apply_settings(spark)
+    ensure_checkpoint_dir(spark)
+    _ship_code_by_value()
+    return spark
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """The engine's runtime SQL settings."""
     for key, value in ENGINE_CONF.items():
         if key.startswith("spark.sql."):
             try:
                 spark.conf.set(key, value)
             except Exception:  # noqa: BLE001 - a static conf on a running session
                 pass
-    ensure_checkpoint_dir(spark)
-    _ship_code_by_value()
-    return spark
 
 
 def _ship_code_by_value() -> None:
@@ -116,3 +122,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A location under the shared checkpoint folder (for staged tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tallyframe", *parts)
+
+
+def staged_table(df: DataFrame, tag: str, spark: SparkSession | None = None) -> DataFrame:
+    """``df`` written as Parquet to a new folder of the shared one and read back (by
+    ``spark``, if its own session is another): the lineage is cut, a lost executor costs
+    only the tasks that ran on it, and both sides of a later join are tables that AQE can split."""
+    spark = spark or df.sparkSession
+    path = shared_path(spark, "tables", f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -172,3 +172,86 @@ def test_preview_files(spark, tmp_path):
     assert max(k[1] for k in p if k[0] == "big.csv") == 100
     assert p[("small.csv", 1)].column_names == ["Column 1", "Column 2"] and p[("small.csv", 2)].cells == ["2026-01-02", "7"]
     assert p[("small.csv", 2)].row_count_text == "2"
+
+
+def test_odd_files_do_not_stop_the_folder(spark, tmp_path, monkeypatch):
+    (tmp_path / "good.csv").write_text("Date,Total\n2026-01-01,5\n")
+    (tmp_path / "long.csv").write_text('"' + "x, " * 5_000 + '",Total\n1,2\n')
+    (tmp_path / "quotes.csv").write_text('"' + '""' * 50_000 + '",Total\n1,2\n')
+    (tmp_path / "loose.csv").write_text('a 5" pipe,6" pipe,"x, ""y""",z\n1,2,3,4\n')
+    (tmp_path / "open.csv").write_text('Date,Total,"Note\n2026-01-01,5,x\n')
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(5_000)) + "\n" + ",".join("1" * 5_000) + "\n")
+    (tmp_path / "lines.csv").write_bytes(b"\n\n\n")
+    listed = files.list_files
+
+    def with_a_lost_file(session, paths):
+        df = listed(session, paths)
+        return df.union(df.limit(1).withColumn("path", F.lit("file:/nowhere/lost.csv")).withColumn("name", F.lit("lost.csv")))
+
+    monkeypatch.setattr(files, "list_files", with_a_lost_file)
+    cat = {r.name: r for r in files.file_catalog(spark, str(tmp_path)).collect()}
+    assert cat["lost.csv"].status == "error"
+    assert {n: r.status for n, r in cat.items() if n != "lost.csv"} == dict.fromkeys(
+        ["good.csv", "long.csv", "quotes.csv", "loose.csv", "open.csv", "wide.csv", "lines.csv"], "ok")
+    assert cat["good.csv"].column_names == ["Date", "Total"] and cat["good.csv"].records == 1
+    assert cat["long.csv"].column_names == [("x, " * 5_000).strip(), "Total"]
+    assert cat["quotes.csv"].column_names == ['"' * 50_000, "Total"]
+    assert cat["loose.csv"].column_names == ['a 5" pipe', '6" pipe', 'x, "y"', "z"]
+    assert cat["open.csv"].column_count == 3 and cat["open.csv"].odd_quotes and not cat["open.csv"].multi_line
+    assert cat["wide.csv"].column_count == 5_000 and cat["lines.csv"].column_count == 0
+
+
+def test_an_unclosed_quote_is_reported_and_takes_no_other_line(spark, tmp_path):
+    rows = [f"2026-01-{d:02d},{d},x" for d in range(1, 29)]
+    rows[9] = '2026-01-10,10,"never closed'
+    rows[3] = "2026-01-04,4"
+    rows[20] = "2026-01-21,21,x,y,z"
+    rows[21] = '2026-01-22,22,"a, b",y'
+    (tmp_path / "a.csv").write_text("Date,Total,Note\n" + "\n".join(rows) + "\n")
+    (tmp_path / "b.csv").write_text('Date,Total,Note\n2026-02-01,1,"two\nlines"\n2026-02-02,2,x\n')
+    cat = files.file_catalog(spark, str(tmp_path))
+    got = {r.source_file.split("/")[-1]: tuple(r)[1:] for r in files.record_issues(spark, cat).collect()}
+    assert got == {"a.csv": (28, 1, 2, True, 0), "b.csv": (2, 0, 0, False, 1)}
+    total = files.read_ledgers(spark, cat).selectExpr("sum(cast(Total as int))").first()[0]
+    assert total == sum(range(1, 29)) + 3
+
+
+def test_kept_catalog_reads_only_new_and_changed_files(spark, tmp_path, monkeypatch):
+    folder, kept = tmp_path / "in", str(tmp_path / "kept")
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.csv").write_text(f"Date,Total\n2026-01-0{i + 1},5\n")
+    (folder / "n.txt").write_text("x")
+    read = []
+    judged = files._judged
+    monkeypatch.setattr(files, "_judged", lambda s, f, paths, h: read.append(sorted(p.split("/")[-1] for p in paths))
+                        or judged(s, f, paths, h))
+
+    def names():
+        return {r.name: (r.status, r.column_names) for r in files.file_catalog(spark, str(folder), kept=kept).collect()}
+
+    first = names()
+    assert first["0.csv"] == ("ok", ["Date", "Total"]) and first["n.txt"] == ("unsupported", None)
+    assert read == [["0.csv", "1.csv", "2.csv"]]
+    assert names() == first and len(read) == 1  # nothing is judged again
+    (folder / "1.csv").write_text("When,Total,Kind\n2026-01-01,5,a\n")
+    (folder / "3.csv").write_text("a,b\nc,d\n")
+    (folder / "2.csv").unlink()
+    again = names()
+    assert read[1:] == [["1.csv", "3.csv"]]
+    assert set(again) == {"0.csv", "1.csv", "3.csv", "n.txt"} and again["1.csv"][1] == ["When", "Total", "Kind"]
+
+
+def test_large_files_are_previewed_from_their_start(spark, tmp_path):
+    (tmp_path / "big.csv").write_bytes(b"Date,Total\n" + b"2026-01-01,5\n" * 1_000_000)
+    (tmp_path / "late.csv").write_bytes(b"Kind,Total\n" + b"plain,1\n" * 500_000 + "Аренда,2\n".encode("cp1251"))
+    cat = files.file_catalog(spark, str(tmp_path), heads_only=True)
+    rows = {r.name: r for r in cat.collect()}
+    assert rows["big.csv"].row_count_text == "100+ (fast preview)" and rows["big.csv"].records is None
+    assert rows["late.csv"].encoding == "utf-8"  # what lies behind the head is not read
+    p = files.preview_files(spark, cat)
+    assert p.groupBy("source_file").agg(F.count("*").alias("n"), F.max("row_no").alias("m")).select("n", "m").distinct().collect() == [(100, 100)]
+    seen = []
+    raw = spark.read.text(str(tmp_path / "big.csv")).select(F.lit("p").alias("path"), F.col("value").cast("binary").alias("value"))
+    seen = files._first_lines(raw.coalesce(1)).first()
+    assert not seen.whole and seen.lines < 100_000 and len(seen.head) == files.DELIMITER_SAMPLE_LINES
