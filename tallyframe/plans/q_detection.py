@@ -86,7 +86,7 @@ SELECT source, "column", category_checked::BIGINT AS category_checked, category_
        cat_v AS value_score FROM mm""")
 def q_category_evidence(spark, sf):
     """Repeated-text evidence per column."""
-    p = profile(spark, sf)
+    p = D.column_profile(cells(spark, sf), ["source"], unique="all")
     text, uniq, ur = F.col("category_text_ratio"), F.col("category_unique"), F.col("category_unique_ratio")
     score = (F.when((F.col("n_values") < 5) | (F.col("category_checked") == 0), F.lit(0.0))
              .when((text >= 0.9) & (uniq <= 12) & (ur <= 0.5), F.lit(0.7))
