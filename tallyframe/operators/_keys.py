@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import qcol
+from tallyframe.session import staged_table
 
 
 def qname(name: str) -> str:
@@ -42,13 +43,32 @@ def top_k(df: DataFrame, keys: Sequence[str], order: list[Column], k: int | None
     Keyed: ``row_number`` filtered to k, which Spark plans as a WindowGroupLimit
     (partial top-k before the shuffle). One ledger: ``orderBy().limit(k)`` — a
     distributed TakeOrdered — and the rank is numbered over the k rows only.
-    ``k=None`` keeps and ranks every row; without keys that numbers all rows in one
-    task, so it is for aggregated rows (periods, categories, anomalies).
+    ``k=None`` keeps and ranks every row, numbered by ``numbered``.
     """
     keys = list(keys)
+    if k is None:
+        return numbered(df, keys, order, rank_col)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*order)
         ranked = df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-        return ranked if k is None else ranked.where(F.col(rank_col) <= k)
-    limited = df if k is None else df.orderBy(*order).limit(k)
+        return ranked.where(F.col(rank_col) <= k)
+    limited = df.orderBy(*order).limit(k)
     return limited.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
+    """Every row of ``df`` with its 1-based number within its key by ``order``, however
+    many rows a key has: rows are range-partitioned and sorted by key and order, and
+    written with their place; the rows of a key in earlier partitions are added from a
+    table of one row per partition and key. Nothing is gathered in one task but that
+    table's rows of a key (as many as it has partitions)."""
+    keys = list(keys)
+    by = [qcol(k).asc() for k in keys] + list(order)
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = staged_table(placed.withColumn("__part", F.shiftright("__at", 33)), "numbered")
+    parts = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    out = attach(placed, parts, [*keys, "__part"])
+    return out.withColumn(rank_col, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop(
+        "__at", "__part", "__first", "__before")
