@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,25 +123,21 @@ CANONICAL = {"date": "__date", "revenue": "__revenue", "expense": "__expense", "
 def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), grain: str = "day",
                  week_start: str = "monday", members: DataFrame | None = None,
                  category_limit: int | None = metrics.ANALYSIS_CATEGORY_LIMIT) -> Fleet:
-    """O2 for a fleet: detect roles per key from all its rows, then analyse all keys
-    together in one pass.
+    """O2 for a keyed table: detect roles per key from all its rows, then analyse all
+    keys together in one pass.
 
     Each key's chosen columns (five names) are joined to its rows, which then show
     them under one name per role; so a single keyed preparation and rollup serves
     all keys, however many role sets there are. ``members`` (keys, column) restricts
-    the detection of a key to its own columns.
+    the detection of a key to its own columns. Files need no such join: see
+    ``fleet_analysis``.
     """
     from tallyframe.operators.detection import as_text, detect_roles
     keys = list(keys)
     ensure_checkpoint_dir(df.sparkSession)
     assign, _ = detect_roles(df, keys, members=members)
     assign = assign.checkpoint()
-    chosen = assign.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("role") == role, F.col("column"))).alias(name + "_of") for role, name in CANONICAL.items()],
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("column").isNotNull(), F.concat(
-            F.col("role"), F.lit("="), F.col("column"))))), ", ").alias("roles"))
-    money = [CANONICAL[m] + "_of" for m in ("revenue", "expense", "amount")]
-    chosen = chosen.where(F.coalesce(*money).isNotNull())
+    chosen = _chosen(assign, keys)
     missing = [r[0] for r in assign.where(F.col("column").isNotNull()).select("column").distinct().collect()
                if r[0] not in df.columns]
     if missing:
@@ -152,6 +149,21 @@ def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), grain: s
         return F.coalesce(*[F.when(F.col(name + "_of") == c, as_text(qcol(c), df.schema[c].dataType)) for c in columns])
 
     canonical = rows.select(*[qcol(k) for k in keys], *[picked(name).alias(name) for name in CANONICAL.values()])
+    return _fleet(assign, chosen, canonical, keys, grain, week_start, category_limit)
+
+
+def _chosen(assign: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key with a money column: the column of each role, and the roles as text."""
+    chosen = assign.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("role") == role, F.col("column"))).alias(name + "_of") for role, name in CANONICAL.items()],
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("column").isNotNull(), F.concat(
+            F.col("role"), F.lit("="), F.col("column"))))), ", ").alias("roles"))
+    money = [CANONICAL[m] + "_of" for m in ("revenue", "expense", "amount")]
+    return chosen.where(F.coalesce(*money).isNotNull())
+
+
+def _fleet(assign: DataFrame, chosen: DataFrame, canonical: DataFrame, keys: list[str], grain: str, week_start: str,
+           category_limit: int | None) -> Fleet:
     ledger = prepare(canonical, Roles(**CANONICAL), keys)
     roll = _materialize(raw_rollup(canonical, Roles(**CANONICAL), keys, grain, week_start), "checkpoint")
     basic = attach(metrics.basic_from_rollup(roll, ledger), chosen.select(*keys, "roles"), keys)
@@ -160,9 +172,34 @@ def auto_analyze(df: DataFrame, keys: Sequence[str] = ("source_file",), grain: s
                  metrics.points_from_rollup(roll, ledger), ledger)
 
 
-def fleet_analysis(spark, catalog: DataFrame, **options) -> Fleet:
-    """``auto_analyze`` of a catalog's files, each judged on its own columns."""
+def fleet_analysis(spark, catalog: DataFrame, grain: str = "day", week_start: str = "monday",
+                   category_limit: int | None = metrics.ANALYSIS_CATEGORY_LIMIT) -> Fleet:
+    """O2 for the files of a catalog: roles per file from all its rows, each file judged
+    on its own columns, then all files analysed in one keyed pass.
+
+    Roles are known before the second read, so the files of one layout and one role set
+    are one read that names its columns by role: no ledger row is joined to anything.
+    """
+    from tallyframe.operators.detection import detect_from_cells, long_cells
     from tallyframe.sources import files as file_sources
-    members = catalog.where(F.col("status") == "ok").select(F.col("path").alias("source_file"),
-                                                            F.explode("column_names").alias("column"))
-    return auto_analyze(file_sources.read_ledgers(spark, catalog), ["source_file"], members=members, **options)
+    ensure_checkpoint_dir(spark)
+    keys = ["source_file"]
+    groups = file_sources.layouts(catalog)
+    if not groups:
+        raise ValueError("No readable CSV files.")
+    assign, _ = detect_from_cells(reduce(DataFrame.unionByName, [
+        long_cells(file_sources.read_layout(spark, g, g.paths), keys) for g in groups]), keys)
+    assign = assign.checkpoint()
+    chosen = _chosen(assign, keys).checkpoint()
+    named = [name + "_of" for name in CANONICAL.values()]
+    sets = (catalog.join(chosen, F.col("path") == F.col("source_file"))
+            .groupBy(*file_sources.LAYOUT, *named).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect())
+    if not sets:
+        raise ValueError("No file has a money column.")
+    parts = []
+    for g in sets:
+        wanted = [c for c in (g[n] for n in named) if c is not None]
+        rows = file_sources.read_layout(spark, g, g.paths, wanted)
+        parts.append(rows.select("source_file", *[(qcol(g[n]) if g[n] is not None else F.lit(None).cast("string")).alias(c)
+                                                  for n, c in zip(named, CANONICAL.values())]))
+    return _fleet(assign, chosen, reduce(DataFrame.unionByName, parts), keys, grain, week_start, category_limit)

@@ -118,3 +118,51 @@ def test_generated_code_fits_a_method(spark):
             assert sizes and all(0 < n < 65_536 for n in sizes), sizes
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_profile_shuffles_no_cell_of_number_and_date_columns(spark):
+    """Only counts per column are shuffled, and the values of text columns."""
+    from tallyframe.operators import detection
+    df = spark.range(2000).selectExpr("cast(id as string) as id", "concat('2026-01-', lpad(id % 28 + 1, 2, '0')) as day",
+                                      "cast(id / 7 as decimal(12,2)) as price", "concat('kind ', chr(65 + id % 5)) as kind")
+    profile = detection.column_profile(detection.long_cells(df))
+    got = {r.column: (r.category_unique, r.n_values) for r in profile.collect()}
+    assert got == {"id": (None, 2000), "day": (None, 2000), "price": (None, 2000), "kind": (5, 2000)}
+    text = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert "column#" in text and "IN (kind" in text.replace("= kind", "IN (kind")
+    everything = detection.column_profile(detection.long_cells(df), unique="all").collect()
+    assert {r.column: r.category_unique for r in everything} == {"id": 2000, "day": 28, "price": 2000, "kind": 5}
+
+
+def test_uncapped_ranks_use_no_single_partition(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators._keys import top_k
+    df = spark.range(5000).selectExpr("id % 3 as shop", "(id * 7919) % 5000 as v", "id").withColumn(
+        "shop", F.when(F.col("shop") > 0, F.col("shop")))
+    ranked = top_k(df, [], [F.col("v").desc()], None)
+    assert [r.rank for r in ranked.orderBy(F.col("v").desc()).collect()] == list(range(1, 5001))
+    ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the one window without keys numbers a row per partition
+    assert plan.count("Exchange SinglePartition") <= 1 and "v#" not in plan.split("Window")[1].split("\n")[0]
+    keyed = top_k(df, ["shop"], [F.col("v").asc()], None)
+    want = {}
+    for shop in (None, 1, 2):
+        vs = sorted((r.v for r in df.where(F.col("shop").eqNullSafe(F.lit(shop))).collect()))
+        want |= {(shop, v): i for i, v in enumerate(vs, 1)}
+    assert {(r.shop, r.v): r["rank"] for r in keyed.collect()} == want
+    assert top_k(df.limit(0), [], [F.col("v").asc()], None).count() == 0
+
+
+def test_fleet_joins_no_ledger_row(spark, tmp_path):
+    from tallyframe.plans.analyze import fleet_analysis
+    from tallyframe.sources import files
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("Date,Region,Total\n" + "\n".join(
+            f"2026-01-{d:02d},{'North' if d % 2 else 'South'},{i + d}.50" for d in range(1, 9)) + "\n")
+    fleet = fleet_analysis(spark, files.file_catalog(spark, str(tmp_path)))
+    plan = fleet.ledger.df._jdf.queryExecution().optimizedPlan().toString()
+    read = plan[plan.rindex("Relation"):]
+    assert "csv" in read and "Region" in read  # one read of the layout, its columns named by role
+    assert fleet.basic.count() == 3
