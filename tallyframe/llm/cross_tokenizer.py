@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from tallyframe.llm.words import raw_bytes, steps
 #: Id pairs whose counts are broadcast at once (17 bytes each).
 PAIRS_AT_ONCE = 4_000_000
 #: Different windows a worker remembers before it starts afresh (memory only, never results).
-MEMO_WINDOWS = 150_000
+MEMO_WINDOWS = 300_000
 #: Different chunks that each of the two encoders remembers.
 MEMO_CHUNKS = 150_000
 #: Bytes of text that a task has in hand at once (a longer text alone).
@@ -58,7 +59,7 @@ class Vocabulary:
         self.strings = pa.array(strings, pa.large_binary())
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.spaced = np.array([s[:1] == b" " for s in strings], bool)
-        self.decimal = [str(i) for i in range(len(strings))]
+        self.decimal = pa.array([str(i) for i in range(len(strings))], pa.large_string())
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ``ids`` one after the other."""
@@ -115,13 +116,6 @@ def library_b(path: str) -> tuple[ChunkEncoder, Vocabulary]:
     return encoder, Vocabulary(strings)
 
 
-def align(a: np.ndarray, b: np.ndarray, va: Vocabulary, vb: Vocabulary) -> list[tuple[int, int]]:
-    """(A ids, B ids) up to each group's end: where a token of both ends. Both spell the same bytes."""
-    ends_a, ends_b = np.cumsum(va.lengths[a]), np.cumsum(vb.lengths[b])
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    return list(zip((at_a + 1).tolist(), (at_b + 1).tolist()))
-
-
 class Windows:
     """Aligns windows of ids, each different one once."""
 
@@ -136,17 +130,34 @@ class Windows:
         """A pair's number is its A id times this, plus its B id."""
         return len(self.b.lengths)
 
-    def _aligned(self, key: bytes) -> tuple[bytes, bytes]:
-        ids = np.frombuffer(key, "<u4")
-        n = int(ids[0])
-        a, b = ids[1:n + 1], ids[n + 1:]
-        text, pairs, i, j = [], [], 0, 0
-        names_a, names_b = self.a.decimal, self.b.decimal
-        for k, m in align(a, b, self.a, self.b):
-            text.append(",".join([names_a[x] for x in a[i:k]]) + "|" + ",".join([names_b[x] for x in b[j:m]]) + ";")
-            pairs.append(int(a[k - 1]) * self.base + int(b[m - 1]))
-            i, j = k, m
-        return "".join(text).encode(), np.array(pairs, "<u8").tobytes()
+    def _shared_ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the A and B tokens that end at the same byte. Both spell the same bytes."""
+        ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        return np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)[1:]
+
+    def _aligned(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Windows by key, all at once: lists of groups are joined as Arrow arrays."""
+        ids = np.frombuffer(b"".join(keys), "<u4")
+        sizes = np.array([len(k) // 4 for k in keys])
+        heads = np.cumsum(sizes) - sizes
+        n_a = ids[heads].astype(np.int64)
+        place = np.arange(len(ids)) - np.repeat(heads, sizes)
+        is_a = (place > 0) & (place <= np.repeat(n_a, sizes))
+        a, b = ids[is_a], ids[(place > 0) & ~is_a]
+        at_a, at_b = self._shared_ends(a, b)
+        # groups of each window: those whose last A token lies in it
+        limits = np.searchsorted(at_a, np.append(0, np.cumsum(n_a)))
+
+        def lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
+
+        comma, bar, end, none = (pa.scalar(x, pa.large_string()) for x in (",", "|", ";", ""))
+        groups = pc.binary_join_element_wise(pc.binary_join(lists(at_a + 1, self.a.decimal.take(pa.array(a))), comma),
+                                             pc.binary_join(lists(at_b + 1, self.b.decimal.take(pa.array(b))), comma), bar)
+        text = pc.binary_join_element_wise(pc.binary_join(lists(limits[1:], groups), end), none, end)
+        pairs = (a[at_a].astype("<u8") * np.uint64(self.base) + b[at_b]).tobytes()
+        return [(t, pairs[8 * i:8 * j]) for t, i, j in zip(text.cast(pa.large_binary()).to_pylist(), limits.tolist(),
+                                                           limits[1:].tolist())]
 
     def _anchors(self, a: np.ndarray, b: np.ndarray, limits_a: np.ndarray, limits_b: np.ndarray):
         """Window ends, as counts of A and of B ids, over the ids of many texts that spell
@@ -196,16 +207,16 @@ class Windows:
         coded = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int64)),
                                            pa.py_buffer(keys)]).dictionary_encode()
-        found, memo = [], self.memo
+        memo, known = self.memo, coded.dictionary.to_pylist()
         if len(memo) > MEMO_WINDOWS:
             memo.clear()
-        for key in coded.dictionary.to_pylist():
-            got = memo.get(key)
-            if got is None:
-                got = self._aligned(key)
-                if len(key) <= 256:
-                    memo[key] = got
-            found.append(got)
+        new = [key for key in known if key not in memo]
+        if new:
+            memo.update(zip(new, self._aligned(new)))
+        found = [memo[key] for key in known]
+        for key in new:
+            if len(key) > 256:  # long windows hardly come again
+                del memo[key]
 
         def gathered(which: int) -> tuple[memoryview, np.ndarray]:
             """The windows' values one after the other, and where each document's start."""
