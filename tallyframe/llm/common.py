@@ -43,8 +43,8 @@ def worker_state(key, make):
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A key that equal (id, text) rows share and, but for hash collisions within one
-    id, no others: usable where ids are null or repeated."""
+    """A key of 64 bits that equal (id, text) rows share, usable where ids are null or
+    repeated. Different rows can collide; join on the id as well."""
     return F.xxhash64(F.col(doc_id), F.lit("|"), F.col(text))
 
 

@@ -28,7 +28,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +179,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk_rows: int = CHUNK_ROW
             pairs = np.array(bit_sliced_links(fps.view("<u8"), radius), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_pydict({"a": pa.array(fps[pairs[:, 0]]), "b": pa.array(fps[pairs[:, 1]])})
 
-        for part in [*parts, None]:
+        for part in chain(parts, [None]):
             if part is not None:
                 held_block = np.concatenate([held_block, part.column(0).to_numpy()])
                 held_fp = np.concatenate([held_fp, part.column(1).to_numpy()])
@@ -218,7 +218,8 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     # a group's best row is a minimum of partial aggregates: a hot group is one row per task
     best = near_duplicates(docs, **options).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("best"))
-    keep = best.select(F.col("best.rk").alias("_keep"))
-    keyed = docs.withColumn("__sim_rk", row_key())
-    kept = keyed.join(keep, F.col("__sim_rk") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["__sim_rk"]).select(*[F.col(f"`{c}`") for c in columns])
+    keep = best.select(F.col("best.doc_id").alias("__sim_keep_id"), F.col("best.rk").alias("__sim_keep"))
+    keyed = docs.withColumn("__sim_id", F.col("doc_id").cast("long")).withColumn("__sim_rk", row_key())
+    kept = keyed.join(keep, (F.col("__sim_rk") == F.col("__sim_keep"))
+                      & F.col("__sim_id").eqNullSafe(F.col("__sim_keep_id")), "left_semi")
+    return kept.dropDuplicates(["__sim_id", "__sim_rk"]).select(*[F.col(f"`{c}`") for c in columns])

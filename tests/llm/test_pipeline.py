@@ -65,5 +65,5 @@ def test_stages_on_empty_and_odd_tables(spark):
 
 def test_registered_queries():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert line_dedup.MIN_DOCS == 10 and packing.SEQUENCE == 2048 and tokenizer_path("byte_bpe_50k.json")
