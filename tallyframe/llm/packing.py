@@ -1,29 +1,42 @@
 """Mixture-controlled packing of documents into fixed-length token sequences.
 
-Documents are dealt into lanes by a hash of the row, so that no source, however
-large, fills a lane. A lane keeps one queue of documents per source and fills windows
-of ``window_sequences`` sequences by deficit round-robin: a window credits every
-source its target share of the window; the source furthest in credit gives tokens
-from its queue, at most its credit (``quantum`` at least), and documents are cut
-freely. Credit that a source could not use, or overdrew, is carried to the next
-window. A lane's last tokens, short of a sequence, go up with its credits: groups of
-lanes continue from their summed credits, level by level, until one group is left,
-whose last sequence alone is padded (not if it holds a power of two).
-
-Targets are the given shares by source, else each lane's own token shares (lanes are
-random samples of the corpus), so all queues run out together.
+Documents are encoded once, where they are read, and staged with their ids. One
+aggregate gives the tokens of every source, whose shares of the corpus are the target
+of every window (or the given shares are). Rows are then dealt into lanes by a hash of
+the row and its number in its task, so that neither a source nor a row that is repeated
+a million times fills a lane.
+
+A lane keeps one queue of documents per source and fills windows of
+``window_sequences`` sequences by deficit round-robin: a window credits every source
+its target share of the window; the source furthest in credit gives tokens from its
+queue, at most its credit (``quantum`` at least), and documents are cut freely. Credit
+that a source could not use, or overdrew, is carried to the next window. What a lane
+cannot place in proportion, because one of its queues has run out, goes up, but no more
+than a window or the ``fan_in``-th part of the lane, so that the group of ``fan_in``
+lanes above is no larger than a lane or ``fan_in`` windows; so does the last piece of a
+sequence. With it go the lane's deficits: each source's target share of all tokens
+placed, less its own. Groups of lanes continue from their summed deficits, level by level, until one
+group is left, whose last sequence alone is padded (not if it holds a power of two).
+
+Beyond ``MAX_SOURCES`` sources, queues and targets are those of hashes of the source;
+every document is still packed.
 
 Defined cases: null text is empty, so the document is its end id alone; a null source
-is a source of its own; repeated rows are packed as often as they occur; an empty
-table gives no pieces; other columns are ignored, whatever their names.
+is a source of its own; a source without a given share is packed where the others leave
+room; repeated rows are packed as often as they occur; an empty table gives no pieces;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +47,16 @@ SEQUENCE = 2048
 WINDOW_SEQUENCES = 16
 QUANTUM = 512
 LANE_BYTES = 4_000_000
-FAN_IN = 64
+FAN_IN = 16
+#: Sources with a queue of their own.
+MAX_SOURCES = 1000
+#: Bytes of text encoded at a time (memory only).
+STEP_BYTES = 2_000_000
 
 #: A piece row has ``sequence_id``; a row without one is a rest that goes up a level.
-OUT = ("lane long, doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, "
+OUT = ("lane long, doc_id long, source string, queue string, start long, length long, ids_crc32 long, doc_tokens long, "
        "sequence_id long, offset long, ids binary, credits map<string,double>")
+READ = ("doc_id", "source", "queue", "start", "ids", "doc_tokens")
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
 
@@ -74,36 +92,44 @@ def deficit_round_robin(queues: dict[str, deque], shares: dict[str, float], cred
             queue[0] = [doc, start + take, length - take]
 
 
-def _pack(level: int, lane: int, docs: list[tuple], shares: dict[str, float] | None, credit: dict[str, float],
-          last: bool, sequence: int, window_sequences: int, quantum: int) -> pa.Table:
-    """``docs``: (doc_id, source, start, ids bytes, doc_tokens) in queue order."""
+def _pack(level: int, lane: int, docs: list[tuple], shares: dict[str, float], credit: dict[str, float],
+          last: bool, sequence: int, window_sequences: int, quantum: int, fan_in: int) -> pa.Table:
+    """``docs``: rows of ``READ`` in queue order."""
     queues: dict[str, deque] = {}
-    tokens: dict[str, int] = {}
-    for k, (_, source, _, raw, _) in enumerate(docs):
-        queues.setdefault(source, deque()).append([k, 0, len(raw) // 4])
-        tokens[source] = tokens.get(source, 0) + len(raw) // 4
-    total = sum(tokens.values())
-    shares = shares or {s: n / total for s, n in tokens.items()}
-    full = total // sequence
-    cols: dict[str, list] = {name: [] for name in ("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens",
+    for k, (_, _, queue, _, raw, _) in enumerate(docs):
+        queues.setdefault(queue, deque()).append([k, 0, len(raw) // 4])
+    given = list(deficit_round_robin(queues, shares, dict(credit), sequence, window_sequences, quantum))
+    total = sum(n for _, _, n, _, _ in given)
+    # placed in proportion until the first queue runs out; what goes up is bounded
+    ends = {docs[k][2]: number for k, _, _, number, _ in given}
+    full = (total - 1) // sequence  # something always goes up, with the deficits
+    kept = max(min([full, *(number + 1 for s, number in ends.items() if shares.get(s))]), full - max(window_sequences, full // fan_in))
+    placed: dict[str, int] = {}
+    for k, _, n, number, _ in given:
+        if last or number < kept:
+            placed[docs[k][2]] = placed.get(docs[k][2], 0) + n
+    done = sum(placed.values())
+    balance = {s: credit.get(s, 0.0) + shares.get(s, 0.0) * done - placed.get(s, 0)
+               for s in {*shares, *placed, *credit}}
+    cols: dict[str, list] = {name: [] for name in ("doc_id", "source", "queue", "start", "length", "ids_crc32", "doc_tokens",
                                                    "sequence_id", "offset", "ids")}
     base = level << 58 | lane << 24
-    for k, start, n, number, offset in deficit_round_robin(queues, shares, credit, sequence, window_sequences, quantum):
-        doc_id, source, first, raw, doc_tokens = docs[k]
-        up = number >= full and not last
+    for k, start, n, number, offset in given:
+        doc_id, source, queue, first, raw, doc_tokens = docs[k]
+        up = number >= kept and not last
         ids = raw[4 * start:4 * (start + n)]
-        for name, value in (("doc_id", doc_id), ("source", source), ("start", first + start), ("length", n),
+        for name, value in (("doc_id", doc_id), ("source", source), ("queue", queue), ("start", first + start), ("length", n),
                             ("ids_crc32", zlib.crc32(ids)), ("doc_tokens", doc_tokens),
                             ("sequence_id", None if up else base + number), ("offset", None if up else offset),
                             ("ids", ids if up else None)):
             cols[name].append(value)
     rows = len(cols["doc_id"])
     rest = rows and cols["sequence_id"][-1] is None
-    carried = [None] * (rows - 1) + [list(credit.items()) if rest else None] if rows else []
+    carried = [None] * (rows - 1) + [sorted(balance.items()) if rest else None] if rows else []
     i64, string = pa.int64(), pa.string()
     return pa.table({
         "lane": pa.array([lane] * rows, i64), "doc_id": pa.array(cols["doc_id"], i64),
-        "source": pa.array(cols["source"], string), "start": pa.array(cols["start"], i64),
+        "source": pa.array(cols["source"], string), "queue": pa.array(cols["queue"], string), "start": pa.array(cols["start"], i64),
         "length": pa.array(cols["length"], i64), "ids_crc32": pa.array(cols["ids_crc32"], i64),
         "doc_tokens": pa.array(cols["doc_tokens"], i64), "sequence_id": pa.array(cols["sequence_id"], i64),
         "offset": pa.array(cols["offset"], i64), "ids": pa.array(cols["ids"], pa.binary()),
@@ -118,23 +144,51 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, shares: dict[str, flo
     included, lies in exactly one piece."""
     spark = docs.sparkSession
     end = int(end_id).to_bytes(4, "little")
-    cut = (sequence, window_sequences, quantum)
+    cut = (sequence, window_sequences, quantum, fan_in)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source"))
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+                       F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source"), row_key().alias("deal"))
+
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, row = library_encoder(tokenizer), TaskContext.get().partitionId() << 40
+        for part in parts:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < part.num_rows:
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_BYTES, "right")))
+                own = part.slice(at, stop - at)
+                ids = [raw + end for raw in encoder.encode(own.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(2), own.column(3), pa.array(range(row, row + len(ids)), pa.int64()),
+                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source", "deal", "row", "doc_tokens", "ids"])
+                row, at = row + len(ids), stop
+
+    # the row number parts equal rows; staged, so that a retried task deals them the same way
+    ids = staged(docs.mapInArrow(encode, "doc_id long, source string, deal long, row long, doc_tokens long, ids binary"),
+                 "packing-ids")
+    per_source = ids.groupBy("source").agg(F.sum("doc_tokens").alias("tokens"))
+    if per_source.count() > MAX_SOURCES:
+        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_SOURCES)))
+        per_source = per_source.groupBy(queue.alias("source")).agg(F.sum("tokens").alias("tokens"))
+    else:
+        queue = F.col("source")
+    tokens = {r.source: r.tokens for r in per_source.collect()}  # at most MAX_SOURCES rows
+    size = 4 * sum(tokens.values())
     lanes = max(1, -(-size // lane_bytes))
-    given = None if shares is None else {f"={s}": w / sum(shares.values()) for s, w in shares.items()}
+    if shares is None:
+        target = {s: 4 * n / size for s, n in tokens.items()}
+    else:
+        target = {f"={s}": w / sum(shares.values()) for s, w in shares.items()}
+        queue = F.col("source")
 
     def fill(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table
         lane = table.column("lane")[0].as_py()
-        table = table.sort_by([("deal", "ascending"), ("doc_id", "ascending")])
-        ids = library_encoder(tokenizer).encode(table.column("text"))
-        rows = [(d, s, 0, raw + end, len(raw) // 4 + 1)
-                for d, s, raw in zip(table.column("doc_id").to_pylist(), table.column("source").to_pylist(), ids)]
-        return _pack(0, lane, rows, given, {}, lanes == 1, *cut)
+        table = table.sort_by([("deal", "ascending"), ("row", "ascending")])
+        rows = list(zip(*(table.column(c).to_pylist() for c in READ)))
+        return _pack(0, lane, rows, target, {}, lanes == 1, *cut)
 
     def refill(level: int, last: bool):
         def refill_group(table: pa.Table) -> pa.Table:
@@ -146,12 +200,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, shares: dict[str, flo
             for carried in table.column("credits").to_pylist():
                 for s, c in carried or ():
                     credit[s] = credit.get(s, 0.0) + c
-            rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "source", "start", "ids", "doc_tokens"))))
-            return _pack(level, lane, rows, given, credit, last, *cut)
+            rows = list(zip(*(table.column(c).to_pylist() for c in READ)))
+            return _pack(level, lane, rows, target, credit, last, *cut)
         return refill_group
 
-    # the dealing hash also orders the queues, so a retried task packs the same way
-    dealt = (docs.withColumn("deal", row_key()).withColumn("lane", F.expr(f"pmod(xxhash64(deal, 'lane'), {lanes}L)"))
+    dealt = (ids.withColumn("deal", F.xxhash64("deal", "row")).withColumn("queue", queue)
+             .withColumn("start", F.lit(0).cast("long"))
+             .withColumn("lane", F.expr(f"pmod(xxhash64(deal, 'lane'), {lanes}L)"))
              .repartition(max(1, min(lanes, 4 * shuffle_width(spark))), "lane"))
     done = [staged(dealt.groupBy("lane").applyInArrow(fill, OUT), "packing")]
     level = 0

@@ -1,6 +1,8 @@
+import hashlib
+import random
 import zlib
+from collections import deque
 
-import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -165,11 +167,66 @@ def test_windows_follow_the_shares(spark):
 
 
 def test_given_shares_and_carried_credit():
-    from collections import deque
     queues = {s: deque([[k, 0, 1000] for k in range(20)]) for s in "ab"}
     credit = {}
-    out = list(packing.deficit_round_robin(queues, {"a": 0.9, "b": 0.1}, credit, 100, 5, 10))
-    assert sum(x[2] for x in out) == 40_000 and abs(sum(credit.values())) < 1e-6
-    # while both queues last, the first windows hold nine tokens of a for each of b
-    held = sum(n for _, _, n, number, _ in out if number < 100)
-    assert held == 10_000
+    of = []
+    for s, q in queues.items():
+        for d in q:
+            d[0] = (s, d[0])
+    for (s, _), _, n, number, _ in packing.deficit_round_robin(queues, {"a": 0.9, "b": 0.1}, credit, 100, 5, 10):
+        of.append((s, n, number // 5))
+    assert sum(n for _, n, _ in of) == 40_000 and abs(sum(credit.values())) < 1e-6
+    # a lasts for 22,222 tokens at nine of ten: all windows before hold 450 of it and 50 of b
+    for window in range(44):
+        for s, want in (("a", 450), ("b", 50)):
+            assert abs(sum(n for t, n, w in of if t == s and w == window) - want) <= 20
+            assert abs(sum(n for t, n, w in of if t == s and w <= window) - want * (window + 1)) <= 20
+    assert {t for t, _, w in of if w > 45} == {"b"}
+
+
+def kept_by_lane(pieces):
+    """Tokens by source of every first-level lane (the lane is part of the id)."""
+    lanes = {}
+    for p in pieces:
+        if p.sequence_id < 1 << 58:
+            own = lanes.setdefault(p.sequence_id >> 24, {})
+            own[p.source] = own.get(p.source, 0) + p.length
+    return lanes
+
+
+def test_lanes_aim_at_the_corpus_and_hand_on_deficits(spark):
+    rnd = random.Random(5)
+    rows = [(i, "word " * rnd.randint(5, 60), rnd.choice("aaab")) for i in range(6000)]
+    rows += [(9000 + i, "other " * 1500, "b") for i in range(3)]  # long documents that upset their lanes
+    pieces = packing.pack(docs(spark, rows), PATH, sequence=32, window_sequences=16, quantum=8, lane_bytes=64_000).collect()
+    check_packing(pieces, [r[:2] for r in rows], 32)
+    total = {s: sum(p.length for p in pieces if p.source == s) for s in "ab"}
+    share = total["a"] / sum(total.values())
+    lanes = kept_by_lane(pieces)
+    assert len(lanes) > 10
+    held = [own.get("a", 0) / sum(own.values()) for own in lanes.values()]
+    # but for the lanes of the long documents all keep to the shares of the corpus
+    assert sum(abs(x - share) > 0.04 for x in held) <= 3
+    # the group above first gives the source of which the lanes gave too little
+    above = sorted((p for p in pieces if p.sequence_id >= 1 << 58), key=lambda p: p.sequence_id)
+    assert sum(p.length for p in above) <= len(lanes) * (16_000 // 16 + 1500 // 16 + 2 * 32)
+    kept = {t: sum(own.get(t, 0) for own in lanes.values()) for t in "ab"}
+    short = min("ab", key=lambda t: kept[t] / total[t])
+    first = above[:len(above) // 2]
+    assert sum(p.length for p in first if p.source == short) / sum(p.length for p in first) > total[short] / sum(total.values())
+
+
+def test_equal_rows_lie_in_all_lanes(spark):
+    rows = [(7, "the same text again and again", "a")] * 3000 + [(i, f"text {i} of others", "b") for i in range(3000)]
+    pieces = packing.pack(docs(spark, rows).repartition(4), PATH, sequence=64, window_sequences=4, lane_bytes=8_000).collect()
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    same = [own.get("a", 0) for own in kept_by_lane(pieces).values()]
+    assert len(same) > 10 and max(same) < 2 * sum(same) / len(same)
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SOURCES", 3)
+    rows = [(i, "some words " * (i % 7), f"s{i % 40}") for i in range(400)]
+    pieces = packing.pack(docs(spark, rows), PATH, sequence=64, window_sequences=4, lane_bytes=2_000).collect()
+    check_packing(pieces, [r[:2] for r in rows], 64)
+    assert {(p.doc_id, p.source) for p in pieces} == {(r[0], r[2]) for r in rows}
