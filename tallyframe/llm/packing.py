@@ -93,11 +93,12 @@ def deficit_round_robin(queues: dict[str, deque], shares: dict[str, float], cred
 
 
 def _pack(level: int, lane: int, docs: list[tuple], shares: dict[str, float], credit: dict[str, float],
-          last: bool, sequence: int, window_sequences: int, quantum: int, fan_in: int) -> pa.Table:
-    """``docs``: rows of ``READ`` in queue order."""
+          last: bool, sequence: int, window_sequences: int, quantum: int, fan_in: int, unit: str) -> pa.Table:
+    """``docs``: rows of ``READ`` in queue order, ids in numpy's type ``unit``."""
+    width = np.dtype(unit).itemsize
     queues: dict[str, deque] = {}
     for k, (_, _, queue, _, raw, _) in enumerate(docs):
-        queues.setdefault(queue, deque()).append([k, 0, len(raw) // 4])
+        queues.setdefault(queue, deque()).append([k, 0, len(raw) // width])
     given = list(deficit_round_robin(queues, shares, dict(credit), sequence, window_sequences, quantum))
     total = sum(n for _, _, n, _, _ in given)
     # placed in proportion until the first queue runs out; what goes up is bounded
@@ -117,9 +118,9 @@ def _pack(level: int, lane: int, docs: list[tuple], shares: dict[str, float], cr
     for k, start, n, number, offset in given:
         doc_id, source, queue, first, raw, doc_tokens = docs[k]
         up = number >= kept and not last
-        ids = raw[4 * start:4 * (start + n)]
+        ids = raw[width * start:width * (start + n)]
         for name, value in (("doc_id", doc_id), ("source", source), ("queue", queue), ("start", first + start), ("length", n),
-                            ("ids_crc32", zlib.crc32(ids)), ("doc_tokens", doc_tokens),
+                            ("ids_crc32", zlib.crc32(np.frombuffer(ids, unit).astype("<u4"))), ("doc_tokens", doc_tokens),
                             ("sequence_id", None if up else base + number), ("offset", None if up else offset),
                             ("ids", ids if up else None)):
             cols[name].append(value)
@@ -143,8 +144,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, shares: dict[str, flo
     offset, source, sequence_length (padded). Every id of every document, its end id
     included, lies in exactly one piece."""
     spark = docs.sparkSession
-    end = int(end_id).to_bytes(4, "little")
-    cut = (sequence, window_sequences, quantum, fan_in)
+    # ids of small vocabularies are staged and shuffled in two bytes
+    unit = "<u2" if max(len(library_encoder(tokenizer).starts) - 1, end_id) < 2 ** 16 else "<u4"
+    end = np.array([end_id], unit).tobytes()
+    cut = (sequence, window_sequences, quantum, fan_in, unit)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source"), row_key().alias("deal"))
@@ -157,10 +160,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, shares: dict[str, flo
             while at < part.num_rows:
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_BYTES, "right")))
                 own = part.slice(at, stop - at)
-                ids = [raw + end for raw in encoder.encode(own.column(1))]
+                ids = [np.frombuffer(raw, "<u4").astype(unit).tobytes() + end for raw in encoder.encode(own.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(2), own.column(3), pa.array(range(row, row + len(ids)), pa.int64()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "source", "deal", "row", "doc_tokens", "ids"])
                 row, at = row + len(ids), stop
 
