@@ -62,7 +62,7 @@ def analyze(data: DataFrame | Ledger, roles: Roles | None = None, grain: str = "
     else:
         if roles is None or not roles.has_money_column:
             raise ValueError("Select at least one revenue, expense or amount column.")
-        ledger = prepare(data, roles, keys, persist=persist)
+        ledger = prepare(data, roles.require(data.columns), keys, persist=persist)
     grain = series.normalize_grain(grain)
     week_start = series.normalize_week_start(week_start)
     if materialize:
