@@ -50,7 +50,7 @@ def expected_anomalies(grain):
         fence = (q3 if side > 0 else q1) + side * 1.5 * (q3 - q1)
         limit = v.mean() + side * 2.5 * v.std()
         for period, x in zip(periods, v):
-            by_iqr, by_z = side * (x - fence) > 0, side * (x - limit) > 0
+            by_iqr, by_z = bool(side * (x - fence) > 0), bool(side * (x - limit) > 0)
             if by_iqr or by_z:
                 score = max([1 + abs(x - fence) / max(abs(fence), 1)] * by_iqr + [abs(x - median) / v.std()] * by_z)
                 found.append((-score, -abs(x - median), order, period,
