@@ -2,10 +2,11 @@
 
 Model. Every token gets the log-odds of its word between toxic and other labelled
 documents (a word counts once for a document), with an informative Dirichlet prior:
-the word frequencies of the whole corpus, all documents counted, over a flat floor.
-Log-odds below ``Z_LEAST`` standard errors count as zero, and every token pays
-``DRIFT``, so ordinary text scores negative. Words are hashed into ``BUCKETS`` buckets,
-so the model has a fixed size however large the vocabulary grows.
+the share of all documents of the corpus that hold the word, over a flat floor.
+Log-odds are shrunk by their standard error (``1 - (Z_SHRINK / z)^2`` of them stays, no
+less than nothing), so that weak evidence weighs little however few labels there are,
+and every token pays ``DRIFT``, so ordinary text scores negative. Words are counted one
+by one, named by 63 bits of their hash; only those that keep a score reach the driver.
 
 Search. One linear pass finds all maximal scoring segments of a text (each run of
 tokens whose total cannot be raised by extending or shortening it).
@@ -15,9 +16,10 @@ chance of one of at least ``s`` in ``n`` tokens is ``1 - exp(-K n exp(-lambda s)
 with ``lambda`` solved from the token scores of the corpus and ``K`` fitted on
 labelled documents that are not toxic. Segments with an expected count of at most
 ``E_MOST`` are passages; a document's evidence is the excess ``lambda s - ln(K n)``
-of its best segment, the sum over its passages, its best and summed ``lambda s`` and
-its length, mapped to a probability by a logistic regression on labelled documents
-held out from the word counts.
+of its best segment, its best ``lambda s``, the sums of ``lambda s`` over segments beyond
+the fixed ``STEPS`` and its length, mapped to a probability by a logistic regression.
+The regression is cross-fitted: it sees every labelled document as scored by the words
+of the other folds, and what reaches the driver is one row of sums per label id.
 
 Labels are learnt from a bounded sample (``TRAIN_ROWS``, smallest hashes of the id) of
 the labelled rows that ``is_training`` admits. Labels, language, source and id are
@@ -45,11 +47,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import worker_state
 
-BUCKETS = 2 ** 20
 TRAIN_ROWS = 50_000
+FOLDS = 3
 #: Weight of the corpus frequencies, and the flat floor of each word, in documents.
-PRIOR, FLOOR = 100.0, 0.5
-Z_LEAST = 3.3
+PRIOR, FLOOR = 30.0, 0.5
+#: Standard errors of a log-odds that shrinkage takes for noise.
+Z_SHRINK = 2.0
+#: Sums of segment scores (times lambda) are taken beyond each of these.
+STEPS = (1.0, 3.0, 6.0)
 DRIFT = 0.5
 SCORE_MOST = 8.0
 E_MOST = 0.05
@@ -58,12 +63,13 @@ STEP_BYTES = 4_000_000
 MEMO_WORDS = 400_000
 
 
-def _bucket(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.strip("\"'.,;:!?()[]{}<>*_-").lower().encode("utf-8", "surrogatepass"), 0) % BUCKETS
+def _name(word: str) -> int:
+    """The word's name: 63 bits of its hash, without case and punctuation around it."""
+    return xxhash.xxh64_intdigest(word.strip("\"'.,;:!?()[]{}<>*_-").lower().encode("utf-8", "surrogatepass"), 0) >> 1
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every token, start of each text among them, and the end)."""
+    """(name of every token, start of each text among them, and the end)."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     words = split.values.dictionary_encode()
     memo = worker_state("toxicity words", dict)
@@ -73,7 +79,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k, w in enumerate(words.dictionary.to_pylist()):
         b = memo.get(w)
         if b is None:
-            b = memo[w] = _bucket(w) if w else -1
+            b = memo[w] = _name(w) if w else -1
         of[k] = b
     flat = of[words.indices.to_numpy()]
     offsets = split.offsets.to_numpy().astype(np.int64)
@@ -119,42 +125,56 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    scores: np.ndarray  # by bucket
+    words: np.ndarray  # names of the words that keep a score, ascending
+    scores: np.ndarray  # their scores; all other words score -DRIFT
     lam: float = 1.0
     log_k: float = 0.0
-    weights: tuple[float, ...] = (0.0,) * 6
+    weights: tuple[float, ...] = (0.0,) * (4 + len(STEPS))
     constant: float | None = None
 
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """Scores of tokens."""
+        if not len(self.words):
+            return np.full(len(names), -DRIFT)
+        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
+        return np.where(self.words[at] == names, self.scores[at], -DRIFT)
+
     def excess(self, score: float, n: int) -> float:
         return self.lam * score - self.log_k - math.log(max(n, 1))
 
-    def evidence(self, scores: list[float], n: int) -> list[float]:
-        """What the regression sees of a text: from its segments' scores and length."""
-        over = [self.excess(x, n) for x in scores]
+    def sums(self, scores: list[float]) -> list[float]:
+        """A text's best ``lambda s``, and the sums beyond each of ``STEPS``."""
         raw = [self.lam * x for x in scores]
-        return [1.0, min(max([0.0, *over]), 50.0) / 10, math.log1p(sum(x for x in over if x >= -math.log(E_MOST))),
-                max([0.0, *raw]) / 10, math.log1p(sum(x for x in raw if x > 1)), math.log(max(n, 1)) / 10]
-
-    def judge(self, buckets: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
-        """(probability, passages) of a text."""
-        n = len(buckets)
-        found = segments(self.scores[buckets])
+        return [max([0.0, *raw]), *(sum(x for x in raw if x > least) for least in STEPS)]
+
+    def evidence(self, sums: list[float], n: int) -> list[float]:
+        """What the regression sees of a text: from its sums and length."""
+        length = math.log(max(n, 1))
+        return [1.0, min(max(0.0, sums[0] - self.log_k - length), 50.0) / 10, min(sums[0], 100.0) / 10, length / 10,
+                *(math.log1p(x) for x in sums[1:])]
+
+    def judge(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """(probability, passages) of a text, from the scores of its tokens."""
+        n = len(scores)
+        found = segments(scores)
         over = [(a, b, self.excess(x, n)) for a, b, x in found]
         sure = [x for x in over if x[2] >= -math.log(E_MOST)]
         if self.constant is not None:
             return self.constant, sure
-        z = sum(w * x for w, x in zip(self.weights, self.evidence([x for _, _, x in found], n)))
+        z = sum(w * x for w, x in zip(self.weights, self.evidence(self.sums([x for _, _, x in found]), n)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), sure
 
 
-def log_odds(all_docs: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
-    """Token scores by bucket: from its count in the corpus, and the toxic and other
-    documents that hold it, of ``n_toxic`` and ``n_other``."""
-    prior = PRIOR * (all_docs + 0.01) / (all_docs.sum() + 0.01 * len(all_docs)) + FLOOR
-    a, b = toxic + prior, other + prior
-    odds = np.log(a / (n_toxic + 1)) - np.log(b / (n_other + 1))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    return np.clip(np.where(np.abs(z) >= Z_LEAST, odds, 0.0), -SCORE_MOST, SCORE_MOST) - DRIFT
+def log_odds(share: Column, toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
+    """A word's score, 0 where shrinkage leaves nothing: from the share of the corpus'
+    documents that hold it, and how many toxic and other ones do, of ``n_toxic`` and
+    ``n_other``."""
+    prior = share * PRIOR + FLOOR
+    odds = F.log((toxic + prior) / (n_toxic + PRIOR)) - F.log((other + prior) / (n_other + PRIOR))
+    variance = 1 / (toxic + prior) + 1 / (other + prior)
+    left = F.greatest(F.lit(0.0), 1 - Z_SHRINK ** 2 * variance / (odds * odds))
+    kept = F.greatest(F.lit(-SCORE_MOST), F.least(F.lit(SCORE_MOST), odds * left))
+    return F.when((toxic + other > 0) & (odds != 0), kept).otherwise(0.0)
 
 
 def extreme_value_rate(scores: np.ndarray, weight: np.ndarray) -> float:
@@ -186,72 +206,111 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``is_training`` is
-    a condition on ``doc_id``. Two passes over the texts; what reaches the driver is the
-    bucket counts and the segment scores of the sampled rows that calibrate."""
+    a condition on ``doc_id``. One pass over all texts counts words and two over the
+    labelled ones; what reaches the driver is the words that keep a score and one row
+    per sampled label."""
     sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(F.col("toxic").isNotNull() & is_training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(train_rows))
-    # two thirds count words, one third calibrates
-    sample = sample.select(F.col("doc_id").alias("_id"), "toxic",
-                           (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("calibrates"))
+    sample = F.broadcast(sample.select(  # at most TRAIN_ROWS rows of three numbers
+        F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"),
+        F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = F.broadcast(sample)  # at most TRAIN_ROWS rows of three numbers
-    joined = marked.join(sample, F.col("doc_id") == F.col("_id"), "left").select(
-        "text", F.when(F.col("_id").isNull() | F.col("calibrates"), 0).when(F.col("toxic") > 0, 1).otherwise(2).alias("kind"))
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, BUCKETS), np.int64)
-        for part in parts:
-            for step in _steps(part, 0):
-                flat, ends = tokens(step.column(0))
-                sums[0] += np.bincount(flat, minlength=BUCKETS)
-                kinds = step.column(1).to_numpy()
-                for k in np.flatnonzero(kinds).tolist():
-                    sums[kinds[k], np.unique(flat[ends[k]:ends[k + 1]])] += 1
-        held = np.flatnonzero(sums[0])
-        for at in range(0, len(held), 50_000):
-            own = held[at:at + 50_000]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own.astype(np.int32)), "n": pa.array(sums[0, own]),
-                                              "toxic": pa.array(sums[1, own]), "other": pa.array(sums[2, own])})
-
-    counts = (joined.mapInArrow(count, "bucket int, n long, toxic long, other long").groupBy("bucket")
-              .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas())
-    n, toxic, other = (np.bincount(counts["bucket"], counts[c], BUCKETS) for c in ("n", "toxic", "other"))
-    seen = sample.groupBy((F.col("toxic") > 0).alias("toxic"), "calibrates").count().collect()
-    n_toxic, n_other = (sum(r["count"] for r in seen if r.toxic == t and not r.calibrates) for t in (True, False))
-    model = Model(log_odds(n, toxic, other, n_toxic, n_other))
-    model.lam = extreme_value_rate(model.scores, n)
-    held = _segment_scores(marked.join(sample, F.col("doc_id") == F.col("_id")).where("calibrates")
-                           .select("text", "toxic"), model).toPandas()
-    y = (held["toxic"].to_numpy() > 0).astype(float)
-    if len(y) == 0 or y.min() == y.max() or not n_toxic or not n_other:
-        total = sum(r["count"] for r in seen)
-        model.constant = sum(r["count"] for r in seen if r.toxic) / total if total else 0.0
-        return model
+    labelled = marked.join(sample, F.col("doc_id") == F.col("_id"))
+    kinds = [(fold, toxic) for fold in range(FOLDS) for toxic in (0, 1)]
+    rows = {(r.fold, r.toxic): r["count"] for r in labelled.groupBy("fold", "toxic").count().collect()}
+    n = {k: rows.get(k, 0) for k in kinds}
+    total = sum(n.values())
+    n_toxic = sum(n[k] for k in kinds if k[1])
+    if n_toxic in (0, total):
+        return Model(np.zeros(0, np.int64), np.zeros(0), constant=n_toxic / total if total else 0.0)
+
+    corpus = marked.select("text").mapInArrow(_count, "word long, n long, docs long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    held = (labelled.select("text", (2 * F.col("fold") + F.col("toxic")).alias("kind"))
+            .mapInArrow(_count_kinds, "word long, kind int, docs long").groupBy("word")
+            .agg(*(F.sum(F.when(F.col("kind") == 2 * f + t, F.col("docs")).otherwise(0)).alias(f"k{f}{t}") for f, t in kinds)))
+    scored = corpus.join(held, "word", "left")
+    share = F.col("docs") / marked.count()
+    columns = []
+    for left_out in [None, *range(FOLDS)]:
+        own = [k for k in kinds if k[0] != left_out]
+        toxic, other = (sum((F.coalesce(F.col(f"k{f}{t}"), F.lit(0)) for f, t in own if t == mark), F.lit(0)) for mark in (1, 0))
+        columns.append(log_odds(share, toxic, other, *(sum(n[k] for k in own if k[1] == mark) for mark in (1, 0))))
+    scored = scored.select("word", "n", F.array(*columns).alias("scores"))
+    found = scored.where("word < 0 or exists(scores, x -> x <> 0)").toPandas()
+    n_tokens = found["n"][found["word"] < 0].sum()
+    found = found[found["word"] >= 0].sort_values("word")
+    words, weight = found["word"].to_numpy(), found["n"].to_numpy()
+    scores = np.array(found["scores"].tolist(), np.float64).reshape(-1, FOLDS + 1)
+    models = []
+    for k in range(FOLDS + 1):
+        own = scores[:, k] != 0
+        model = Model(words[own], scores[own, k] - DRIFT)
+        rest = n_tokens - weight[own].sum()
+        model.lam = extreme_value_rate(np.append(model.scores, -DRIFT), np.append(weight[own], rest).astype(float))
+        models.append(model)
+    model = models[0]
+    seen = _segment_sums(labelled.select("_id", "toxic", "fold", "text"), models[1:])
+    # one row for each label id, however often the id is repeated
+    seen = seen.groupBy("_id").agg(F.max(F.struct("toxic", "n", "sums")).alias("r")).select("_id", "r.*").orderBy("_id").toPandas()
+    y = seen["toxic"].to_numpy().astype(float)
+    length = np.maximum(seen["n"].to_numpy(), 1)
     # K by moments of the extreme-value law: its mean is (ln(K n) + 0.5772) / lambda
-    length = np.maximum(held["n"].to_numpy(), 1)
-    top = np.array([max([0.0, *x]) for x in held["scores"]])
-    model.log_k = float((model.lam * top - np.log(length))[y == 0].mean()) - 0.5772
-    x = np.array([model.evidence(list(own), k) for own, k in zip(held["scores"], length.tolist())])
+    top = np.array([x[0] for x in seen["sums"]])
+    model.log_k = float((top - np.log(length))[y == 0].mean()) - 0.5772
+    x = np.array([model.evidence(list(own), k) for own, k in zip(seen["sums"], length.tolist())])
     model.weights = tuple(logistic(x, y).tolist())
     return model
 
 
-def _segment_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """toxic, n (tokens), scores (of all segments) for docs (text, toxic)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of every word, step by step; word -1 holds all
+    tokens of the step."""
+    for part in parts:
+        for step in _steps(part, 0):
+            flat, ends = tokens(step.column(0))
+            words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            docs = np.bincount(np.unique(row * max(len(words), 1) + at) % max(len(words), 1), minlength=len(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([[-1], words]), pa.int64()), pa.array(np.concatenate([[len(flat)], n]), pa.int64()),
+                 pa.array(np.concatenate([[step.num_rows], docs]), pa.int64())], ["word", "n", "docs"])
+
+
+def _count_kinds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each kind that hold a word, step by step."""
+    for part in parts:
+        for step in _steps(part, 0):
+            flat, ends = tokens(step.column(0))
+            kinds = step.column(1).to_numpy()
+            for kind in np.unique(kinds).tolist():
+                held = [np.unique(flat[ends[k]:ends[k + 1]]) for k in np.flatnonzero(kinds == kind).tolist()]
+                words, docs = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.int64()), pa.array(np.full(len(words), kind), pa.int32()), pa.array(docs, pa.int64())],
+                    ["word", "kind", "docs"])
+
+
+def _segment_sums(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """_id, toxic, n (tokens), sums for docs (_id, toxic, fold, text), each scored by the
+    model of its fold."""
+    shared = docs.sparkSession.sparkContext.broadcast([vars(m) for m in models])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**shared.value)
+        own = [Model(**m) for m in shared.value]
         for part in parts:
-            for step in _steps(part, 0):
-                flat, ends = tokens(step.column(0))
-                found = [[x for _, _, x in segments(m.scores[flat[a:b]])] for a, b in zip(ends[:-1], ends[1:])]
+            for step in _steps(part, 3):
+                flat, ends = tokens(step.column(3))
+                sums = []
+                for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    m = own[step.column(2)[k].as_py()]
+                    sums.append(m.sums([x for _, _, x in segments(m.of(flat[a:b]))]))
                 yield pa.RecordBatch.from_arrays(
-                    [step.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(found, pa.list_(pa.float64()))],
-                    ["toxic", "n", "scores"])
+                    [step.column(0), step.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.list_(pa.float64()))],
+                    ["_id", "toxic", "n", "sums"])
 
-    return docs.mapInArrow(run, "toxic int, n long, scores array<double>")
+    return docs.mapInArrow(run, "_id long, toxic int, n long, sums array<double>")
 
 
 #: A passage: its first token, the token after its last, and its excess.
@@ -260,7 +319,7 @@ PASSAGES = "array<struct<first:int,last:int,excess:double>>"
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``score`` (probability) and ``passages``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # the words that keep a score
     chosen = docs.withColumn("text", F.col("text").cast("string")).select(
         *[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     at = chosen.columns.index("text")
@@ -273,9 +332,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for part in parts:
             for step in _steps(part, at):
                 flat, ends = tokens(step.column(at))
+                each = m.of(flat)
                 scores, found = [], []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    probability, sure = m.judge(flat[a:b])
+                    probability, sure = m.judge(each[a:b])
                     scores.append(probability)
                     found.append([{"first": i, "last": j, "excess": x} for i, j, x in sure])
                 yield pa.RecordBatch.from_arrays(
