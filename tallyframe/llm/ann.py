@@ -2,8 +2,10 @@
 
 Fitting takes a bounded sample: centres by a few rounds of k-means, and a random
 rotation. Indexing puts every vector into the list of its nearest centre, lists cut
-into chunks of bounded size. A query probes the lists of its nearest centres. Within a
-chunk the rotated vectors are read in blocks of columns; after each block a candidate
+into chunks of bounded size. A query probes the lists of its nearest centres; the
+queries of a list are cut into parts, so that a task holds one chunk and one part
+however popular the list is. Vectors are shuffled in the column's own precision. Within
+a chunk the rotated vectors are read in blocks of columns; after each block a candidate
 whose partial distance, scaled up to all dimensions, exceeds the query's tenth best by
 the test's margin is abandoned (the partial distance of a randomly rotated vector
 estimates the whole one, with an error that shrinks with the root of the dimensions
@@ -29,8 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tallyframe.llm.common import shuffle_width, staged
 from tallyframe.llm.embedding_dups import slices, usable
@@ -39,6 +43,8 @@ SAMPLE = 20_000
 MAX_CENTRES = 4096
 LIST_ROWS = 1024
 CHUNK_ROWS = 4096
+#: Queries of a list that a task holds.
+PART_ROWS = 4096
 RECALL = 0.98
 COLUMNS = 16
 #: Margin of the abandoning test: a candidate goes when its partial distance exceeds
@@ -111,12 +117,14 @@ def scan(query: np.ndarray, base: np.ndarray, k: int, columns: int = COLUMNS, ep
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL, sample: int = SAMPLE,
-           list_rows: int = LIST_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+           list_rows: int = LIST_ROWS, chunk_rows: int = CHUNK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of every row of
     ``vectors`` (vec_id, embedding) for which ``is_query`` holds."""
     spark = vectors.sparkSession
+    held = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(held, FloatType) else "array<double>"
     rows = vectors.withColumn("_q", F.coalesce(is_query, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"),
         "_q").where(usable() & F.col("vec_id").isNotNull())
     empty = "query_id long, rank int, vec_id long, score double"
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").take(1)
@@ -131,30 +139,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RE
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, _, n_probes = shared.value
+        row = TaskContext.get().partitionId() << 40
         for part in slices(parts):
-            v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             order = np.argsort(_distances(v, centres), axis=1, kind="stable")[:, :n_probes].astype(np.int32)
             asks = part.column(2).to_pylist()
             probes = [row.tolist() if q else None for q, row in zip(asks, order)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(order[:, 0]), pa.array(probes, pa.list_(pa.int32()))],
-                ["vec_id", "embedding", "list", "probes"])
+                [part.column(0), part.column(1), pa.array(order[:, 0]), pa.array(probes, pa.list_(pa.int32())),
+                 pa.array(range(row, row + len(v)), pa.int64())], ["vec_id", "embedding", "list", "probes", "row"])
+            row += len(v)
 
-    dealt = staged(rows.mapInArrow(deal, "vec_id long, embedding array<double>, list int, probes array<int>"), "ann-lists")
-    sizes = dealt.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    base = dealt.join(sizes, "list").select(
-        "list", F.expr("cast(pmod(xxhash64('chunk', vec_id, embedding), chunks) as int)").alias("chunk"), "vec_id",
-        "embedding", F.lit(False).alias("query"))
+    dealt = staged(rows.mapInArrow(deal, f"vec_id long, embedding {kind}, list int, probes array<int>, row long"), "ann-lists")
     # of rows that repeat a query's id the one with the smallest vector asks
     asking = (dealt.where("probes is not null").groupBy("vec_id")
               .agg(F.min(F.struct("embedding", "probes")).alias("r")).select("vec_id", "r.embedding", "r.probes"))
-    queries = (asking.select("vec_id", "embedding", F.explode("probes").alias("list"))
-               .join(sizes, "list").select("list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "vec_id",
-                                           "embedding", F.lit(True).alias("query")))
+    asking = asking.select("vec_id", "embedding", F.explode("probes").alias("list"))
+    # one row for each of at most MAX_CENTRES lists that hold a vector and are asked for
+    sizes = (dealt.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+             .join(asking.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")), "list"))
+    # dealt by the row's number, so that equal rows part as well
+    base = dealt.join(sizes, "list").select(
+        "list", F.expr("cast(pmod(xxhash64('chunk', row), chunks) as int)").alias("chunk"),
+        F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "vec_id", "embedding", F.lit(False).alias("query"))
+    queries = asking.join(sizes, "list").select(
+        "list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"),
+        F.expr("cast(pmod(xxhash64('part', vec_id), parts) as int)").alias("part"), "vec_id", "embedding",
+        F.lit(True).alias("query"))
 
     def probe(table: pa.Table) -> pa.Table:
         isq, ids = table.column("query").to_numpy(), table.column("vec_id").to_numpy()
-        v = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        v = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
         b = np.flatnonzero(~isq)
         b = b[np.lexsort((ids[b],))]  # the same order in every run
         turned = v @ shared.value[1]
@@ -173,7 +188,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RE
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()),
                          "score": pa.array(out_s, pa.float64())})
 
-    found = (base.union(queries).repartition(2 * shuffle_width(spark), "list", "chunk").groupBy("list", "chunk")
+    found = (base.union(queries).repartition(2 * shuffle_width(spark), "list", "chunk", "part").groupBy("list", "chunk", "part")
              .applyInArrow(probe, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order))

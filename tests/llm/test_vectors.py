@@ -158,3 +158,23 @@ def test_scan_abandons_without_loss():
         missed += len(set(best.tolist()) - set(left.tolist()))
         assert len(left) < 800
     assert missed <= 10
+
+
+def test_search_with_parted_queries_and_a_repeated_row(spark):
+    """Queries of a list in parts of three, chunks of eight; a third of the rows is one vector."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((200, 24)).astype(np.float32)
+    rows = [(i, v[i].tolist()) for i in range(200)] + [(1000, v[7].tolist())] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 4 == 0, k=5, list_rows=50, recall=1.0, chunk_rows=8, part_rows=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    ids, base = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    assert set(got) == {i for i in range(0, 200, 4)} | {1000}
+    for q, found in got.items():
+        d = np.sqrt(((base - base[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
+        other = np.flatnonzero(ids != q)
+        best = other[np.lexsort((ids[other], d[other]))[:5]]
+        assert [x[0] for x in sorted(found)] == [1, 2, 3, 4, 5]
+        assert [x[2] for x in sorted(found)] == ids[best].tolist()
+        assert np.allclose([x[1] for x in sorted(found)], d[best], rtol=1e-12, atol=0)
