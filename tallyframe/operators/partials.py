@@ -35,7 +35,7 @@ def _money(roles: Roles) -> list[str]:
 def partials(df: DataFrame, roles: Roles, keys=(), grain: str = "day", week_start: str = "monday") -> DataFrame:
     """Rows ``keys…, level, candidate, category, period`` with counts and sums:
     ``level`` total, category, or period (of date ``candidate``)."""
-    keys, r = list(keys), roles.existing(df.columns)
+    keys, r = list(keys), roles.require(df.columns)
     base = df.select(*[qcol(c) for c in dict.fromkeys(keys + list(r.selected()))])
     dates = list(r.date)
     for i, c in enumerate(dates):
@@ -123,5 +123,5 @@ def resolve(parts: DataFrame, roles: Roles, keys=()) -> DataFrame:
 
 def raw_rollup(df: DataFrame, roles: Roles, keys=(), grain: str = "day", week_start: str = "monday") -> DataFrame:
     """``ledger_rollup`` of a raw ledger, from one scan and one shuffle of it."""
-    used = roles.existing(df.columns)
+    used = roles.require(df.columns)
     return resolve(partials(df, used, keys, grain, week_start), used, keys)

@@ -120,7 +120,7 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
     An unselected side stays a null column.
     """
     keys = tuple(keys)
-    r = roles.existing(df.columns)
+    r = roles.require(df.columns)
     money_cols = list(dict.fromkeys(r.revenue + r.expense + r.amount))
     base = _with_dates(df.select(*[qcol(c) for c in dict.fromkeys(list(keys) + list(r.selected()))]), list(r.date))
     decided = _with_decisions(base, money_cols, list(r.date), keys)

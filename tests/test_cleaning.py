@@ -2,10 +2,12 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date_text
 from tallyframe.functions.money import with_profile_number
+from tallyframe.operators.partials import raw_rollup
 from tallyframe.operators.prepare import clean_money, prepare
 from tallyframe.roles import Roles
 
@@ -75,3 +77,11 @@ def test_dotted_and_spaced_column_names(spark):
     led = prepare(df, Roles(date="Op.Date", revenue="Total.Price (₸)", category="Kind.Name"))
     got = sorted((str(r.ts.date()), r.revenue, r.category) for r in led.df.collect())
     assert got == [("2026-01-01", 1000.5, "a"), ("2026-01-02", 0.0, "b")]
+
+
+def test_role_columns_that_do_not_exist_are_named(spark):
+    df = spark.createDataFrame([("2024-01-01", "1")], "day string, income string")
+    for build in (prepare, raw_rollup):
+        with pytest.raises(ValueError, match="incmoe"):
+            build(df, Roles(date="day", revenue="incmoe"))
+        build(df, Roles(date="day", revenue="income"))
