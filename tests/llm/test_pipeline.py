@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     gone = {r.doc_id for r in before} - {r.doc_id for r in after}
     marked = [i for i in labels if labels[i] == 1]
     # few labels to learn from here; the accuracy on larger tables is in the README
-    assert len(marked) > 30 and sum(i in gone for i in marked) >= 0.55 * len(marked)
+    assert len(marked) > 30 and sum(i in gone for i in marked) >= 0.6 * len(marked)
     assert sum(labels.get(i) == 0 for i in gone) <= 0.01 * len(labels)
     before, after = results[1]
     want = {r[0]: r[4] for r in brute_lines([(r.doc_id, r.text) for r in before], 10)}
