@@ -10,6 +10,9 @@ Two readers exist, as in the reference behaviour:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +106,15 @@ def numeric_money(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(0.0)).otherwise(F.coalesce(d, F.lit(0.0)))
 
 
-def _currency_regex() -> str:
-    import re
-
-    from tallyframe.functions.vocab import CURRENCY_TOKENS
-    return "(" + "|".join(re.escape(t) for t in CURRENCY_TOKENS) + ")"
-
-
 def has_currency(text: Column) -> Column:
     """A currency token occurs anywhere in the lower-cased text (substring match)."""
-    return F.coalesce(F.lower(text).rlike(_currency_regex()), F.lit(False))
+    from tallyframe.functions.vocab import CURRENCY_TOKENS
+    # a token that holds another one adds nothing
+    least = [t for t in CURRENCY_TOKENS if not any(o in t for o in CURRENCY_TOKENS if o != t)]
+    # plain searches in the text lowered once: one pattern of all tokens tries each of them
+    # at every character
+    held = F.transform(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(t)) for t in least]))
+    return F.coalesce(held[0], F.lit(False))
 
 
 def has_currency_or_sign(text: Column) -> Column:
@@ -131,7 +133,7 @@ def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
     """
     s, kept, nums, sep, norm = (_tmp(x, out) for x in ("ps", "pkept", "pnums", "psep", "pnorm"))
     df = df.withColumn(s, utrim(qcol(src).cast("string")))
-    df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+()]", ""))
+    df = df.withColumn(kept, F.regexp_replace(F.col(s), r"[^0-9,.\-+()]+", ""))
     df = df.withColumn(nums, F.translate(F.col(kept), "()", ""))
     n = F.col(nums)
     has_c, has_d = F.instr(n, ",") > 0, F.instr(n, ".") > 0
@@ -155,7 +157,8 @@ def with_profile_number(df: DataFrame, src: str, out: str) -> DataFrame:
     df = df.withColumn(norm, F.when(negative & ~nm.startswith("-"), F.concat(F.lit("-"), nm)).otherwise(nm))
     st = F.col(s)
     rejected = (st == "") | st.rlike(r"[{}\[\]:]") | (F.lower(st).rlike("[a-zа-я]") & ~has_currency(st))
-    ok = ~rejected & k.rlike(r"\d") & F.col(norm).rlike(r"^-?(\d+\.?\d*|\.\d+)$")
+    # the search for currency tokens comes last
+    ok = F.col(norm).rlike(r"^-?(\d+\.?\d*|\.\d+)$") & k.rlike(r"\d") & ~rejected
     value = F.when(ok, F.struct(F.col(norm).cast("double").alias("value"), (sp != "").alias("has_decimal"),
                                 F.col(norm).alias("normalized")))
     return df.withColumn(out, value).drop(s, kept, nums, sep, norm)

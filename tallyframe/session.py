@@ -21,6 +21,8 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # and at most this many bytes of them, so that long texts do not add up
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 ** 2),
+    # the JVM never compiles a method longer than this: such a stage runs operator by operator
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Reading cp1251 ledgers needs the legacy charset list in Spark 4.x.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
