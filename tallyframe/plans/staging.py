@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans import views
 from tallyframe.session import shared_path
-from tallyframe.sources.workbook import xlsx_bytes
+from tallyframe.sources.workbook import write_xlsx
 
 # Russian category names for the cp1251 variant (by priority).
 PRIORITY_RU = {"1-URGENT": "Срочно", "2-HIGH": "Высокий", "3-MEDIUM": "Средний", "4-NOT SPECIFIED": "Не указан",
@@ -145,28 +146,42 @@ def stage_ragged(spark: SparkSession, sf_dir: str) -> str:
     return target
 
 
-def _write_books(target: str):
+#: Rows of a staged workbook, at most (a sheet can hold 1,048,576 with its header).
+BOOK_ROWS = 200_000
+
+
+def _write_books(target: str, book_rows: int = BOOK_ROWS):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames)
-        if pdf.empty:
-            return
-        os.makedirs(target, exist_ok=True)
-        path = os.path.join(target, f"book-{uuid.uuid4().hex}.xlsx")
-        header = list(pdf.columns)
-        rows = [[float(v) if c == "TotalPrice" else str(v) for c, v in zip(header, rec)]
-                for rec in pdf.itertuples(index=False)]
-        with open(path, "wb") as fh:
-            fh.write(xlsx_bytes(header, rows))
-        yield pd.DataFrame({"path": [path], "rows": [len(rows)]})
+        header: list[str] = []
+
+        def all_rows():
+            for pdf in batches:
+                header[:] = list(pdf.columns)
+                for rec in pdf.itertuples(index=False):
+                    yield [float(v) if c == "TotalPrice" else str(v) for c, v in zip(header, rec)]
+
+        rows = all_rows()
+        while (first := next(rows, None)) is not None:
+            os.makedirs(target, exist_ok=True)
+            path = os.path.join(target, f"book-{uuid.uuid4().hex}.xlsx")
+            written = 0
+
+            def own():
+                nonlocal written
+                for row in chain([first], islice(rows, book_rows - 1)):
+                    written += 1
+                    yield row
+
+            with open(path, "wb") as fh:
+                write_xlsx(fh, header, own())
+            yield pd.DataFrame({"path": [path], "rows": [written]})
     return write
 
 
 def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
-    """One workbook per partition of orders, written by the task that holds it."""
+    """Workbooks of each partition of orders, written row by row by the task that holds it;
+    there are more partitions the larger the table is."""
     root = os.path.join(stage_root(spark, sf_dir), "xlsx")
     if "://" in root and not root.startswith("file:"):
         raise RuntimeError("Workbook staging writes with plain file I/O and needs a POSIX-mounted shared "
@@ -183,7 +198,7 @@ def stage_workbooks(spark: SparkSession, sf_dir: str, books: int = 4) -> str:
     frame = o.select(F.col("o_orderkey").cast("string").alias("OrderID"),
                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("OrderDate"),
                      F.col("o_orderpriority").alias("Priority"), F.col("o_totalprice").alias("TotalPrice"))
-    written = frame.repartition(books).mapInPandas(_write_books(local), "path string, rows long") \
+    written = frame.repartition(max(books, _file_count(spark, sf_dir, "orders"))).mapInPandas(_write_books(local), "path string, rows long") \
         .agg(F.count(F.lit(1)).alias("books")).first()
     if written and written.books:
         open(done, "w").close()

@@ -255,3 +255,23 @@ def test_large_files_are_previewed_from_their_start(spark, tmp_path):
     raw = spark.read.text(str(tmp_path / "big.csv")).select(F.lit("p").alias("path"), F.col("value").cast("binary").alias("value"))
     seen = files._first_lines(raw.coalesce(1)).first()
     assert not seen.whole and seen.lines < 100_000 and len(seen.head) == files.DELIMITER_SAMPLE_LINES
+
+
+def test_workbooks_are_written_and_read_in_parts(tmp_path):
+    import pandas as pd
+    from tallyframe.plans import staging
+    from tallyframe.sources import workbook
+
+    batches = (pd.DataFrame({"OrderID": [str(i) for i in range(a, a + 700)], "TotalPrice": [i + 0.5 for i in range(a, a + 700)]})
+               for a in range(0, 7000, 700))
+    books = pd.concat(staging._write_books(str(tmp_path), book_rows=3000)(batches))
+    assert books["rows"].tolist() == [3000, 3000, 1000]
+    contents = [open(p, "rb").read() for p in books["path"]]
+    # a workbook cut off within its sheet has no rows and leaves the others alone
+    pdf = pd.DataFrame({"path": [*books["path"], "cut"], "content": [*contents, contents[0][:-400]]})
+    parts = list(workbook._parser(None)(iter([pdf])))
+    assert max(len(p) for p in parts) <= workbook.SHEET_BATCH and set(pd.concat(parts)["path"]) == set(books["path"])
+    rows = pd.concat(parts)
+    assert sorted(rows[rows["row_no"] > 0]["cells"].map(tuple), key=lambda c: int(c[0])) == [
+        (str(i), str(i + 0.5)) for i in range(7000)]
+    assert rows[rows["path"] == books["path"].iloc[0]]["row_no"].tolist() == list(range(3001))
