@@ -16,7 +16,8 @@ nearest centre, and a candidate in the lists of its ``spread`` nearest centres,
 count; half of the allowed loss is left to the sample's error. Partners made at the
 bound are a lower limit, and if the sample has too few links to resolve ``recall``, so
 are partners made in the directions in which the vectors themselves differ. The number
-of centres follows the number of vectors. A list's queries and candidates are cut into chunks of bounded
+of centres follows the number of vectors, from ``LEAST_CENTRES`` on; the steps are the
+same at every size. A list's queries and candidates are cut into chunks of bounded
 size that meet pairwise, each in a task of its own.
 
 A task returns sums of links per class and a spanning forest of its links, never all
@@ -50,6 +51,8 @@ RECALL = 0.9995
 #: Classes that a list is meant to hold, and the most centres (their broadcast bound).
 LIST_ROWS = 4096
 MAX_CENTRES = 16_384
+#: The fewest centres: vectors are dealt into calibrated lists at every size of the input.
+LEAST_CENTRES = 16
 CHUNK_ROWS = 4096
 SAMPLE = 2000
 SEED = 7
@@ -234,16 +237,14 @@ def _links(classes: DataFrame, dim: int, bound: float, projections: int, window:
     spark, kind = classes.sparkSession, classes.schema["embedding"].dataType.simpleString()
     n = classes.count()
     # a bounded sample, the same in every run: the smallest hashes
-    wanted = min(MAX_CENTRES, max(1, n // list_rows))
+    wanted = min(MAX_CENTRES, max(LEAST_CENTRES, n // list_rows))
     picked = (classes.select("embedding").orderBy(F.xxhash64("node", F.lit("centre"))).limit(wanted + SAMPLE)
               .toPandas()["embedding"])
     picked = np.array([np.asarray(v, np.float64) for v in picked])
     picked /= np.linalg.norm(picked, axis=1, keepdims=True)
-    centres, sample = picked[:wanted], picked[wanted:] if len(picked) > wanted else picked
-    # nothing is gained by centres whose lists would hold all vectors again
-    spread = calibrated_spread(classes, sample, centres, bound, recall) if wanted > 1 else 1
-    if spread >= len(centres):
-        centres, spread = centres[:1], 1
+    # vectors that the sample can hold are all in it, centres as well
+    centres, sample = picked[:wanted], picked[wanted:] if n > SAMPLE else picked
+    spread = min(calibrated_spread(classes, sample, centres, bound, recall), len(centres))
     projected = directions(dim, projections)
     threshold = collision_threshold(bound, projections, window, recall)
     shared = spark.sparkContext.broadcast(centres)  # at most MAX_CENTRES vectors

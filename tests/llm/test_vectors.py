@@ -80,6 +80,18 @@ def test_links_of_low_rank_vectors_over_many_lists(spark):
     assert sum(got.values()) >= 0.999 * want.sum()
 
 
+@pytest.mark.parametrize("n", [5, 300])
+def test_small_inputs_are_dealt_into_calibrated_lists_as_well(spark, monkeypatch, n):
+    seen = []
+    calibrated = embedding_dups.calibrated_spread
+    monkeypatch.setattr(embedding_dups, "calibrated_spread", lambda classes, sample, centres, *a: seen.append(
+        (len(sample), len(centres))) or calibrated(classes, sample, centres, *a))
+    table = list(enumerate(clustered(n, 9)))
+    got = embedding_dups.near_duplicates(spark.createDataFrame(table, SCHEMA), 0.9)
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(brute_links(table, 0.9), key=repr)
+    assert seen == [(n, min(n, embedding_dups.LEAST_CENTRES))]
+
+
 def test_given_embeddings(spark):
     df = spark.read.parquet(f"{SF001}/embeddings.parquet")
     table = [(r.vec_id, r.embedding) for r in df.collect()]
