@@ -21,6 +21,8 @@ from tallyframe.llm.common import worker_state
 
 #: Chunks a worker remembers before it starts afresh (memory only, never results).
 MEMO_CHUNKS = 500_000
+#: Characters of a chunk that is remembered, at most, so that the memory is bounded in bytes as well.
+MEMO_LENGTH = 64
 #: Bytes of text per vectorised step.
 STEP_BYTES = 8_000_000
 #: New chunks that go to the library as one text.
@@ -39,21 +41,24 @@ class ChunkEncoder:
         #: encode a space and the text instead of the text
         self.spaced = spaced
         self.memo_chunks = memo_chunks
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes | bool] = {}
         self.newline = b"" if spaced else self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self.library_batch(texts)]
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks with safe edges. Joined, they are still encoded one by one, and
-        only a chunk's first id starts with its separator, so the ids split again."""
+        """Ids of chunks with safe edges, each with its separator: its own line feed, or a
+        space before it. Joined, they are still encoded one by one, and only a chunk's
+        first id starts with its separator, so the ids split again."""
         if self.starts is None:
-            return self._ids(chunks)
+            return self._ids([c if c[0] == "\n" else " " + c for c in chunks])
         out: list[bytes] = []
         groups = [chunks[at:at + JOINED] for at in range(0, len(chunks), JOINED)]
-        for group, ids in zip(groups, self.library_batch(["".join(g) for g in groups])):
-            ids = np.array(ids, "<u4")
+        # a chunk holds no space, and a line feed only as its first character
+        joined = [(" " + " ".join(g)).replace(" \n", "\n") for g in groups]
+        for group, ids in zip(groups, self.library_batch(joined)):
+            ids = np.fromiter(ids, "<u4", len(ids))
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(group) or cuts[0] != 0:
                 raise ValueError("the vocabulary joins chunks")
@@ -61,22 +66,23 @@ class ChunkEncoder:
             out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
         return out
 
-    @staticmethod
-    def _edges_are_safe(piece: str) -> bool:
-        body = piece[1:] if piece.startswith("\n") else piece
-        return bool(body) and not body[0].isspace() and not body[-1].isspace()
-
-    def _lookup(self, pieces: list[str]) -> list[bytes | None]:
+    def _lookup(self, pieces: list[str]) -> list[bytes | bool]:
+        """Ids of each piece; ``False`` where white space touches its separators."""
         memo = self.memo
-        missing = [p for p in pieces if p not in memo]
-        if missing:
-            if len(memo) + len(missing) > self.memo_chunks:
-                memo.clear()
-                missing = pieces
-            safe = [p for p in missing if self._edges_are_safe(p)]
-            memo.update(dict.fromkeys(missing))
-            memo.update(zip(safe, self._chunk_ids([p if p[0] == "\n" else " " + p for p in safe])))
-        return [memo[p] for p in pieces]
+        found = list(map(memo.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
+        if not new:
+            return found
+        bodies = [p[1:] if p[:1] == "\n" else p for p in new]
+        safe = [p for p, body in zip(new, bodies) if body and body.strip() == body]
+        fresh: dict[str, bytes | bool] = dict.fromkeys(new, False)
+        fresh.update(zip(safe, self._chunk_ids(safe)))
+        if len(memo) + len(fresh) > self.memo_chunks:
+            memo.clear()
+        memo.update(fresh)
+        for long in [p for p in new if len(p) > MEMO_LENGTH]:
+            del memo[long]
+        return [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
     def _step(self, texts: pa.Array) -> list[bytes]:
         # every piece that follows a line feed, the first one included, starts with it
@@ -85,12 +91,12 @@ class ChunkEncoder:
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n"), glue)
         split = pc.split_pattern(marked, " ")
         pieces = split.values.dictionary_encode()
-        ids = self._lookup(pieces.dictionary.to_pylist())
-        gathered = pa.array([b"" if i is None else i for i in ids], pa.large_binary()).take(pieces.indices)
+        ids = self._lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        gathered = pa.array([i or b"" for i in ids], pa.large_binary()).take(pieces.indices)
         data = gathered.buffers()[2]
         data = data.to_pybytes() if data is not None else b""
         ends = np.frombuffer(gathered.buffers()[1], "<i8", len(gathered) + 1)[split.offsets.to_numpy()]
-        unsafe = np.array([i is None for i in ids], bool)[pieces.indices.to_numpy()]
+        unsafe = np.array([i is False for i in ids], bool)[pieces.indices.to_numpy()]
         bad = np.add.reduceat(unsafe, split.offsets.to_numpy()[:-1]) > 0
         skip = len(self.newline)  # the marker before the first piece is not part of the text
         out = [data[a + skip:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]

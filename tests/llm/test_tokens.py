@@ -52,6 +52,23 @@ def test_awkward_texts():
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t) for t in AWKWARD]
 
 
+def test_known_chunks_are_not_encoded_again_when_the_memory_is_full():
+    sent = []
+
+    def batch(texts):
+        sent.extend(texts)
+        return [OWN.encode(t) for t in texts]
+
+    encoder = ChunkEncoder(batch, memo_chunks=10)
+    first, second = " ".join(f"w{i}" for i in range(9)), " ".join([*(f"w{i}" for i in range(9)), "x", "y", "z" * 200, "a\nb"])
+    encoder.encode(pa.array([first]))
+    sent.clear()
+    got = encoder.encode(pa.array([second, "  x"]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(second), ids_of("  x")]
+    assert sorted(sent) == sorted([" x", " y", " " + "z" * 200, " a", "\nb", "  x"])
+    assert "z" * 200 not in encoder.memo  # long chunks are encoded, not remembered
+
+
 def test_decode_of_split_characters():
     for ids in ([*ids_of("日")][:1], [50256, 50256], []):
         assert OWN.decode(np.array(ids, np.uint32)).decode() == LIBRARY.decode(ids, skip_special_tokens=False)
