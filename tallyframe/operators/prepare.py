@@ -21,6 +21,7 @@ from tallyframe.functions.money import is_dirty_cell, numeric_money, with_clean_
 from tallyframe.functions.text import combine_categories
 from tallyframe.operators._keys import attach
 from tallyframe.roles import Ledger, Roles
+from tallyframe.session import staged_table
 
 LEDGER_COLUMNS = ("ts", "revenue", "expenses", "amount", "category")
 
@@ -52,7 +53,7 @@ def _dates_flag(i: int) -> str:
 
 
 def _with_decisions(df: DataFrame, money_cols: list[str], date_cols: list[str],
-                    keys: Sequence[str]) -> DataFrame:
+                    keys: Sequence[str], staged: bool = False) -> DataFrame:
     """Add per-key decision columns: dirty flag per text money column and, when
     several date columns are selected, the valid-date count of each."""
     aggs: list[Column] = []
@@ -66,6 +67,8 @@ def _with_decisions(df: DataFrame, money_cols: list[str], date_cols: list[str],
     if not aggs:
         return df
     decisions = df.groupBy(*keys).agg(*aggs)
+    if keys and staged:
+        decisions = staged_table(decisions, "decisions")
     return attach(df, decisions, keys)
 
 
@@ -109,7 +112,7 @@ def _date_expr(df: DataFrame, date_cols: list[str]) -> Column | None:
 
 
 def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
-            persist: bool = False) -> Ledger:
+            persist: bool = False, staged: bool = False) -> Ledger:
     """Build the prepared ledger ``keys…, ts, revenue, expenses, amount, category``.
 
     * revenue / expense columns: cleaned, summed row-wise;
@@ -118,12 +121,16 @@ def prepare(df: DataFrame, roles: Roles, keys: Sequence[str] = (), *,
     * date: the first selected column with a valid date; category: the selected
       columns cleaned and joined with ' / '.
     An unselected side stays a null column.
+
+    ``staged`` writes the decisions, a row per key, at once. Unwritten, their estimated
+    size is that of all rows; a join planned by that deals the rows by their key, so that
+    one task reads all rows of a large key.
     """
     keys = tuple(keys)
     r = roles.require(df.columns)
     money_cols = list(dict.fromkeys(r.revenue + r.expense + r.amount))
     base = _with_dates(df.select(*[qcol(c) for c in dict.fromkeys(list(keys) + list(r.selected()))]), list(r.date))
-    decided = _with_decisions(base, money_cols, list(r.date), keys)
+    decided = _with_decisions(base, money_cols, list(r.date), keys, staged)
     decided, money = _money_columns(decided, money_cols)
 
     def total(parts: list[Column]) -> Column | None:

@@ -21,9 +21,9 @@ _BY_PRIORITY_SQL = """SELECT o_orderpriority AS category, count(*)::BIGINT AS tr
        round(sum(round(o_totalprice, 2)), 2) AS revenue FROM orders GROUP BY o_orderpriority"""
 
 
-def _catalog(spark, sf, *variants, **how):
-    """The catalog of the named variants' folders (all six by default)."""
-    return files.file_catalog(spark, staging.stage_csv(spark, sf, variants or tuple(staging.VARIANTS)), **how)
+def _catalog(spark, sf, *variants, n_files=None, **how):
+    """The catalog of the named variants' folders (all six by default), of ``n_files`` files each if given."""
+    return files.file_catalog(spark, staging.stage_csv(spark, sf, variants or tuple(staging.VARIANTS), n_files), **how)
 
 
 def _variant(col="path"):
@@ -45,7 +45,7 @@ def q_csv_scan(spark, sf):
     cat = _catalog(spark, sf, *staging.ENGLISH)
     df = files.read_ledgers(spark, cat, columns=["OrderDate", "TotalPrice", "Priority"])
     led = prepare(df.withColumn("variant", _variant("source_file")),
-                  Roles(date="OrderDate", revenue="TotalPrice", category="Priority"), ["variant"])
+                  Roles(date="OrderDate", revenue="TotalPrice", category="Priority"), ["variant"], staged=True)
     return metrics.category_breakdown(led).select("variant", "category", "transaction_count", r("revenue"))
 
 
@@ -171,7 +171,7 @@ FROM orders CROSS JOIN (VALUES ('utf8_comma'), ('pipe')) v(variant) GROUP BY var
 def q_preview(spark, sf):
     """The first 100 records of every file, each found in the table that the files
     were written from, with its own price."""
-    cat = _catalog(spark, sf, "utf8_comma", "pipe", heads_only=True)
+    cat = _catalog(spark, sf, "utf8_comma", "pipe", n_files=3, heads_only=True)
     p = files.preview_files(spark, cat)
     cell = lambda name: F.element_at("cells", F.array_position("column_names", name).cast("int"))
     p = p.select("source_file", "row_no", "row_count_text", cell("OrderID").cast("bigint").alias("key"),
@@ -230,7 +230,7 @@ def q_auto_fleet(spark, sf):
     """O2 over a fleet of files: every staged CSV variant gets its own roles, each file
     is read once to detect and once to analyse; totals by variant and roles."""
     from tallyframe.plans.analyze import fleet_analysis
-    fleet = fleet_analysis(spark, _catalog(spark, sf), grain="month")
+    fleet = fleet_analysis(spark, _catalog(spark, sf, n_files=3), grain="month")
     basic = fleet.basic.select("source_file", "transaction_count", "total_revenue", "total_expenses", "roles")
     return basic.groupBy(_variant("source_file").alias("variant"), "roles").agg(
         F.sum("transaction_count").alias("transaction_count"), r(F.sum("total_revenue"), 2, "total_revenue"),

@@ -42,6 +42,8 @@ ODD = {
 ENGLISH = ("utf8_comma", "pipe", "permuted_quotes", "late_cp1251")
 LEAST_FILES = 3
 FILE_BYTES = 128 * 1024 * 1024
+#: Rows of a staged file, about: a task writes one, and files with quoted line ends are read by one task.
+FILE_ROWS = 500_000
 
 
 def _table_files(spark: SparkSession, sf_dir: str, table: str) -> list[tuple[str, int, int]]:
@@ -63,7 +65,9 @@ def stage_root(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _file_count(spark: SparkSession, sf_dir: str, table: str) -> int:
-    return max(LEAST_FILES, sum(n for _, n, _ in _table_files(spark, sf_dir, table)) // FILE_BYTES + 1)
+    size = sum(n for _, n, _ in _table_files(spark, sf_dir, table))
+    # a table of repeated values is small in Parquet, whatever its rows
+    return max(LEAST_FILES, size // FILE_BYTES + 1, -(-views.table(spark, sf_dir, table).count() // FILE_ROWS))
 
 
 def _variant_frame(o: DataFrame, name: str) -> DataFrame:
@@ -96,21 +100,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp))
 
 
-def stage_csv(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] | None = None) -> list[str]:
-    """Write CSV variants (all unless named; 3 files or more each, by the table's size)
-    once per state of the tables; returns their folders.
+def stage_csv(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] | None = None,
+              n_files: int | None = None) -> list[str]:
+    """Write CSV variants (all unless named; 3 files or more each, by the table's size, or
+    ``n_files``) once per state of the tables; returns their folders.
 
     A variant whose ``_SUCCESS`` marker exists is complete and is not rewritten
     (the files are a pure function of the ``orders`` table)."""
     root = stage_root(spark, sf_dir)
     o = views.table(spark, sf_dir, "orders")
+    count = _file_count(spark, sf_dir, "orders")
+    if n_files not in (None, count):
+        root, count = os.path.join(root, f"files-{n_files}"), n_files
     known = VARIANTS | ODD
     targets = [os.path.join(root, "csv", name) for name in variants or known]
     for name, target in zip(variants or known, targets):
         opt = known[name]
         if _exists(spark, os.path.join(target, "_SUCCESS")):
             continue
-        frame = _variant_frame(o, name).repartition(_file_count(spark, sf_dir, "orders"))
+        frame = _variant_frame(o, name).repartition(count)
         if "order" in opt:
             frame = frame.sortWithinPartitions(*opt["order"])
         trim = str(not opt.get("keep_spaces", False)).lower()

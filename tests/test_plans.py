@@ -166,3 +166,20 @@ def test_fleet_joins_no_ledger_row(spark, tmp_path):
     read = plan[plan.rindex("Relation"):]
     assert "csv" in read and "Region" in read  # one read of the layout, its columns named by role
     assert fleet.basic.count() == 3
+
+
+def test_rows_of_a_large_key_are_not_dealt_by_it_for_the_decisions(spark, tmp_path):
+    from tallyframe.operators.prepare import prepare
+    from tallyframe.roles import Roles
+
+    spark.range(20_000).selectExpr("if(id < 19000, 'a', 'b') AS file", "concat('$', id) AS money", "uuid() AS note") \
+        .write.parquet(str(tmp_path / "rows"))
+    raw = spark.read.parquet(str(tmp_path / "rows"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")  # the rows are larger, the decisions smaller
+    try:
+        led = prepare(raw, Roles(revenue="money"), ["file"], staged=True).df
+        assert "SortMergeJoin" not in led._jdf.queryExecution().executedPlan().toString()
+        assert led.selectExpr("sum(revenue)").first()[0] == sum(range(20_000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -275,3 +275,16 @@ def test_workbooks_are_written_and_read_in_parts(tmp_path):
     assert sorted(rows[rows["row_no"] > 0]["cells"].map(tuple), key=lambda c: int(c[0])) == [
         (str(i), str(i + 0.5)) for i in range(7000)]
     assert rows[rows["path"] == books["path"].iloc[0]]["row_no"].tolist() == list(range(3001))
+
+
+def test_staged_files_grow_in_number_with_the_rows(spark, monkeypatch):
+    from tallyframe.plans import staging
+    from tests.conftest import SF001
+
+    monkeypatch.setattr(staging, "FILE_ROWS", 100)
+    monkeypatch.setattr(staging, "stage_root", lambda spark, sf: staging.shared_path(spark, "test-staged", "by-rows"))
+    rows = spark.read.parquet(f"{SF001}/orders.parquet").count()
+    by_rows, three = (spark.read.text(staging.stage_csv(spark, SF001, ("pipe",), n)[0])
+                      .groupBy(F.col("_metadata.file_path")).count().collect() for n in (None, 3))
+    assert len(by_rows) == -(-rows // 100) > 3 and max(r["count"] for r in by_rows) <= 102
+    assert len(three) == 3 and sum(r["count"] for r in three) == rows + 3
