@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.chunk_encoder import library_encoder
 from tallyframe.llm.common import new_folder, row_key, shuffle_width
+from tallyframe.llm.words import steps
 
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 262_144
+#: Bytes of text encoded at a time (memory only).
+STEP_BYTES = 6_000_000
 MAGIC = b"PFR1"
 
 SEGMENT_SCHEMA = ("shard int, segment int, before long, n_ids long, doc_ids array<bigint>, "
@@ -144,9 +147,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, bl
         for batch in batches:
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+            for at, texts in steps(batch.column(1), STEP_BYTES):
+                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoder.encode(texts)):
                     doc_ids.append(doc_id)
                     parts.append(ids + tail)
                     held += len(ids) // 4 + len(tail) // 4

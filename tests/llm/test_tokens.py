@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyframe.llm import bpe, packing, token_files
-from tallyframe.llm.chunk_encoder import ChunkEncoder, library_encoder
+from tallyframe.llm.chunk_encoder import PUNCTUATION, ChunkEncoder, endings, library_encoder
+from tallyframe.llm.chunk_memo import ChunkMemo
 from tallyframe.llm.common import tokenizer_path
 from tests.llm.helpers import docs, with_clashes
 
@@ -69,6 +70,65 @@ def test_known_chunks_are_not_encoded_again_when_the_memory_is_full():
     assert "z" * 200 not in encoder.memo  # long chunks are encoded, not remembered
 
 
+def recording(sent, **options):
+    def batch(texts):
+        sent.extend(texts)
+        return [ids_of(t) for t in texts]
+
+    return ChunkEncoder(batch, **options)
+
+
+def test_a_word_is_encoded_once_whatever_ends_it():
+    sent = []
+    encoder = recording(sent, tails=endings(LIBRARY))
+    text = "x word word, word. word?! word... (word) don't. é. 7% a|. a|> <|endoftext|> <|endoftext|>. word\u00a0. ..."
+    got = encoder.encode(pa.array([text, text + "\nword, word;"]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(text), ids_of(text + "\nword, word;")]
+    assert sent.count(" word") == 1 and not {" word,", " word.", "\nword,"} & set(sent)
+    assert {chr(c) for c in PUNCTUATION - endings(LIBRARY)} == set("<|>")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"aB7é .,;'\n\t$%<|>\x00日", "word", "can't", "'ll.", "<|endoftext|>", " <|endoftext|>."]),
+                max_size=40).map("".join))
+def test_endings_encode_like_the_library(text):
+    got = library_encoder(PATH).encode(pa.array([text, "x " + text]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(text), ids_of("x " + text)]
+
+
+def test_no_endings_where_an_added_token_could_be_cut():
+    tok = Tokenizer.from_file(PATH)
+    tok.add_tokens(["a.b"])
+    assert not {ord("."), ord("|")} & endings(tok) and ord(",") in endings(tok)
+    tok.add_tokens(["plain"])
+    assert not endings(tok)
+
+
+def test_chunks_met_lately_stay_when_the_memory_is_full():
+    sent = []
+    encoder = recording(sent, memo_chunks=100)
+    for k in range(20):
+        encoder.encode(pa.array(["x " + " ".join(f"often{i}" for i in range(20)) + " " + " ".join(f"once{k}n{i}" for i in range(30))]))
+    assert all(sent.count(f" often{i}") == 1 for i in range(20))
+    assert encoder.memo.size <= 100
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text("ab\x00é", max_size=20), unique=True, max_size=40), max_size=8), st.sampled_from([1, 7, 50]))
+def test_memory_gives_what_it_was_given(batches, capacity):
+    memo = ChunkMemo(capacity)
+    for batch in batches:
+        texts = pa.array(batch, pa.large_string())
+        found = memo.find(texts)
+        known = memo.ids_of(found[found >= 0]).to_pylist()
+        assert known == [b"ids of " + t.encode() for t, n in zip(batch, found) if n >= 0]
+        new = texts.filter(pa.array(found < 0))
+        memo.add(new, pa.array([b"ids of " + t.as_py().encode() for t in new], pa.large_binary()))
+        assert memo.size <= capacity
+        if capacity == 50:
+            assert all((t in memo) == (len(t.encode()) < 32) for t in batch)
+
+
 def test_decode_of_split_characters():
     for ids in ([*ids_of("日")][:1], [50256, 50256], []):
         assert OWN.decode(np.array(ids, np.uint32)).decode() == LIBRARY.decode(ids, skip_special_tokens=False)
