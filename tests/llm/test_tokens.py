@@ -96,6 +96,12 @@ def test_endings_encode_like_the_library(text):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(text), ids_of("x " + text)]
 
 
+def test_packing_and_token_files_share_an_encoder_that_remembers_words_without_endings():
+    encoder = library_encoder(PATH)
+    encoder.encode(pa.array(["then ending17, ending17. ending17?!"]))
+    assert "ending17" in encoder.memo and not any("ending17" + end in encoder.memo for end in (",", ".", "?!"))
+
+
 def test_no_endings_where_an_added_token_could_be_cut():
     tok = Tokenizer.from_file(PATH)
     tok.add_tokens(["a.b"])
