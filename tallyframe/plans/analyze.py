@@ -24,7 +24,7 @@ from tallyframe.operators._keys import attach
 from tallyframe.operators.partials import raw_rollup
 from tallyframe.operators.prepare import prepare
 from tallyframe.roles import Ledger, Roles
-from tallyframe.session import ensure_checkpoint_dir
+from tallyframe.session import ensure_checkpoint_dir, staged_table
 
 
 def _materialize(df: DataFrame, how: str | None) -> DataFrame:
@@ -165,7 +165,7 @@ def _chosen(assign: DataFrame, keys: list[str]) -> DataFrame:
 def _fleet(assign: DataFrame, chosen: DataFrame, canonical: DataFrame, keys: list[str], grain: str, week_start: str,
            category_limit: int | None) -> Fleet:
     ledger = prepare(canonical, Roles(**CANONICAL), keys)
-    roll = _materialize(raw_rollup(canonical, Roles(**CANONICAL), keys, grain, week_start), "checkpoint")
+    roll = _materialize(raw_rollup(canonical, Roles(**CANONICAL), keys, grain, week_start, staged=True), "checkpoint")
     basic = attach(metrics.basic_from_rollup(roll, ledger), chosen.select(*keys, "roles"), keys)
     return Fleet(assign, basic,
                  metrics.ranked_categories(metrics.categories_from_rollup(roll, ledger), ledger, category_limit),
@@ -180,15 +180,24 @@ def fleet_analysis(spark, catalog: DataFrame, grain: str = "day", week_start: st
     Roles are known before the second read, so the files of one layout and one role set
     are one read that names its columns by role: no ledger row is joined to anything.
     """
-    from tallyframe.operators.detection import detect_from_cells, long_cells
+    from tallyframe.operators.detection import counted_cells, detect_from_cells
     from tallyframe.sources import files as file_sources
     ensure_checkpoint_dir(spark)
     keys = ["source_file"]
     groups = file_sources.layouts(catalog)
     if not groups:
         raise ValueError("No readable CSV files.")
-    assign, _ = detect_from_cells(reduce(DataFrame.unionByName, [
-        long_cells(file_sources.read_layout(spark, g, g.paths), keys) for g in groups]), keys)
+    # a file with quoted line ends is read by one task, the longest: these come first
+    groups.sort(key=lambda g: not g.multi_line)
+    cells = staged_table(reduce(DataFrame.unionByName, [
+        counted_cells(file_sources.read_layout(spark, g, g.paths), keys) for g in groups]), "cells")
+
+    def exact(names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [
+            counted_cells(file_sources.read_layout(spark, g, g.paths), keys, names, exact=True)
+            for g in groups if set(names) & set(g.column_names)])
+
+    assign, _ = detect_from_cells(cells, keys, exact)
     assign = assign.checkpoint()
     chosen = _chosen(assign, keys).checkpoint()
     named = [name + "_of" for name in CANONICAL.values()]
@@ -196,6 +205,7 @@ def fleet_analysis(spark, catalog: DataFrame, grain: str = "day", week_start: st
             .groupBy(*file_sources.LAYOUT, *named).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect())
     if not sets:
         raise ValueError("No file has a money column.")
+    sets.sort(key=lambda g: not g.multi_line)
     parts = []
     for g in sets:
         wanted = [c for c in (g[n] for n in named) if c is not None]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain, islice
 
 import pandas as pd
@@ -113,11 +114,11 @@ def stage_csv(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] | None
     if n_files not in (None, count):
         root, count = os.path.join(root, f"files-{n_files}"), n_files
     known = VARIANTS | ODD
-    targets = [os.path.join(root, "csv", name) for name in variants or known]
-    for name, target in zip(variants or known, targets):
-        opt = known[name]
-        if _exists(spark, os.path.join(target, "_SUCCESS")):
-            continue
+    targets = {name: os.path.join(root, "csv", name) for name in variants or known}
+    missing = [name for name, target in targets.items() if not _exists(spark, os.path.join(target, "_SUCCESS"))]
+
+    def write(name: str) -> None:
+        opt, target = known[name], targets[name]
         frame = _variant_frame(o, name).repartition(count)
         if "order" in opt:
             frame = frame.sortWithinPartitions(*opt["order"])
@@ -125,7 +126,11 @@ def stage_csv(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] | None
         (frame.write.mode("overwrite").option("sep", opt["sep"]).option("encoding", opt["encoding"])
          .option("header", str(opt["header"]).lower()).option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).csv(target))
-    return targets
+
+    # a variant of few files is few tasks, so all are written at the same time
+    with ThreadPoolExecutor(max(1, len(missing))) as pool:
+        list(pool.map(write, missing))
+    return list(targets.values())
 
 
 #: Folders of the ragged variant, one file each; which row a file spoils depends on these.

@@ -43,6 +43,8 @@ CP1251 = "cp1251"
 SPARK_CHARSETS = {UTF8: "UTF-8", CP1251: "windows-1251"}
 #: Bytes of a file's start that are looked at for its first lines, at most.
 HEAD_BYTES = 1 << 20
+#: Lines of it, at most: as many bytes with their line ends, were they empty.
+HEAD_LINES = HEAD_BYTES
 #: An empty file as the file index writes it.
 EMPTY_FILE = re.compile(r"path=(.*?); isDirectory=false; length=0; .*?modification_time=(\d+)")
 #: Stands between the cells of a parsed header.
@@ -170,6 +172,14 @@ def _one_file_a_task(spark: SparkSession) -> SparkSession:
     return sub
 
 
+def _first_of_each_task(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of every task. A Python function that ends early leaves it to chance
+    whether its task still reads all of the file: what its worker drains is written on."""
+    # a limit is the first rows of all tasks' first rows: the inner step is enough
+    plan = df.limit(n)._jdf.logicalPlan().child()
+    return DataFrame(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(df._jdf.sparkSession(), plan), df.sparkSession)
+
+
 HEAD = ("path string, head array<binary>, utf8 boolean, quotes long, multi_line boolean, lines long, records long, "
         "whole boolean")
 
@@ -180,8 +190,9 @@ def _first_lines(raw: DataFrame) -> DataFrame:
     seen. Reading stops once the lines and the preview's records are there."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, head, utf8, quotes, odd, lines, records, size = None, [], True, 0, False, 0, 0, 0
-        whole = True
+        whole, seen = True, 0
         for batch in batches:
+            seen += batch.num_rows
             path = batch.column(0)[0].as_py() if batch.num_rows else path
             for line in batch.column(1).to_pylist():
                 size += len(line)
@@ -202,12 +213,13 @@ def _first_lines(raw: DataFrame) -> DataFrame:
                                      and records > PREVIEW_ROW_LIMIT + 1):
                 whole = False
                 break
+        whole = whole and seen < HEAD_LINES
         if path is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path]), pa.array([head], pa.list_(pa.binary())), *(pa.array([x]) for x in (utf8, quotes, odd, lines, records, whole))],
                 ["path", "head", "utf8", "quotes", "multi_line", "lines", "records", "whole"])
 
-    return raw.mapInArrow(look, HEAD)
+    return _first_of_each_task(raw, HEAD_LINES).mapInArrow(look, HEAD)
 
 
 CATALOG_COLUMNS = ("path", "name", "extension", "size", "modified", "status", "size_text", "encoding", "delimiter",
