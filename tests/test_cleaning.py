@@ -85,3 +85,40 @@ def test_role_columns_that_do_not_exist_are_named(spark):
         with pytest.raises(ValueError, match="incmoe"):
             build(df, Roles(date="day", revenue="incmoe"))
         build(df, Roles(date="day", revenue="income"))
+
+
+def test_usual_cells_are_read_as_by_the_full_parsers(spark):
+    """Dates and amounts of the usual forms skip the full parsers of a rollup, with the same result."""
+    from tallyframe.functions import dates, money
+    from tallyframe.operators import partials
+    texts = [None, "", " ", "2024-02-29", "2023-02-29", "2023/04/31", "2024.12.01", "0000-01-01", "2024-13-01", "2024-1-5", "31.12.2023",
+             "29-02-2023", "01/02/2024", "12/31/2024", "13.13.2024", "31.04.2024", "2024-01-31 10:00", " 2024-01-31", "2024-01-31\n", "31.12.23",
+             "5", "-5", "+5", "0", "-0", "-0.00", "007", "1.5", "1.50", "1.500", "-12.34", "1.", ".5", "1,5", "-1,50", "1,500", "1.234,56",
+             "1,234.56", "(5)", "(1,5)", "$5", "5 руб.", "1e5", "inf", "nan", "5 ", "5\n", "--5", "1,5\n", "12345678901234567890.12"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    seen = partials._with_money(partials._with_ts(df, "c", "t"), "c", 0)
+    full = money.with_clean_money_text(dates.with_ledger_ts(df, "c", "t"), "c", "clean").withColumn(
+        "direct", money.direct_number(F.col("c")))
+    full = full.withColumn("dirty", F.coalesce(F.col("direct").isNull() & (money.utrim(F.col("c")) != ""), F.lit(False)))
+    got = {r.c: (r.t, r["__clean0"], r["__direct0"], r["__dirty0"]) for r in seen.select("c", F.col("t").cast("string").alias("t"), "__clean0", "__direct0", "__dirty0").collect()}
+    want = {r.c: (r.t, r.clean, r.direct, r.dirty) for r in full.select("c", F.col("t").cast("string").alias("t"), "clean", "direct", "dirty").collect()}
+    assert got == want and len(got) == len(texts)
+
+
+def test_staged_rollup_reads_the_ledger_once(spark):
+    """The sums of a key serve its decisions and its rows; they used to be taken twice."""
+    df = spark.createDataFrame([("a", "2024-01-31", "5.00", "x"), ("a", "01.02.2024", "-2,50", "y"), ("b", "bad", "1.25", "x")],
+                               "shop string, day string, price string, kind string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    roles = Roles(date="day", amount="price", category="kind")
+    rows = lambda d, **how: sorted(map(str, raw_rollup(d, roles, ["shop"], "month", **how).collect()))
+    got = rows(df.mapInArrow(seen, df.schema), staged=True)
+    assert read.value == 3
+    # a: total, two categories and two periods; b has no valid date: total and category
+    assert got == rows(df) and len(got) == 7

@@ -288,3 +288,33 @@ def test_staged_files_grow_in_number_with_the_rows(spark, monkeypatch):
                       .groupBy(F.col("_metadata.file_path")).count().collect() for n in (None, 3))
     assert len(by_rows) == -(-rows // 100) > 3 and max(r["count"] for r in by_rows) <= 102
     assert len(three) == 3 and sum(r["count"] for r in three) == rows + 3
+
+
+def test_first_lines_read_no_whole_file(spark, tmp_path):
+    """A task is handed a file's first lines only; behind a Python function that ends early it
+    used to read on, by chance, to the end of the file."""
+    assert files._first_of_each_task(spark.range(0, 4000, 1, 4), 3).count() == 12
+    (tmp_path / "long.csv").write_text("Date,Total\n" + "2026-01-01,5\n" * 3_000 + "\n" * files.HEAD_LINES + "2026-01-02,6\n")
+    sub = files._one_file_a_task(spark)
+    raw = files._reader(sub, "text").load(str(tmp_path)).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    head = files._first_lines(raw).first()
+    assert (head.lines, head.whole, len(head.head)) == (3_001, False, 20)
+    assert files.file_catalog(spark, str(tmp_path)).first().records == 3_001
+
+
+def test_variants_are_staged_once_and_whole(spark, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    from tallyframe.plans import staging
+    from tests.conftest import SF001
+    for table in ("orders", "events"):  # tables of their own, which nothing is staged from yet
+        shutil.copyfile(f"{SF001}/{table}.parquet", tmp_path / f"{table}.parquet")
+    sf, variants = str(tmp_path), tuple(staging.VARIANTS)
+    folders = staging.stage_csv(spark, sf, variants, 2)
+    written = lambda: [sorted(f.name for f in Path(d).glob("*.csv")) for d in folders]
+    names = written()
+    assert [d.rsplit("/", 1)[1] for d in folders] == list(variants) and all(len(x) == 2 for x in names)
+    rows = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert files.file_catalog(spark, folders).groupBy().sum("records").first()[0] == rows * len(variants)
+    assert staging.stage_csv(spark, sf, variants, 2) == folders and written() == names
