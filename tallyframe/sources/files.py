@@ -172,6 +172,14 @@ def _one_file_a_task(spark: SparkSession) -> SparkSession:
     return sub
 
 
+def _starts(session: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, value binary, whole) of the lines of the pieces at the start of CSV files."""
+    lines = _reader(session, "text").option("pathGlobFilter", "*.[cC][sS][vV]").load(paths)
+    return lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"),
+        (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole"))
+
+
 def _first_of_each_task(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of every task. A Python function that ends early leaves it to chance
     whether its task still reads all of the file: what its worker drains is written on."""
@@ -185,15 +193,17 @@ HEAD = ("path string, head array<binary>, utf8 boolean, quotes long, multi_line
 
 
 def _first_lines(raw: DataFrame) -> DataFrame:
-    """``HEAD`` rows, one per file, from (path, value binary) of a session that gives each
-    file its task: the first lines that are not blank, and what can be said of the lines
-    seen. Reading stops once the lines and the preview's records are there."""
+    """``HEAD`` rows, one per file, from (path, value binary[, whole: the task's piece is all of the
+    file]) of the pieces at the start of files; a session that gives each file its task has no other. The
+    first lines that are not blank, and what can be said of the lines seen. Reading stops once
+    the lines and the preview's records are there."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, head, utf8, quotes, odd, lines, records, size = None, [], True, 0, False, 0, 0, 0
         whole, seen = True, 0
         for batch in batches:
             seen += batch.num_rows
-            path = batch.column(0)[0].as_py() if batch.num_rows else path
+            if batch.num_rows:
+                path, whole = batch.column(0)[0].as_py(), batch.column(2)[0].as_py()
             for line in batch.column(1).to_pylist():
                 size += len(line)
                 if utf8:
@@ -219,6 +229,8 @@ def _first_lines(raw: DataFrame) -> DataFrame:
                 [pa.array([path]), pa.array([head], pa.list_(pa.binary())), *(pa.array([x]) for x in (utf8, quotes, odd, lines, records, whole))],
                 ["path", "head", "utf8", "quotes", "multi_line", "lines", "records", "whole"])
 
+    if "whole" not in raw.columns:
+        raw = raw.withColumn("whole", F.lit(True))
     return _first_of_each_task(raw, HEAD_LINES).mapInArrow(look, HEAD)
 
 
@@ -287,8 +299,7 @@ def _judged(spark: SparkSession, files: DataFrame, paths: list[str], heads_only:
         lines = _reader(session, "text").option("pathGlobFilter", "*.[cC][sS][vV]").load(paths)
         return lines.select(F.col("_metadata.file_path").alias("path"), "value")
 
-    heads = staged_table(_first_lines(raw(_one_file_a_task(spark)).withColumn("value", F.col("value").cast("binary"))), "heads",
-                         spark)
+    heads = staged_table(_first_lines(_starts(_one_file_a_task(spark), paths)), "heads", spark)
     if heads_only:
         facts = heads.withColumn("records", F.when(F.col("whole"), F.col("records"))).withColumn(
             "lines", F.when(F.col("whole"), F.col("lines")))

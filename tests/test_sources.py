@@ -295,13 +295,21 @@ def test_first_lines_read_no_whole_file(spark, tmp_path):
     used to read on, by chance, to the end of the file."""
     assert files._first_of_each_task(spark.range(0, 4000, 1, 4), 3).count() == 12
     (tmp_path / "long.csv").write_text("Date,Total\n" + "2026-01-01,5\n" * 3_000 + "\n" * files.HEAD_LINES + "2026-01-02,6\n")
-    sub = files._one_file_a_task(spark)
-    raw = files._reader(sub, "text").load(str(tmp_path)).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
-    head = files._first_lines(raw).first()
+    head = files._first_lines(files._starts(files._one_file_a_task(spark), [str(tmp_path)])).first()
     assert (head.lines, head.whole, len(head.head)) == (3_001, False, 20)
     assert files.file_catalog(spark, str(tmp_path)).first().records == 3_001
 
 
+def test_first_lines_of_files_in_several_pieces(spark, tmp_path, monkeypatch):
+    """Where a session's file pieces cannot be set, only the piece at a file's start has its first lines."""
+    (tmp_path / "a.csv").write_text("Date,Total\n" + "2026-01-01,5\n" * 20_000)
+    sub = spark.newSession()
+    sub.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    monkeypatch.setattr(files, "_one_file_a_task", lambda _: sub)
+    found = files.file_catalog(spark, str(tmp_path)).collect()
+    assert [(r.column_names, r.records) for r in found] == [(["Date", "Total"], 20_000)]
+
+
 def test_variants_are_staged_once_and_whole(spark, tmp_path):
     import shutil
     from pathlib import Path
